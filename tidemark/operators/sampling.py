@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..sizes import broadcast_if_small
+from ..sizes import settle
 
 _DIGITS = 4
 
@@ -25,29 +25,27 @@ def draw_key(seed: int, id_col: str = "post_id"):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
 
 
-def _cutoffs(keyed: DataFrame, quotas: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per group the hash of its last sampled row. ``quotas`` holds the group columns and ``quota``."""
-    buckets = keyed.groupBy(*by, F.substring("_hash", 1, _DIGITS).alias("_bucket")).agg(F.count("*").alias("_n"))
+def _draw(df: DataFrame, quotas: DataFrame, by: Sequence[str], seed: int, id_col: str) -> DataFrame:
+    """Rows of every group up to its quota. ``quotas`` holds the group columns and ``quota``."""
+    keyed = df.withColumn("_hash", draw_key(seed, id_col))
+    slim = keyed.select(*by, "_hash", F.substring("_hash", 1, _DIGITS).alias("_bucket"))
     upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     edges = (
-        buckets.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+        slim.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
         .join(quotas, list(by))
         .filter(F.col("_before") < F.col("quota"))
-        .groupBy(*by).agg(F.max("_bucket").alias("_bucket"), F.max(F.col("quota") - F.col("_before")).alias("_left"))
+        .groupBy(*by).agg(F.max("_bucket").alias("_bucket"), F.min(F.col("quota") - F.col("_before")).alias("_left"))
     )
+    # only the bucket in which the sample ends is ranked
     rank = F.row_number().over(W.partitionBy(*by).orderBy("_hash"))
-    last = keyed.withColumn("_bucket", F.substring("_hash", 1, _DIGITS)).join(edges, [*by, "_bucket"])
-    return (
-        last.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left"))
+    last = (
+        slim.join(settle(edges, "edges"), [*by, "_bucket"])
+        .withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left"))
         .groupBy(*by).agg(F.max("_hash").alias("_last"))
     )
-
-
-def _draw(df: DataFrame, quotas: DataFrame, by: Sequence[str], seed: int, id_col: str) -> DataFrame:
-    keyed = df.withColumn("_hash", draw_key(seed, id_col))
-    quotas = broadcast_if_small(quotas)
-    last = broadcast_if_small(_cutoffs(keyed.select(*by, "_hash"), quotas, by))
-    return keyed.join(last, list(by)).filter(F.col("_hash") <= F.col("_last")).select(*df.columns)
+    drawn = keyed.join(settle(last, "cutoffs"), list(by)).filter(F.col("_hash") <= F.col("_last"))
+    return drawn.select(*df.columns)
 
 
 def _quotas(df: DataFrame, group: str, n: int, stratify: str) -> DataFrame:
@@ -66,11 +64,12 @@ def _sample(
         return df
     cut = df.filter(~F.col(group).isin(whole)) if whole else df
     if stratify is None:
-        quotas = cut.sparkSession.createDataFrame(
-            [(name, n) for name in sizes if name not in whole], f"{group} string, quota bigint")
+        quotas = F.broadcast(cut.sparkSession.createDataFrame(
+            [(name, n) for name in sizes if name not in whole], f"{group} string, quota bigint"))
         drawn = _draw(cut, quotas, [group], seed, id_col)
     else:
-        drawn = _draw(cut, _quotas(cut, group, n, stratify), [group, stratify], seed, id_col)
+        quotas = settle(_quotas(cut, group, n, stratify), "quotas")
+        drawn = _draw(cut, quotas, [group, stratify], seed, id_col)
     return drawn.unionByName(df.filter(F.col(group).isin(whole))) if whole else drawn
 
 

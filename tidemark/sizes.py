@@ -1,13 +1,22 @@
-"""Checked broadcasts."""
+"""Checked sizes for data that goes to every task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import as_table
+
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the frame has at most ``max_rows`` rows; beyond that the planner joins by shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def settle(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Computes an aggregate once.
+
+    Up to ``max_rows`` rows it comes back as a local table with a broadcast hint; beyond that as a table in the
+    shared folder without a hint, which the planner joins by shuffle.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return as_table(df, label)
