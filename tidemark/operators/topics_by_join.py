@@ -1,0 +1,118 @@
+"""The topic model for a vocabulary that no task should hold: posts and terms meet in shuffle joins.
+
+The start comes from the most frequent terms, which fit into tasks; the passes after it use every term.
+H is a table by term and W a table by post, each written to the shared folder once per pass.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..storage import as_table
+from . import topics
+
+HEAD_TERMS = 1_000
+
+
+def _entries(numbered: DataFrame, words: DataFrame) -> DataFrame:
+    """``_row, term, weight`` of all posts, each of unit length."""
+    counts = numbered.select("_row", F.inline(topics.term_counts(F.col("_terms"))))
+    raw = counts.join(words.select("term", "idf"), "term").withColumn("_w", (1 + F.log("n")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("_row")))
+    return raw.select("_row", "term", (F.col("_w") / norm).alias("weight"))
+
+
+def _gram(df: DataFrame, column: str, k: int) -> np.ndarray:
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = df.agg(*[F.sum(F.get(column, F.lit(i)) * F.get(column, F.lit(j))) for i, j in pairs]).first()
+    gram = np.zeros((k, k))
+    for (i, j), value in zip(pairs, sums):
+        gram[i, j] = gram[j, i] = value or 0.0
+    return gram
+
+
+def _solve(cross: DataFrame, key: str, gram: np.ndarray, name: str) -> DataFrame:
+    """Non-negative solution ``name`` per key from ``cross`` sums, and its product with them as ``fit``."""
+    k = len(gram)
+    kind = cross.schema[key].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = np.stack([batch.column(f"c{i}").to_numpy() for i in range(k)], 1)
+            found = topics.least_squares_weights(right, gram)
+            offsets = pa.array((np.arange(batch.num_rows + 1) * k).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.ListArray.from_arrays(offsets, pa.array(found.ravel())),
+                 pa.array((right * found).sum(axis=1))], [key, name, "fit"])
+
+    return cross.mapInArrow(rows, f"{key} {kind}, {name} array<double>, fit double")
+
+
+def _cross(entries: DataFrame, side: DataFrame, on: str, key: str, column: str, k: int) -> DataFrame:
+    sums = [F.sum(F.col("weight") * F.get(column, F.lit(i))).alias(f"c{i}") for i in range(k)]
+    return entries.join(side.select(on, column), on).groupBy(key).agg(*sums)
+
+
+def fit_by_join(
+    posts: DataFrame, words: DataFrame, k: int, seed: int, keep: Sequence[str], max_iter: int
+) -> topics.TopicModel:
+    keep = list(keep)
+    numbered = as_table(posts.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    entries = as_table(_entries(numbered, words), "entries")
+    square = entries.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0]
+    loadings = as_table(_head_start(posts, words, k, seed, max_iter), "loadings")
+    losses: list[float] = []
+    for _ in range(max_iter):
+        gram = _gram(loadings, "loadings", k)
+        weights = as_table(_solve(_cross(entries, loadings, "term", "_row", "loadings", k), "_row", gram, "w"), "weights")
+        outer = _gram(weights, "w", k)
+        fit = weights.agg(F.sum("fit")).first()[0] or 0.0
+        losses.append(square - 2 * fit + float((outer * gram).sum()))
+        if len(losses) > 1 and losses[-2] - losses[-1] <= topics.LOSS_TOLERANCE * abs(losses[-2]):
+            break
+        solved = _solve(_cross(entries, weights, "_row", "term", "w", k), "term", outer, "loadings")
+        loadings = as_table(solved.select("term", "loadings"), "loadings")
+    factors = words.select("term", "idf").join(loadings, "term")
+    return topics.TopicModel(k, as_table(factors, "factors"), numbered, keep, False, losses)
+
+
+def _head_start(posts: DataFrame, words: DataFrame, k: int, seed: int, max_iter: int) -> DataFrame:
+    """Loadings of all terms from a model of the most frequent ones; the other terms get theirs from its posts."""
+    size = words.count()
+    # the hash separates terms of equal frequency
+    place = F.col("documents") + F.pmod(F.xxhash64("term"), F.lit(1 << 20)) / float(1 << 20)
+    if size > HEAD_TERMS:
+        edge = words.agg(F.percentile_approx(place, 1 - HEAD_TERMS / size, 100_000)).first()[0]
+        head = words.filter(place >= edge)
+    else:
+        head = words
+    table = head.orderBy("term").toArrow()
+    x = as_table(topics._weigh(posts, table.column("term").to_pylist(), table.column("idf").to_numpy(), []), "head")
+    h, _ = topics._factor(x, posts.count(), table.num_rows, min(k, table.num_rows), seed, max_iter)
+    h = np.vstack([h, np.zeros((k - len(h), h.shape[1]))])
+    start = posts.sparkSession.createDataFrame(pa.table(
+        {"term": table.column("term"), "loadings": pa.array(list(np.ascontiguousarray(h.T)))}))
+    # a term outside the head starts with a small even loading
+    even = F.array(*[F.lit(topics._TINY)] * k)
+    return words.select("term").join(start, "term", "left").select("term", F.coalesce("loadings", even).alias("loadings"))
+
+
+def join_weights(model: topics.TopicModel, df: DataFrame | None, text_col: str) -> DataFrame:
+    if df is None:
+        numbered, keep = model.posts, model.keep
+    else:
+        terms = topics.words_and_pairs(topics.vocabulary_tokens(F.col(text_col)))
+        numbered = as_table(df.select("*", terms.alias("_terms"), F.monotonically_increasing_id().alias("_row")), "new")
+        keep = df.columns
+    k = model.n_topics
+    cross = _cross(_entries(numbered, model.factors), model.factors, "term", "_row", "loadings", k)
+    weights = _solve(cross, "_row", _gram(model.factors, "loadings", k), "weights")
+    none = F.array(*[F.lit(0.0)] * k)
+    return numbered.select("_row", *keep).join(weights, "_row", "left").select(
+        *keep, F.coalesce("weights", none).alias("weights"))
