@@ -8,4 +8,11 @@ operators   rule cascade, sampling, scorers, tables and tests, bootstrap, regres
 plans       prepare -> score -> analyze, and the pattern check
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# tasks get the functions of this package by value, so executors need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from importlib import resources
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,9 +104,17 @@ def read_sources(spark: SparkSession, specs: list[str], salt: str) -> DataFrame:
     return validate_posts(union_posts(frames))
 
 
-def read_check_set(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled texts for the pattern check: ``text`` and ``label``, 0 or 1."""
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_check_set(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """Labelled texts for the pattern check: ``text`` and ``label``, 0 or 1. Without a path the small set of the package.
+
+    The packaged set is a smoke check of the default patterns; a study labels a random sample of its own posts.
+    """
+    if path is None:
+        with resources.files(__package__).joinpath("check_set.csv").open(encoding="utf-8", newline="") as lines:
+            rows = [(row["text"], row["label"]) for row in csv.DictReader(lines)]
+        raw = spark.createDataFrame(rows, "text string, label string")
+    else:
+        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     if not {"text", "label"} <= set(raw.columns):
         raise ValueError(f"{path}: a check set needs the columns text and label")
     return check_labels(raw.select("text", F.col("label").try_cast("double").alias("label")))
