@@ -25,6 +25,7 @@ from tidemark.plans.prepare import prepare
 from tidemark.plans.validate import validate_patterns
 from tidemark.sources import readers, sinks
 from tidemark.sources.schema import drop_blank, post_violations
+from tidemark.sizes import spread
 from tidemark.storage import work_path
 
 SALT = "public-test-salt"
@@ -58,7 +59,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     day = F.expr("TIMESTAMP_NTZ '2021-06-01 00:00:00' + make_dt_interval(CAST(doc_id * 37 % 1000 AS INT))")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).alias("post_id"), "text",
         day.alias("created_at"), "source", F.col("lang").alias("author_hash"), "doc_id", "lang")
 

@@ -47,9 +47,10 @@ def test_tfidf_long_and_sparse_agree_with_restatement(spark):
     texts = ["apple apple pear plum", "apple pear", "plum plum plum kiwi", "kiwi pear", "unseen words", "melon"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "post_id string, text string")
     want = plain_tfidf(texts)
-    long = topics.tfidf(df).collect()
-    assert {(r.post_id, r.term): pytest.approx(r.weight) for r in long} == {
-        (str(i), t): v for i, row in enumerate(want) for t, v in row.items()}
+    for limit in (topics.MAX_WORDS_IN_TASKS, 1):
+        long = topics.tfidf(df, max_words_in_tasks=limit).collect()
+        assert {(r.post_id, r.term): pytest.approx(r.weight) for r in long} == {
+            (str(i), t): v for i, row in enumerate(want) for t, v in row.items()}
     model = topics.fit_topics(df, n_topics=2)
     names = [r.term for r in model.factors.orderBy("term").collect()]
     for row in model.posts.collect():

@@ -6,6 +6,7 @@ Java's ``\\w``, ``\\s``, ``\\b`` and ``(?i)`` are ASCII by default. All patterns
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -21,7 +22,13 @@ _ESCAPES = ((r"\b", _BOUNDARY), (r"\w", WORD), (r"\s", SPACE), (r"\S", NOT_SPACE
 
 
 def unicode_regex(pattern: str, ignore_case: bool = False) -> str:
-    """A Java pattern in which ``\\b \\w \\s \\S \\d`` have their Unicode meaning and ``.`` excludes only a line feed."""
+    """A Java pattern in which ``\\b \\w \\s \\S \\d`` have their Unicode meaning and ``.`` excludes only a line feed.
+
+    A boundary before or after plain letters needs to look at one side only, which is twice as fast.
+    """
+    letters = r"\(\?:[A-Za-z|]+\)"
+    pattern = re.sub(rf"\\b(?={letters}|[A-Za-z])", lambda _: f"(?<!{WORD})", pattern)
+    pattern = re.sub(rf"({letters}|(?<!\\)[A-Za-z])\\b", lambda found: f"{found[1]}(?!{WORD})", pattern)
     for escape, explicit in _ESCAPES:
         pattern = pattern.replace(escape, explicit)
     return ("(?iudU)" if ignore_case else "(?dU)") + pattern
@@ -48,9 +55,16 @@ def is_blank(text: Column) -> Column:
 
 
 def mask_text(text: Column) -> Column:
-    """Handles become ``@user``, then links become ``http``. E-mail addresses keep their form."""
+    """Handles become ``@user``, then links become ``http``. E-mail addresses keep their form.
+
+    A plain search first: only texts that may hold a handle or a link see a regular expression.
+    """
+    def links(masked: Column) -> Column:
+        found = F.contains(masked, F.lit("://")) | F.contains(F.lower(masked), F.lit("www."))
+        return F.when(found, F.regexp_replace(masked, unicode_regex(fixed.LINK_PATTERN, ignore_case=True), "http")).otherwise(masked)
+
     handles = F.regexp_replace(text, unicode_regex(fixed.HANDLE_PATTERN), "@user")
-    return F.regexp_replace(handles, unicode_regex(fixed.LINK_PATTERN, ignore_case=True), "http")
+    return bind(F.when(F.contains(text, F.lit("@")), handles).otherwise(text), links)
 
 
 def light_clean(text: Column) -> Column:
@@ -58,7 +72,8 @@ def light_clean(text: Column) -> Column:
     decoded = mask_text(text)
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(decoded, f"(?U){SPACE}+", " "))
+    # a single plain space stays as it is and needs no replacement
+    return F.trim(F.regexp_replace(decoded, f"(?U){SPACE}{{2,}}|[{SPACE}&&[^ ]]", " "))
 
 
 def topic_tokens(text: Column, stop_words: Sequence[str] = fixed.STOP_WORDS) -> Column:
@@ -74,19 +89,21 @@ def dedupe_key(text: Column) -> Column:
 
 def is_english(text: Column, min_hits: int = 1, hints: Sequence[str] = fixed.ENGLISH_HINTS) -> Column:
     """At least 80 % of the letters are ASCII and at least ``min_hits`` words are common English words."""
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    ascii_letters = F.length(F.regexp_replace(text, r"[^A-Za-z]+", ""))
     hint = f"(?i)(?<![A-Za-z'])(?:{'|'.join(hints)})(?![A-Za-z'])"
     hits = text.rlike(hint) if min_hits == 1 else F.regexp_count(text, F.lit(hint)) >= min_hits
-    return F.coalesce((letters > 0) & (ascii_letters * 10 >= letters * 8) & hits, F.lit(False))
+    # a of a + b letters is 80 % where a >= 4 b; texts of one byte per character have no other letters
+    ascii_letters = F.length(F.regexp_replace(text, r"[^A-Za-z]+", ""))
+    other_letters = F.regexp_count(text, F.lit(r"[\p{L}&&[^A-Za-z]]"))
+    mostly_ascii = (F.length(text) == F.octet_length(text)) | (ascii_letters >= 4 * other_letters)
+    some = text.rlike("[A-Za-z]") if min_hits < 1 else F.lit(True)
+    return F.coalesce(hits & some & mostly_ascii, F.lit(False))
 
 
 def is_spam(text: Column, patterns: Sequence[str] = fixed.SPAM_PATTERNS) -> Column:
     """A spam pattern, six hashtags or three links."""
-    test = (count_of(text, "#") >= fixed.SPAM_HASHTAGS) | (count_of(F.lower(text), "http") >= fixed.SPAM_LINKS)
-    for pattern in patterns:
-        test = test | text.rlike(unicode_regex(pattern, ignore_case=True))
-    return F.coalesce(test, F.lit(False))
+    any_pattern = unicode_regex("|".join(f"(?:{pattern})" for pattern in patterns), ignore_case=True)
+    many = (count_of(text, "#") >= fixed.SPAM_HASHTAGS) | (count_of(F.lower(text), "http") >= fixed.SPAM_LINKS)
+    return F.coalesce(many | text.rlike(any_pattern), F.lit(False))
 
 
 def confounders(text: Column) -> dict[str, Column]:

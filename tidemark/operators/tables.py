@@ -64,31 +64,30 @@ def chi_square(table: DataFrame, row: str = "row", col: str = "col", n: str = "n
     value = F.col("n").cast("double")
     off = F.lit(False) if whole else F.abs(value - F.rint(value)) > 1e-8 + 1e-5 * F.abs(F.rint(value))
     shape = cells.agg(
-        F.count_if((value < 0) | off).alias("bad"), F.sum(value).alias("n"),
-        F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"),
+        F.count_if((value < 0) | off).alias("bad"), F.sum(value).alias("n"), F.count_distinct("row").alias("rows"),
+        F.count_distinct("col").alias("cols"), F.count_distinct(F.when(value > 0, F.col("row"))).alias("rows_left"),
+        F.count_distinct(F.when(value > 0, F.col("col"))).alias("cols_left"),
     ).first()
     if shape.bad:
         raise NotCountsError("a chi-square test needs non-negative whole counts, not shares")
     if not shape.n or shape.n < 1 or min(shape.rows, shape.cols) < 2:
         raise NotCountsError("a chi-square test needs two rows, two columns and one count at least")
-    total = float(shape.n)
-    by_row = settle(cells.groupBy("row").agg(F.sum(value).alias("of_row")), "rows")
-    by_col = settle(cells.groupBy("col").agg(F.sum(value).alias("of_col")).filter("of_col > 0"), "columns")
-    edges = by_row.agg(F.count("*").alias("rows"), F.min("of_row").alias("least")).first()
-    sides = by_col.agg(F.count("*").alias("cols"), F.min("of_col").alias("least")).first()
-    if not edges.least:
+    if shape.rows_left < shape.rows:
         raise NotCountsError("a row of the table has no counts")
+    total = float(shape.n)
+    by_row = cells.groupBy("row").agg(F.sum(value).alias("of_row"))
+    by_col = cells.groupBy("col").agg(F.sum(value).alias("of_col")).filter("of_col > 0")
     expected = F.col("of_row") * F.col("of_col") / total
     fit = cells.join(by_row, "row").join(by_col, "col").agg(
-        F.sum(F.pow(value - expected, 2) / expected).alias("listed"), F.sum(expected).alias("covered")).first()
+        F.sum(F.pow(value - expected, 2) / expected).alias("listed"), F.sum(expected).alias("covered"),
+        F.min("of_row").alias("row"), F.min("of_col").alias("col")).first()
     # an unlisted cell adds its expected count
     chi2 = fit.listed + (total - fit.covered if abs(total - fit.covered) > 1e-9 * total else 0.0)
-    dof = (edges.rows - 1) * (sides.cols - 1)
-    # the smaller side counts the columns that are left
-    smaller = min(edges.rows, sides.cols) - 1
+    dof = (shape.rows - 1) * (shape.cols_left - 1)
+    smaller = min(shape.rows, shape.cols_left) - 1
     v = math.sqrt(chi2 / (total * smaller)) if smaller else None
     return spark.createDataFrame(
-        [(float(chi2), int(dof), chi_square_tail(chi2, dof), v, int(total), edges.least * sides.least / total)],
+        [(float(chi2), int(dof), chi_square_tail(chi2, dof), v, int(total), fit.row * fit.col / total)],
         "chi2 double, dof bigint, p_value double, cramers_v double, n bigint, min_expected double",
     )
 

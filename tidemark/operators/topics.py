@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import bind, topic_tokens
-from ..sizes import settle
 from ..storage import as_table
 
 MAX_FACTOR_CELLS = 20_000_000
+MAX_WORDS_IN_TASKS = 2_000_000
+PIECE_ROWS = 4_096
 LOSS_TOLERANCE = 1e-4
 _TINY = 1e-12
 
@@ -75,20 +76,20 @@ def term_counts(terms: Column) -> Column:
 
 
 def tfidf(
-    df: DataFrame, text_col: str = "text", id_col: str = "post_id", keep: Sequence[str] = (), **limits
+    df: DataFrame, text_col: str = "text", id_col: str = "post_id", keep: Sequence[str] = (),
+    max_words_in_tasks: int = MAX_WORDS_IN_TASKS, **limits,
 ) -> DataFrame:
-    """``id, term, weight`` (and ``keep``) in long form, with unit length per post.
+    """``id, term, weight`` (and ``keep``) in long form, with unit length per post."""
+    keep = [id_col, *keep]
+    posts = as_table(df.select(*keep, vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens")
+    words = as_table(vocabulary(posts.select(words_and_pairs(F.col("_tokens")).alias("terms")), posts.count(), **limits),
+                     "vocabulary")
+    if words.count() <= max_words_in_tasks:
+        rows = _weigh(posts, words.toArrow(), keep, "string")
+        return rows.select(*keep, F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))))
+    from .topics_by_join import weighted_terms
 
-    Term counts are made inside the row. Only the join with a vocabulary beyond the broadcast bound exchanges
-    them. Terms of half of all posts are no longer in the vocabulary, what is left of the skew AQE splits.
-    """
-    posts = df.select(id_col, *keep, words_and_pairs(vocabulary_tokens(F.col(text_col))).alias("terms"))
-    words = settle(vocabulary(posts, df.count(), **limits), "vocabulary")
-    long = posts.select(id_col, *keep, F.inline(term_counts(F.col("terms"))))
-    weighed = long.join(words, "term").withColumn("_w", (1 + F.log("n")) * F.col("idf"))
-    # the norm of a post is as small as its own vocabulary
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(id_col)))
-    return weighed.select(id_col, *keep, "term", (F.col("_w") / norm).alias("weight"))
+    return weighted_terms(posts, words, keep)
 
 
 # --- sparse rows inside tasks ---------------------------------------------------------------
@@ -136,51 +137,85 @@ def least_squares_weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 500
     return w
 
 
-def _weigh(posts: DataFrame, words: list[str], idf: np.ndarray, keep: Sequence[str]) -> DataFrame:
-    """``keep, terms array<int>, weights array<double>``: the vocabulary is looked up batch by batch, without any join."""
-    shared = posts.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), idf))
+def _weigh(posts: DataFrame, words: pa.Table, keep: Sequence[str], terms_as: str = "int") -> DataFrame:
+    """``keep, terms, weights``: the vocabulary is looked up batch by batch, without any join.
+
+    Terms come as their place in ``words`` or, with ``terms_as="string"``, as text.
+    """
+    known, idf = words.column("term").combine_chunks().cast(pa.string()), words.column("idf").to_numpy()
+    shared = posts.sparkSession.sparkContext.broadcast((known, idf))
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight = shared.value
+        known, idf = shared.value
         for batch in batches:
-            lists = batch.column("_terms")
-            place = pc.index_in(lists.flatten().cast(pa.string()), value_set=known)
+            lists = batch.column("_tokens")
+            tokens = lists.flatten().cast(pa.string())
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            first = np.flatnonzero(row[1:] == row[:-1])
+            pairs = pc.binary_join_element_wise(tokens.take(pa.array(first)), tokens.take(pa.array(first + 1)), " ")
+            row = np.concatenate([row, row[first]])
+            place = pc.index_in(pa.concat_arrays([tokens, pairs]), value_set=known)
             found = place.is_valid().to_numpy(zero_copy_only=False)
             entries, n = np.unique(row[found] * len(known) + place.drop_null().to_numpy().astype(np.int64),
                                    return_counts=True)
             row, term = entries // len(known), entries % len(known)
-            value = (1 + np.log(n)) * weight[term]
+            value = (1 + np.log(n)) * idf[term]
             value = value / np.sqrt(np.bincount(row, value * value, batch.num_rows))[row]
             offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-            kept = [batch.column(name) for name in keep]
+            terms = known.take(pa.array(term)) if terms_as == "string" else pa.array(term.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32))),
+                [*[batch.column(name) for name in keep], pa.ListArray.from_arrays(offsets, terms),
                  pa.ListArray.from_arrays(offsets, pa.array(value))], [*keep, "terms", "weights"])
 
-    fields = ", ".join(f"`{name}` {posts.schema[name].dataType.simpleString()}" for name in keep)
-    schema = f"{fields}{', ' if keep else ''}terms array<int>, weights array<double>"
-    return posts.select(*keep, "_terms").mapInArrow(lookup, schema)
+    fields = "".join(f"`{name}` {posts.schema[name].dataType.simpleString()}, " for name in keep)
+    schema = f"{fields}terms array<{terms_as}>, weights array<double>"
+    return posts.select(*keep, "_tokens").mapInArrow(lookup, schema)
 
 
 def _column_sums(x: DataFrame, multiply, rows: int, width: int) -> np.ndarray:
-    """Sum over all tasks of a dense ``rows`` by ``width`` array; tasks send their non-zero rows and Spark adds them."""
-    names = [f"s{i}" for i in range(width)]
+    """Sum over all tasks of a dense ``rows`` by ``width`` array.
+
+    Tasks send their part in pieces of ``PIECE_ROWS`` rows; each piece is added up in one place, as a stream, so
+    neither a task nor the driver ever holds more than one such array.
+    """
+    step = PIECE_ROWS * width
+
+    def pieces(at: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(at), pa.int32()), pa.array([part.tobytes() for part in at.values()], pa.binary())],
+            ["piece", "sums"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((rows, width))
         for batch in batches:
             if batch.num_rows:
                 total += multiply(SparseRows.read(batch))
-        at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), *[pa.array(total[at, i]) for i in range(width)]], ["at", *names])
+        flat = total.ravel()
+        for at in range(-(-rows * width // step)):
+            part = flat[at * step:(at + 1) * step]
+            if part.any():
+                yield pieces({at: part})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, blob in zip(batch.column("piece").to_pylist(), batch.column("sums")):
+                part = np.frombuffer(blob.as_buffer())
+                total[at] = total[at] + part if at in total else part.copy()
+        yield pieces(total)
 
-    sums = x.mapInArrow(partial, "at int, " + ", ".join(f"{name} double" for name in names))
-    table = sums.groupBy("at").agg(*[F.sum(name).alias(name) for name in names]).toArrow()
-    dense = np.zeros((rows, width))
-    dense[table.column("at").to_numpy()] = np.stack([table.column(name).to_numpy() for name in names], 1)
-    return dense
+    schema = "piece int, sums binary"
+    table = x.mapInArrow(partial, schema).repartition("piece").mapInArrow(add, schema).toArrow()
+    dense = np.zeros(rows * width)
+    for at, blob in zip(table.column("piece").to_pylist(), table.column("sums")):
+        dense[at * step:(at + 1) * step] = np.frombuffer(blob.as_buffer())
+    return dense.reshape(rows, width)
+
+
+def lists(matrix: np.ndarray) -> pa.ListArray:
+    """One list per row."""
+    return pa.ListArray.from_arrays(
+        pa.array((np.arange(len(matrix) + 1) * matrix.shape[1]).astype(np.int32)), pa.array(np.ravel(matrix)))
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -188,22 +223,44 @@ def _column_sums(x: DataFrame, multiply, rows: int, width: int) -> np.ndarray:
 
 @dataclass
 class TopicModel:
-    """A fitted model. ``factors`` holds ``term, idf, loadings array<double>``, one row per term."""
+    """A fitted model. ``vocabulary`` holds ``term, idf``, and ``loadings`` the factor H, topic by term.
+
+    In the layout by joins both are None and ``table`` holds ``term, idf, loadings array<double>``.
+    """
 
     n_topics: int
-    factors: DataFrame
     posts: DataFrame
     keep: list[str]
-    in_tasks: bool
     losses: list[float]
+    vocabulary: pa.Table | None = None
+    loadings: np.ndarray | None = None
+    table: DataFrame | None = None
+
+    @property
+    def in_tasks(self) -> bool:
+        return self.table is None
+
+    @property
+    def factors(self) -> DataFrame:
+        """``term, idf, loadings array<double>``, one row per term."""
+        if self.table is not None:
+            return self.table
+        table = self.vocabulary.append_column("loadings", lists(self.loadings.T))
+        return self.posts.sparkSession.createDataFrame(table.select(["term", "idf", "loadings"]))
 
     def describe(self, top_words: int = 8) -> DataFrame:
         """``topic, label, top_words``: the words with the highest loadings."""
-        long = self.factors.select("term", F.posexplode("loadings").alias("topic", "loading"))
-        rank = F.row_number().over(W.partitionBy("topic").orderBy(F.desc("loading"), "term"))
-        best = long.withColumn("rank", rank).filter(F.col("rank") <= top_words)
-        ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
-        words = best.groupBy("topic").agg(F.transform(ordered, lambda word: word["term"]).alias("top_words"))
+        if self.in_tasks:
+            names = self.vocabulary.column("term")
+            best = np.argsort(-self.loadings, axis=1, kind="stable")[:, :top_words]  # terms are in alphabetical order
+            rows = [(topic, names.take(pa.array(at)).to_pylist()) for topic, at in enumerate(best)]
+            words = self.posts.sparkSession.createDataFrame(rows, "topic int, top_words array<string>")
+        else:
+            long = self.table.select("term", F.posexplode("loadings").alias("topic", "loading"))
+            rank = F.row_number().over(W.partitionBy("topic").orderBy(F.desc("loading"), "term"))
+            best = long.withColumn("rank", rank).filter(F.col("rank") <= top_words)
+            ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
+            words = best.groupBy("topic").agg(F.transform(ordered, lambda word: word["term"]).alias("top_words"))
         return words.select(
             "topic", F.array_join(F.slice("top_words", 1, 3), " / ").alias("label"), "top_words").orderBy("topic")
 
@@ -222,24 +279,20 @@ class TopicModel:
         return self.weights(df, text_col).withColumn("topic", topic).drop("weights")
 
     def _weights_in_tasks(self, df: DataFrame | None, text_col: str) -> DataFrame:
-        table = self.factors.orderBy("term").toArrow()  # within max_factor_cells
-        h = np.array(table.column("loadings").to_pylist()).T
+        h = self.loadings
         gram = h @ h.T
         if df is None:
             x, keep = self.posts, self.keep
         else:
             keep = df.columns
-            terms = words_and_pairs(vocabulary_tokens(F.col(text_col))).alias("_terms")
-            x = _weigh(df.select("*", terms), table.column("term").to_pylist(), table.column("idf").to_numpy(), keep)
+            x = _weigh(df.select("*", vocabulary_tokens(F.col(text_col)).alias("_tokens")), self.vocabulary, keep)
         shared = x.sparkSession.sparkContext.broadcast(np.ascontiguousarray(h.T))
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 w = least_squares_weights(SparseRows.read(batch).times(shared.value), gram)
-                offsets = pa.array((np.arange(batch.num_rows + 1) * w.shape[1]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(name) for name in keep], pa.ListArray.from_arrays(offsets, pa.array(w.ravel()))],
-                    [*keep, "weights"])
+                    [*[batch.column(name) for name in keep], lists(w)], [*keep, "weights"])
 
         fields = ", ".join(f"`{name}` {x.schema[name].dataType.simpleString()}" for name in keep)
         return x.mapInArrow(solve, f"{fields}{', ' if keep else ''}weights array<double>")
@@ -256,10 +309,9 @@ def fit_topics(
 ) -> TopicModel:
     """Fits one model over all posts of ``df``; the assignment of the posts carries the columns in ``keep``."""
     keep = list(keep)
-    terms = words_and_pairs(vocabulary_tokens(F.col(text_col)))
-    posts = as_table(df.select(*keep, terms.alias("_terms")), "terms")
+    posts = as_table(df.select(*keep, vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens")
     documents = posts.count()
-    words = as_table(vocabulary(posts.select(F.col("_terms").alias("terms")), documents), "vocabulary")
+    words = as_table(vocabulary(posts.select(words_and_pairs(F.col("_tokens")).alias("terms")), documents), "vocabulary")
     size = words.count()
     if not size:
         raise ValueError("no term is in two posts and in at most half of all posts")
@@ -269,12 +321,9 @@ def fit_topics(
 
         return fit_by_join(posts, words, k, seed, keep, max_iter)
     table = words.orderBy("term").toArrow()
-    names, idf = table.column("term").to_pylist(), table.column("idf").to_numpy()
-    x = as_table(_weigh(posts, names, idf, keep), "weighted")
+    x = as_table(_weigh(posts, table, keep), "weighted")
     h, losses = _factor(x, documents, size, k, seed, max_iter)
-    factors = df.sparkSession.createDataFrame(pa.table({
-        "term": table.column("term"), "idf": table.column("idf"), "loadings": pa.array(list(np.ascontiguousarray(h.T)))}))
-    return TopicModel(k, factors, x, keep, True, losses)
+    return TopicModel(k, x, keep, losses, table, h)
 
 
 def _factor(x: DataFrame, documents: int, size: int, k: int, seed: int, max_iter: int) -> tuple[np.ndarray, list[float]]:
@@ -301,7 +350,7 @@ def _factor(x: DataFrame, documents: int, size: int, k: int, seed: int, max_iter
     return h, losses
 
 
-def _start(x: DataFrame, documents: int, size: int, k: int, seed: int, passes: int = 4) -> tuple[np.ndarray, float]:
+def _start(x: DataFrame, documents: int, size: int, k: int, seed: int, passes: int = 3) -> tuple[np.ndarray, float]:
     """Non-negative start from the leading singular vectors, zeros filled with the mean weight; and |X|^2.
 
     The vectors come from a subspace iteration with a seeded random start, two products per pass.

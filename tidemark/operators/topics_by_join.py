@@ -20,12 +20,17 @@ from . import topics
 HEAD_TERMS = 1_000
 
 
-def _entries(numbered: DataFrame, words: DataFrame) -> DataFrame:
-    """``_row, term, weight`` of all posts, each of unit length."""
-    counts = numbered.select("_row", F.inline(topics.term_counts(F.col("_terms"))))
+def weighted_terms(posts: DataFrame, words: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep, term, weight`` of all posts, each of unit length; the first column of ``keep`` is the key of a post.
+
+    Terms are counted inside the row. Terms of more than half of all posts are not in the vocabulary, and what
+    skew is left in the join AQE splits.
+    """
+    counts = posts.select(*keep, F.inline(topics.term_counts(topics.words_and_pairs(F.col("_tokens")))))
     raw = counts.join(words.select("term", "idf"), "term").withColumn("_w", (1 + F.log("n")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("_row")))
-    return raw.select("_row", "term", (F.col("_w") / norm).alias("weight"))
+    # a group is one post and no longer than its own vocabulary
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(keep[0])))
+    return raw.select(*keep, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def _gram(df: DataFrame, column: str, k: int) -> np.ndarray:
@@ -46,10 +51,8 @@ def _solve(cross: DataFrame, key: str, gram: np.ndarray, name: str) -> DataFrame
         for batch in batches:
             right = np.stack([batch.column(f"c{i}").to_numpy() for i in range(k)], 1)
             found = topics.least_squares_weights(right, gram)
-            offsets = pa.array((np.arange(batch.num_rows + 1) * k).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.ListArray.from_arrays(offsets, pa.array(found.ravel())),
-                 pa.array((right * found).sum(axis=1))], [key, name, "fit"])
+                [batch.column(key), topics.lists(found), pa.array((right * found).sum(axis=1))], [key, name, "fit"])
 
     return cross.mapInArrow(rows, f"{key} {kind}, {name} array<double>, fit double")
 
@@ -64,7 +67,7 @@ def fit_by_join(
 ) -> topics.TopicModel:
     keep = list(keep)
     numbered = as_table(posts.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    entries = as_table(_entries(numbered, words), "entries")
+    entries = as_table(weighted_terms(numbered, words, ["_row"]), "entries")
     square = entries.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0]
     loadings = as_table(_head_start(posts, words, k, seed, max_iter), "loadings")
     losses: list[float] = []
@@ -79,7 +82,7 @@ def fit_by_join(
         solved = _solve(_cross(entries, weights, "_row", "term", "w", k), "term", outer, "loadings")
         loadings = as_table(solved.select("term", "loadings"), "loadings")
     factors = words.select("term", "idf").join(loadings, "term")
-    return topics.TopicModel(k, as_table(factors, "factors"), numbered, keep, False, losses)
+    return topics.TopicModel(k, numbered, keep, losses, table=as_table(factors, "factors"))
 
 
 def _head_start(posts: DataFrame, words: DataFrame, k: int, seed: int, max_iter: int) -> DataFrame:
@@ -93,11 +96,11 @@ def _head_start(posts: DataFrame, words: DataFrame, k: int, seed: int, max_iter:
     else:
         head = words
     table = head.orderBy("term").toArrow()
-    x = as_table(topics._weigh(posts, table.column("term").to_pylist(), table.column("idf").to_numpy(), []), "head")
+    x = as_table(topics._weigh(posts, table, []), "head")
     h, _ = topics._factor(x, posts.count(), table.num_rows, min(k, table.num_rows), seed, max_iter)
     h = np.vstack([h, np.zeros((k - len(h), h.shape[1]))])
-    start = posts.sparkSession.createDataFrame(pa.table(
-        {"term": table.column("term"), "loadings": pa.array(list(np.ascontiguousarray(h.T)))}))
+    start = posts.sparkSession.createDataFrame(
+        pa.table({"term": table.column("term"), "loadings": topics.lists(np.ascontiguousarray(h.T))}))
     # a term outside the head starts with a small even loading
     even = F.array(*[F.lit(topics._TINY)] * k)
     return words.select("term").join(start, "term", "left").select("term", F.coalesce("loadings", even).alias("loadings"))
@@ -107,11 +110,11 @@ def join_weights(model: topics.TopicModel, df: DataFrame | None, text_col: str)
     if df is None:
         numbered, keep = model.posts, model.keep
     else:
-        terms = topics.words_and_pairs(topics.vocabulary_tokens(F.col(text_col)))
-        numbered = as_table(df.select("*", terms.alias("_terms"), F.monotonically_increasing_id().alias("_row")), "new")
+        tokens = topics.vocabulary_tokens(F.col(text_col)).alias("_tokens")
+        numbered = as_table(df.select("*", tokens, F.monotonically_increasing_id().alias("_row")), "new")
         keep = df.columns
     k = model.n_topics
-    cross = _cross(_entries(numbered, model.factors), model.factors, "term", "_row", "loadings", k)
+    cross = _cross(weighted_terms(numbered, model.factors, ["_row"]), model.factors, "term", "_row", "loadings", k)
     weights = _solve(cross, "_row", _gram(model.factors, "loadings", k), "weights")
     none = F.array(*[F.lit(0.0)] * k)
     return numbered.select("_row", *keep).join(weights, "_row", "left").select(

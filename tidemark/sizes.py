@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .storage import as_table
 
 BROADCAST_ROWS = 200_000
+ONE_TASK_ROWS = 10_000
 
 
 def settle(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -16,7 +17,24 @@ def settle(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFra
     Up to ``max_rows`` rows it comes back as a local table with a broadcast hint; beyond that as a table in the
     shared folder without a hint, which the planner joins by shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return as_table(df, label)
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return as_table(df, label)
+    local = df.sparkSession.createDataFrame(rows, df.schema)
+    return F.broadcast(local.coalesce(1) if rows.num_rows <= ONE_TASK_ROWS else local)
+
+
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small input in fewer files than there are cores, dealt out to all cores by a unique key; others as they are.
+
+    Text work on one file with a single row group would otherwise run in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if not 0 < files < cores:
+        return df
+    largest = df.agg(F.max("_metadata.file_size")).first()[0]
+    return df.repartition(cores, key) if largest and largest * files <= SPREAD_BYTES else df
