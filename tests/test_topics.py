@@ -54,7 +54,8 @@ def test_tfidf_long_and_sparse_agree_with_restatement(spark):
     model = topics.fit_topics(df, n_topics=2)
     names = [r.term for r in model.factors.orderBy("term").collect()]
     for row in model.posts.collect():
-        assert {names[t]: pytest.approx(w) for t, w in zip(row.terms, row.weights)} == want[int(row.post_id)]
+        terms, weights = np.frombuffer(row.terms, np.int32), np.frombuffer(row.weights)
+        assert {names[t]: pytest.approx(w) for t, w in zip(terms, weights)} == want[int(row.post_id)]
 
 
 @pytest.mark.parametrize("cells", [topics.MAX_FACTOR_CELLS, 1])

@@ -12,7 +12,7 @@ Two layouts, chosen by the size of the vocabulary:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from ..storage import as_table
 
 MAX_FACTOR_CELLS = 20_000_000
 MAX_WORDS_IN_TASKS = 2_000_000
-PIECE_ROWS = 4_096
+PIECE = 32_768
 LOSS_TOLERANCE = 1e-4
 _TINY = 1e-12
 
@@ -85,7 +85,7 @@ def tfidf(
     words = as_table(vocabulary(posts.select(words_and_pairs(F.col("_tokens")).alias("terms")), posts.count(), **limits),
                      "vocabulary")
     if words.count() <= max_words_in_tasks:
-        rows = _weigh(posts, words.toArrow(), keep, "string")
+        rows = _weigh(posts, words.toArrow(), keep, as_text=True)
         return rows.select(*keep, F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))))
     from .topics_by_join import weighted_terms
 
@@ -96,29 +96,42 @@ def tfidf(
 
 
 class SparseRows:
-    """Weighted terms of a batch of posts: ``row``, ``term`` and ``value`` of every entry."""
+    """Weighted terms of a batch of posts: ``row``, ``term`` and ``value`` of every entry, in order of rows.
 
-    def __init__(self, rows: int, row: np.ndarray, term: np.ndarray, value: np.ndarray):
-        self.rows, self.row, self.term, self.value = rows, row, term, value
+    A post's terms (int32) and weights (float64) are stored as bytes, which pass from table to numpy unconverted.
+    """
 
-    @classmethod
-    def read(cls, batch: pa.RecordBatch) -> SparseRows:
-        terms = batch.column("terms")
-        lengths = np.diff(terms.offsets.to_numpy())
-        return cls(batch.num_rows, np.repeat(np.arange(batch.num_rows), lengths),
-                   terms.flatten().to_numpy(), batch.column("weights").flatten().to_numpy())
+    def __init__(self, batch: pa.RecordBatch):
+        terms, weights = batch.column("terms"), batch.column("weights")
+        ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset:terms.offset + len(terms) + 1] // 4
+        first, last = int(ends[0]), int(ends[-1])
+        self.rows = batch.num_rows
+        self.lengths = np.diff(ends)
+        self.row = np.repeat(np.arange(self.rows), self.lengths)
+        self.term, self.value = np.zeros(0, np.int32), np.zeros(0)
+        if last > first:
+            start = int(np.frombuffer(weights.buffers()[1], np.int32)[weights.offset]) // 8
+            self.term = np.frombuffer(terms.buffers()[2], np.int32, last - first, first * 4)
+            self.value = np.frombuffer(weights.buffers()[2], np.float64, last - first, start * 8)
 
     def times(self, right: np.ndarray) -> np.ndarray:
         """X R for R of terms by columns."""
-        return self._sums(self.row, self.term, right, self.rows)
+        product = np.zeros((self.rows, right.shape[1]))
+        some = self.lengths > 0
+        if some.any():
+            starts = (np.cumsum(self.lengths) - self.lengths)[some]
+            product[some] = np.add.reduceat(right[self.term] * self.value[:, None], starts, axis=0)
+        return product
+
+    def left_times(self, left: np.ndarray, terms: int) -> np.ndarray:
+        """L' X for L of rows by columns: columns by terms."""
+        return np.stack([np.bincount(self.term, self.value * column[self.row], terms) for column in left.T]).astype(float)
 
-    def transposed_times(self, left: np.ndarray, terms: int) -> np.ndarray:
-        """X' L for L of rows by columns."""
-        return self._sums(self.term, self.row, left, terms)
 
-    def _sums(self, to: np.ndarray, via: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
-        columns = [np.bincount(to, self.value * column[via], size) for column in other.T]
-        return np.stack(columns, 1).astype(float)  # whole numbers where there is no entry
+def as_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One byte string per row; ``ends`` are the offsets of the rows in ``values``."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
 def least_squares_weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 500, tolerance: float = 1e-9) -> np.ndarray:
@@ -137,10 +150,11 @@ def least_squares_weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 500
     return w
 
 
-def _weigh(posts: DataFrame, words: pa.Table, keep: Sequence[str], terms_as: str = "int") -> DataFrame:
+def _weigh(posts: DataFrame, words: pa.Table, keep: Sequence[str], as_text: bool = False) -> DataFrame:
     """``keep, terms, weights``: the vocabulary is looked up batch by batch, without any join.
 
-    Terms come as their place in ``words`` or, with ``terms_as="string"``, as text.
+    Terms are places in ``words``, in the bytes that ``SparseRows`` reads; ``as_text`` gives arrays of the
+    terms themselves and their weights.
     """
     known, idf = words.column("term").combine_chunks().cast(pa.string()), words.column("idf").to_numpy()
     shared = posts.sparkSession.sparkContext.broadcast((known, idf))
@@ -161,24 +175,28 @@ def _weigh(posts: DataFrame, words: pa.Table, keep: Sequence[str], terms_as: str
             row, term = entries // len(known), entries % len(known)
             value = (1 + np.log(n)) * idf[term]
             value = value / np.sqrt(np.bincount(row, value * value, batch.num_rows))[row]
-            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-            terms = known.take(pa.array(term)) if terms_as == "string" else pa.array(term.astype(np.int32))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            if as_text:
+                offsets = pa.array(ends.astype(np.int32))
+                columns = [pa.ListArray.from_arrays(offsets, known.take(pa.array(term))),
+                           pa.ListArray.from_arrays(offsets, pa.array(value))]
+            else:
+                columns = [as_bytes(term.astype(np.int32), ends), as_bytes(value, ends)]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(name) for name in keep], pa.ListArray.from_arrays(offsets, terms),
-                 pa.ListArray.from_arrays(offsets, pa.array(value))], [*keep, "terms", "weights"])
+                [*[batch.column(name) for name in keep], *columns], [*keep, "terms", "weights"])
 
     fields = "".join(f"`{name}` {posts.schema[name].dataType.simpleString()}, " for name in keep)
-    schema = f"{fields}terms array<{terms_as}>, weights array<double>"
-    return posts.select(*keep, "_tokens").mapInArrow(lookup, schema)
+    kinds = "terms array<string>, weights array<double>" if as_text else "terms binary, weights binary"
+    return posts.select(*keep, "_tokens").mapInArrow(lookup, fields + kinds)
 
 
-def _column_sums(x: DataFrame, multiply, rows: int, width: int) -> np.ndarray:
-    """Sum over all tasks of a dense ``rows`` by ``width`` array.
+def _sums(x: DataFrame, multiply: Callable[[SparseRows], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Sum over all batches of posts of an array of the given shape.
 
-    Tasks send their part in pieces of ``PIECE_ROWS`` rows; each piece is added up in one place, as a stream, so
-    neither a task nor the driver ever holds more than one such array.
+    Tasks send their part in pieces; each piece is added up in one place, as a stream, so neither a task nor
+    the driver ever holds more than one such array.
     """
-    step = PIECE_ROWS * width
+    size = shape[0] * shape[1]
 
     def pieces(at: dict[int, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -186,13 +204,13 @@ def _column_sums(x: DataFrame, multiply, rows: int, width: int) -> np.ndarray:
             ["piece", "sums"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((rows, width))
+        total = np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
-                total += multiply(SparseRows.read(batch))
+                total += multiply(SparseRows(batch))
         flat = total.ravel()
-        for at in range(-(-rows * width // step)):
-            part = flat[at * step:(at + 1) * step]
+        for at in range(-(-size // PIECE)):
+            part = flat[at * PIECE:(at + 1) * PIECE]
             if part.any():
                 yield pieces({at: part})
 
@@ -206,10 +224,10 @@ def _column_sums(x: DataFrame, multiply, rows: int, width: int) -> np.ndarray:
 
     schema = "piece int, sums binary"
     table = x.mapInArrow(partial, schema).repartition("piece").mapInArrow(add, schema).toArrow()
-    dense = np.zeros(rows * width)
+    dense = np.zeros(size)
     for at, blob in zip(table.column("piece").to_pylist(), table.column("sums")):
-        dense[at * step:(at + 1) * step] = np.frombuffer(blob.as_buffer())
-    return dense.reshape(rows, width)
+        dense[at * PIECE:(at + 1) * PIECE] = np.frombuffer(blob.as_buffer())
+    return dense.reshape(shape)
 
 
 def lists(matrix: np.ndarray) -> pa.ListArray:
@@ -290,7 +308,7 @@ class TopicModel:
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                w = least_squares_weights(SparseRows.read(batch).times(shared.value), gram)
+                w = least_squares_weights(SparseRows(batch).times(shared.value), gram)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(name) for name in keep], lists(w)], [*keep, "weights"])
 
@@ -336,11 +354,11 @@ def _factor(x: DataFrame, documents: int, size: int, k: int, seed: int, max_iter
 
         def normal_equations(rows: SparseRows) -> np.ndarray:
             w = least_squares_weights(rows.times(shared.value), gram)
-            return np.vstack([rows.transposed_times(w, size), w.T @ w])
+            return np.hstack([rows.left_times(w, size), w.T @ w])
 
-        sums = _column_sums(x, normal_equations, size + k, k)
+        sums = _sums(x, normal_equations, (k, size + k))
         shared.unpersist()
-        cross, outer = sums[:size].T, sums[size:]
+        cross, outer = sums[:, :size], sums[:, size:]
         losses.append(square - 2 * float((cross * h).sum()) + float((outer * gram).sum()))
         if len(losses) > 1 and losses[-2] - losses[-1] <= LOSS_TOLERANCE * abs(losses[-2]):
             break
@@ -360,12 +378,12 @@ def _start(x: DataFrame, documents: int, size: int, k: int, seed: int, passes: i
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
     for _ in range(passes):
         shared = context.broadcast(basis)
-        image = _column_sums(x, lambda rows: rows.transposed_times(rows.times(shared.value), size), size, width)
+        image = _sums(x, lambda rows: rows.left_times(rows.times(shared.value), size), (width, size))
         shared.unpersist()
-        basis, spread = np.linalg.qr(image)
+        basis = np.linalg.qr(image.T)[0]
     # eigenvectors of X'X inside the basis
     shared = context.broadcast(basis)
-    small = _column_sums(x, lambda rows: (lambda z: z.T @ z)(rows.times(shared.value)), width, width)
+    small = _sums(x, lambda rows: (lambda z: z.T @ z)(rows.times(shared.value)), (width, width))
     values, inner = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(values)[::-1][:k]
     right, singular = basis @ inner[:, order], np.sqrt(np.maximum(values[order], 0.0))
@@ -379,7 +397,7 @@ def _start(x: DataFrame, documents: int, size: int, k: int, seed: int, passes: i
         sums[0][0], sums[1][0] = rows.value.sum(), (rows.value**2).sum()
         return np.stack([(np.maximum(z, 0) ** 2).sum(axis=0), (np.minimum(z, 0) ** 2).sum(axis=0), *sums])
 
-    positive, negative, total, square = _column_sums(x, parts, 4, len(order))
+    positive, negative, total, square = _sums(x, parts, (4, len(order)))
     h = np.zeros((len(order), size))
     for topic in range(len(order)):
         up, down = np.maximum(right[:, topic], 0), np.maximum(-right[:, topic], 0)

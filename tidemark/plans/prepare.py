@@ -37,7 +37,7 @@ def prepare(
     ids = drawn.select("post_id")
     if drawn.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = posts.select("post_id", light_clean(F.col("text")).alias("text")).join(ids, "post_id", "left_semi")
+    texts = posts.select("post_id", "text").join(ids, "post_id", "left_semi").withColumn("text", light_clean(F.col("text")))
     sample = as_table(drawn.join(texts, "post_id").select(*posts.columns), "sample")
     return sample, manifest(sample, result, cutoff, seed)
 
