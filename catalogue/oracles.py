@@ -366,6 +366,8 @@ _low, _high = wilson("x", "n")
 ORACLES["event_share_intervals"] = EVENTS + f"""
 SELECT event_type, n, x, {r6(_low, 'ci_low')}, {r6(_high, 'ci_high')}
 FROM (SELECT event_type, count(*) AS n, count(*) FILTER (period = 'post') AS x FROM timed GROUP BY event_type)"""
+ORACLES["event_value_quantiles"] = EVENTS + f"""
+SELECT period, {r6('quantile_cont(value, 0.025)', 'low')}, {r6('quantile_cont(value, 0.975)', 'high')} FROM timed GROUP BY period"""
 ORACLES["moderation_share_diff"] = with_posts("SELECT * FROM difference", difference_of("labelled", "toxic = 1"))
 ORACLES["negative_share_inside"] = with_posts(
     "SELECT * FROM difference", ", inside AS (SELECT * FROM labelled WHERE toxic = 1)" + difference_of("inside", "quality = 0"))
@@ -438,6 +440,8 @@ WHERE rank <= 10""", TERMS + """,
 weighed AS (SELECT post_id, lang, term, (1 + ln(n)) * idf AS v FROM counted JOIN words USING (term)),
 normed AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY post_id)) AS norm FROM weighed)""")
 
+ORACLES["topic_purity"] = "SELECT lang, count(*) AS posts, true AS pure FROM documents GROUP BY lang"
+
 # --- jobs -----------------------------------------------------------------------------------
 
 ORACLES["prepare_manifest"] = with_posts(f"""

@@ -435,6 +435,13 @@ def event_share_intervals(spark, folder):
     return rounded(counts.select("event_type", "n", "x", low.alias("ci_low"), high.alias("ci_high")))
 
 
+@query
+def event_value_quantiles(spark, folder):
+    bounds = F.percentile("value", F.array(*map(F.lit, bootstrap.QUANTILES)))
+    return rounded(event_periods(spark, folder).groupBy("period").agg(bounds.alias("q")).select(
+        "period", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
+
+
 @query
 def moderation_share_diff(spark, folder):
     return rounded(tables.share_difference(labelled(spark, folder), F.col("toxic")))
@@ -527,6 +534,15 @@ def topic_assignment(spark, folder):
     return language_model(spark, folder).assign().groupBy("topic", "lang").agg(F.count("*").alias("posts"))
 
 
+@query
+def topic_purity(spark, folder):
+    """Whether at least 95 % of the posts of a language share a topic that no other language has most."""
+    counts = language_model(spark, folder).assign().groupBy("lang", "topic").agg(F.count("*").alias("n"))
+    by_lang = counts.groupBy("lang").agg(F.sum("n").alias("posts"), F.max_by("topic", "n").alias("topic"), F.max("n").alias("n"))
+    alone = F.count("*").over(W.partitionBy("topic")) == 1  # one row per language
+    return by_lang.select("lang", "posts", ((F.col("n") >= 0.95 * F.col("posts")) & alone).alias("pure"))
+
+
 @query
 def topic_assignment_new_posts(spark, folder):
     turns = table(spark, folder, "conversations")

@@ -138,13 +138,14 @@ def plain_logit(x, y):
     return b
 
 
-@pytest.mark.parametrize("distinct", [True, False])
-def test_logistic_regression(spark, distinct):
+@pytest.mark.parametrize("distinct, one_task", [(True, 10_000), (True, 0), (False, 10_000)])
+def test_logistic_regression(spark, distinct, one_task):
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=2000), rng.integers(0, 2, 2000)
     y = (rng.random(2000) < 1 / (1 + np.exp(-(0.5 + 1.2 * a - 0.8 * b)))).astype(int)
     df = spark.createDataFrame([(float(i), int(j), int(k)) for i, j, k in zip(a, b, y)], "a double, b int, y int")
-    got = {r.term: r for r in regression.logistic_regression(df, "y", ["a", "b"], distinct_rows=distinct).collect()}
+    got = {r.term: r for r in regression.logistic_regression(df, "y", ["a", "b"], distinct_rows=distinct,
+                                                               one_task_rows=one_task).collect()}
     assert [got[t].coef for t in ("intercept", "a", "b")] == pytest.approx(list(plain_logit(np.column_stack([a, b]), y)), abs=1e-6)
     assert got["a"].p_value < 1e-6 and got["a"].or_ci_low < got["a"].odds_ratio < got["a"].or_ci_high
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,61 +11,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..sizes import settle
+from ..sizes import ONE_TASK_ROWS, settle_counted
+from ..storage import as_table
 
 LEAST_WEIGHT = 1e-9
 STEP_TOLERANCE = 1e-8
 
 
-def _normal_equations(design: DataFrame, features: Sequence[str], beta: np.ndarray, floor: float) -> tuple:
-    """X'WX and X'(y - mu) at ``beta``. Tasks return sums of the size of the coefficients, and Spark adds them."""
-    width = len(beta)
+def _equations(x: np.ndarray, n: np.ndarray, hits: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """X'WX for the step, X'WX for the errors and X'(y - mu) at ``beta``, in one flat array."""
+    with np.errstate(over="ignore"):
+        mu = 1 / (1 + np.exp(-(x @ beta)))
+    weight = mu * (1 - mu)
+    hessian, information = (x.T @ (x * (n * w)[:, None]) for w in (np.maximum(weight, LEAST_WEIGHT), weight))
+    return np.concatenate([hessian.ravel(), information.ravel(), x.T @ (hits - n * mu)])
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, gradient = np.zeros((width, width)), np.zeros(width)
-        for rows in batches:
-            x = np.column_stack([np.ones(len(rows)), rows[list(features)].to_numpy(dtype=float)])
-            n, hits = rows["_n"].to_numpy(dtype=float), rows["_hits"].to_numpy(dtype=float)
-            with np.errstate(over="ignore"):
-                mu = 1 / (1 + np.exp(-(x @ beta)))
-            matrix += x.T @ (x * (n * np.maximum(mu * (1 - mu), floor))[:, None])
-            gradient += x.T @ (hits - n * mu)
-        yield pd.DataFrame({"at": np.arange(width * (width + 1)), "v": np.concatenate([matrix.ravel(), gradient])})
 
-    flat = np.zeros(width * (width + 1))
-    for row in design.mapInPandas(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-        flat[row["at"]] = row["v"]
-    return flat[: width * width].reshape(width, width), flat[width * width:]
+def _climb(equations: Callable[[np.ndarray], np.ndarray], width: int, max_iter: int, ridge: float) -> tuple:
+    """Coefficients and their standard errors."""
+    beta, small = np.zeros(width), ridge * np.eye(width)
+    for _ in range(max_iter):
+        flat = equations(beta)
+        hessian, gradient = flat[:width * width].reshape(width, width), flat[2 * width * width:]
+        step = np.linalg.solve(hessian + small, gradient - ridge * beta)
+        beta = beta + step
+        if np.abs(step).max() < STEP_TOLERANCE:
+            break
+    information = equations(beta)[width * width:2 * width * width].reshape(width, width)
+    return beta, np.sqrt(np.diag(np.linalg.inv(information + small)))
+
+
+def _matrix(rows: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.column_stack([np.ones(len(rows)), rows[list(features)].to_numpy(dtype=float)])
+    return x, rows["_n"].to_numpy(dtype=float), rows["_hits"].to_numpy(dtype=float)
+
+
+def _fit_over_tasks(design: DataFrame, features: Sequence[str], max_iter: int, ridge: float) -> tuple:
+    """One job per step: tasks return sums of the size of the coefficients, and Spark adds them."""
+    width = len(features) + 1
+
+    def equations(beta: np.ndarray) -> np.ndarray:
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(2 * width * width + width)
+            for rows in batches:
+                total += _equations(*_matrix(rows, features), beta)
+            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+
+        table = design.mapInPandas(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        return table.sort_values("at")["v"].to_numpy()
+
+    return _climb(equations, width, max_iter, ridge)
+
+
+def _fit_in_one_task(design: DataFrame, features: Sequence[str], max_iter: int, ridge: float) -> tuple:
+    """All steps in one job, for a design of at most ``ONE_TASK_ROWS`` distinct rows."""
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            x, n, hits = _matrix(pd.concat(parts), features)
+            beta, se = _climb(lambda at: _equations(x, n, hits, at), x.shape[1], max_iter, ridge)
+            yield pd.DataFrame({"at": np.arange(len(beta)), "beta": beta, "se": se})
+
+    table = design.coalesce(1).mapInPandas(fit, "at int, beta double, se double").toPandas().sort_values("at")
+    return table["beta"].to_numpy(), table["se"].to_numpy()
 
 
 def logistic_regression(
     df: DataFrame, label: str, features: Sequence[str], n: str | None = None, distinct_rows: bool = True,
-    max_iter: int = 50, ridge: float = 1e-6,
+    max_iter: int = 50, ridge: float = 1e-6, one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """``term, coef, se, z, p_value, odds_ratio, or_ci_low, or_ci_high``, the intercept first.
 
-    Equal design rows are counted first, so the iterations run over the distinct rows; switch
-    ``distinct_rows`` off for continuous predictors, where nothing is equal. ``n`` names a count column.
+    Equal design rows are counted first, so the steps run over the distinct rows; switch ``distinct_rows`` off
+    for continuous predictors, where nothing is equal. ``n`` names a count column.
     """
     weight = F.col(n) if n else F.lit(1)
     hits = F.col(label).cast("double") * weight
     columns = [F.col(name).cast("double").alias(name) for name in features]
     if distinct_rows:
-        design = settle(df.groupBy(*columns).agg(
-            F.sum(weight).cast("double").alias("_n"), F.sum(hits).alias("_hits")), "design")
+        counted = df.groupBy(*columns).agg(F.sum(weight).cast("double").alias("_n"), F.sum(hits).alias("_hits"))
+        design, rows = settle_counted(counted, "design")
     else:
-        design = df.select(*columns, weight.cast("double").alias("_n"), hits.alias("_hits")).persist()
-    beta = np.zeros(len(features) + 1)
-    for _ in range(max_iter):
-        matrix, gradient = _normal_equations(design, features, beta, LEAST_WEIGHT)
-        step = np.linalg.solve(matrix + ridge * np.eye(len(beta)), gradient - ridge * beta)
-        beta = beta + step
-        if np.abs(step).max() < STEP_TOLERANCE:
-            break
-    matrix, _ = _normal_equations(design, features, beta, 0.0)
-    if not distinct_rows:
-        design.unpersist()
-    se = np.sqrt(np.diag(np.linalg.inv(matrix + ridge * np.eye(len(beta)))))
+        design, rows = as_table(df.select(*columns, weight.cast("double").alias("_n"), hits.alias("_hits")), "design"), None
+    fit = _fit_in_one_task if rows is not None and 0 < rows <= one_task_rows else _fit_over_tasks
+    beta, se = fit(design, features, max_iter, ridge)
     rows = []
     for term, coef, error in zip(["intercept", *features], beta, se):
         z = coef / error
