@@ -57,20 +57,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def posts(spark: SparkSession, folder: str) -> DataFrame:
+def posts(spark: SparkSession, folder: str, texts: bool = True) -> DataFrame:
+    """The post view. Queries that work on texts use all cores, also where the table is one small file."""
+    documents = table(spark, folder, "documents")
     day = F.expr("TIMESTAMP_NTZ '2021-06-01 00:00:00' + make_dt_interval(CAST(doc_id * 37 % 1000 AS INT))")
-    return spread(table(spark, folder, "documents"), "doc_id").select(
+    return (spread(documents, "doc_id") if texts else documents).select(
         F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).alias("post_id"), "text",
         day.alias("created_at"), "source", F.col("lang").alias("author_hash"), "doc_id", "lang")
 
 
-def dated(spark: SparkSession, folder: str) -> DataFrame:
-    return times.assign_period(posts(spark, folder))
+def dated(spark: SparkSession, folder: str, texts: bool = True) -> DataFrame:
+    return times.assign_period(posts(spark, folder, texts))
 
 
-def labelled(spark: SparkSession, folder: str) -> DataFrame:
+def labelled(spark: SparkSession, folder: str, texts: bool = True) -> DataFrame:
     """Posts with their labels. One label per document at most, so the join keeps the rows of the labels."""
-    return dated(spark, folder).join(table(spark, folder, "labels"), "doc_id")
+    return dated(spark, folder, texts).join(table(spark, folder, "labels"), "doc_id")
 
 
 def study_posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +132,7 @@ def dedupe_key(spark, folder):
 def hash_author(spark, folder):
     author = F.concat(F.lit(" "), F.upper("lang"), F.lit("-"), (F.col("doc_id") % 97).cast("string"))
     blank_some = F.when(F.col("doc_id") % 11 != 0, author)
-    return posts(spark, folder).select("post_id", privacy.hash_author(blank_some, SALT).alias("author_hash"))
+    return posts(spark, folder, texts=False).select("post_id", privacy.hash_author(blank_some, SALT).alias("author_hash"))
 
 
 @query
@@ -140,12 +142,12 @@ def parse_times(spark, folder):
     written = F.date_format(stamp, layouts[0])
     for at, layout in enumerate(layouts[1:], 1):
         written = F.when(F.col("doc_id") % 5 == at, F.date_format(stamp, layout)).otherwise(written)
-    return posts(spark, folder).select("post_id", F.unix_seconds(times.parse_time(written)).alias("seconds"))
+    return posts(spark, folder, texts=False).select("post_id", F.unix_seconds(times.parse_time(written)).alias("seconds"))
 
 
 @query
 def period_counts(spark, folder):
-    return dated(spark, folder).groupBy("period").agg(F.count("*").alias("n"))
+    return dated(spark, folder, texts=False).groupBy("period").agg(F.count("*").alias("n"))
 
 
 @query
@@ -300,12 +302,12 @@ def filter_report_hot_text(spark, folder):
 
 @query
 def balanced_sample(spark, folder):
-    return sampling.balanced_periods(dated(spark, folder), PER_PERIOD).select("post_id", "period")
+    return sampling.balanced_periods(dated(spark, folder, texts=False), PER_PERIOD).select("post_id", "period")
 
 
 @query
 def stratified_sample(spark, folder):
-    return sampling.balanced_periods(dated(spark, folder), 75, stratify="lang").select("post_id", "period", "lang")
+    return sampling.balanced_periods(dated(spark, folder, texts=False), 75, stratify="lang").select("post_id", "period", "lang")
 
 
 @query
@@ -444,12 +446,12 @@ def event_value_quantiles(spark, folder):
 
 @query
 def moderation_share_diff(spark, folder):
-    return rounded(tables.share_difference(labelled(spark, folder), F.col("toxic")))
+    return rounded(tables.share_difference(labelled(spark, folder, texts=False), F.col("toxic")))
 
 
 @query
 def negative_share_inside(spark, folder):
-    toxic = labelled(spark, folder).filter("toxic = 1")
+    toxic = labelled(spark, folder, texts=False).filter("toxic = 1")
     return rounded(tables.share_difference(toxic, (F.col("quality") == 0).cast("int")))
 
 
@@ -466,27 +468,27 @@ def mean_differences_events(spark, folder):
 
 @query
 def standardized_diff(spark, folder):
-    frame = labelled(spark, folder).withColumn("poor", (F.col("quality") == 0).cast("int"))
+    frame = labelled(spark, folder, texts=False).withColumn("poor", (F.col("quality") == 0).cast("int"))
     return rounded(bootstrap.standardized_difference(frame, "poor", "lang", n_boot=0))
 
 
 @query
 def standardized_diff_sources(spark, folder):
     """Some strata occur in one period only."""
-    frame = labelled(spark, folder).withColumns({
+    frame = labelled(spark, folder, texts=False).withColumns({
         "poor": (F.col("quality") == 0).cast("int"), "spot": F.concat_ws("/", "source", "lang")})
     return rounded(bootstrap.standardized_difference(frame, "poor", "spot", n_boot=0))
 
 
 @query
 def topic_prevalence_point(spark, folder):
-    return rounded(bootstrap.topic_prevalence(dated(spark, folder), "lang", n_boot=0))
+    return rounded(bootstrap.topic_prevalence(dated(spark, folder, texts=False), "lang", n_boot=0))
 
 
 @query
 def logit_saturated(spark, folder):
     post = (F.col("period") == "post").cast("int")
-    frame = labelled(spark, folder).select(
+    frame = labelled(spark, folder, texts=False).select(
         (F.col("quality") == 0).cast("int").alias("poor"), post.alias("post"), F.col("toxic"),
         (post * F.col("toxic")).alias("post_x_toxic"))
     fitted = regression.logistic_regression(frame, "poor", ["post", "toxic", "post_x_toxic"])
@@ -556,7 +558,7 @@ def topic_prevalence(spark, folder):
 
 @query
 def standardized_diff_bootstrap(spark, folder):
-    frame = labelled(spark, folder).withColumn("poor", (F.col("quality") == 0).cast("int"))
+    frame = labelled(spark, folder, texts=False).withColumn("poor", (F.col("quality") == 0).cast("int"))
     return rounded(bootstrap.standardized_difference(frame, "poor", "lang"))
 
 
