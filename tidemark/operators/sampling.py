@@ -50,9 +50,12 @@ def _draw(df: DataFrame, quotas: DataFrame, by: Sequence[str], seed: int, id_col
 
 def _quotas(df: DataFrame, group: str, n: int, stratify: str) -> DataFrame:
     """Rows per (group, stratum) of a proportional sample; halves go to the even number. Null strata have none."""
-    sizes = df.filter(F.col(stratify).isNotNull()).groupBy(group, stratify).agg(F.count("*").alias("_n"))
-    share = F.col("_n") / F.sum("_n").over(W.partitionBy(group))
-    return sizes.withColumn("quota", F.least(F.col("_n"), F.rint(share * n).cast("bigint"))).drop("_n")
+    sizes = settle(
+        df.filter(F.col(stratify).isNotNull()).groupBy(group, stratify).agg(F.count("*").alias("_n")), "strata")
+    of_group = settle(sizes.groupBy(group).agg(F.sum("_n").alias("_of")), "groups")
+    share = F.col("_n") / F.col("_of")
+    return sizes.join(of_group, group).select(
+        group, stratify, F.least(F.col("_n"), F.rint(share * n).cast("bigint")).alias("quota"))
 
 
 def _sample(

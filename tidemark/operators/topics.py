@@ -29,6 +29,7 @@ from ..storage import as_table
 MAX_FACTOR_CELLS = 20_000_000
 MAX_WORDS_IN_TASKS = 2_000_000
 PIECE = 32_768
+LEAST_TASKS = 8
 LOSS_TOLERANCE = 1e-4
 _TINY = 1e-12
 
@@ -223,7 +224,9 @@ def _sums(x: DataFrame, multiply: Callable[[SparseRows], np.ndarray], shape: tup
         yield pieces(total)
 
     schema = "piece int, sums binary"
-    table = x.mapInArrow(partial, schema).repartition("piece").mapInArrow(add, schema).toArrow()
+    # as many tasks as cores: each returns one dense part, however many files the posts have
+    tasks = max(x.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS)
+    table = x.coalesce(tasks).mapInArrow(partial, schema).repartition("piece").mapInArrow(add, schema).toArrow()
     dense = np.zeros(size)
     for at, blob in zip(table.column("piece").to_pylist(), table.column("sums")):
         dense[at * PIECE:(at + 1) * PIECE] = np.frombuffer(blob.as_buffer())
