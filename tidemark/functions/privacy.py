@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 HASH_LENGTH = 16
 
 
@@ -38,6 +40,6 @@ def hash_author_native(author: Column, salt: str) -> Column:
     key = salt.encode("utf-8")
     key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (F.lit(bytes(byte ^ pad for byte in key)) for pad in (0x36, 0x5C))
-    name = F.lower(F.regexp_replace(author.cast("string"), r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+\z", ""))
+    name = F.lower(strip(author.cast("string")))
     first = F.unhex(F.sha2(F.concat(inner, F.encode(name, "UTF-8")), 256))
     return F.when(name != "", F.substring(F.sha2(F.concat(outer, first), 256), 1, HASH_LENGTH)).otherwise("")

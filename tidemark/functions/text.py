@@ -18,6 +18,7 @@ WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x{1C}-\x{1F}]"
 NOT_SPACE = r"[^\s\x{1C}-\x{1F}]"
 _BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
+_LETTERS = r"\(\?:[A-Za-z|]+\)"
 _ESCAPES = ((r"\b", _BOUNDARY), (r"\w", WORD), (r"\s", SPACE), (r"\S", NOT_SPACE), (r"\d", r"\p{Nd}"))
 
 
@@ -26,14 +27,20 @@ def unicode_regex(pattern: str, ignore_case: bool = False) -> str:
 
     A boundary before or after plain letters needs to look at one side only, which is twice as fast.
     """
-    letters = r"\(\?:[A-Za-z|]+\)"
-    pattern = re.sub(rf"\\b(?={letters}|[A-Za-z])", lambda _: f"(?<!{WORD})", pattern)
-    pattern = re.sub(rf"({letters}|(?<!\\)[A-Za-z])\\b", lambda found: f"{found[1]}(?!{WORD})", pattern)
+    pattern = re.sub(rf"\\b(?={_LETTERS}|[A-Za-z])", lambda _: f"(?<!{WORD})", pattern)
+    pattern = re.sub(rf"({_LETTERS}|(?<!\\)[A-Za-z])\\b", lambda found: f"{found[1]}(?!{WORD})", pattern)
     for escape, explicit in _ESCAPES:
         pattern = pattern.replace(escape, explicit)
     return ("(?iudU)" if ignore_case else "(?dU)") + pattern
 
 
+def any_of(patterns: Sequence[str]) -> str:
+    """One pattern for all. A boundary before a letter that all start with is tested once per place, not once each."""
+    if all(re.match(rf"\\b(?:{_LETTERS}|[A-Za-z])", pattern) for pattern in patterns):
+        return rf"(?<!\w)(?=[A-Za-z])(?:{'|'.join(pattern[2:] for pattern in patterns)})"
+    return "|".join(f"(?:{pattern})" for pattern in patterns)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -101,7 +108,7 @@ def is_english(text: Column, min_hits: int = 1, hints: Sequence[str] = fixed.ENG
 
 def is_spam(text: Column, patterns: Sequence[str] = fixed.SPAM_PATTERNS) -> Column:
     """A spam pattern, six hashtags or three links."""
-    any_pattern = unicode_regex("|".join(f"(?:{pattern})" for pattern in patterns), ignore_case=True)
+    any_pattern = unicode_regex(any_of(patterns), ignore_case=True)
     many = (count_of(text, "#") >= fixed.SPAM_HASHTAGS) | (count_of(F.lower(text), "http") >= fixed.SPAM_LINKS)
     return F.coalesce(many | text.rlike(any_pattern), F.lit(False))
 
