@@ -54,3 +54,12 @@ def test_every_equivalent_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
+
+
+@pytest.mark.parametrize("name", ["light_clean", "english_and_spam", "filter_report", "filtered_posts", "lexicon_scores",
+                                  "sentiment_shares", "pattern_match", "mean_differences_text", "moderation_share_diff",
+                                  "balanced_sample"])
+def test_plans_hold_no_cross_join_window_or_python(spark, name):
+    plan = entry.queries()[name](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "NestedLoopJoin", "Window", "EvalPython", "InPandas", "InArrow"):
+        assert node not in plan
