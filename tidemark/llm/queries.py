@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, repeats, shingle_join
+from . import cap_filters, chat, mixing, packing, quality, repeats, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_previous_factors(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, folder, "embeddings"))
