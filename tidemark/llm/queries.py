@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chat, mixing, packing, quality, repeats, shingle_join
+from . import cap_filters, chat, html_text, mixing, packing, quality, repeats, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op7_previous_factors(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op2_host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))

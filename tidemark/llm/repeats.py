@@ -97,7 +97,7 @@ def _buckets(hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(edges, [*edges[1:], len(hashes)])]
 
 
-def _shared_of(rows: pd.DataFrame) -> np.ndarray:
+def shared_of(rows: pd.DataFrame) -> np.ndarray:
     if not len(rows):
         return np.empty(0, U)
     return np.sort(np.concatenate([unpacked_sorted(x) for x in rows["hashes"]]))
@@ -112,7 +112,7 @@ def _known_contexts(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(p[order] for p in parts)
 
 
-class _Steps:
+class Steps:
     """The functions that run in tasks, for given numbers of buckets."""
 
     def __init__(self, n_buckets: int):
@@ -120,8 +120,10 @@ class _Steps:
 
     def send_hashes(self, texts: pd.DataFrame) -> pd.DataFrame:
         """Each anchor hash of the chunk once, and which occur in two of its documents."""
-        found = [np.unique(h >> SHORT) for _, _, _, h in _chunk_anchors(texts, None)]
-        chunk = int(texts["chunk"].iloc[0])
+        return self.packed([np.unique(h >> SHORT) for _, _, _, h in _chunk_anchors(texts, None)], int(texts["chunk"].iloc[0]))
+
+    def packed(self, found: list[np.ndarray], chunk: int) -> pd.DataFrame:
+        """One row per bucket from the distinct short hashes of each document."""
         h, times = np.unique(np.concatenate(found), return_counts=True)
         return pd.DataFrame(
             [(b, chunk, packed_sorted(h[x:y]), np.packbits(times[x:y] > 1).tobytes()) for b, x, y in _buckets(h << SHORT, self.n)],
@@ -149,7 +151,7 @@ class _Steps:
         if not len(texts) or not len(shared):
             return pd.DataFrame(columns=["bucket", "chunk", "anchor", "context", "least", "more"])
         chunk = int(texts["chunk"].iloc[0])
-        found = [(h, contexts(raw, at), np.full(len(at), d, np.int64)) for d, raw, at, h in _chunk_anchors(texts, _shared_of(shared))]
+        found = [(h, contexts(raw, at), np.full(len(at), d, np.int64)) for d, raw, at, h in _chunk_anchors(texts, shared_of(shared))]
         h, c, d = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((d, c, h))
         h, c, d = h[order], c[order], d[order]
@@ -310,18 +312,24 @@ class _Steps:
         return pd.DataFrame(out, columns=names)
 
 
+def chunked(rows: DataFrame, n_chunks: int, label: str) -> DataFrame:
+    """``rows`` as a table bucketed by their ``chunk``, so that grouping by it moves nothing."""
+    spark = rows.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    rows.repartition(n_chunks, "chunk").write.bucketBy(n_chunks, "chunk").option(
+        "path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining bytes if asked for."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, min(100_000, -(-size // CHUNK_BYTES)))
-    steps = _Steps(max(1, -(-size // BUCKET_BYTES)))
+    steps = Steps(max(1, -(-size // BUCKET_BYTES)))
     ordered = rows.where("doc_id IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_chunks)).cast("int"))
-    name = f"repeats_{uuid.uuid4().hex}"
-    ordered.repartition(n_chunks, "chunk").write.bucketBy(n_chunks, "chunk").option(
-        "path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    texts = spark.table(name)
+    texts = chunked(ordered, n_chunks, "repeats")
 
     def answered(answers: DataFrame, function, schema: str) -> DataFrame:
         return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(function, schema)
