@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chat, html_text, mixing, packing, quality, repeats, shingle_join
+from . import cap_filters, chat, html_text, mixing, packing, quality, repeats, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op3_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op1_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
