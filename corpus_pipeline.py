@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, quality, queries
+from tidemark.llm import mixing, packing, private_data, quality, queries, shingle_join
 from tidemark.storage import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_rules(docs).where("kept").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id. Texts without words stay."""
+    found = shingle_join.near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; n_chars follows the text."""
+    return private_data.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document appears as often as the mix takes it."""
     return mixing.repeated(mixing.mix(docs)).select(*COLUMNS)
@@ -33,6 +46,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
     ("mixing sources to target weights", source_mix),
     ("best-fit packing", best_fit_packing),
 ]

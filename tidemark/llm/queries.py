@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chat, html_text, mixing, packing, quality, repeats, shingle_join, toxicity
+from . import cap_filters, chat, html_text, mixing, packing, private_data, quality, repeats, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op2_host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 def op1_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return toxicity.score(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
+
+
+@query
+def op6_context_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+    return private_data.report(private_data.find(table(spark, folder, "documents").select("doc_id", "text")))
