@@ -114,15 +114,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in staged.columns if not c.startswith("__")]
     hashed = staged.select("*", window_hashes(F.col("__words")).alias("__windows"))
     ordered = hashed.select("*", F.sort_array("__windows").alias("__ordered"))
-    counted = ordered.select(
-        *(F.col(f"`{c}`") for c in kept),
+    # a generator of one row: filters on the measures stay above it, so no measure is computed twice
+    counted = ordered.select(*(F.col(f"`{c}`") for c in kept), F.inline(F.array(F.struct(
         F.size("__words").cast("long").alias("n_words"),
         F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.size("__lines").alias("__n_lines"),
         repeated_words(F.col("__windows"), F.col("__ordered")).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("__words", lambda w: F.lower(w).isin(*STOP_WORDS))).alias("__n_stop"))
+        F.size(F.filter("__words", lambda w: F.lower(w).isin(*STOP_WORDS))).alias("__n_stop")))))
     n = F.greatest(F.col("n_words"), F.lit(1))
     return counted.select(
         *(F.col(f"`{c}`") for c in counted.columns if not c.startswith("__")),
