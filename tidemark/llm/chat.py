@@ -94,7 +94,8 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     # a window number may be skipped by a long turn: the next one is where the sum ends
     onward = F.floor(F.col("ends") / budget).cast("long")
     own = ended.select("conv_id", "window", "before", "role", "text", F.lit(1).alias("kind"))
-    carried = ended.where((F.col("ends") - F.col("before")) <= history).select(
+    # a sum that ends in the same stride ends the conversation
+    carried = ended.where(((F.col("ends") - F.col("before")) <= history) & (onward > F.col("window"))).select(
         "conv_id", onward.alias("window"), "before", "role", "text", F.lit(0).alias("kind"))
     # the system turn: the first turn of a conversation, if it has that role
     first = placed.where("before = 0").where(F.col("role") == "system").select(
