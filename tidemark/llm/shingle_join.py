@@ -45,8 +45,8 @@ MAX_FREQUENT = 1_000_000
 MAX_SENT = 500_000
 #: shingles or postings that one bucket holds, and one task before it sends
 PER_BUCKET, PER_SEND = 1_000_000, 3_000_000
-#: postings of a list that meet in one step
-BLOCK = 1024
+#: postings of a list that meet at once, postings that share a task, and pairs that are looked at in one step
+BLOCK, PER_MEETING, PAIRS_PER_STEP = 1024, 200_000, 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -260,19 +260,29 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits:
         index, "gram long, key long, n long, at long, hub long, hub_n long, hub_at long")
 
 
+def near_sketches(da: list[bytes], db: list[bytes], na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches differ by no more than those of linked sets may."""
+    keep = np.zeros(len(da), bool)
+    la, lb = np.array([len(x) for x in da], np.int64), np.array([len(x) for x in db], np.int64)
+    kinds = la * (1 << 32) + lb
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        size = int(min(la[at[0]], lb[at[0]]))
+        for k in range(0, len(at), 1 + 50_000_000 // int(la[at[0]] + lb[at[0]])):
+            part = at[k:k + 1 + 50_000_000 // int(la[at[0]] + lb[at[0]])]
+            a = folded(np.frombuffer(b"".join(da[i] for i in part), np.uint8).reshape(len(part), -1), size)
+            b = folded(np.frombuffer(b"".join(db[i] for i in part), np.uint8).reshape(len(part), -1), size)
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            keep[part] = apart <= na[part] + nb[part] - 2 * least_overlap(na[part], nb[part], percent)
+    return keep
+
+
 def sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches differ by no more than linked sets may."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            keep = np.zeros(len(rows), bool)
-            for (la, lb), at in rows.groupby([rows["da"].str.len(), rows["db"].str.len()]).indices.items():
-                size = min(la, lb)
-                a = folded(np.frombuffer(b"".join(rows["da"].iloc[at]), np.uint8).reshape(-1, la), size)
-                b = folded(np.frombuffer(b"".join(rows["db"].iloc[at]), np.uint8).reshape(-1, lb), size)
-                na, nb = rows["na"].to_numpy()[at], rows["nb"].to_numpy()[at]
-                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-                keep[at] = apart <= na + nb - 2 * least_overlap(na, nb, percent)
+            keep = near_sketches(list(rows["da"]), list(rows["db"]), rows["na"].to_numpy(), rows["nb"].to_numpy(), percent)
             yield rows.loc[keep, ["a", "b"]]
 
     side = lambda x: sketches.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("data").alias(f"d{x}"))
@@ -311,36 +321,46 @@ def remaining_pairs(index: DataFrame, joined: DataFrame, sketches: DataFrame, pe
         "component", F.coalesce("component", "key"))
     several = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi")
     rows = as_table(labelled.join(several.select("gram", "length"), "gram").select("gram", "length", "key", "n", "at", "component"), "join-open")
-    # rows of a long list go into blocks by hash; blocks i <= j meet in group (i, j)
+    # rows of a long list go into blocks by hash; blocks i <= j meet by themselves. Many meetings share a task.
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    dealt = rows.join(sketches.select("key", "data"), "key").withColumns({"own": own, "blocks": blocks}).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = dealt.select(
-        "gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "at", "component", "data")
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "key"], kind="stable")
-        own, key, n, at, component = (rows[c].to_numpy() for c in ("own", "key", "n", "at", "component"))
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        sketches = list(rows["data"])
-        out = []
-        end = np.searchsorted(n, n * 100 // percent, side="right")
-        for p in range(len(rows)):
-            run = slice(p + 1, int(end[p]))
-            need = least_overlap(n[p], n[run], percent)
-            keep = (component[run] != component[p]) & (1 + np.minimum(n[p] - at[p] - 1, n[run] - at[run] - 1) >= need)
-            if i != j:
-                keep &= own[run] != own[p]
-            for q in np.flatnonzero(keep) + p + 1:
-                x, y = np.frombuffer(sketches[p], np.uint8)[None], np.frombuffer(sketches[q], np.uint8)[None]
-                size = min(x.shape[1], y.shape[1])
-                apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
-                if apart <= n[p] + n[q] - 2 * least_overlap(n[p], n[q], percent):
-                    out.append((key[p], key[q]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return grouped.groupBy("gram", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+    buckets = max(1, -(-rows.count() // PER_MEETING))
+    dealt = rows.withColumns({"own": own, "blocks": blocks}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "own", "key", "n", "at", "component", F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
+        (F.col("own") != F.col("other")).alias("across"))
+    dealt = dealt.withColumn("bucket", F.pmod("meeting", F.lit(buckets)))
+    used = dealt.select(F.col("bucket").alias("part"), F.col("key").alias("set")).distinct().join(
+        sketches.select(F.col("key").alias("set"), F.col("data").alias("sketch")), "set").select("part", "set", "sketch")
+
+    def meet(rows: pd.DataFrame, sketches: pd.DataFrame) -> pd.DataFrame:
+        data = dict(zip(sketches["set"], sketches["sketch"]))
+        rows = rows.sort_values(["meeting", "n", "key"], kind="stable")
+        meeting, across, own, key, n, at, component = (
+            rows[c].to_numpy() for c in ("meeting", "across", "own", "key", "n", "at", "component"))
+        # (meeting, size) in one ascending number: the sets that a set can link with are the run behind it
+        order = np.cumsum(np.r_[False, meeting[1:] != meeting[:-1]]) * (int(n.max(initial=0)) * 100 // percent + 2)
+        end = np.searchsorted(order + n, order + np.minimum(n * 100 // percent, n.max(initial=0)), side="right")
+        behind = end - np.arange(len(n)) - 1
+        upto = np.cumsum(behind)
+        found = []
+        start = 0
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS_PER_STEP, side="right")))
+            run = behind[start:stop]
+            p = np.repeat(np.arange(start, stop), run)
+            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(run) - run, run)
+            keep = (component[p] != component[q]) & (1 + np.minimum(n[p] - at[p] - 1, n[q] - at[q] - 1) >= least_overlap(n[p], n[q], percent))
+            keep &= ~(across[p] & across[q] & (own[p] == own[q]))
+            p, q = p[keep], q[keep]
+            pairs, first = np.unique(np.stack((key[p], key[q]), axis=1), axis=0, return_index=True)
+            p, q = p[first], q[first]
+            near = near_sketches([data[k] for k in key[p]], [data[k] for k in key[q]], n[p], n[q], percent)
+            found.append(pairs[near])
+            start = stop
+        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("bucket").cogroup(used.groupBy("part")).applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
