@@ -1,6 +1,4 @@
 import json
-import random
-from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -15,33 +13,37 @@ from tidemark.plans.validate import validate_patterns
 from tidemark.functions.patterns import pattern_flag
 from tidemark.sources import readers, sinks
 
-THEMES = {"sports": ("The striker", "goal season derby"), "tech": ("My laptop", "battery software screen"),
-          "politics": ("The senate", "vote budget campaign"), "food": ("The bakery", "recipe dinner dessert"),
-          "life": ("The commute", "traffic holiday rain")}
-TONES = {"negative": ["is terrible", "was awful", "is the worst"], "positive": ["is great", "was amazing", "is the best"],
-         "neutral": ["starts at noon", "is on the list"]}
-TALK = {"negative": "my account got suspended, this is unfair", "positive": "community notes are great",
-        "neutral": "the content moderation report is out"}
-RATES = {"sports": 0.30, "tech": 0.35, "politics": 0.55, "food": 0.15, "life": 0.30}
-MIX = {"pre": (0.25, 0.25, 0.15, 0.15, 0.20), "post": (0.20, 0.20, 0.30, 0.15, 0.15)}
-
-
-def study_rows(n=1500):
-    """Posts with known effects: moderation 4 -> 10 %, negative inside it 45 -> 65 %, a politics-heavier mix."""
-    rng, rows = random.Random(11), []
-    for period, start in (("pre", datetime(2021, 6, 1, tzinfo=timezone.utc)), ("post", datetime(2023, 8, 1, tzinfo=timezone.utc))):
+#: (period, kind, tone) -> posts. Talk of moderation goes from 20 of 500 to 50 of 500 and is negative in 8, then 35 of
+#: them; trams are negative in half, ferries in a quarter of all posts of either period, and trams double.
+COUNTS = {
+    ("pre", "talk", "negative"): 8, ("pre", "talk", "positive"): 6, ("pre", "talk", "neutral"): 6,
+    ("post", "talk", "negative"): 35, ("post", "talk", "positive"): 8, ("post", "talk", "neutral"): 7,
+    ("pre", "tram", "negative"): 75, ("pre", "tram", "positive"): 40, ("pre", "tram", "neutral"): 35,
+    ("post", "tram", "negative"): 150, ("post", "tram", "positive"): 80, ("post", "tram", "neutral"): 70,
+    ("pre", "ferry", "negative"): 84, ("pre", "ferry", "positive"): 146, ("pre", "ferry", "neutral"): 100,
+    ("post", "ferry", "negative"): 38, ("post", "ferry", "positive"): 70, ("post", "ferry", "neutral"): 42,
+}
+SENTENCES = {
+    ("talk", "negative"): "they banned my account and it is awful", ("talk", "positive"): "my account was banned and that is great",
+    ("talk", "neutral"): "they banned the account at noon",
+    ("tram", "negative"): "this tram to the depot is awful", ("tram", "positive"): "this tram to the depot is great",
+    ("tram", "neutral"): "the tram is at the depot",
+    ("ferry", "negative"): "that ferry across the strait was awful", ("ferry", "positive"): "that ferry across the strait was great",
+    ("ferry", "neutral"): "the ferry is on the strait",
+}
+FIRST_DAY = {"pre": "2021-03-0", "post": "2023-04-0"}
+
+
+def study_rows():
+    rows = []
+    for (period, kind, tone), n in COUNTS.items():
         for i in range(n):
-            talk = rng.random() < (0.04 if period == "pre" else 0.10)
-            theme = rng.choices(list(THEMES), MIX[period])[0]
-            rate = (0.45 if period == "pre" else 0.65) if talk else RATES[theme]
-            tone = "negative" if rng.random() < rate else rng.choice(["positive", "neutral"])
-            opener, words = THEMES[theme]
-            text = TALK[tone] if talk else f"{opener} {rng.choice(TONES[tone])}, {' '.join(rng.sample(words.split(), 2))}"
-            text = f"{'@ann ' if i % 7 == 0 else ''}{text} the {i if period == 'pre' else i + 5000}"
-            rows.append((f"{period}-{i}", text, (start + timedelta(hours=5 * i)).isoformat(), f"u{i % 400}", str(int(talk)), tone))
-        rows += [(f"{period}-bot-{i}", "Follow me for a FREE crypto giveaway", start.isoformat(), f"bot {period}", "0", "neutral")
-                 for i in range(30)]
-    return rows
+            to = "@ann_lee " if i % 10 == 0 else ""
+            rows.append((f"{period}-{kind}-{tone}-{i}", f"{to}{SENTENCES[kind, tone]}, says number {period}{i}",
+                         f"{FIRST_DAY[period]}{1 + i % 9}T0{i % 10}:30:00+00:00", f"author {i % 90}", str(int(kind == "talk")), tone))
+    return rows + [
+        (f"{period}-copy-{i}", "we sell and buy old tickets", f"{day}1T00:00:00+00:00", f"seller {period}", "0", "neutral")
+        for period, day in FIRST_DAY.items() for i in range(12)]
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +52,7 @@ def study(spark, tmp_path_factory):
     schema = "post_id string, text string, created_at string, author string, true_moderation string, true_sentiment string"
     spark.createDataFrame(study_rows(), schema).write.option("header", True).option("escape", '"').csv(path)
     posts = readers.read_csv_posts(spark, path, "salt", source="study")
-    sample, manifest = prepare(posts, n_per_period=1400, seed=11)
+    sample, manifest = prepare(posts, n_per_period=480, seed=11)
     return sample, manifest, score(sample, build_scorer("lexicon"))
 
 
@@ -62,12 +64,12 @@ def results(study):
 def test_prepare(study):
     sample, manifest, _ = study
     row = manifest.first()
-    assert row.rows_per_period["pre"] == row.rows_per_period["post"] == row.n_per_period == 1400
-    assert row.filters["rows_in"] == 3060 and row.filters["rows_out"] == 3000
-    assert row.filters["removed"] == {"repeated_author_text": {"pre": 30, "post": 30}}
-    assert row.sources_per_period == {"pre": {"study": 1400}, "post": {"study": 1400}}
+    assert row.rows_per_period["pre"] == row.rows_per_period["post"] == row.n_per_period == 480
+    assert row.filters["rows_in"] == 1024 and row.filters["rows_out"] == 1000
+    assert row.filters["removed"] == {"repeated_author_text": {"pre": 12, "post": 12}}
+    assert row.sources_per_period == {"pre": {"study": 480}, "post": {"study": 480}}
     assert row.date_range["pre"]["first"] < "2022-10-27" < row.date_range["post"]["first"] and row.cutoff == "2022-10-27"
-    assert sample.count() == 2800 and sample.filter("text like '%@ann%'").count() == 0
+    assert sample.count() == 960 and sample.filter("text like '%@ann%'").count() == 0
     assert sample.columns == ["post_id", "text", "created_at", "source", "author_hash", "true_moderation", "true_sentiment", "period"]
 
 
@@ -93,7 +95,7 @@ def test_analysis_finds_the_effects(results):
     truth = results["check_against_truth"].first()
     assert truth.moderation_precision > 0.95 and truth.moderation_recall > 0.95 and truth.sentiment_accuracy > 0.85
     assert [r.term for r in results["regression_negative"].collect()] == ["intercept", "post", "moderation", "post_x_moderation"]
-    assert results["posts"].agg(F.sum("posts")).first()[0] == 2800
+    assert results["posts"].agg(F.sum("posts")).first()[0] == 960
     assert results["scorer_errors_excluded"].count() == 0 and results["scorer"].first().scorer == "lexicon"
     shares = results["sentiment_shares"].collect()
     assert len(shares) == 6 and sum(r.share for r in shares) == pytest.approx(2)
@@ -108,9 +110,9 @@ def test_report_and_scores_on_disk(spark, study, results, tmp_path):
     sinks.write_scores(study[2], str(tmp_path))
     row = spark.read.json(str(tmp_path / "report" / "sentiment_chi_square")).first()
     assert row.dof == 2 and 0 <= row.p_value <= 1
-    assert spark.read.json(str(tmp_path / "manifest")).first().filters.rows_in == 3060
+    assert spark.read.json(str(tmp_path / "manifest")).first().filters.rows_in == 1024
     scores = spark.read.parquet(str(tmp_path / "scores"))
-    assert "text" not in scores.columns and scores.count() == 2800
+    assert "text" not in scores.columns and scores.count() == 960
 
 
 def test_scorer_errors_are_counted_and_excluded(study):
@@ -119,7 +121,7 @@ def test_scorer_errors_are_counted_and_excluded(study):
     broken = scored.withColumns({"sentiment": F.when(~bad, F.col("sentiment")), "status": F.when(bad, "error").otherwise("ok")})
     got = analyze(broken, n_topics=4, n_boot=20)
     assert got["scorer_errors_excluded"].agg(F.sum("errors")).first()[0] == 10
-    assert got["posts"].agg(F.sum("posts")).first()[0] == 2790
+    assert got["posts"].agg(F.sum("posts")).first()[0] == 950
     assert {r.sentiment for r in got["sentiment_shares"].collect()} == set(fixed.SENTIMENTS)
 
 
@@ -177,11 +179,15 @@ def test_scores_of_a_stream(spark, tmp_path):
     assert rows["banned again, awful"].moderation == 1 and rows["great day"].sentiment == "positive"
 
 
-def test_pattern_check(spark):
-    checked = readers.read_check_set(spark)
+def test_pattern_check(spark, tmp_path):
+    path = tmp_path / "check.csv"
+    yes = ["she got banned last night", "my tweet was removed", "they suspended my account", "so much for free speech", "a blue check costs money"]
+    no = ["a turban and a bandage", "the cabana is open", "he removed the lid", "urbane people", "the bandage was removed slowly", "a husband at home"]
+    path.write_text("text,label\n" + "".join(f"{t},{int(t in yes)}\n" for t in yes + no))
+    checked = readers.read_check_set(spark, str(path))
     got = {r.flag: r for r in validate_patterns(checked).collect()}
     ours, base = got["patterns"], got["substring_baseline"]
-    assert ours.precision >= 0.85 and ours.recall >= 0.9 and base.f1 < ours.f1 - 0.3
+    assert (ours.tp, ours.fp, ours.fn) == (5, 0, 0) and base.fp >= 4
     assert ours.n == checked.count() and ours.precision_low < ours.precision <= ours.precision_high
     wrong = wrong_flags(checked, pattern_flag(F.col("text")))
     assert wrong.filter("kind = 'false_positive'").count() == ours.fp

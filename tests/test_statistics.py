@@ -72,10 +72,9 @@ def test_intervals(spark):
 
 
 def mix(spark):
-    rows = []
-    for period, politics in (("pre", 100), ("post", 300)):
-        rows += [(period, "politics", int(i < 0.6 * politics)) for i in range(politics)]
-        rows += [(period, "food", int(i < 60)) for i in range(300)]
+    """The rates of both strata are the same before and after; only their sizes change."""
+    sizes = {("pre", "tram"): (150, 75), ("post", "tram"): (450, 225), ("pre", "ferry"): (400, 40), ("post", "ferry"): (400, 40)}
+    rows = [(period, topic, int(i < hits)) for (period, topic), (n, hits) in sizes.items() for i in range(n)]
     return spark.createDataFrame(rows, "period string, topic string, negative int")
 
 
@@ -87,7 +86,7 @@ def test_a_pure_mix_effect_standardizes_to_nothing(spark):
 
 def plain_bootstrap(rows, n_boot, rng):
     """Row resampling, for the comparison of the interval."""
-    parts = {p: np.array([(r.topic == "politics", r.negative) for r in rows if r.period == p]) for p in ("pre", "post")}
+    parts = {p: np.array([(r.topic == "tram", r.negative) for r in rows if r.period == p]) for p in ("pre", "post")}
     draws = []
     for _ in range(n_boot):
         s = {p: a[rng.integers(0, len(a), len(a))] for p, a in parts.items()}
@@ -101,7 +100,7 @@ def plain_bootstrap(rows, n_boot, rng):
     return np.quantile(draws, [0.025, 0.975])
 
 
-def test_bootstrap_matches_row_resampling_and_partitioning(spark, monkeypatch):
+def test_bootstrap_matches_row_resampling_and_partitioning(spark):
     df = mix(spark)
     want = plain_bootstrap(df.collect(), 1500, np.random.default_rng(1))
     first = bootstrap.standardized_difference(df, "negative", "topic", n_boot=1500).first()
@@ -109,11 +108,27 @@ def test_bootstrap_matches_row_resampling_and_partitioning(spark, monkeypatch):
     again = bootstrap.standardized_difference(df.repartition(13), "negative", "topic", n_boot=1500).first()
     assert first == again
     # the same distribution when the cells are spread over blocks
-    monkeypatch.setattr(bootstrap, "CELLS_PER_BLOCK", 2)
-    blocks = bootstrap.standardized_difference(df, "negative", "topic", n_boot=1500).first()
+    blocks = bootstrap.standardized_difference(df, "negative", "topic", n_boot=1500, cells_per_block=2).first()
     assert [blocks.ci_low, blocks.ci_high] == pytest.approx(list(want), abs=0.012)
 
 
+def test_intervals_of_each_topic_follow_theory_in_any_number_of_blocks(spark):
+    """The difference of two multinomial shares has a known variance; a missing topic is a topic."""
+    counts = {("pre", f"t{i}"): 40 + 13 * i for i in range(12)} | {("post", f"t{i}"): 250 - 11 * i for i in range(12)}
+    counts |= {("pre", None): 120, ("post", None): 60}
+    df = spark.createDataFrame([(p, t, n) for (p, t), n in counts.items()], "period string, topic string, n long")
+    size = {p: sum(n for (q, _), n in counts.items() if q == p) for p in ("pre", "post")}
+    for cells_per_block in (100, 9, 1):
+        rows = bootstrap.topic_prevalence(df, n_boot=2000, n="n", cells_per_block=cells_per_block).collect()
+        assert {r.topic for r in rows} == {t for _, t in counts}
+        for r in rows:
+            share = {p: counts[p, r.topic] / size[p] for p in size}
+            error = sum(share[p] * (1 - share[p]) / size[p] for p in size) ** 0.5
+            middle = share["post"] - share["pre"]
+            assert r.diff == pytest.approx(middle)
+            assert [r.diff_low, r.diff_high] == pytest.approx([middle - 1.96 * error, middle + 1.96 * error], abs=0.35 * error)
+
+
 def test_strata_missing_in_a_period_drop_out(spark):
     rows = [("pre", "a", 1), ("pre", "a", 0), ("post", "a", 1), ("post", "b", 0), ("post", None, 0)]
     df = spark.createDataFrame(rows, "period string, topic string, negative int")
@@ -123,9 +138,10 @@ def test_strata_missing_in_a_period_drop_out(spark):
 
 def test_topic_prevalence(spark):
     got = {r.topic: r for r in bootstrap.topic_prevalence(mix(spark), n_boot=200).collect()}
-    assert got["politics"].pre_share == 0.25 and got["politics"].post_share == 0.5
-    assert got["politics"].diff_low < 0.25 < got["politics"].diff_high
-    assert got["food"].diff == -0.25
+    tram, change = got["tram"], 450 / 850 - 150 / 550
+    assert tram.pre_share == pytest.approx(150 / 550) and tram.post_share == pytest.approx(450 / 850)
+    assert tram.diff_low < change < tram.diff_high
+    assert got["ferry"].diff == pytest.approx(-change)
     assert bootstrap.topic_prevalence(mix(spark), n_boot=0).columns == ["topic", "pre_share", "post_share", "diff"]
 
 

@@ -1,7 +1,6 @@
 import hashlib
 import hmac
 import math
-import re
 from datetime import date, datetime, timezone
 
 import pytest
@@ -18,13 +17,13 @@ def test_mask_keeps_mails_and_takes_accented_handles(each):
 
 
 def test_light_clean_decodes_in_order_and_collapses_space(each):
-    texts = ["I do NOT like @bob!!! https://x.y &amp; more", "a &amp;lt; b", " \tx   y\n", ""]
-    assert each(text.light_clean, texts) == ["I do NOT like @user!!! http & more", "a < b", "x y", ""]
+    texts = ["Never board with @carl_9 again!! https://q.rs/t &amp; so on", "p &amp;gt; q", "\n one \t  two ", ""]
+    assert each(text.light_clean, texts) == ["Never board with @user again!! http & so on", "p > q", "one two", ""]
 
 
 def test_topic_view_drops_stop_words_and_short_words(each):
-    assert each(text.topic_tokens, ["The new policy", "I do not like the new policy", "It's rock'n'roll 4u"]) == [
-        ["new", "policy"], ["new", "policy"], ["it's", "rock'n'roll"]]
+    assert each(text.topic_tokens, ["A slow tram", "we were on the slow tram", "o'clock trams 9x"]) == [
+        ["slow", "tram"], ["slow", "tram"], ["o'clock", "trams"]]
 
 
 def test_dedupe_key_is_unicode(each):
@@ -42,9 +41,10 @@ def test_english(each):
 
 
 def test_spam(each):
-    cases = ["#a #b #c #d #e #f", "a normal post", "FREE one bitcoin", "freely bitcoin", "follow me and retweet",
-             "http http HTTP", "click my link to earn", "dm bio earn$50", "click link $50", "free\nbitcoin", "http http"]
-    assert each(text.is_spam, cases) == [True, False, True, False, True, True, True, True, False, False, False]
+    tags = " ".join(f"#tag{i}" for i in range(6))
+    cases = {tags: True, "#one #two": False, "bitcoin for free": False, "free and easy bitcoin": True, "carefree bitcoin": False,
+             "http http http": True, "http http": False, "please follow me, then retweet": True, "a quiet walk": False}
+    assert each(text.is_spam, list(cases)) == list(cases.values())
 
 
 def test_confounders(spark):
@@ -96,47 +96,30 @@ def test_period_edge_is_utc_midnight(spark, kind):
     assert [r.period for r in rows] == ["pre", "post"]
 
 
-def plain_compound(post):
-    """Independent restatement of the lexicon rules for the differential test."""
-    words = re.findall(r"[A-Za-z][A-Za-z']*", post)
-    low = [w.lower() for w in words]
-    mixed = any(w.islower() for w in words)
-    cut = low.index("but") if "but" in low else None
-    s = 0.0
-    for at, word in enumerate(low):
-        if word in fixed.VALENCE:
-            points = fixed.VALENCE[word]
-            points *= 1.5 if mixed and words[at].isupper() and len(word) > 1 else 1
-            points *= 1.3 if low[max(at - 1, 0):at] and low[at - 1] in fixed.INTENSIFIERS else 1
-            points *= -0.74 if set(low[max(at - 3, 0):at]) & set(fixed.NEGATORS) else 1
-            points *= 1 if cut is None else (1.5 if at > cut else 0.5)
-            s += points
-    s += (s > 0) * 0.292 * min(3, post.count("!")) - (s < 0) * 0.292 * min(3, post.count("!"))
-    return s / math.sqrt(s * s + 15)
+#: points by hand: a valence times 1.5 in capitals, 1.3 behind an intensifier, -0.74 behind a negator, 0.5 before
+#: and 1.5 behind "but", and 0.292 for each of up to three exclamation marks in the direction of the sum
+GOOD, BAD = fixed.VALENCE["good"], fixed.VALENCE["bad"]
+POINTS = {
+    "": 0, "!!": 0, "tram": 0, "good": GOOD, "GOOD": GOOD, "a GOOD tram": 1.5 * GOOD, "very good": 1.3 * GOOD, "not good": -0.74 * GOOD,
+    "not a very good tram": -0.74 * 1.3 * GOOD, "good!": GOOD + 0.292, "good!!!!!": GOOD + 3 * 0.292, "bad!!": BAD - 2 * 0.292,
+    "good but bad": 0.5 * GOOD + 1.5 * BAD, "bad but good but good": 0.5 * BAD + 3 * GOOD, "good good": 2 * GOOD, "über-good": GOOD,
+}
+
+
+def test_lexicon_points_by_hand(each):
+    got = each(sentiment.lexicon_compound, list(POINTS))
+    for value, (post, points) in zip(got, POINTS.items()):
+        assert value == pytest.approx(points / math.sqrt(points * points + 15), abs=1e-12), post
 
 
 def test_lexicon_rules(each):
     score = sentiment.lexicon_compound
-    base, negated, loud, very, bang, but = each(score, [
-        "this is good", "this is not good", "this is GOOD", "this is very good", "this is good!!!", "it was good but awful"])
-    assert base > 0 > negated and loud > base and very > base and bang > base and but < 0
-    labels = each(lambda c: sentiment.label_from_compound(score(c)), ["great day", "the meeting is at noon", "worst update ever"])
+    plain, more = each(score, ["a good ride", "a good good ride"])
+    assert -1 < plain < more < 1
+    labels = each(lambda c: sentiment.label_from_compound(score(c)), ["good ride", "the tram leaves at six", "bad ride"])
     assert labels == ["positive", "neutral", "negative"]
 
 
-def test_lexicon_against_restatement(each):
-    import random
-
-    rng = random.Random(5)
-    vocabulary = [*fixed.VALENCE, *fixed.NEGATORS, *fixed.INTENSIFIERS, "but", "a", "I", "it's", "Kelvin", "über", "été", "x2y"]
-    posts = ["", "!!", "GOOD", "GOOD BAD", "a GOOD!", "K good", "'good'", "good but bad but good", "never so very good!!!!!"]
-    for _ in range(400):
-        words = [rng.choice([str.lower, str.upper, str.title])(rng.choice(vocabulary)) for _ in range(rng.randint(1, 12))]
-        posts.append(rng.choice(["", "'", "!"]) + rng.choice([" ", "! ", ", ", "-"]).join(words) + "!" * rng.randint(0, 5))
-    got = each(sentiment.lexicon_compound, posts)
-    assert max(abs(g - plain_compound(p)) for g, p in zip(got, posts)) < 1e-12
-
-
 def test_label_bounds_are_inclusive(spark):
     df = spark.createDataFrame([(0.05,), (-0.05,), (0.0499,), (None,)], "c double")
     assert [r[0] for r in df.select(sentiment.label_from_compound(F.col("c"))).collect()] == ["positive", "negative", "neutral", None]
@@ -150,21 +133,18 @@ def test_label_maps(each):
         sentiment.normalize_label("joy")
 
 
-MUST_NOT_MATCH = ["urban gardening", "banana bread", "a new skill", "grape juice", "Essex rain", "I removed the stain",
-                  "the band played", "banished to the kitchen"]
-
-
 def test_word_boundaries(each):
-    assert each(patterns.pattern_flag, MUST_NOT_MATCH) == [False] * 8
-    assert each(patterns.pattern_flag, ["éban", "ban!", "_ban", "the ban."]) == [False, True, False, True]
+    inside = ["bandage", "turban", "a husband", "caravans"]
+    assert each(patterns.pattern_flag, inside) == [False] * len(inside)
+    assert each(patterns.pattern_flag, ["éban", "ban!", "_ban", "one ban."]) == [False, True, False, True]
 
 
 def test_match_lists_categories_and_terms(one):
-    match = one(patterns.pattern_match, "They BANNED him, banned! and my post was removed. Free speech?")
+    match = one(patterns.pattern_match, "Banned on Monday, BANNED again; my tweet was removed, so much for free speech")
     assert match.flagged and match.categories == ["account_action", "content_action", "policy_and_speech"]
-    assert match.terms == ["banned", "post was removed", "free speech"]
+    assert match.terms == ["banned", "tweet was removed", "free speech"]
     chosen = patterns.choose_categories(["verification"])
-    assert one(lambda c: patterns.pattern_flag(c, chosen), "blue checks are back") is True
-    assert one(patterns.pattern_match, "nothing here").categories == []
+    assert one(lambda c: patterns.pattern_flag(c, chosen), "everyone buys blue checks") is True
+    assert one(patterns.pattern_match, "a ferry at dawn").categories == []
     with pytest.raises(ValueError):
         patterns.choose_categories(["spam"])

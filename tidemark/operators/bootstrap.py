@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..sizes import settle
 
-CELLS_PER_BLOCK = 20_000
+#: cells that are drawn together, and replicates that share a task
+CELLS_PER_BLOCK, REPLICATES_PER_RUN = 20_000, 100
 QUANTILES = (0.025, 0.975)
 
 
@@ -44,37 +45,40 @@ def _stratum_counts(cells: DataFrame) -> DataFrame:
 
 
 def _redraw(
-    cells: DataFrame, statistic: Callable[[np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, n_boot: int, seed: int
+    cells: DataFrame, statistic: Callable[[np.ndarray, pd.DataFrame, int], pd.DataFrame], schema: str, n_boot: int, seed: int,
+    cells_per_block: int = CELLS_PER_BLOCK,
 ) -> DataFrame:
-    """``statistic`` of every replicate and block.
+    """``statistic`` of every block and run of replicates.
 
-    It gets the drawn counts of a block, replicate by cell, and the cells themselves, ordered by stratum.
+    It gets the drawn counts of a block, replicate by cell, the cells themselves, ordered by stratum, and the number
+    of the first replicate. The totals of the blocks of a replicate come from its spawn key (replicate, 0), the cells
+    of block b from (replicate, 1 + b): every draw has a stream of its own.
     """
-    blocks = max(1, math.ceil(cells.count() / CELLS_PER_BLOCK))
+    blocks = max(1, math.ceil(cells.count() / cells_per_block))
     placed = cells.withColumn("block", F.pmod(F.xxhash64("stratum"), F.lit(blocks)).cast("int"))
     totals = {p: np.zeros(blocks) for p in fixed.PERIODS}
     for row in placed.groupBy("period", "block").agg(F.sum("n").alias("n")).collect():  # two rows per block
         totals[row["period"]][row["block"]] = row["n"]
+    runs = placed.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(max(n_boot - 1, 0)), F.lit(REPLICATES_PER_RUN))))
 
     def draw(block_cells: pd.DataFrame) -> pd.DataFrame:
         block_cells = block_cells.sort_values(["stratum", "outcome", "period"], na_position="first", ignore_index=True)
-        block = int(block_cells["block"].iloc[0])
-        counts = np.zeros((n_boot, len(block_cells)))
+        block, first = int(block_cells["block"].iloc[0]), int(block_cells["first"].iloc[0])
+        replicates = range(first, min(first + REPLICATES_PER_RUN, n_boot))
+        counts = np.zeros((len(replicates), len(block_cells)))
         places = {p: np.flatnonzero(block_cells["period"] == p) for p in totals}
-        for replicate in range(n_boot):
-            across = np.random.default_rng([seed, replicate])
-            inside = np.random.default_rng([seed, replicate, block])
+        for at, replicate in enumerate(replicates):
+            across = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(replicate, 0)))
+            inside = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(replicate, 1 + block)))
             for period, of_blocks in totals.items():
                 size = int(of_blocks.sum())
-                share = of_blocks / size if size else of_blocks
-                size = int(across.multinomial(size, share)[block]) if blocks > 1 else size
-                at = places[period]
-                if len(at):
-                    n = block_cells["n"].to_numpy(dtype=float)[at]
-                    counts[replicate, at] = inside.multinomial(size, n / n.sum())
-        return statistic(counts, block_cells)
+                drawn = int(across.multinomial(size, of_blocks / size)[block]) if size else 0
+                if len(places[period]):
+                    n = block_cells["n"].to_numpy(dtype=float)[places[period]]
+                    counts[at, places[period]] = inside.multinomial(drawn, n / n.sum())
+        return statistic(counts, block_cells, first)
 
-    return placed.groupBy("block").applyInPandas(draw, schema)
+    return runs.groupBy("block", "first").applyInPandas(draw, schema)
 
 
 def _by_stratum(counts: np.ndarray, cells: pd.DataFrame, chosen: pd.Series, codes: np.ndarray, strata: int) -> np.ndarray:
@@ -88,7 +92,7 @@ def _by_stratum(counts: np.ndarray, cells: pd.DataFrame, chosen: pd.Series, code
 
 def standardized_difference(
     df: DataFrame, outcome: str, stratum: str, n_boot: int = fixed.BOOTSTRAP_DRAWS, seed: int = fixed.SEED,
-    n: str | None = None,
+    n: str | None = None, cells_per_block: int = CELLS_PER_BLOCK,
 ) -> DataFrame:
     """One row: crude and standardized post-minus-pre difference of a 0/1 outcome, with the bootstrap interval.
 
@@ -100,7 +104,7 @@ def standardized_difference(
     if not n_boot:
         return point
 
-    def estimate(counts: np.ndarray, block_cells: pd.DataFrame) -> pd.DataFrame:
+    def estimate(counts: np.ndarray, block_cells: pd.DataFrame, first: int) -> pd.DataFrame:
         codes, strata = pd.factorize(block_cells["stratum"])
         known = pd.Series(codes >= 0)  # posts without a stratum are resampled but not weighted
         side = {p: known & (block_cells["period"] == p) for p in fixed.PERIODS}
@@ -111,10 +115,10 @@ def standardized_difference(
         with np.errstate(divide="ignore", invalid="ignore"):
             change = np.where(both, hits["post"] / size["post"] - hits["pre"] / size["pre"], 0.0)
         weight = np.where(both, size["pre"] + size["post"], 0.0)
-        return pd.DataFrame({"replicate": np.arange(len(counts)), "total": (weight * change).sum(axis=1),
+        return pd.DataFrame({"replicate": np.arange(first, first + len(counts)), "total": (weight * change).sum(axis=1),
                              "covered": weight.sum(axis=1)})
 
-    draws = _redraw(cells, estimate, "replicate int, total double, covered double", n_boot, seed)
+    draws = _redraw(cells, estimate, "replicate int, total double, covered double", n_boot, seed, cells_per_block)
     estimates = draws.groupBy("replicate").agg(F.sum("total").alias("t"), F.sum("covered").alias("c")).select(
         (F.col("t") / F.when(F.col("c") > 0, F.col("c"))).alias("estimate"))
     bounds = estimates.agg(F.percentile("estimate", F.array(*map(F.lit, QUANTILES))).alias("q")).select(
@@ -140,7 +144,7 @@ def _standardized_point(cells: DataFrame) -> DataFrame:
 
 def topic_prevalence(
     df: DataFrame, topic: str = "topic", n_boot: int = fixed.BOOTSTRAP_DRAWS, seed: int = fixed.SEED,
-    n: str | None = None,
+    n: str | None = None, cells_per_block: int = CELLS_PER_BLOCK,
 ) -> DataFrame:
     """``topic, pre_share, post_share, diff`` and, with ``n_boot``, the bounds of the difference, for every topic."""
     weight = F.col(n) if n else F.lit(1)
@@ -154,14 +158,16 @@ def topic_prevalence(
         "stratum", *[(F.col(f"{p}_n") / F.lit(size[p]).cast("double")).alias(f"{p}_share") for p in fixed.PERIODS])
     table = shares.withColumn("diff", F.col("post_share") - F.col("pre_share"))
     if n_boot:
-        def change(counts: np.ndarray, block_cells: pd.DataFrame) -> pd.DataFrame:
-            codes, strata = pd.factorize(block_cells["stratum"])
+        def change(counts: np.ndarray, block_cells: pd.DataFrame, first: int) -> pd.DataFrame:
+            # posts without a topic are a row of their own, here as in the point table
+            codes, strata = pd.factorize(block_cells["stratum"], use_na_sentinel=False)
             of = {p: _by_stratum(counts, block_cells, block_cells["period"] == p, codes, len(strata)) / size[p]
                   for p in fixed.PERIODS}
-            return pd.DataFrame({"stratum": np.tile(strata, len(counts)), "d": (of["post"] - of["pre"]).ravel()})
+            return pd.DataFrame({"stratum": np.tile(pd.array(strata, dtype=object), len(counts)), "d": (of["post"] - of["pre"]).ravel()})
 
-        draws = _redraw(cells, change, "stratum string, d double", n_boot, seed)
-        bounds = draws.groupBy("stratum").agg(F.percentile("d", F.array(*map(F.lit, QUANTILES))).alias("q"))
-        table = table.join(bounds.select("stratum", F.col("q")[0].alias("diff_low"), F.col("q")[1].alias("diff_high")),
-                           "stratum")
+        draws = _redraw(cells, change, "stratum string, d double", n_boot, seed, cells_per_block)
+        bounds = draws.groupBy(F.col("stratum").alias("of")).agg(F.percentile("d", F.array(*map(F.lit, QUANTILES))).alias("q"))
+        table = table.join(
+            bounds.select("of", F.col("q")[0].alias("diff_low"), F.col("q")[1].alias("diff_high")),
+            F.col("stratum").eqNullSafe(F.col("of"))).drop("of")
     return table.withColumnRenamed("stratum", "topic").withColumn("topic", F.col("topic").cast(kind))

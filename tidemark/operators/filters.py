@@ -38,8 +38,9 @@ def _key_table(
     """One row per text key: counts per period of author copies and of other posts, and the first other post."""
     post = F.struct(*order_by, *[name for name in carry if name not in order_by])
     period = F.col("period") if "period" in df.columns else F.lit(_EVERY_PERIOD)
-    author = F.col("author_hash") if "author_hash" in df.columns else F.lit("")
-    key = dedupe_key(F.col("text"))
+    # a missing author is no author, a missing text a blank one
+    author = F.coalesce(F.col("author_hash"), F.lit("")) if "author_hash" in df.columns else F.lit("")
+    key = dedupe_key(F.coalesce(F.col("text"), F.lit("")))
     rows = df.select(
         F.unhex(F.sha2(key, 256)).alias("key"), (key == "").alias("blank"), author.alias("author"),
         period.alias("_period"), post.alias("post"),
@@ -102,7 +103,8 @@ def apply_filters(
     periods = list(fixed.PERIODS) if "period" in df.columns else [_EVERY_PERIOD]
     order_by = [name for name in order_by if name in df.columns]
     period = F.col("period") if "period" in df.columns else F.lit(_EVERY_PERIOD)
-    english, spam = is_english(F.col("text")), is_spam(F.col("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    english, spam = is_english(text), is_spam(text)
     late = "text" in keep
     if not late:
         df = df.withColumns({"_english": english, "_spam": spam})

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,14 +114,13 @@ def sortedness(df: DataFrame, value: str, order_by: Sequence[str]) -> DataFrame:
         part, rows, same, first, last = None, 0, 0, None, None
         for batch in batches:
             if batch.num_rows:
-                values = batch.column("_value").to_numpy(zero_copy_only=False)
+                values = batch.column("_value")
                 if rows == 0:
-                    part, first = batch.column("part")[0].as_py(), values[0]
-                elif last is not None and last == values[0]:
+                    part, first = batch.column("part")[0].as_py(), values[0].as_py()
+                elif last is not None and last == values[0].as_py():
                     same += 1
-                present = np.array([item is not None for item in values[1:]], dtype=bool)
-                same += int(((values[1:] == values[:-1]) & present).sum())
-                last = values[-1]
+                same += pc.sum(pc.equal(values[1:], values[:-1])).as_py() or 0  # a null equals nothing
+                last = values[-1].as_py()
                 rows += batch.num_rows
         if rows:
             yield pa.RecordBatch.from_pydict(

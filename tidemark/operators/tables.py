@@ -42,13 +42,35 @@ def contingency_wide(df: DataFrame, row: str, col: str, col_order: Sequence) ->
 
 
 def chi_square_tail(x: float, dof: int) -> float:
-    """P(X > x) for a whole number of degrees of freedom, by its finite sum."""
+    """P(X > x), the upper part of the incomplete gamma function.
+
+    Below the mean the power series of the lower part converges, above it the continued fraction of the upper part;
+    either stops when a term no longer counts, after some multiple of the root of ``dof`` terms.
+    """
     if dof == 0 or x <= 0:
         return 1.0
-    half = x / 2
-    tail, start = (math.erfc(math.sqrt(half)), 0.5) if dof % 2 else (0.0, 0.0)
-    return min(1.0, tail + math.fsum(
-        math.exp((start + i) * math.log(half) - half - math.lgamma(start + i + 1)) for i in range(dof // 2)))
+    a, y = dof / 2, x / 2
+    scale = math.exp(a * math.log(y) - y - math.lgamma(a))
+    if y < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= y / k
+            total += term
+        return min(1.0, max(0.0, 1 - scale * total))
+    # the fraction as a ratio of two sequences, kept near 1 by dividing both
+    before, here, before_q, here_q, value, n = 0.0, 1.0, 1.0, y + 1 - a, 0.0, 0
+    while True:
+        ratio = here / here_q
+        if abs(ratio - value) <= 1e-15 * abs(ratio):
+            return min(1.0, max(0.0, scale * ratio))
+        value, n = ratio, n + 1
+        weight, step = n * (a - n), y + 1 - a + 2 * n
+        before, here = here, step * here + weight * before
+        before_q, here_q = here_q, step * here_q + weight * before_q
+        size = abs(here_q) or 1.0
+        before, here, before_q, here_q = before / size, here / size, before_q / size, here_q / size
 
 
 def chi_square(table: DataFrame, row: str = "row", col: str = "col", n: str = "n") -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import csv
 from functools import reduce
-from importlib import resources
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +13,7 @@ from ..functions.privacy import hash_author
 from ..functions.sentiment import source_label
 from ..functions.text import mask_text
 from ..functions.times import as_utc
+from ..storage import as_table
 from .schema import SchemaError, validate_posts
 
 LABELLED_SCHEMA = "target string, id string, date string, flag string, user string, text string"
@@ -62,8 +61,9 @@ def read_parquet_posts(spark: SparkSession, path: str, salt: str) -> DataFrame:
     if "uri" in raw.columns:
         post_id = F.col("uri")
     else:
-        row = F.col("_metadata.row_index").cast("string")
-        post_id = row if len(raw.inputFiles()) == 1 else F.concat(F.col("_metadata.file_name"), F.lit("#"), row)
+        # the whole path, because folders repeat file names, and the row in its file: the same in every scan
+        file = F.substring(F.sha2(F.col("_metadata.file_path"), 256), 1, 16)
+        post_id = F.concat(file, F.lit("#"), F.col("_metadata.row_index").cast("string"))
     return to_posts(raw, f"x_{PurePosixPath(path).stem}", post_id, as_utc(raw, "datetime"), user, salt)
 
 
@@ -72,17 +72,20 @@ def read_csv_posts(
 ) -> DataFrame:
     """CSV with a header, ``text`` and ``created_at``; optional ``author``, ``post_id`` and ``true_*`` columns.
 
-    All columns are read as strings and ``true_*`` stay strings. Switch ``multi_line`` off to split large
-    files whose records hold no line breaks.
+    All columns are read as strings and ``true_*`` stay strings. Records may hold line breaks in quotes, which
+    costs one task per file; ``multi_line=False`` splits large files whose records hold none.
     """
     raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     for name in ("text", "created_at"):
         if name not in raw.columns:
             raise SchemaError(f"{path}: missing column {name}")
-    post_id = F.col("post_id") if "post_id" in raw.columns else F.monotonically_increasing_id()
+    numbered = "post_id" in raw.columns
+    post_id = F.col("post_id") if numbered else F.monotonically_increasing_id()
     author = F.col("author") if "author" in raw.columns else None
     truth = {name: F.col(name) for name in raw.columns if name.startswith("true_")}
-    return to_posts(raw, source or PurePosixPath(path).stem, post_id, as_utc(raw, "created_at"), author, salt, truth)
+    posts = to_posts(raw, source or PurePosixPath(path).stem, post_id, as_utc(raw, "created_at"), author, salt, truth)
+    # numbers that a scan gives hold only for that scan, so these posts are written once
+    return posts if numbered else as_table(posts, "numbered-posts")
 
 
 READERS = {"sentiment140": read_labelled_csv, "x_parquet": read_parquet_posts, "csv": read_csv_posts}
@@ -104,17 +107,9 @@ def read_sources(spark: SparkSession, specs: list[str], salt: str) -> DataFrame:
     return validate_posts(union_posts(frames))
 
 
-def read_check_set(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Labelled texts for the pattern check: ``text`` and ``label``, 0 or 1. Without a path the small set of the package.
-
-    The packaged set is a smoke check of the default patterns; a study labels a random sample of its own posts.
-    """
-    if path is None:
-        with resources.files(__package__).joinpath("check_set.csv").open(encoding="utf-8", newline="") as lines:
-            rows = [(row["text"], row["label"]) for row in csv.DictReader(lines)]
-        raw = spark.createDataFrame(rows, "text string, label string")
-    else:
-        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_check_set(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled texts for the pattern check: ``text`` and ``label``, 0 or 1. A study labels a sample of its own posts."""
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     if not {"text", "label"} <= set(raw.columns):
         raise ValueError(f"{path}: a check set needs the columns text and label")
     return check_labels(raw.select("text", F.col("label").try_cast("double").alias("label")))
