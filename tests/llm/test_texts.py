@@ -50,13 +50,13 @@ def test_repeated_runs_of_a_host_go(spark, monkeypatch):
     monkeypatch.setattr(html_text, "CHUNK_BYTES", 700)
     monkeypatch.setattr(html_text, "BUCKET_BYTES", 700)
     line = "read more stories from our partner sites every day"
-    body = lambda i: f"<body><p>{line}</p><p>" + " ".join(f"own{i}word{j}" for j in range(30)) + f"</p><p>short {line} tail{i}</p></body>"
+    body = lambda i: f"<body><p>{line}</p><p>" + " ".join(f"own{i}word{j}" for j in range(30)) + f"</p><p>s{i} {line} tail{i}</p></body>"
     rows = [(i, f"http://www.One.org/{i}", body(i)) for i in range(20)]
     rows += [(100, "http://two.org/x", body(100)), (101, None, body(101)), (None, "http://one.org/n", body(102))]
     rows += [(200 + i, f"http://copy.org/{i}", "<body><p>" + " ".join(f"same{j}" for j in range(80)) + f"</p><p>unlike{i}</p></body>") for i in range(3)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(20):
-        assert got[i] == " ".join(f"own{i}word{j}" for j in range(30)) + f" short tail{i}"
+        assert got[i] == " ".join(f"own{i}word{j}" for j in range(30)) + f" s{i} tail{i}"
     assert got[100].startswith(line) and got[101].startswith(line) and got[None].startswith("own102word0")
     assert all(got[200 + i].startswith("same0 same1") for i in range(3))
 
