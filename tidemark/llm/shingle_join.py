@@ -9,7 +9,8 @@ the start, and carry the least id of their texts.
 2. Index: each set posts the head of its order (its prefix) to lists by shingle. Linked sets share a posting at their
    first common shingle. A list is sorted by set size, so the sets that can link with one of its sets are a run;
    positions bound the overlap that is left, and what lies outside run and bound is skipped as a block.
-3. Hubs: each list first meets only its smallest set, so a list costs as many pairs as it has postings.
+3. Hubs: the sets of a list first meet only its ``HUBS`` first sets by hash, so a list costs a multiple of its length;
+   the lists of a group of near copies share their hubs, and lists of up to ``HUBS`` + 1 sets are done with that.
 4. Derived answers: sets that a hub already joins need no pairs among themselves. What is left are lists with
    sets of different components; there the remaining pairs are met in blocks and filtered by parity sketches, whose
    difference never exceeds the difference of the sets, so nothing is lost.
@@ -43,6 +44,8 @@ FREQUENT = 32
 MAX_FREQUENT = 1_000_000
 #: ids that a join may send to all tasks
 MAX_SENT = 500_000
+#: sets of a list that meet all others of it
+HUBS = 8
 #: shingles or postings that one bucket holds, and one task before it sends
 PER_BUCKET, PER_SEND = 1_000_000, 3_000_000
 #: postings of a list that meet at once, postings that share a task, and pairs that are looked at in one step
@@ -198,7 +201,8 @@ def bounded_frequent(found: DataFrame, at_most: int) -> tuple[np.ndarray, np.nda
 
 
 def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits: int, frequent) -> DataFrame:
-    """The index: one row per posting in a list with two sets or more: shingle, key, n, at, and the list's hub."""
+    """The index: the pairs of every list with its hubs (key, other), and the postings of the lists that hold more sets
+    than those pairs cover (gram, key, n, at, length)."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, texts = frequent.value
@@ -237,27 +241,39 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits:
     def index(rows: pd.DataFrame) -> pd.DataFrame:
         gram = np.concatenate([unpacked_sorted(x) for x in rows["gram"]])
         key = np.concatenate([np.frombuffer(x, np.int64) for x in rows["key"]])
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in rows["n"]])
-        at = np.concatenate([np.frombuffer(x, np.int32) for x in rows["at"]])
-        again = np.flatnonzero(np.diff(np.sort(gram), prepend=U(0)) == 0)
-        several = np.isin(gram, np.unique(np.sort(gram)[again]))
+        n = np.concatenate([np.frombuffer(x, np.int32) for x in rows["n"]]).astype(np.int64)
+        at = np.concatenate([np.frombuffer(x, np.int32) for x in rows["at"]]).astype(np.int64)
+        again = np.sort(gram)
+        again = np.unique(again[1:][again[1:] == again[:-1]])
+        several = np.isin(gram, again)
         gram, key, n, at = gram[several], key[several], n[several], at[several]
-        order = np.lexsort((key, n, gram))
+        # the same order of sets in every list, so the lists of a large group have the same hubs
+        order = np.lexsort((key, mix(key.view(U)), gram))
         gram, key, n, at = gram[order], key[order], n[order], at[order]
         if len(gram):  # a set that two tasks have posted
             new = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
             gram, key, n, at = gram[new], key[new], n[new], at[new]
         first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, np.int64)
         length = np.diff(np.r_[first, len(gram)])
-        hub = np.repeat(first, length)
-        keep = np.repeat(length > 1, length)
-        return pd.DataFrame({
-            "gram": gram.astype(np.int64), "key": key, "n": n.astype(np.int64), "at": at.astype(np.int64),
-            "hub": key[hub], "hub_n": n[hub].astype(np.int64), "hub_at": at[hub].astype(np.int64)})[keep]
+        start, length = np.repeat(first, length), np.repeat(length, length)
+        pairs = [np.empty((0, 2), np.int64)]
+        for j in range(HUBS):
+            p = np.flatnonzero(np.arange(len(gram)) > start + j)
+            q = start[p] + j
+            swap = (n[p] > n[q]) | ((n[p] == n[q]) & (key[p] > key[q]))
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            keep = (n[p] * 100 >= n[q] * percent) & (
+                1 + np.minimum(n[p] - at[p] - 1, n[q] - at[q] - 1) >= least_overlap(n[p], n[q], percent))
+            pairs.append(np.unique(np.stack((key[p[keep]], key[q[keep]]), axis=1), axis=0))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        rest = length > HUBS + 1
+        return pd.concat((
+            pd.DataFrame({"gram": gram[rest].astype(np.int64), "key": key[rest], "n": n[rest], "at": at[rest], "other": None, "length": length[rest]}),
+            pd.DataFrame({"gram": None, "key": pairs[:, 0], "n": 0, "at": 0, "other": pairs[:, 1], "length": 0}))).astype(
+            {"gram": "Int64", "other": "Int64"})
 
     sent = docs.select(F.lit(0).cast("long"), "text").mapInArrow(post, "bucket long, gram binary, key binary, n binary, at binary")
-    return sent.groupBy("bucket").applyInPandas(
-        index, "gram long, key long, n long, at long, hub long, hub_n long, hub_at long")
+    return sent.groupBy("bucket").applyInPandas(index, "gram long, key long, n long, at long, other long, length long")
 
 
 def near_sketches(da: list[bytes], db: list[bytes], na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -319,8 +335,8 @@ def remaining_pairs(index: DataFrame, joined: DataFrame, sketches: DataFrame, pe
     and each pair of blocks that size allows is met by itself."""
     labelled = index.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
-    several = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi")
-    rows = as_table(labelled.join(several.select("gram", "length"), "gram").select("gram", "length", "key", "n", "at", "component"), "join-open")
+    several = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    rows = as_table(labelled.join(several.select("gram"), "gram", "left_semi").select("gram", "length", "key", "n", "at", "component"), "join-open")
     # rows of a long list go into blocks by hash; blocks i <= j meet by themselves. Many meetings share a task.
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -376,13 +392,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     cells = bounded_frequent(as_table(frequent_shingles(docs, width, bits, bucket_bits, FREQUENT), "join-frequent"), MAX_FREQUENT)
     frequent = spark.sparkContext.broadcast(cells)
     index = as_table(postings(docs, width, percent, bits, bucket_bits, frequent), "join-index")
-    hub_pairs = index.where(F.col("hub") != F.col("key")).where(
-        (F.col("hub_n") * 100 >= F.col("n") * percent)
-        & (F.lit(1) + F.least(F.col("hub_n") - F.col("hub_at") - 1, F.col("n") - F.col("at") - 1)
-           >= F.floor(((F.col("hub_n") + F.col("n")) * percent + (99 + percent)) / F.lit(100 + percent)))).select(
-        F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    hub_pairs = index.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
     links = verified(sketched(hub_pairs, classes, percent), docs, classes, width, percent, "join-hub")
-    more = remaining_pairs(index, as_table(components(links, "join-stars"), "join-first"), classes, percent)
+    more = remaining_pairs(index.where("other IS NULL"), as_table(components(links, "join-stars"), "join-first"), classes, percent)
     links = links.union(verified(more.join(links, ["a", "b"], "left_anti"), docs, classes, width, percent, "join-rest"))
     joined = as_table(components(links, "join-stars"), "join-components")
     members = classes.select("key", "row").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn(
