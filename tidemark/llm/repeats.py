@@ -40,7 +40,9 @@ from .hashing import U, mix, packed_sorted, powers, unpacked_sorted
 SPAN, GRAM = 50, 20
 #: bits of an anchor hash that the first exchange leaves out; it only has to tell most hashes apart
 SHORT = U(16)
-CHUNK_BYTES, BUCKET_BYTES = 12_000_000, 16_000_000
+CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 16_000_000
+#: buckets of contexts with their bytes, for each bucket of hashes, and contexts that are hashed at once
+FINER, PER_STEP = 8, 5_000
 
 
 def _run(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -219,7 +221,7 @@ class Steps:
         g, k, doc, before, after = (np.array([r[i] for r in rows], kind) for i, kind in enumerate((U, U, np.int64, np.uint8, np.uint8)))
         return pd.DataFrame(
             [(b, chunk, k[x:y].tobytes(), doc[x:y].tobytes(), before[x:y].tobytes(), after[x:y].tobytes(), b"".join(r[5] for r in rows[x:y]))
-             for b, x, y in _buckets(g, self.n)], columns=columns)
+             for b, x, y in _buckets(g, FINER * self.n)], columns=columns)
 
     @staticmethod
     def previous_factors(rows: pd.DataFrame) -> pd.DataFrame:
@@ -231,10 +233,12 @@ class Steps:
         before = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["before"]]).astype(np.int64)
         after = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["after"]]).astype(np.int64)
         up, down = powers(width + 1)
-        with np.errstate(over="ignore"):
-            total = np.cumsum((data.astype(U) + U(1)) * up[:-1], axis=1, dtype=U)
-            total = np.concatenate((np.zeros((len(data), 1), U), total), axis=1)
-            heads = mix((total[:, SPAN:] - total[:, :width - SPAN + 1]) * down[:width - SPAN + 1])
+        heads = np.empty((len(data), left + 1), U)
+        for k in range(0, len(data), PER_STEP):
+            part = data[k:k + PER_STEP]
+            with np.errstate(over="ignore"):
+                total = np.concatenate((np.zeros((len(part), 1), U), np.cumsum((part.astype(U) + U(1)) * up[:-1], axis=1, dtype=U)), axis=1)
+                heads[k:k + PER_STEP] = mix((total[:, SPAN:] - total[:, :width - SPAN + 1]) * down[:width - SPAN + 1])
         place = np.arange(left + 1)
         valid = (place >= left - before[:, None]) & (place + SPAN <= left + after[:, None])
         row, start = np.nonzero(valid)
