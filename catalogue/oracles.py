@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from tidemark.functions import fixed_values as fixed
 
-from .queries import CATEGORIES, COPIES, INTENSIFIERS, NEGATORS, PER_PERIOD, SALT, VALENCE
+from .queries import ALL_POSTS, CATEGORIES, COPIES, INTENSIFIERS, NEGATORS, PER_PERIOD, SALT, VALENCE
 
 ORACLES: dict[str, str] = {}
 
@@ -180,7 +180,7 @@ drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER
   WHERE place <= quota)"""
 
 
-STUDY = cascade("dated") + ",\nkept AS (SELECT * FROM graded WHERE rule IS NULL)," + drawn("kept", str(PER_PERIOD)) + f""",
+STUDY = cascade("dated") + ",\nkept AS (SELECT * FROM graded WHERE rule IS NULL)," + drawn("kept", str(ALL_POSTS)) + f""",
 prepared AS (SELECT post_id, {light('text')} AS text, period, source, author_hash, created_at FROM drawn)"""
 
 # --- text, time, privacy --------------------------------------------------------------------
@@ -262,6 +262,13 @@ ORACLES["filtered_posts"] = with_posts("SELECT post_id, period, lang, text FROM
 ORACLES["filter_report_hot_text"] = with_posts(_report, """,
 hot AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'It is the HOT text!' ELSE text END AS text,
     CASE WHEN doc_id % 9 = 0 THEN '' ELSE lang END AS author_hash) FROM dated)""" + cascade("hot"))
+ORACLES["filter_report_missing_authors"] = with_posts(_report + """
+UNION ALL SELECT 'rows in', 'all', count(*) FROM graded UNION ALL SELECT 'rows out', 'all', count(*) FROM graded WHERE rule IS NULL""", """,
+missing AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN 'It is the same text' WHEN doc_id % 11 <> 0 THEN text ELSE '' END AS text,
+    CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS author_hash) FROM dated)""" + cascade("missing"))
+ORACLES["topic_prevalence_interval"] = with_posts("SELECT DISTINCT lang AS topic, true AS as_theory FROM dated")
+ORACLES["scorer_error_counts"] = with_posts(
+    "SELECT period, 8 * count(*) AS errors FROM dated WHERE contains(text, 'pathetic') GROUP BY period")
 ORACLES["balanced_sample"] = with_posts("SELECT post_id, period FROM drawn", "," + drawn("dated", str(PER_PERIOD)))
 ORACLES["stratified_sample"] = with_posts("""
 SELECT post_id, period, lang FROM (

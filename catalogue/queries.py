@@ -32,6 +32,7 @@ SALT = "public-test-salt"
 EVENTS_CUTOFF = date(2024, 1, 16)
 COPIES = 2
 PER_PERIOD = 300
+ALL_POSTS = 10**9  # studies use every post that the rules keep, as many in both periods
 VALENCE = {
     "that": 1.1, "with": -1.3, "this": 0.7, "are": -0.9, "was": -0.4, "der": 0.5, "la": -0.6, "best": 3.2,
     "worthless": -2.8, "pathetic": -2.4, "stupid": -2.6, "idiot": -2.9, "trash": -2.2,
@@ -245,7 +246,7 @@ def post_checks(spark, folder):
 @query
 def prepared_round_trip(spark, folder):
     path = work_path(spark, "prepared")
-    sample, manifest_row = prepare(study_posts(spark, folder), n_per_period=PER_PERIOD, max_copies=COPIES)
+    sample, manifest_row = prepare(study_posts(spark, folder), n_per_period=ALL_POSTS, max_copies=COPIES)
     sinks.write_prepared(sample, manifest_row, path)
     return sinks.read_prepared(spark, path).select("post_id", "text", "period", "source", "author_hash")
 
@@ -291,6 +292,19 @@ def filtered_posts(spark, folder):
     return apply_filters(dated(spark, folder), COPIES).survivors.select("post_id", "period", "lang", "text")
 
 
+@query
+def filter_report_missing_authors(spark, folder):
+    """Two thirds of the authors and every eleventh text are missing; every fifth document carries one and the same text."""
+    frame = dated(spark, folder).withColumns({
+        "text": F.when(F.col("doc_id") % 5 == 0, "It is the same text").when(F.col("doc_id") % 11 != 0, F.col("text")),
+        "author_hash": F.when(F.col("doc_id") % 3 == 0, F.col("lang"))})
+    result = apply_filters(frame, COPIES, keep=["post_id"])
+    rows = result.totals.select(F.inline(F.array(
+        F.struct(F.lit("rows in").alias("rule"), F.lit("all").alias("period"), F.col("rows_in").alias("removed")),
+        F.struct(F.lit("rows out").alias("rule"), F.lit("all").alias("period"), F.col("rows_out").alias("removed")))))
+    return result.removed.unionByName(rows)
+
+
 @query
 def filter_report_hot_text(spark, folder):
     """Every third document carries one and the same text, every sixth an empty one."""
@@ -562,11 +576,40 @@ def standardized_diff_bootstrap(spark, folder):
     return rounded(bootstrap.standardized_difference(frame, "poor", "lang"))
 
 
+@query
+def topic_prevalence_interval(spark, folder):
+    """Whether the bootstrap bounds of every language lie where the variance of two multinomial shares puts them."""
+    strata = dated(spark, folder, texts=False).select("period", F.col("lang").alias("topic"))
+    sizes = strata.groupBy("period").agg(F.count("*").alias("n")).groupBy().pivot("period", ["pre", "post"]).agg(F.first("n"))
+    rows = bootstrap.topic_prevalence(strata, n_boot=500).crossJoin(F.broadcast(sizes))
+    error = F.sqrt(sum(F.col(f"{p}_share") * (1 - F.col(f"{p}_share")) / F.col(p) for p in ("pre", "post")))
+    near = sum((F.abs(F.col(c) - F.col("diff") - sign * 1.96 * error) <= error).cast("int")
+               for c, sign in (("diff_low", -1), ("diff_high", 1))) == 2
+    return rows.select("topic", near.alias("as_theory"))
+
+
+@query
+def scorer_error_counts(spark, folder):
+    """A model whose batches of eight fail where they hold a certain word: every failing batch is counted whole."""
+    def load():
+        def predict(texts):
+            if any("pathetic" in item for item in texts):
+                raise RuntimeError("no memory")
+            return np.tile([0.2, 0.3, 0.5], (len(texts), 1))
+
+        return predict
+
+    # every text eight times in a row, so a batch holds one text
+    rows = dated(spark, folder).select("period", "post_id", F.explode(F.array_repeat("text", 8)).alias("text"))
+    scored = scorers.ModelScorer(load, ["negative", "neutral", "positive"], batch_size=8).score(rows)
+    return scorers.error_counts(scored)
+
+
 # --- jobs -----------------------------------------------------------------------------------
 
 
 def study(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sample, manifest_row = prepare(study_posts(spark, folder), n_per_period=PER_PERIOD, max_copies=COPIES)
+    sample, manifest_row = prepare(study_posts(spark, folder), n_per_period=ALL_POSTS, max_copies=COPIES)
     return score(sample, corpus_scorer(), CATEGORIES), manifest_row
 
 
