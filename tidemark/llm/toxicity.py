@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.storage import as_table
 
 #: labelled rows of either label that are learnt from
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: stems of the classifier, and stems that vote
 STEMS, STEM_VOTERS = 20_000, 400
 HEADS = (3, 4, 5, 6, 7)
@@ -158,17 +158,18 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, steps: int =
     either label are estimated together with the accuracy of the given labels. Voters that fire together more than
     their rates explain share their weight: a voter counts 1 / (1 + sum of its remaining correlations).
     """
-    x = votes.astype(np.float64)
-    q = np.where(given == 1, 0.95, 0.05)
-    share = np.ones(x.shape[1])
+    x = votes.astype(np.float32)
+    q = np.where(given == 1, 0.95, 0.05).astype(np.float32)
+    share = np.ones(x.shape[1], np.float32)
     right = 0.95
     for step in range(steps):
         on = (q @ x + 0.5) / (q.sum() + 1)
         off = ((1 - q) @ x + 0.5) / ((1 - q).sum() + 1)
         if step == 5:
-            rest = x - (q[:, None] * on + (1 - q)[:, None] * off)
-            scale = np.sqrt((rest * rest).sum(axis=0) + 1e-9)
-            together = np.clip((rest.T @ rest) / (scale[:, None] * scale[None, :]), 0, 1)
+            rest = x - (q[:, None] * on + (1 - q)[:, None] * off).astype(np.float32)
+            together = (rest.T @ rest).astype(np.float64)
+            scale = np.sqrt(np.diag(together) + 1e-9)
+            together = np.clip(together / (scale[:, None] * scale[None, :]), 0, 1)
             np.fill_diagonal(together, 0)
             share = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
         weight = share * (np.log(on / off) - np.log((1 - on) / (1 - off)))
@@ -193,17 +194,19 @@ def dense(lexicon: int, voted: int, words: int) -> tuple[float, ...]:
 START = np.array([2.0, 0.0, 1.0, 0.0, -3.0])
 
 
-def fit_linear(rows: list[dict[int, int]], extra: np.ndarray, target: np.ndarray, case: np.ndarray, n_stems: int,
-               ridge: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the stems and of ``dense``: logistic loss against soft targets, by Adam over all rows."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    stem = np.fromiter((k for r in rows for k in r), np.int64, len(at))
-    value = np.log1p(np.fromiter((v for r in rows for v in r.values()), np.float64, len(at)))
+def fit_linear(at: np.ndarray, stem: np.ndarray, count: np.ndarray, extra: np.ndarray, target: np.ndarray, case: np.ndarray,
+               n_stems: int, ridge: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the stems and of ``dense``: logistic loss against soft targets, by Adam over all rows.
+
+    The counts are a sparse table: text ``at[k]`` holds ``stem[k]`` ``count[k]`` times.
+    """
+    value = np.log1p(count.astype(np.float64))
+    n_rows = len(target)
     w, d = np.zeros(n_stems), START.copy()
     moment = [np.zeros(n_stems), np.zeros(len(d))], [np.zeros(n_stems), np.zeros(len(d))]
     case = case / case.sum()
     for step in range(1, steps + 1):
-        z = np.bincount(at, weights=value * w[stem], minlength=len(rows)) + extra @ d
+        z = np.bincount(at, weights=value * w[stem], minlength=n_rows) + extra @ d
         g = case * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
         grads = np.bincount(stem, weights=value * g[at], minlength=n_stems) + ridge * w, extra.T @ g + ridge * (d - START)
         rate = 0.05 * (1 - step / (steps + 1))
@@ -241,15 +244,19 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[
     table = labelled.select("toxic", "text").mapInArrow(
         read, "toxic int, stems array<int>, counts array<int>, votes array<int>, extra array<double>").toArrow()
     given = table["toxic"].to_numpy()
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = table[name].combine_chunks()
+        return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+
     votes = np.zeros((len(given), len(voters) + len(PATTERNS) + 1), np.uint8)
-    for i, v in enumerate(table["votes"].to_pylist()):
-        votes[i, v] = 1
+    votes[flat("votes")] = 1
     total = labels.where("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
     case = np.where(given == 1, total / n_toxic, (1 - total) / n_other)
     posterior = label_model(votes, given, prior=n_toxic / (n_toxic + n_other))
-    rows = [dict(zip(s, c)) for s, c in zip(table["stems"].to_pylist(), table["counts"].to_pylist())]
-    extra = np.array(table["extra"].to_pylist())
-    return stems, voters, *fit_linear(rows, extra, posterior, case, len(stems))
+    at, stem = flat("stems")
+    extra = flat("extra")[1].reshape(len(given), -1)
+    return stems, voters, *fit_linear(at, stem, flat("counts")[1], extra, posterior, case, len(stems))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", per_label: int = SAMPLE) -> DataFrame:
