@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, mix
-from .repeats import BUCKET_BYTES, CHUNK_BYTES, SHORT, Steps, chunked, shared_of
+from .repeats import BUCKET_BYTES, CHUNK_BYTES, SHORT, Steps, shared_of
 
 #: tokens that a repeated substring has at least
 LEAST_RUN = 6
@@ -149,22 +148,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def page_blocks(pages: DataFrame, n_chunks: int) -> DataFrame:
-    """page_id, url, host, texts, zones of each page, with its chunk."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [blocks(x.as_py() or "") for x in batch.column(2)]
-            hosts = [host_of(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(hosts, pa.string()),
-                pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
-                pa.array([[z for _, z in f] for f in found], pa.list_(pa.int32())), batch.column(3)],
-                ["page_id", "url", "host", "texts", "zones", "chunk"])
-
-    chunk = F.pmod(F.xxhash64("page_id", F.octet_length("html"), "url"), F.lit(n_chunks)).cast("int")
-    return pages.withColumn("chunk", chunk).mapInArrow(
-        read, "page_id long, url string, host string, texts array<string>, zones array<int>, chunk int")
+def _read(pages: pd.DataFrame) -> Iterator[tuple]:
+    """page_id, url, host, texts, zones of each page of a chunk."""
+    for page_id, url, page in zip(pages["page_id"], pages["url"], pages["html"]):
+        found = blocks(page)
+        yield page_id, url, host_of(url), [t for t, _ in found], [z for _, z in found]
 
 
 class _Streams:
@@ -208,7 +196,7 @@ def send_heads(steps: Steps, pages: pd.DataFrame) -> pd.DataFrame:
     streams = _Streams()
     seen: set[bytes] = set()
     found = []
-    for host, texts, zones in zip(pages["host"], pages["texts"], pages["zones"]):
+    for _, _, host, texts, zones in _read(pages):
         values, _, heads = streams.of(host, texts, zones)
         mark = values.tobytes() + host.encode()
         if len(heads) and mark not in seen:
@@ -223,7 +211,7 @@ def keep_unique(pages: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
     """The main text of each page of a chunk, given the repeated heads that it holds."""
     streams, repeated = _Streams(), shared_of(shared)
     out = []
-    for page_id, url, host, texts, zones in zip(pages["page_id"], pages["url"], pages["host"], pages["texts"], pages["zones"]):
+    for page_id, url, host, texts, zones in _read(pages):
         values, places, heads = streams.of(host, texts, zones)
         covered = np.zeros(len(values) + 1, np.int64)
         if len(heads) and len(repeated):
@@ -252,11 +240,13 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", mark
     """page_id, url, text, n_chars of every row of ``pages``."""
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(markup), F.lit("")).alias("html"))
     size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    n_chunks = max(1, min(100_000, -(-size // CHUNK_BYTES)))
+    # no fewer chunks than shuffle partitions, so the dealt pages serve both passes as they are
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_chunks = max(least, -(-size // CHUNK_BYTES))
     steps = Steps(max(1, -(-size // BUCKET_BYTES)))
-    chunks = chunked(page_blocks(rows, n_chunks), n_chunks, "pages")
-    sent = chunks.select("chunk", "host", "texts", "zones").groupBy("chunk").applyInPandas(
-        lambda p: send_heads(steps, p), "bucket long, chunk int, hashes binary, several binary")
+    chunk = F.pmod(F.xxhash64("page_id", F.octet_length("html"), "url"), F.lit(n_chunks)).cast("int")
+    dealt = rows.withColumn("chunk", chunk).repartition(n_chunks, "chunk")
+    sent = dealt.groupBy("chunk").applyInPandas(lambda p: send_heads(steps, p), "bucket long, chunk int, hashes binary, several binary")
     shared = sent.groupBy("bucket").applyInPandas(steps.find_shared, "chunk int, hashes binary")
-    return chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(
+    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(
         keep_unique, "page_id long, url string, text string, n_chars long")
