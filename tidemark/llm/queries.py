@@ -87,3 +87,36 @@ def op1_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_context_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return private_data.report(private_data.find(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+
+ORACLES["op10_quality_rules"] = rf"""
+WITH split AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text='text')} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM split WHERE len(w) >= 3),
+marked AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1 AS again FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM marked, (VALUES (0), (1), (2)) s(j) WHERE again GROUP BY doc_id),
+counted AS (SELECT s.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    len(lines) AS n_lines, len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop
+  FROM split s LEFT JOIN covered c USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND word_chars::DOUBLE / n_words BETWEEN 2.0 AND 20.0 AND n_symbols::DOUBLE / n_words <= 0.3
+    AND n_stop::DOUBLE / n_words >= 0.05 AND n_dup_lines::DOUBLE / greatest(n_lines, 1) <= 0.5 AS kept FROM judged"""
+
+ORACLES["op9_shingle_join"] = rf"""
+WITH RECURSIVE split AS (SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents),
+grams AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 4
+    THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(y) FROM reached r WHERE r.x = d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)"""
