@@ -40,8 +40,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence, place and token ids."""
-    return packing.pack(packing.pieces(docs, queries.tokenizer_path(), with_ids=True))
+    """Pieces of documents with their sequence and place; start and length say which ids of the document they hold."""
+    return packing.pack(packing.pieces(docs, queries.tokenizer_path()))
 
 
 STAGES = [

@@ -103,6 +103,7 @@ def test_packing_of_odd_texts(odd, tokenizer):
     everything = packing.pack(packing.pieces(odd, queries.tokenizer_path(), with_ids=True))
     assert {"doc_id", "ids", "sequence_id", "offset"} <= set(everything.columns)
     assert everything.where("piece = 0").count() == odd.count()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in everything.collect())
 
 
 def test_parts_with_gaps_exchange(spark):

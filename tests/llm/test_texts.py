@@ -190,7 +190,6 @@ def test_pipeline_stages(spark, small, tmp_path):
     last = frames[5].groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
     assert all(r.n == r.end <= 1024 for r in last)
     assert frames[5].where("piece = 0").count() == len(ids[4])
-    assert frames[5].where(F.octet_length("ids") != F.col("length") * 4).count() == 0
 
 
 def test_run(spark, small):

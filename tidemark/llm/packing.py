@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column:
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
                     part = ids[4 * a:4 * b]
                     out.append((key, k, a, b - a, zlib.crc32(part), part) if with_ids else (key, k, a, b - a, zlib.crc32(part)))
-                if len(out) >= 20_000:
+                if len(out) >= (1_000 if with_ids else 20_000):
                     yield _batch(out, with_ids)
                     out = []
             if out:
@@ -203,7 +203,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_P
     A round packs each part. Parts above their bound give back the pieces of all bins with room; these are dealt
     into fewer parts, so that bins with room meet, and replace their old bins if they need fewer.
     """
-    rest = as_table(cut, "pack-pieces")
+    # numbered where they are written; token ids, if there are any, stay there until the places are known
+    stored = as_table(cut.withColumn("__row", F.monotonically_increasing_id()), "pack-pieces")
+    rest = stored.drop("ids")
     columns = rest.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields)
     schema = f"{fields}, part long, bin long, offset long, used long, n_bins long, bound long"
@@ -215,7 +217,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_P
     for step in range(rounds):
         parts = max(1, -(-rest.count() // per_partition))
         # equal rows get different numbers, so no part grows with the copies of one row
-        deal = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(parts))
+        deal = F.pmod(F.xxhash64("doc_id", "piece", "__row"), F.lit(parts))
         result = as_table(
             rest.withColumn("part", deal).repartition(parts, "part").groupBy("part").applyInPandas(packed, schema)
             .withColumn("step", F.lit(step)), f"pack-{step}")
@@ -236,4 +238,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_P
     for frame in done[1:]:
         whole = whole.unionByName(frame)
     number = F.shiftleft(F.col("part"), 23).bitwiseOR(F.shiftleft("bin", 2)).bitwiseOR(F.col("step").cast("long"))
-    return whole.withColumn("sequence_id", number).drop("part", "bin", "used", "n_bins", "bound", "step")
+    placed = whole.withColumn("sequence_id", number).drop("part", "bin", "used", "n_bins", "bound", "step")
+    if "ids" in stored.columns:
+        placed = placed.join(stored.select("__row", "ids"), "__row")
+    return placed.drop("__row")
