@@ -66,7 +66,9 @@ def anchors(raw: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.nda
     least = _run(h, width, np.minimum)
     edge = np.zeros(width - 1, U)
     at = np.flatnonzero(_run(np.concatenate((edge, least, edge)), width, np.maximum) == h)
-    return at, h[at]
+    # the least of many hashes are small numbers; mixed again, they fill all buckets alike
+    with np.errstate(over="ignore"):
+        return at, mix(h[at] * U(0x9E3779B97F4A7C15) + U(1))
 
 
 def contexts(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
