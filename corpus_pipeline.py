@@ -15,6 +15,8 @@ from tidemark.llm import mixing, packing, private_data, quality, queries, shingl
 from tidemark.storage import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: words of a shingle and least similarity of near duplicates
+WIDTH, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id. Texts without words stay."""
-    found = shingle_join.near_duplicates(docs)
+    """One document of each group of near duplicates, the one with the least id. Texts without words stay.
+
+    The rule of the stage is five words and 0.8; the defaults of the join are those of its own query.
+    """
+    found = shingle_join.near_duplicates(docs, width=WIDTH, percent=PERCENT)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 

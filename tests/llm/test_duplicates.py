@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import cap_filters, components, queries, repeats, shingle_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,8 +32,8 @@ def shingle_set(text, width=4):
     return frozenset(tuple(words[i:i + width]) for i in range(len(words) - width + 1))
 
 
-def plain_join(texts, percent=85):
-    sets = {d: shingle_set(t) for d, t in texts}
+def plain_join(texts, percent=85, width=4):
+    sets = {d: shingle_set(t, width) for d, t in texts}
     groups, holders = Groups(), {}
     for d in sorted(sets):
         common = {}
@@ -78,6 +79,20 @@ def test_join_of_near_copies_in_small_pieces(spark, monkeypatch):
     assert got == plain_join(rows)
 
 
+def test_pipeline_stage_joins_five_words_at_four_fifths(spark):
+    words = [f"w{i}" for i in range(200)]
+    block = words[:90] + [f"n{i}" for i in range(18)] + words[108:]
+    edited = [f"e{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
+    texts = [*copies(40), (6000, " ".join(words)), (6001, " ".join(block)), (6002, " ".join(edited)),
+             (6003, " ".join(f"x{i}" for i in range(200))),
+             (6004, " ".join(f"y{i}" if 80 <= i < 97 else f"x{i}" for i in range(200)))]
+    narrow, wide = plain_join(texts), plain_join(texts, 80, 5)
+    assert narrow[6004][1] == 6004 and wide[6004][1] == 6003
+    docs = spark.createDataFrame([(d, t, "xx", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted(d for d, (_, root) in wide.items() if d == root)
+
+
 def test_join_of_odd_texts(odd):
     got = shingle_join.near_duplicates(odd).collect()
     assert len(got) == odd.count()
