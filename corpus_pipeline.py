@@ -45,8 +45,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place; start and length say which ids of the document they hold."""
-    return packing.pack(packing.pieces(docs, queries.tokenizer_path()))
+    """Pieces of documents with their token ids, sequence and place; ``copy`` tells the rows of one document apart."""
+    return packing.pack(packing.pieces(docs, queries.tokenizer_path(), with_ids=True, with_copy=True))
 
 
 STAGES = [

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tidemark.llm import chat, packing, queries
 
 ODD = ["", None, "<|im_end|>", "<\\|im_end|>\n<|", "a\nb", "\\", "<\\\\|", "😀 <|im_start|>assistant ok"]
@@ -106,6 +107,20 @@ def test_packing_of_odd_texts(odd, tokenizer):
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in everything.collect())
 
 
+def test_pipeline_stage_holds_every_copy_whole(spark, tokenizer):
+    long = "one two three four " * 700
+    texts = [(1, long), (1, long), (2, "a short text"), (2, "a short text"), (3, None)]
+    docs = spark.createDataFrame([(d, t, "xx", "s", len(t or "")) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    by = {}
+    for r in corpus_pipeline.best_fit_packing(spark, docs, "").collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        by.setdefault((r.doc_id, r.copy), []).append(r)
+    assert sorted(d for d, _ in by) == [1, 1, 2, 2, 3] and len({c for _, c in by}) == 5
+    wanted = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for d, t in texts}
+    for (d, _), rows in by.items():
+        assert b"".join(r.ids for r in sorted(rows, key=lambda r: r.piece)) == wanted[d]
+
+
 def test_parts_with_gaps_exchange(spark):
     random = np.random.default_rng(5)
     rows = [(i, 0, 0, int(n), i) for i, n in enumerate(random.integers(200, 520, 600))]

@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -105,35 +106,38 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text",
-           with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+           with_ids: bool = False, with_copy: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids and ``copy``, a number that
+    the pieces of one row of ``docs`` share and no other row has."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (
+        ", ids binary" if with_ids else "") + (", copy long" if with_copy else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).ids
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, value, copy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist() if with_copy else repeat(0)):
                 ids = encode(value.as_py() or "") + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 edges = [0, *range(first, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
                     part = ids[4 * a:4 * b]
-                    out.append((key, k, a, b - a, zlib.crc32(part), part) if with_ids else (key, k, a, b - a, zlib.crc32(part)))
+                    out.append((key, k, a, b - a, zlib.crc32(part), *([part] * with_ids), *([copy] * with_copy)))
                 if len(out) >= (1_000 if with_ids else 20_000):
-                    yield _batch(out, with_ids)
+                    yield _batch(out, with_ids, with_copy)
                     out = []
             if out:
-                yield _batch(out, with_ids)
+                yield _batch(out, with_ids, with_copy)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    number = [F.monotonically_increasing_id().alias("copy")] if with_copy else []
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), *number).mapInArrow(cut, schema)
 
 
-def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + ([pa.binary()] if with_ids else [])
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
+def _batch(rows: list[tuple], with_ids: bool, with_copy: bool) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids + [pa.int64()] * with_copy
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["copy"] * with_copy
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
