@@ -61,6 +61,17 @@ def test_repeated_runs_of_a_host_go(spark, monkeypatch):
     assert all(got[200 + i].startswith("same0 same1") for i in range(3))
 
 
+def test_equal_streams_are_one_page_and_phrases_stay(spark):
+    copy = "<body><p>" + " ".join(f"once{j}" for j in range(40)) + "</p></body>"
+    rows = [(i, f"http://c.org/{i}", f"<!-- {i} -->" + copy) for i in range(12)]
+    prose = lambda i: " ".join(f"a{i}x{j}" for j in range(8)) + " at the end of the day " + " ".join(f"b{i}x{j}" for j in range(8))
+    line = "all rights are reserved by us"
+    rows += [(100 + i, f"http://p.org/{i}", f"<body><p>{prose(i)}</p><p>{line}</p></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(f"once{j}" for j in range(40)) for i in range(12))
+    assert all(got[100 + i] == prose(i) for i in range(12))
+
+
 def test_hosts():
     assert [html_text.host_of(u) for u in ("https://u:p@WWW.A.org:80/x", "a.org", None, "http://b.a.org?x")] == ["a.org", "", "", "b.a.org"]
 

@@ -1,17 +1,19 @@
-"""Main text of web pages: markup zones and a suffix array over the pages of each host.
+"""Main text of web pages: markup zones and repeated runs of tokens over the pages of each host.
 
 A page is read once into blocks: runs of text between block-level tags, character references decoded, white space
 made one space. The markup tells three zones apart: inside ``article`` or ``main``; in page furniture (``nav``,
 ``footer``, forms, elements whose class, id or role says advert, notice, comments and the like); and open ground.
 
-The blocks outside ``article`` and ``main`` are the token stream of a page. The suffixes of all streams of a host are
-sorted by their first ``LEAST_RUN`` tokens, dealt by the hash of those tokens; equal neighbours that come from
-different pages mark a repeated head, and runs of repeated heads are the long substrings that pages share. Covered
-tokens are boilerplate. What is left of open ground is kept as unique runs; what is left of furniture is dropped, and
+The blocks outside ``article`` and ``main`` are the token stream of a page. No suffix is sorted: the windows of
+``LEAST_RUN`` tokens of all streams of a host are hashed, and a window that two different streams hold is repeated. A
+token lies in a substring of ``LEAST_RUN`` tokens or more that two streams share exactly if it lies in such a window,
+so the covered tokens are those that sorted suffixes would give. Shorter blocks, of ``LEAST_LINE`` tokens or more,
+repeat as a whole or not at all, so a short phrase inside running prose stays. Covered tokens are boilerplate. What is left of open ground is kept as unique runs; what is left of furniture is dropped, and
 blocks inside ``article`` and ``main`` are kept whole, so a reprinted article or a licence line in it stays.
 
-A host that holds a third of all pages is spread like any other: each chunk of pages sends each head once and gets
-back the repeated ones that it holds; see ``repeats`` for the exchange.
+A host that holds a third of all pages is spread like any other: of equal streams one chunk speaks; it sends each
+head once, the others ask, and each chunk gets back the repeated ones of those it sent or asked about; see ``repeats``
+for the exchange.
 
 Defined results: a null or empty page has the empty text; a null address is a host of its own; rows with a null or
 repeated id are pages of their own; pages with equal streams count as one page; a page without ``article`` or
@@ -30,11 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, mix
+from .hashing import U, mix, packed_sorted, unpacked_sorted
 from .repeats import BUCKET_BYTES, CHUNK_BYTES, SHORT, Steps, shared_of
 
-#: tokens that a repeated substring has at least
-LEAST_RUN = 6
+#: tokens that a repeated substring has at least, and a shorter block that is repeated as a whole
+LEAST_RUN, LEAST_LINE = 9, 6
 #: a stream of so many tokens, repeated to this share, is a reprint
 REPRINT_TOKENS, REPRINT_SHARE = 60, 0.8
 
@@ -156,7 +158,7 @@ def _read(pages: pd.DataFrame) -> Iterator[tuple]:
 
 
 class _Streams:
-    """The tokens of the blocks outside the main zone, and the hashes of the heads of their suffixes."""
+    """The tokens of the blocks outside the main zone, and the hashes of their windows and short lines."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
@@ -171,8 +173,8 @@ class _Streams:
             value = self.known[word] = xxhash.xxh64_intdigest(word)
         return value
 
-    def of(self, host: str, texts, zones) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
-        """Token hashes, (block, from, to) of the blocks, head hashes."""
+    def of(self, host: str, texts, zones) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
+        """Token hashes, (block, from, to) of the blocks, head hashes, and from and to of what each head covers."""
         tokens: list[int] = []
         places = []
         for i, (text, zone) in enumerate(zip(texts, zones)):
@@ -181,30 +183,74 @@ class _Streams:
                 tokens.extend(map(self.token, text.split(" ")))
                 places.append((i, a, len(tokens)))
         values = np.array(tokens, U)
-        if len(values) < LEAST_RUN:
-            return values, places, np.empty(0, U)
+        start = np.array([a for _, a, b in places if LEAST_LINE <= b - a < LEAST_RUN], np.int64)
+        size = np.array([b - a for _, a, b in places if LEAST_LINE <= b - a < LEAST_RUN], np.int64)
+        n = max(0, len(values) - LEAST_RUN + 1)
+        start, size = np.r_[np.arange(n), start], np.r_[np.full(n, LEAST_RUN), size]
+        heads = np.full(len(start), self.token("host " + host), U)
         with np.errstate(over="ignore"):
-            heads = np.full(len(values) - LEAST_RUN + 1, self.token("host " + host), U)
             for j in range(LEAST_RUN):
-                heads = mix(heads * U(0x9E3779B97F4A7C15) + values[j:len(values) - LEAST_RUN + 1 + j])
-        return values, places, heads
+                on = size > j
+                heads[on] = mix(heads[on] * U(0x9E3779B97F4A7C15) + values[start[on] + j])
+            heads = np.where(size < LEAST_RUN, mix(heads + size.astype(U)), heads)
+        return values, places, heads, start, start + size
 
 
-def send_heads(steps: Steps, pages: pd.DataFrame) -> pd.DataFrame:
-    """The heads of a chunk. Pages with equal streams are one page, also across chunks: the stream is hashed into the
-    choice of the chunk that speaks for it only through its heads, so a head is repeated if two streams hold it."""
+def _mark(values: np.ndarray, host: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(values.tobytes() + host.encode()) - (1 << 63)
+
+
+def send_streams(pages: pd.DataFrame) -> pd.DataFrame:
+    """The hash of each stream of a chunk, once."""
+    streams = _Streams()
+    marks = set()
+    for _, _, host, texts, zones in _read(pages):
+        values, _, heads, _, _ = streams.of(host, texts, zones)
+        if len(heads):
+            marks.add(_mark(values, host))
+    return pd.DataFrame({"mark": np.array(sorted(marks), np.int64), "chunk": int(pages["chunk"].iloc[0])})
+
+
+def send_heads(steps: Steps, pages: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """The heads of a chunk. Pages with equal streams are one page, also across chunks: ``others`` are the streams
+    that another chunk speaks for. Their heads are asked for, but not counted."""
     streams = _Streams()
-    seen: set[bytes] = set()
-    found = []
+    silent, seen = set(others["mark"].tolist()), set()
+    found, asked = [], []
     for _, _, host, texts, zones in _read(pages):
-        values, _, heads = streams.of(host, texts, zones)
-        mark = values.tobytes() + host.encode()
-        if len(heads) and mark not in seen:
+        values, _, heads, _, _ = streams.of(host, texts, zones)
+        if len(heads) and (mark := _mark(values, host)) not in seen:
             seen.add(mark)
-            found.append(np.unique(heads >> SHORT))
-    if not found:
-        return pd.DataFrame(columns=["bucket", "chunk", "hashes", "several"])
-    return steps.packed(found, int(pages["chunk"].iloc[0]))
+            (asked if mark in silent else found).append(np.unique(heads >> SHORT))
+    columns = ["bucket", "chunk", "hashes", "several", "counted"]
+    chunk, none = int(pages["chunk"].iloc[0]) if len(pages) else 0, np.empty(0, U)
+    own = np.unique(np.concatenate([none, *found]))
+    out = [steps.packed(found, chunk).assign(counted=True)] if found else []
+    only = np.setdiff1d(np.concatenate([none, *asked]), own)
+    if len(only):
+        out.append(steps.packed([only], chunk).assign(counted=False))
+    return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+
+
+def find_repeated(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk the heads it asked about that two streams hold, anywhere."""
+    counted = rows["counted"].to_numpy(bool)
+    parts = [unpacked_sorted(x) for x in rows["hashes"]]
+    h, which = np.unique(np.concatenate(parts), return_inverse=True)
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(rows["several"], parts)])
+    spoken = np.repeat(counted, [len(p) for p in parts])
+    holders = np.bincount(which, weights=spoken * (1 + several.astype(np.int64)), minlength=len(h))
+    hit = (holders > 1)[which]
+    held: dict[int, list[np.ndarray]] = {}
+    at = 0
+    for chunk, part in zip(rows["chunk"], parts):
+        keep = part[hit[at:at + len(part)]]
+        at += len(part)
+        if len(keep):
+            held.setdefault(int(chunk), []).append(keep)
+    return pd.DataFrame([(c, packed_sorted(np.unique(np.concatenate(k)))) for c, k in held.items()], columns=["chunk", "hashes"])
 
 
 def keep_unique(pages: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
@@ -212,13 +258,13 @@ def keep_unique(pages: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
     streams, repeated = _Streams(), shared_of(shared)
     out = []
     for page_id, url, host, texts, zones in _read(pages):
-        values, places, heads = streams.of(host, texts, zones)
+        values, places, heads, start, end = streams.of(host, texts, zones)
         covered = np.zeros(len(values) + 1, np.int64)
         if len(heads) and len(repeated):
             short = heads >> SHORT
             hit = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, short), len(repeated) - 1)] == short)
-            np.add.at(covered, hit, 1)
-            np.add.at(covered, hit + LEAST_RUN, -1)
+            np.add.at(covered, start[hit], 1)
+            np.add.at(covered, end[hit], -1)
         gone = np.cumsum(covered[:-1]) > 0
         open_ = [(i, a, b) for i, a, b in places if zones[i] == OPEN]
         size = sum(b - a for _, a, b in open_)
@@ -246,7 +292,12 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", mark
     steps = Steps(max(1, -(-size // BUCKET_BYTES)))
     chunk = F.pmod(F.xxhash64("page_id", F.octet_length("html"), "url"), F.lit(n_chunks)).cast("int")
     dealt = rows.withColumn("chunk", chunk).repartition(n_chunks, "chunk")
-    sent = dealt.groupBy("chunk").applyInPandas(lambda p: send_heads(steps, p), "bucket long, chunk int, hashes binary, several binary")
-    shared = sent.groupBy("bucket").applyInPandas(steps.find_shared, "chunk int, hashes binary")
+    # a stream is one row per chunk, however many pages have it; its first chunk speaks for it
+    marks = dealt.groupBy("chunk").applyInPandas(send_streams, "mark long, chunk int")
+    chunks = marks.groupBy("mark").agg(F.sort_array(F.collect_list("chunk")).alias("chunks")).where(F.size("chunks") > 1)
+    others = chunks.select("mark", F.explode(F.slice("chunks", F.lit(2), F.size("chunks"))).alias("chunk"))
+    sent = dealt.groupBy("chunk").cogroup(others.groupBy("chunk")).applyInPandas(
+        lambda p, o: send_heads(steps, p, o), "bucket long, chunk int, hashes binary, several binary, counted boolean")
+    shared = sent.groupBy("bucket").applyInPandas(find_repeated, "chunk int, hashes binary")
     return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(
         keep_unique, "page_id long, url string, text string, n_chars long")
