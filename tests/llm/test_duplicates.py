@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,25 @@ def test_repeats_of_passages(spark, monkeypatch):
     assert as_rows(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_repeats(rows)
 
 
+def test_a_passage_of_all_documents_is_spread_over_the_buckets():
+    random = np.random.default_rng(8)
+    letters = np.array(list("abcdefgh "))
+    passage = "".join(random.choice(letters, 200))
+    texts = ["".join(random.choice(letters, 100)) + passage + "".join(random.choice(letters, 100)) for _ in range(640)]
+    frame = pd.DataFrame({"doc_id": range(640), "text": texts, "chunk": np.arange(640) // 80})
+    chunks, steps = [x for _, x in frame.groupby("chunk")], repeats.Steps(16)
+    answers = lambda sent, settle: pd.concat([settle(x) for _, x in pd.concat(sent).groupby("bucket")])
+    of = lambda told, c: told[told["chunk"] == c["chunk"].iloc[0]]
+    shared = answers([steps.send_hashes(c) for c in chunks], steps.find_shared)
+    sent = pd.concat([steps.send_contexts(c, of(shared, c)) for c in chunks])
+    held = sent.groupby("bucket")["context"].agg(lambda x: sum(map(len, x)) // 8)
+    assert held.sum() > 1280 and held.max() <= held.sum() / 6
+    settled = pd.concat([steps.settle_contexts(x) for _, x in sent.groupby("bucket")])
+    sent = pd.concat([steps.send_heads(c, of(settled, c)) for c in chunks])
+    held = sent.groupby("bucket")["hashes"].agg(lambda x: sum(len(repeats.unpacked_sorted(y)) for y in x))
+    assert held.sum() > 1280 and held.max() <= held.sum() / 16
+
+
 def test_repeats_of_odd_texts(odd):
     got = repeats.remove_repeats(odd, with_text=True).collect()
     assert len(got) == odd.count()

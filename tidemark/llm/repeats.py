@@ -4,18 +4,22 @@ A byte goes if it lies in a string of ``span`` bytes that also starts in a docum
 order of a whole corpus is not built; it is built where it can matter, around anchors.
 
 Anchors: a position is an anchor if the hash of its ``GRAM`` bytes is least in a run of ``span - GRAM + 1`` positions.
-The rule depends on the bytes alone, so two equal strings of ``span`` bytes hold an anchor at the same place. Three
-exchanges of anchors, each sorted and packed, never of texts:
+The rule depends on the bytes alone, so two equal strings of ``span`` bytes hold an anchor at the same place. Four
+exchanges of hashes, each sorted and packed, never of texts:
 
 1. Which anchor hashes occur in two documents? Each chunk of documents sends each hash once.
 2. For those, the context (every string of ``span`` bytes that holds the anchor lies in it) is hashed. The least
    document of each context is found; in all later ones the whole context is a repeat. This settles copies, however
-   many there are, with one row per chunk.
-3. Where an anchor has several contexts, the first document of each sends the bytes. Their suffixes are sorted, and
-   the longest previous factor of a suffix reaches ``span`` if a smaller document precedes or follows it in suffix
-   order with no shorter common prefix between: previous and next smaller positions inside a run of equal heads.
-
-Each chunk then marks its own documents. Chunks and buckets have a bounded size, and their number grows with the
+   many there are, with one row per chunk. Contexts are dealt by their own hash, and which anchors have several is
+   found from two contexts per anchor and chunk.
+3. Where an anchor has several contexts, the least document of each hashes the strings of ``span`` bytes (the heads)
+   in it. Which heads occur in two documents? Each chunk sends each head once.
+4. For those, each chunk sends the head and its least document, and the least of all is found: the string is a repeat
+   in all later documents. No longest previous factor is computed; it reaches ``span`` exactly there.
+
+Each chunk then marks its own documents. Every exchange is dealt by the hash of what it sends, and a chunk sends a
+hash once, so an anchor in a third of all documents, with another context in each, is spread like any other: a bucket
+holds its share of all hashes and one row per chunk of a hot one. The number of chunks and buckets grows with the
 input; the chunked texts are a bucketed table, so no later pass moves texts.
 
 Defined results: null and empty texts have no bytes; a null id is neither smaller nor larger, so such rows keep all
@@ -41,8 +45,8 @@ SPAN, GRAM = 50, 20
 #: bits of an anchor hash that the first exchange leaves out; it only has to tell most hashes apart
 SHORT = U(16)
 CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 16_000_000
-#: buckets of contexts with their bytes, for each bucket of hashes, and contexts that are hashed at once
-FINER, PER_STEP = 8, 5_000
+#: buckets of heads for each bucket of anchor hashes
+FINER = 4
 
 
 def _run(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -81,6 +85,34 @@ def contexts(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM
         return mix(h + (at - start).astype(U) * U(131) + (end - at).astype(U))
 
 
+def heads(raw: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the string of ``span`` bytes at every position: 64 bits, and 32 more to be sure."""
+    up, down = powers(len(raw) + 1)
+    n = len(raw) - span + 1
+    out = []
+    with np.errstate(over="ignore"):
+        for value in (raw.astype(U) + U(1), mix(raw.astype(U) + U(77))):
+            total = np.concatenate((np.zeros(1, U), np.cumsum(value * up[:-1], dtype=U)))
+            out.append(mix((total[span:] - total[:-span]) * down[:n] + U(len(out))))
+    return mix(out[0] * U(0x9E3779B97F4A7C15) + U(1)), (out[1] >> U(32)).astype(np.uint32)
+
+
+def _starts(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
+    """The starts of the strings of ``span`` bytes that hold one of the anchors."""
+    step = np.zeros(len(raw) + 2, np.int64)
+    last = len(raw) - span
+    np.add.at(step, np.maximum(at - (span - gram), 0), 1)
+    np.add.at(step, np.maximum(np.minimum(at, last), -1) + 1, -1)
+    return np.flatnonzero(np.cumsum(step[:last + 1]) > 0)
+
+
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among ``known``, ascending."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _chunk_anchors(texts: pd.DataFrame, shared: np.ndarray | None):
     """(doc_id, bytes, positions, hashes) per document of a chunk; only anchors with a shared short hash, if those are given."""
     for doc_id, text in zip(texts["doc_id"], texts["text"]):
@@ -107,13 +139,49 @@ def shared_of(rows: pd.DataFrame) -> np.ndarray:
     return np.sort(np.concatenate([unpacked_sorted(x) for x in rows["hashes"]]))
 
 
-def _known_contexts(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, context hash, least document and whether its bytes are wanted, ordered by context hash."""
-    if not len(rows):
-        return np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, bool)
-    parts = [np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("anchor", U), ("context", U), ("least", np.int64), ("wanted", np.bool_))]
-    order = np.argsort(parts[1], kind="stable")
-    return tuple(p[order] for p in parts)
+def _joined(rows: pd.DataFrame, column: str, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *[np.frombuffer(x, kind) for x in rows[column]]])
+
+
+def _settled(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From the answers to ``send_contexts``: anchors with several contexts, ascending; anchors, contexts and least
+    documents of the repeated contexts by context; and the short hashes of all these anchors."""
+    told = rows[rows["context"].notna()] if len(rows) else rows
+    open_ = np.unique(_joined(rows[rows["context"].isna()] if len(rows) else rows, "anchor", U)) if len(rows) else np.empty(0, U)
+    if not len(told):
+        return open_, np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.unique(open_ >> SHORT)
+    h, c, least = _joined(told, "anchor", U), _joined(told, "context", U), _joined(told, "least", np.int64)
+    order = np.argsort(c, kind="stable")
+    return open_, h[order], c[order], least[order], np.unique(np.concatenate((open_, h)) >> SHORT)
+
+
+def _late(doc: int, c: np.ndarray, known: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which contexts stand in a smaller document."""
+    if not len(known):
+        return np.zeros(len(c), bool)
+    place = np.minimum(np.searchsorted(known, c), len(known) - 1)
+    return (known[place] == c) & (least[place] < doc)
+
+
+def _chunk_heads(texts: pd.DataFrame, answers: pd.DataFrame):
+    """(doc_id, bytes, late ranges, starts, heads, checks) per document of a chunk: the ranges of contexts that stand in
+    a smaller document, and the heads in the other contexts of anchors that have several."""
+    open_, _, known, least, shared = _settled(answers)
+    left = SPAN - GRAM
+    for doc, raw, at, h in _chunk_anchors(texts, shared):
+        start, ranges = np.empty(0, np.int64), np.empty((2, 0), np.int64)
+        if len(at):
+            late = _late(doc, contexts(raw, at), known, least)
+            a, b = np.maximum(at - left, 0), np.minimum(at + SPAN, len(raw))
+            whole = late & (b - a >= SPAN)
+            ranges = np.stack((a[whole], b[whole]))
+            mine = ~late & _within(h, open_)
+            start = _starts(raw, at[mine]) if mine.any() else start
+        if len(start):
+            head, check = heads(raw)
+            yield doc, raw, ranges, start, head[start], check[start]
+        else:
+            yield doc, raw, ranges, start, np.empty(0, U), np.empty(0, np.uint32)
 
 
 class Steps:
@@ -151,164 +219,137 @@ class Steps:
         return pd.DataFrame(out, columns=["chunk", "hashes"])
 
     def send_contexts(self, texts: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        """Each (anchor, context) of the chunk once, with its least document."""
+        """Each context of the chunk once, with its least document, dealt by context; and each anchor once with its
+        least and greatest context, dealt by anchor, to buckets behind the others."""
+        columns = ["bucket", "chunk", "anchor", "context", "least", "more"]
         if not len(texts) or not len(shared):
-            return pd.DataFrame(columns=["bucket", "chunk", "anchor", "context", "least", "more"])
+            return pd.DataFrame(columns=columns)
         chunk = int(texts["chunk"].iloc[0])
         found = [(h, contexts(raw, at), np.full(len(at), d, np.int64)) for d, raw, at, h in _chunk_anchors(texts, shared_of(shared))]
         h, c, d = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((d, c, h))
+        if not len(h):
+            return pd.DataFrame(columns=columns)
+        order = np.lexsort((d, h, c))
         h, c, d = h[order], c[order], d[order]
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.empty(0, np.int64)
-        last = np.r_[first[1:], len(h)] - 1 if len(h) else first
-        more = d[first] != d[last] if len(h) else np.empty(0, bool)
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        last = np.r_[first[1:], len(h)] - 1
+        more = d[first] != d[last]
         h, c, d = h[first], c[first], d[first]
-        return pd.DataFrame(
-            [(b, chunk, h[x:y].tobytes(), c[x:y].tobytes(), d[x:y].tobytes(), more[x:y].tobytes()) for b, x, y in _buckets(h, self.n)],
-            columns=["bucket", "chunk", "anchor", "context", "least", "more"])
-
-    @staticmethod
-    def settle_contexts(rows: pd.DataFrame) -> pd.DataFrame:
-        """The least document of each context. Only the chunk that holds it is asked for bytes, and only if the
-        anchor has another context."""
+        rows = [(b, chunk, h[x:y].tobytes(), c[x:y].tobytes(), d[x:y].tobytes(), more[x:y].tobytes()) for b, x, y in _buckets(c, self.n)]
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        last = np.r_[first[1:], len(h)] - 1
+        h, low, high = h[first], c[first], c[last]
+        rows += [(self.n + b, chunk, h[x:y].tobytes(), low[x:y].tobytes(), None, (low[x:y] != high[x:y]).tobytes()) for b, x, y in _buckets(h, self.n)]
+        return pd.DataFrame(rows, columns=columns)
+
+    def settle_contexts(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """For each chunk the least document of the contexts that it has in a later one too, or the anchors that have
+        several contexts."""
+        columns = ["chunk", "anchor", "context", "least"]
         sizes = [len(x) // 8 for x in rows["anchor"]]
-        h = np.concatenate([np.frombuffer(x, U) for x in rows["anchor"]])
-        c = np.concatenate([np.frombuffer(x, U) for x in rows["context"]])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in rows["least"]])
-        more = np.concatenate([np.frombuffer(x, np.bool_) for x in rows["more"]])
+        h, c, more = _joined(rows, "anchor", U), _joined(rows, "context", U), _joined(rows, "more", np.bool_)
         chunk = np.repeat(rows["chunk"].to_numpy(), sizes)
-        order = np.lexsort((chunk, d, c, h))
-        h, c, d, more, chunk = h[order], c[order], d[order], more[order], chunk[order]
-        new_context = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-        first = np.flatnonzero(new_context)
-        length = np.diff(np.r_[first, len(h)])
-        least = np.repeat(d[first], length)
-        new_anchor = np.r_[True, h[1:] != h[:-1]]
-        anchor = np.cumsum(new_anchor) - 1
-        kinds = np.bincount(anchor, weights=new_context)[anchor]
-        wanted = new_context & (kinds > 1)
-        # a chunk needs the answer if it has later documents with the context, or is asked for bytes
-        tell = wanted | more | (d > least)
-        h, c, least, wanted, chunk = h[tell], c[tell], least[tell], wanted[tell], chunk[tell]
+        by_context = int(rows["bucket"].iloc[0]) < self.n
+        if by_context:
+            d = _joined(rows, "least", np.int64)
+            order = np.lexsort((d, h, c))
+            h, c, d, more, chunk = h[order], c[order], d[order], more[order], chunk[order]
+            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            least = np.repeat(d[new], np.diff(np.r_[new, len(h)]))
+            # a chunk needs the answer if it has later documents with the context
+            tell = more | (d > least)
+            h, c, least, chunk = h[tell], c[tell], least[tell], chunk[tell]
+        else:
+            order = np.argsort(h, kind="stable")
+            h, c, more, chunk = h[order], c[order], more[order], chunk[order]
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            several = (np.minimum.reduceat(c, new) != np.maximum.reduceat(c, new)) | np.logical_or.reduceat(more, new)
+            tell = np.repeat(several, np.diff(np.r_[new, len(h)]))
+            h, chunk = h[tell], chunk[tell]
         order = np.argsort(chunk, kind="stable")
-        h, c, least, wanted, chunk = h[order], c[order], least[order], wanted[order], chunk[order]
+        h, chunk = h[order], chunk[order]
+        if by_context:
+            c, least = c[order], least[order]
         edges = np.flatnonzero(np.diff(chunk, prepend=-1))
         return pd.DataFrame(
-            [(int(chunk[x]), h[x:y].tobytes(), c[x:y].tobytes(), least[x:y].tobytes(), wanted[x:y].tobytes())
-             for x, y in zip(edges, [*edges[1:], len(chunk)])], columns=["chunk", "anchor", "context", "least", "wanted"])
-
-    def send_bytes(self, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """The bytes of the contexts that are wanted, the anchor at byte SPAN - GRAM of a row of fixed width."""
-        columns = ["bucket", "chunk", "context", "doc", "before", "after", "data"]
-        h, c, least, wanted = _known_contexts(answers)
-        if not len(texts) or not wanted.any():
+            [(int(chunk[x]), h[x:y].tobytes(), *((c[x:y].tobytes(), least[x:y].tobytes()) if by_context else (None, None)))
+             for x, y in zip(edges, [*edges[1:], len(chunk)])], columns=columns)
+
+    def send_heads(self, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """Each head of the chunk once, and which occur in two of its documents."""
+        columns = ["bucket", "chunk", "hashes", "several"]
+        if not len(texts) or not len(answers):
             return pd.DataFrame(columns=columns)
-        shared = np.unique(h[wanted] >> SHORT)
-        open_ = {(int(x), int(m)) for x, m in zip(c[wanted], least[wanted])}
-        chunk = int(texts["chunk"].iloc[0])
-        left = SPAN - GRAM
-        rows = []
-        for doc, raw, at, own in _chunk_anchors(texts, shared):
-            if not len(at):
-                continue
-            for p, k, g in zip(at.tolist(), contexts(raw, at).tolist(), own.tolist()):
-                if (k, doc) in open_:
-                    open_.discard((k, doc))
-                    a, b = max(0, p - left), min(len(raw), p + SPAN)
-                    data = bytes(left - (p - a)) + raw[a:b].tobytes() + bytes(SPAN - (b - p))
-                    rows.append((g, k, doc, p - a, b - p, data))
-        if not rows:
+        found = [np.unique(head >> SHORT) for *_, head, _ in _chunk_heads(texts, answers) if len(head)]
+        finer = Steps(FINER * self.n)
+        return finer.packed(found, int(texts["chunk"].iloc[0])) if found else pd.DataFrame(columns=columns)
+
+    def send_least(self, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """Each shared head of the chunk once, with its least document."""
+        columns = ["bucket", "chunk", "head", "check", "least", "more"]
+        told, shared = _parted(answers)
+        if not len(texts) or not len(shared):
+            return pd.DataFrame(columns=columns)
+        shared, found = shared_of(shared), [(np.empty(0, U), np.empty(0, np.uint32), np.empty(0, np.int64))]
+        for doc, _, _, _, head, check in _chunk_heads(texts, told):
+            keep = _within(head >> SHORT, shared)
+            if keep.any():
+                found.append((head[keep], check[keep], np.full(int(keep.sum()), doc, np.int64)))
+        g, k, d = (np.concatenate(x) for x in zip(*found))
+        if not len(g):
             return pd.DataFrame(columns=columns)
-        rows.sort(key=lambda r: r[0])
-        g, k, doc, before, after = (np.array([r[i] for r in rows], kind) for i, kind in enumerate((U, U, np.int64, np.uint8, np.uint8)))
+        order = np.lexsort((d, k, g))
+        g, k, d = g[order], k[order], d[order]
+        first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+        last = np.r_[first[1:], len(g)] - 1
+        more = d[first] != d[last]
+        g, k, d = g[first], k[first], d[first]
         return pd.DataFrame(
-            [(b, chunk, k[x:y].tobytes(), doc[x:y].tobytes(), before[x:y].tobytes(), after[x:y].tobytes(), b"".join(r[5] for r in rows[x:y]))
+            [(b, int(texts["chunk"].iloc[0]), g[x:y].tobytes(), k[x:y].tobytes(), d[x:y].tobytes(), more[x:y].tobytes())
              for b, x, y in _buckets(g, FINER * self.n)], columns=columns)
 
     @staticmethod
-    def previous_factors(rows: pd.DataFrame) -> pd.DataFrame:
-        """For each context the string starts whose longest previous factor reaches SPAN, as bits."""
-        width, left = 2 * SPAN - GRAM, SPAN - GRAM
-        sizes = [len(x) // 8 for x in rows["context"]]
-        data = np.frombuffer(b"".join(rows["data"]), np.uint8).reshape(-1, width)
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in rows["doc"]])
-        before = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["before"]]).astype(np.int64)
-        after = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["after"]]).astype(np.int64)
-        up, down = powers(width + 1)
-        heads = np.empty((len(data), left + 1), U)
-        for k in range(0, len(data), PER_STEP):
-            part = data[k:k + PER_STEP]
-            with np.errstate(over="ignore"):
-                total = np.concatenate((np.zeros((len(part), 1), U), np.cumsum((part.astype(U) + U(1)) * up[:-1], axis=1, dtype=U)), axis=1)
-                heads[k:k + PER_STEP] = mix((total[:, SPAN:] - total[:, :width - SPAN + 1]) * down[:width - SPAN + 1])
-        place = np.arange(left + 1)
-        valid = (place >= left - before[:, None]) & (place + SPAN <= left + after[:, None])
-        row, start = np.nonzero(valid)
-        head = heads[row, start]
-        # a head that stands alone has no partner; the others are put into suffix order by their bytes
-        ordered = np.sort(head)
-        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if len(again):
-            near = np.minimum(np.searchsorted(again, head), len(again) - 1)
-            keep = again[near] == head
-        else:
-            keep = np.zeros(len(head), bool)
-        row, start = row[keep], start[keep]
-        mask = np.zeros(len(data), np.int64)
-        if len(row):
-            flat = np.ascontiguousarray(data).reshape(-1)
-            base = row * width + start
-            words = [np.zeros(len(row), U) for _ in range((SPAN + 7) // 8)]
-            for j in range(SPAN):
-                words[j // 8] = (words[j // 8] << U(8)) | flat[base + j].astype(U)
-            order = np.lexsort((doc[row], *words[::-1]))
-            same = np.ones(len(row) - 1, bool)
-            for w in words:
-                same &= w[order][1:] == w[order][:-1]
-            run = np.cumsum(np.r_[True, ~same]) - 1
-            least = doc[row[order]][np.flatnonzero(np.r_[True, ~same])]
-            later = doc[row[order]] > least[run]
-            np.bitwise_or.at(mask, row[order][later], np.int64(1) << start[order][later])
-        out, at = [], 0
-        for chunk, context, size in zip(rows["chunk"], rows["context"], sizes):
-            own = mask[at:at + size]
-            at += size
-            hit = own != 0
-            if hit.any():
-                out.append((chunk, np.frombuffer(context, U)[hit].tobytes(), own[hit].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "context", "mask"])
+    def settle_heads(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each chunk the least document of the heads that it has in a later one."""
+        sizes = [len(x) // 8 for x in rows["head"]]
+        g, k, d, more = (_joined(rows, c, kind) for c, kind in (("head", U), ("check", np.uint32), ("least", np.int64), ("more", np.bool_)))
+        chunk = np.repeat(rows["chunk"].to_numpy(), sizes)
+        order = np.lexsort((d, k, g))
+        g, k, d, more, chunk = g[order], k[order], d[order], more[order], chunk[order]
+        new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+        least = np.repeat(d[new], np.diff(np.r_[new, len(g)]))
+        tell = more | (d > least)
+        g, k, least, chunk = g[tell], k[tell], least[tell], chunk[tell]
+        order = np.argsort(chunk, kind="stable")
+        g, k, least, chunk = g[order], k[order], least[order], chunk[order]
+        edges = np.flatnonzero(np.diff(chunk, prepend=-1))
+        return pd.DataFrame(
+            [(int(chunk[x]), g[x:y].tobytes(), k[x:y].tobytes(), least[x:y].tobytes()) for x, y in zip(edges, [*edges[1:], len(chunk)])],
+            columns=["chunk", "head", "check", "least"])
 
     @staticmethod
     def mark(texts: pd.DataFrame, answers: pd.DataFrame, with_text: bool) -> pd.DataFrame:
         """The removed ranges of each document of the chunk."""
-        settled = answers[answers["mask"].isna()] if len(answers) else answers
-        partial = answers[answers["mask"].notna()] if len(answers) else answers
-        h, c, least, _ = _known_contexts(settled)
-        shared = np.unique(h >> SHORT)
-        some = {}
-        for context, mask in zip(partial.get("context", ()), partial.get("mask", ())):
-            some.update(zip(np.frombuffer(context, U).tolist(), np.frombuffer(mask, np.int64).tolist()))
-        left = SPAN - GRAM
+        told, some = _parted(answers, "head")
+        g, k, least = _joined(some, "head", U), _joined(some, "check", np.uint32), _joined(some, "least", np.int64)
+        order = np.lexsort((k, g))
+        g, k, least = g[order], k[order], least[order]
         out = []
-        for doc, raw, at, _ in _chunk_anchors(texts, shared):
+        for doc, raw, ranges, start, head, check in _chunk_heads(texts, told):
             step = np.zeros(len(raw) + 1, np.int64)
-            if len(at):
-                k = contexts(raw, at)
-                place = np.minimum(np.searchsorted(c, k), len(c) - 1)
-                found = c[place] == k
-                late = found & (least[place] < doc)
-                a, b = np.maximum(at - left, 0), np.minimum(at + SPAN, len(raw))
-                whole = late & (b - a >= SPAN)
-                np.add.at(step, a[whole], 1)
-                np.add.at(step, b[whole], -1)
-                if some:
-                    for i in np.flatnonzero(found & (least[place] == doc)):
-                        bits = some.get(int(k[i]), 0)
-                        while bits:
-                            s = int(at[i]) - left + (bits & -bits).bit_length() - 1
-                            step[s] += 1
-                            step[s + SPAN] -= 1
-                            bits &= bits - 1
+            np.add.at(step, ranges[0], 1)
+            np.add.at(step, ranges[1], -1)
+            if len(start) and len(g):
+                # heads that differ only in their check lie side by side: there are hardly ever two
+                place, end = np.searchsorted(g, head), np.searchsorted(g, head, side="right")
+                while (open_ := place < end).any():
+                    near = place[open_]
+                    hit = (k[near] == check[open_]) & (least[near] < doc)
+                    np.add.at(step, start[open_][hit], 1)
+                    np.add.at(step, start[open_][hit] + SPAN, -1)
+                    place = place + 1
             gone = np.cumsum(step[:-1]) > 0
             kept = raw[~gone].tobytes()
             n_spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
@@ -318,6 +359,14 @@ class Steps:
         return pd.DataFrame(out, columns=names)
 
 
+def _parted(answers: pd.DataFrame, later: str = "hashes") -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The answers about contexts, and those that hold the column ``later``."""
+    if not len(answers):
+        return answers, answers
+    hit = answers[later].notna()
+    return answers[~hit], answers[hit]
+
+
 def chunked(rows: DataFrame, n_chunks: int, label: str) -> DataFrame:
     """``rows`` as a table bucketed by their ``chunk``, so that grouping by it moves nothing."""
     spark = rows.sparkSession
@@ -344,11 +393,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_column: str = "d
     shared = as_table(sent.groupBy("bucket").applyInPandas(steps.find_shared, "chunk int, hashes binary"), "repeats-shared")
     sent = answered(shared, lambda t, a: steps.send_contexts(t, a), "bucket long, chunk int, anchor binary, context binary, least binary, more binary")
     settled = as_table(sent.groupBy("bucket").applyInPandas(
-        steps.settle_contexts, "chunk int, anchor binary, context binary, least binary, wanted binary"), "repeats-contexts")
-    sent = answered(settled, lambda t, a: steps.send_bytes(t, a), "bucket long, chunk int, context binary, doc binary, before binary, after binary, data binary")
-    partial = as_table(sent.groupBy("bucket").applyInPandas(
-        steps.previous_factors, "chunk int, context binary, mask binary"), "repeats-factors")
-    answers = settled.withColumn("mask", F.lit(None).cast("binary")).unionByName(partial, allowMissingColumns=True)
+        lambda r: steps.settle_contexts(r), "chunk int, anchor binary, context binary, least binary"), "repeats-contexts")
+    sent = answered(settled, lambda t, a: steps.send_heads(t, a), "bucket long, chunk int, hashes binary, several binary")
+    known = as_table(sent.groupBy("bucket").applyInPandas(steps.find_shared, "chunk int, hashes binary"), "repeats-heads")
+    asked = settled.unionByName(known, allowMissingColumns=True)
+    sent = answered(asked, lambda t, a: steps.send_least(t, a), "bucket long, chunk int, head binary, check binary, least binary, more binary")
+    least = as_table(sent.groupBy("bucket").applyInPandas(
+        steps.settle_heads, "chunk int, head binary, check binary, least binary"), "repeats-least")
+    answers = settled.unionByName(least, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     marked = answered(answers, lambda t, a: steps.mark(t, a, with_text), schema)
     raw = F.to_binary("text", F.lit("utf-8"))
