@@ -72,6 +72,23 @@ def test_same_vocabulary_same_topic(spark, posts, cells):
     assert all(b <= a + 1e-9 for a, b in zip(model.losses, model.losses[1:]))
 
 
+def test_tables_revive_and_scale_topics(spark):
+    from tidemark.operators.topics_by_join import _unit_topics
+
+    h = np.array([[3.0, 0.0, 4.0], [0.0, 0.0, 0.0]])
+    table = spark.createDataFrame([(str(i), [float(v) for v in h[:, i]]) for i in range(3)], "term string, loadings array<double>")
+    got = np.array([r.loadings for r in _unit_topics(table, 2).orderBy("term").collect()]).T
+    assert np.allclose(got, [[0.6, 0.0, 0.8], [3**-0.5] * 3])
+
+
+def test_equal_losses_on_both_layouts(spark, posts):
+    # all terms are in the head here, so both layouts start from the same vocabulary
+    fits = [topics.fit_topics(posts, n_topics=2, seed=1, max_factor_cells=cells, tolerance=1e-6) for cells in (topics.MAX_FACTOR_CELLS, 0)]
+    assert fits[1].losses[-1] == pytest.approx(fits[0].losses[-1], rel=1e-5)
+    assert all(b <= a + 1e-9 for a, b in zip(fits[1].losses, fits[1].losses[1:]))
+    assert len(topics.fit_topics(posts, n_topics=2, seed=1, tolerance=1.0).losses) == 2
+
+
 def test_no_vocabulary(spark):
     with pytest.raises(ValueError):
         topics.fit_topics(spark.createDataFrame([("1", "alpha"), ("2", "beta")], "post_id string, text string"))

@@ -327,8 +327,12 @@ def fit_topics(
     keep: Sequence[str] = ("post_id",),
     max_iter: int = 400,
     max_factor_cells: int = MAX_FACTOR_CELLS,
+    tolerance: float = LOSS_TOLERANCE,
 ) -> TopicModel:
-    """Fits one model over all posts of ``df``; the assignment of the posts carries the columns in ``keep``."""
+    """Fits one model over all posts of ``df``; the assignment of the posts carries the columns in ``keep``.
+
+    It ends after ``max_iter`` passes, or when the loss falls by no more than ``tolerance`` of itself.
+    """
     keep = list(keep)
     posts = as_table(df.select(*keep, vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens")
     documents = posts.count()
@@ -340,15 +344,17 @@ def fit_topics(
     if size * k > max_factor_cells:
         from .topics_by_join import fit_by_join
 
-        return fit_by_join(posts, words, k, seed, keep, max_iter)
+        return fit_by_join(posts, words, k, seed, keep, max_iter, tolerance)
     table = words.orderBy("term").toArrow()
     x = as_table(_weigh(posts, table, keep), "weighted")
-    h, losses = _factor(x, documents, size, k, seed, max_iter)
+    h, losses = _factor(x, documents, size, k, seed, max_iter, tolerance)
     return TopicModel(k, x, keep, losses, table, h)
 
 
-def _factor(x: DataFrame, documents: int, size: int, k: int, seed: int, max_iter: int) -> tuple[np.ndarray, list[float]]:
-    """H by alternating least squares; stops when the loss falls by less than ``LOSS_TOLERANCE`` of itself."""
+def _factor(
+    x: DataFrame, documents: int, size: int, k: int, seed: int, max_iter: int, tolerance: float = LOSS_TOLERANCE,
+) -> tuple[np.ndarray, list[float]]:
+    """H by alternating least squares; stops when the loss falls by no more than ``tolerance`` of itself."""
     context = x.sparkSession.sparkContext
     h, square = _start(x, documents, size, k, seed)
     losses: list[float] = []
@@ -363,7 +369,7 @@ def _factor(x: DataFrame, documents: int, size: int, k: int, seed: int, max_iter
         shared.unpersist()
         cross, outer = sums[:, :size], sums[:, size:]
         losses.append(square - 2 * float((cross * h).sum()) + float((outer * gram).sum()))
-        if len(losses) > 1 and losses[-2] - losses[-1] <= LOSS_TOLERANCE * abs(losses[-2]):
+        if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * abs(losses[-2]):
             break
         h = least_squares_weights(cross.T, outer).T
         h[h.sum(axis=1) <= 0] = _TINY  # a topic that lost all its terms may come back

@@ -63,13 +63,14 @@ def _cross(entries: DataFrame, side: DataFrame, on: str, key: str, column: str,
 
 
 def fit_by_join(
-    posts: DataFrame, words: DataFrame, k: int, seed: int, keep: Sequence[str], max_iter: int
+    posts: DataFrame, words: DataFrame, k: int, seed: int, keep: Sequence[str], max_iter: int,
+    tolerance: float = topics.LOSS_TOLERANCE,
 ) -> topics.TopicModel:
     keep = list(keep)
     numbered = as_table(posts.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     entries = as_table(weighted_terms(numbered, words, ["_row"]), "entries")
     square = entries.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0]
-    loadings = as_table(_head_start(posts, words, k, seed, max_iter), "loadings")
+    loadings = as_table(_head_start(posts, words, k, seed, max_iter, tolerance), "loadings")
     losses: list[float] = []
     for _ in range(max_iter):
         gram = _gram(loadings, "loadings", k)
@@ -77,15 +78,26 @@ def fit_by_join(
         outer = _gram(weights, "w", k)
         fit = weights.agg(F.sum("fit")).first()[0] or 0.0
         losses.append(square - 2 * fit + float((outer * gram).sum()))
-        if len(losses) > 1 and losses[-2] - losses[-1] <= topics.LOSS_TOLERANCE * abs(losses[-2]):
+        if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * abs(losses[-2]):
             break
         solved = _solve(_cross(entries, weights, "_row", "term", "w", k), "term", outer, "loadings")
-        loadings = as_table(solved.select("term", "loadings"), "loadings")
+        loadings = as_table(_unit_topics(solved.select("term", "loadings"), k), "loadings")
     factors = words.select("term", "idf").join(loadings, "term")
     return topics.TopicModel(k, numbered, keep, losses, table=as_table(factors, "factors"))
 
 
-def _head_start(posts: DataFrame, words: DataFrame, k: int, seed: int, max_iter: int) -> DataFrame:
+def _unit_topics(solved: DataFrame, k: int) -> DataFrame:
+    """Topics of unit length; one that lost all its terms gets an even loading and may come back."""
+    solved = as_table(solved, "solved")
+    at = [F.get("loadings", F.lit(i)) for i in range(k)]
+    # as in the layout in tasks: _TINY everywhere, and then unit length
+    dead = [(value or 0.0) <= 0 for value in solved.agg(*[F.sum(x) for x in at]).first()]
+    revived = [F.lit(topics._TINY) if gone else x for x, gone in zip(at, dead)]
+    lengths = [max(float(np.sqrt(value or 0.0)), topics._TINY) for value in solved.agg(*[F.sum(x * x) for x in revived]).first()]
+    return solved.select("term", F.array(*[x / F.lit(length) for x, length in zip(revived, lengths)]).alias("loadings"))
+
+
+def _head_start(posts: DataFrame, words: DataFrame, k: int, seed: int, max_iter: int, tolerance: float) -> DataFrame:
     """Loadings of all terms from a model of the most frequent ones; the other terms get theirs from its posts."""
     size = words.count()
     # the hash separates terms of equal frequency
@@ -97,7 +109,7 @@ def _head_start(posts: DataFrame, words: DataFrame, k: int, seed: int, max_iter:
         head = words
     table = head.orderBy("term").toArrow()
     x = as_table(topics._weigh(posts, table, []), "head")
-    h, _ = topics._factor(x, posts.count(), table.num_rows, min(k, table.num_rows), seed, max_iter)
+    h, _ = topics._factor(x, posts.count(), table.num_rows, min(k, table.num_rows), seed, max_iter, tolerance)
     h = np.vstack([h, np.zeros((k - len(h), h.shape[1]))])
     start = posts.sparkSession.createDataFrame(
         pa.table({"term": table.column("term"), "loadings": topics.lists(np.ascontiguousarray(h.T))}))
