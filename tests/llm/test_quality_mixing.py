@@ -94,6 +94,30 @@ def test_mix_of_documents(spark, small):
         assert abs(taken[s] - wanted[s]) <= largest[s]
 
 
+def test_threshold_is_the_nearest_document(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (1 + i * 37 % 90), f"s{i % 6}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", mixing.position_hash(F.col("doc_id"), F.col("text")).alias("h")).collect()}
+    got = mixing.mixed_sizes(docs).collect()
+    sizes, by = {}, {}
+    for d, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t) // 2
+        by.setdefault(s, []).append((hashes[d], len(t) // 2))
+    wanted, taken = shares(sizes), dict.fromkeys(sizes, 0)
+    for r in got:
+        taken[rows[r.doc_id][2]] += r.taken
+    for s, size in sizes.items():
+        total = wanted[s] // size * size
+        for _, n in sorted(by[s]):
+            if abs(total + n - wanted[s]) <= abs(total - wanted[s]):
+                total += n
+            else:
+                break
+        assert taken[s] == total
+
+
 def test_mix_of_odd_rows(odd):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count()

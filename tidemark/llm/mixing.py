@@ -106,11 +106,16 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         order = W.partitionBy("source").orderBy("digit")
         running = histogram.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
         last = level == DIGITS - 1
+        # the digit in which the running sum goes above the rest; empty digits before it are passed over
+        crossing = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("digit", "before", "upto", "rest")))
+        found = running.groupBy("source").agg(
+            crossing.alias("x"), F.max("digit").alias("last_digit"), F.max("upto").alias("all"))
         # the last digit is one hash: its documents are taken if that ends nearer to the target
-        passed = F.col("upto") - F.col("rest") <= F.col("rest") - F.col("before") if last else F.col("upto") <= F.col("rest")
-        step = running.groupBy("source").agg(
-            F.coalesce(F.max(F.when(passed, F.col("digit") + 1)), F.lit(0)).alias("first_open"),
-            F.coalesce(F.max(F.when(passed, F.col("upto"))), F.lit(0)).alias("taken"))
+        nearer = F.lit(last) & (F.col("x.upto") - F.col("x.rest") <= F.col("x.rest") - F.col("x.before"))
+        step = found.select(
+            "source",
+            F.when(F.col("x").isNull(), F.col("last_digit") + 1).when(nearer, F.col("x.digit") + 1).otherwise(F.col("x.digit")).alias("first_open"),
+            F.when(F.col("x").isNull(), F.col("all")).when(nearer, F.col("x.upto")).otherwise(F.col("x.before")).alias("taken"))
         state = as_table(state.alias("t").join(step.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")), "left").select(
             "t.source", "t.source_size", "t.target", "t.whole",
             (F.col("t.rest") - F.coalesce("s.taken", F.lit(0))).alias("rest"),
