@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chat, html_text, mixing, packing, private_data, quality, repeats, shingle_join, toxicity
+from . import cap_filters, chat, html_text, merkle, mixing, packing, private_data, quality, repeats, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,6 +89,11 @@ def op6_context_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return private_data.report(private_data.find(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tampering_report(table(spark, folder, "documents"))
+
+
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
@@ -120,3 +125,40 @@ links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q
 reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(y) FROM reached r WHERE r.x = d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id)"""
+
+#: unsigned crc32 of the decimal form of a column, bit by bit
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}::VARCHAR, ''),
+    lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in (*merkle.FIELDS[:-1], text)) + ")"
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (SELECT doc_id, lang, {_leaf('text')} AS leaf,
+    CASE WHEN {_CRC32.format('doc_id')} % 3 = 0 THEN {_leaf(_LOWER.format('text'))} END AS changed FROM documents),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes(tree, lvl, idx, digest, width) AS (SELECT tree, 0, pos, leaf, n FROM leaves UNION ALL
+    SELECT tree, lvl + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), any_value((width + 7) // 8) FROM nodes WHERE width > 1 GROUP BY tree, lvl, idx // 8),
+subroots AS (SELECT tree, digest, count(*) OVER () AS n FROM nodes WHERE width = 1),
+above(lvl, idx, digest, width) AS (SELECT 0, tree, digest, n FROM subroots UNION ALL
+    SELECT lvl + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), any_value((width + 7) // 8) FROM above WHERE width > 1 GROUP BY lvl, idx // 8),
+beside AS (SELECT tree, pos, 0 AS part, s.lvl, s.idx > pos >> (3 * s.lvl) AS after, s.idx, s.digest FROM leaves l JOIN nodes s USING (tree)
+    WHERE s.width > 1 AND s.idx >> 3 = pos >> (3 * s.lvl + 3) AND s.idx <> pos >> (3 * s.lvl)
+  UNION ALL SELECT tree, pos, 1, s.lvl, s.idx > tree >> (3 * s.lvl), s.idx, s.digest FROM leaves l JOIN above s
+    ON s.width > 1 AND s.idx >> 3 = tree >> (3 * s.lvl + 3) AND s.idx <> tree >> (3 * s.lvl)),
+around AS (SELECT tree, pos, part, lvl, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (NOT after), '') AS a,
+    coalesce(string_agg(digest, '' ORDER BY idx) FILTER (after), '') AS b FROM beside GROUP BY ALL),
+levels AS (SELECT DISTINCT tree, pos, 0 AS part, lvl FROM leaves JOIN nodes USING (tree) WHERE width > 1
+  UNION ALL SELECT DISTINCT tree, pos, 1, lvl FROM leaves, above WHERE width > 1),
+paths AS (SELECT tree, pos, string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY part, lvl) AS proof,
+    list(coalesce(a, '') || '|' || coalesce(b, '') ORDER BY part, lvl) AS steps FROM levels LEFT JOIN around USING (tree, pos, part, lvl) GROUP BY ALL),
+found AS (SELECT l.*, s.digest AS subroot, (SELECT digest FROM above WHERE width = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(changed, leaf), coalesce(steps, [])),
+        lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2))) AS folded_root
+  FROM leaves l JOIN subroots s USING (tree) LEFT JOIN paths USING (tree, pos))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM found"""
