@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chat, html_text, merkle, mixing, packing, private_data, quality, repeats, shingle_join, toxicity
+from . import cap_filters, chat, hash_index, html_text, merkle, mixing, packing, private_data, quality, repeats, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,6 +89,11 @@ def op6_context_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return private_data.report(private_data.find(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+@query
+def op12_hash_index(spark: SparkSession, folder: str) -> DataFrame:
+    return hash_index.duplicates(table(spark, folder, "documents").select("doc_id", "text")).drop("chain")
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.tampering_report(table(spark, folder, "documents"))
@@ -132,6 +137,11 @@ _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten
     lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+ORACLES["op12_hash_index"] = f"""
+WITH normal AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+    sha256(t) AS text_sha256 FROM normal WINDOW same AS (PARTITION BY t)"""
+
 
 def _leaf(text: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in (*merkle.FIELDS[:-1], text)) + ")"
