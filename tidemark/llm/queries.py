@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chat, hash_index, html_text, merkle, mixing, packing, private_data, quality, repeats, shingle_join, toxicity
+from . import cap_filters, chat, hash_index, html_text, merkle, mixing, packing, prefix_trie, private_data, quality, repeats, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,6 +89,11 @@ def op6_context_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return private_data.report(private_data.find(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
 @query
 def op12_hash_index(spark: SparkSession, folder: str) -> DataFrame:
     return hash_index.duplicates(table(spark, folder, "documents").select("doc_id", "text")).drop("chain")
@@ -137,6 +142,23 @@ _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten
     lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+ORACLES["op11_prefix_trie"] = f"""
+WITH own AS (SELECT conv_id, list({{'d': sha256(strlen(r) || ':' || r || t), 'n': strlen(t)}} ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || t)) AS turns
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+sized AS (SELECT *, ({_CRC32.format('conv_id')} % 9)::INT AS h FROM own),
+whole AS (SELECT s.conv_id, list_concat(coalesce(f.turns, [])[1:h], s.turns[h + 1:]) AS turns
+  FROM sized s LEFT JOIN own f ON f.conv_id = s.conv_id - s.conv_id % 5),
+members AS (SELECT conv_id, len(turns) AS l, turns[d].n AS n, list_transform(turns, lambda t: t.d)[1:d] AS path, d
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM whole)),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * any_value(n) END AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (l = d), '')) AS ends_sha256 FROM members GROUP BY path, d),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.k, 0) AS n_children FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+  LEFT JOIN (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL) c ON c.d = n.d AND c.path = n.path),
+below AS (SELECT path[1:u] AS path, u AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM linked) GROUP BY ALL)
+SELECT conv_id, n.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM linked n JOIN below b ON b.d = n.d AND b.path = n.path"""
+
 ORACLES["op12_hash_index"] = f"""
 WITH normal AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
