@@ -447,6 +447,15 @@ WHERE rank <= 10""", TERMS + """,
 weighed AS (SELECT post_id, lang, term, (1 + ln(n)) * idf AS v FROM counted JOIN words USING (term)),
 normed AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY post_id)) AS norm FROM weighed)""")
 
+ORACLES["tfidf_repeated_ids"] = with_posts(f"""
+SELECT lang, count(*) AS entries, count(DISTINCT term) AS terms, {r6('sum(v / norm)', 'weight')}, {r6('sum((v / norm) * (v / norm))', 'posts')}
+FROM normed GROUP BY lang""", TERMS + """,
+weighed AS (SELECT post_id, lang, term, (1 + ln(n)) * idf AS v FROM counted JOIN words USING (term)),
+normed AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY post_id)) AS norm FROM weighed)""")
+# properties that any right fit has; the numbers themselves are not SQL
+ORACLES["topic_assignment_again"] = "SELECT lang, count(*) AS posts FROM documents GROUP BY lang"
+ORACLES["topic_of_own_words"] = "SELECT 4::BIGINT AS topics, 4::BIGINT AS found"
+ORACLES["topic_loss_falls"] = "SELECT count(*) AS posts, true AS falls, true AS ended, true AS solved FROM documents"
 ORACLES["topic_purity"] = "SELECT lang, count(*) AS posts, true AS pure FROM documents GROUP BY lang"
 
 # --- jobs -----------------------------------------------------------------------------------

@@ -535,6 +535,16 @@ def tfidf_top_terms(spark, folder):
     return sums.withColumn("rank", rank.cast("bigint")).filter("rank <= 10")
 
 
+@query
+def tfidf_repeated_ids(spark, folder):
+    """Every post of a language has the same id, and most terms are rarer than those that tasks look up."""
+    shared = posts(spark, folder).select(F.col("lang").alias("post_id"), "text")
+    weights = topics.tfidf(shared, head_terms=8_192, piece=8_192).withColumnRenamed("post_id", "lang")
+    return weights.groupBy("lang").agg(
+        F.count("*").alias("entries"), F.countDistinct("term").alias("terms"), r6(F.sum("weight")).alias("weight"),
+        r6(F.sum(F.col("weight") * F.col("weight"))).alias("posts"))
+
+
 def language_model(spark: SparkSession, folder: str) -> topics.TopicModel:
     return topics.fit_topics(dated(spark, folder), 4, keep=["post_id", "lang", "period"])
 
@@ -550,6 +560,41 @@ def topic_assignment(spark, folder):
     return language_model(spark, folder).assign().groupBy("topic", "lang").agg(F.count("*").alias("posts"))
 
 
+@query
+def topic_assignment_again(spark, folder):
+    """Per language, the posts that get the topic of the fit when they come again as new posts."""
+    model = language_model(spark, folder)
+    again = model.assign(dated(spark, folder).select("post_id", "text")).select("post_id", F.col("topic").alias("fresh"))
+    return model.assign().join(again, "post_id").where(F.col("topic") == F.col("fresh")).groupBy("lang").agg(F.count("*").alias("posts"))
+
+
+@query
+def topic_of_own_words(spark, folder):
+    """Each topic's top words as a post, and how many topics such posts get: every topic its own."""
+    model = language_model(spark, folder)
+    words = model.describe().select("topic", F.array_join("top_words", " ").alias("text")).withColumnRenamed("topic", "described")
+    found = model.assign(words)
+    return found.agg(F.count("*").alias("topics"), F.sum((F.col("described") == F.col("topic")).cast("long")).alias("found"))
+
+
+@query
+def topic_loss_falls(spark, folder):
+    """A fit with half of the vocabulary as rare terms: losses fall, end by the rule, and weights solve their equations."""
+    model = topics.fit_topics(dated(spark, folder), 4, keep=["post_id"], head_terms=16_384, piece=8_192, tolerance=1e-2)
+    gains = -np.diff(model.losses)
+    gram = model.loadings.sums(lambda h: h.T @ h)
+
+    def residual(cross: np.ndarray) -> np.ndarray:
+        w = topics.least_squares_weights(cross, gram)
+        slope = w @ gram - cross  # zero where a weight is positive, not negative elsewhere
+        return np.stack([np.abs(np.where(w > 1e-6, slope, np.minimum(slope, 0))).max(axis=1)], axis=1)
+
+    worst = model.posts.rows(model.loadings, residual).agg(F.count("*").alias("posts"), F.max(F.get("weights", F.lit(0))).alias("worst"))
+    return worst.select(
+        "posts", F.lit(bool((gains >= 0).all())).alias("falls"), F.lit(bool(gains[-1] <= 1e-2 * gains[0])).alias("ended"),
+        (F.col("worst") < 1e-6).alias("solved"))
+
+
 @query
 def topic_purity(spark, folder):
     """Whether at least 95 % of the posts of a language share a topic that no other language has most."""

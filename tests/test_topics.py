@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,9 +22,11 @@ def test_tokens_and_pairs(one):
     assert one(lambda c: topics.words_and_pairs(topics.vocabulary_tokens(c)), "a") == []
 
 
-def test_term_counts(one):
-    got = one(lambda c: topics.term_counts(F.split(c, " ")), "b a b c b a")
-    assert [(r.term, r.n) for r in got] == [("a", 2), ("b", 3), ("c", 1)]
+def test_entries_of_a_batch():
+    batch = pa.record_batch([pa.array([["b", "a", "b", "c", "b", "a"], [], ["c"]])], names=["_tokens"])
+    names, row, term, n = topics._entries(batch)
+    got = {(int(r), names[int(t)].as_py()): int(k) for r, t, k in zip(row, term, n)}
+    assert got == {(0, "a"): 2, (0, "b"): 3, (0, "c"): 1, (0, "b a"): 2, (0, "a b"): 1, (0, "b c"): 1, (0, "c b"): 1, (2, "c"): 1}
 
 
 def plain_tfidf(texts):
@@ -43,25 +46,41 @@ def plain_tfidf(texts):
     return rows
 
 
-def test_tfidf_long_and_sparse_agree_with_restatement(spark):
-    texts = ["apple apple pear plum", "apple pear", "plum plum plum kiwi", "kiwi pear", "unseen words", "melon"]
+#: a head of eight terms, so that most terms are rare ones
+SMALL = {"head_terms": 8, "piece": 4}
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL], ids=["head", "tail"])
+def test_tfidf_agrees_with_restatement(spark, sizes):
+    texts = ["apple apple pear plum", "apple pear", "plum plum plum kiwi", "kiwi pear", "unseen words", "melon", "", "fig date fig date", "fig date lime", "lime nut"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "post_id string, text string")
     want = plain_tfidf(texts)
-    for limit in (topics.MAX_WORDS_IN_TASKS, 1):
-        long = topics.tfidf(df, max_words_in_tasks=limit).collect()
-        assert {(r.post_id, r.term): pytest.approx(r.weight) for r in long} == {
-            (str(i), t): v for i, row in enumerate(want) for t, v in row.items()}
-    model = topics.fit_topics(df, n_topics=2)
-    names = [r.term for r in model.factors.orderBy("term").collect()]
-    for row in model.posts.collect():
-        terms, weights = np.frombuffer(row.terms, np.int32), np.frombuffer(row.weights)
+    long = topics.tfidf(df, **sizes).collect()
+    assert len(long) == sum(map(len, want))
+    assert {(r.post_id, r.term): pytest.approx(r.weight) for r in long} == {(str(i), t): v for i, row in enumerate(want) for t, v in row.items()}
+    model = topics.fit_topics(df, n_topics=2, **sizes)
+    known = model.vocabulary
+    assert (known.tail is not None) == bool(sizes)
+    names = dict(enumerate(known.head.column("term").to_pylist())) | ({r.place: r.term for r in known.tail.collect()} if sizes else {})
+    assert sorted(names) == list(range(known.terms.size)) and set(names.values()) == {t for row in want for t in row}
+    assert {r.term for r in model.factors.collect()} == set(names.values())
+    for row in model.posts.x.collect():
+        terms, weights = np.frombuffer(row.terms, np.int64), np.frombuffer(row.weights)
         assert {names[t]: pytest.approx(w) for t, w in zip(terms, weights)} == want[int(row.post_id)]
 
 
-@pytest.mark.parametrize("cells", [topics.MAX_FACTOR_CELLS, 1])
-def test_same_vocabulary_same_topic(spark, posts, cells):
-    model = topics.fit_topics(posts, n_topics=2, seed=1, keep=["post_id", "period"], max_factor_cells=cells)
-    assert model.in_tasks == (cells > 1)
+@pytest.mark.parametrize("sizes", [{}, SMALL], ids=["head", "tail"])
+def test_posts_that_share_an_id_keep_their_own_weights(spark, sizes):
+    texts = ["blue red", "blue green", "red pink", "green pink", "grey", "black"]
+    rows = [("same" if i < 2 else str(i), t) for i, t in enumerate(texts)]
+    got = sorted((r.term, r.weight) for r in topics.tfidf(spark.createDataFrame(rows, "post_id string, text string"), **sizes).collect() if r.post_id == "same")
+    want = sorted((t, pytest.approx(v)) for row in plain_tfidf(texts)[:2] for t, v in row.items())
+    assert got == want and len(got) == 4
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL], ids=["head", "tail"])
+def test_same_vocabulary_same_topic(spark, posts, sizes):
+    model = topics.fit_topics(posts, n_topics=2, seed=1, keep=["post_id", "period"], **sizes)
     got = {int(r.post_id): r.topic for r in model.assign().collect()}
     assert got[0] == got[1] != got[2] == got[3] and set(got.values()) == {0, 1} and len(got) == 40
     words = model.describe(3).collect()
@@ -72,21 +91,88 @@ def test_same_vocabulary_same_topic(spark, posts, cells):
     assert all(b <= a + 1e-9 for a, b in zip(model.losses, model.losses[1:]))
 
 
-def test_tables_revive_and_scale_topics(spark):
-    from tidemark.operators.topics_by_join import _unit_topics
-
-    h = np.array([[3.0, 0.0, 4.0], [0.0, 0.0, 0.0]])
-    table = spark.createDataFrame([(str(i), [float(v) for v in h[:, i]]) for i in range(3)], "term string, loadings array<double>")
-    got = np.array([r.loadings for r in _unit_topics(table, 2).orderBy("term").collect()]).T
-    assert np.allclose(got, [[0.6, 0.0, 0.8], [3**-0.5] * 3])
-
-
-def test_equal_losses_on_both_layouts(spark, posts):
-    # all terms are in the head here, so both layouts start from the same vocabulary
-    fits = [topics.fit_topics(posts, n_topics=2, seed=1, max_factor_cells=cells, tolerance=1e-6) for cells in (topics.MAX_FACTOR_CELLS, 0)]
-    assert fits[1].losses[-1] == pytest.approx(fits[0].losses[-1], rel=1e-5)
-    assert all(b <= a + 1e-9 for a, b in zip(fits[1].losses, fits[1].losses[1:]))
-    assert len(topics.fit_topics(posts, n_topics=2, seed=1, tolerance=1.0).losses) == 2
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Three kinds of posts over some 5,000 words and pairs."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = sorted({"".join(rng.choice(letters, 6)) for _ in range(1_500)})
+    texts = []
+    for i in range(900):
+        share = np.exp(-np.arange(500) / (60.0 + 30 * (i % 3)))
+        texts.append((str(i), " ".join(words[(i % 3) * 500 + j] for j in rng.choice(500, 20, p=share / share.sum())) + " " + " ".join(
+            "common" + words[j] for j in rng.choice(60, 5))))
+    return spark.createDataFrame(texts, "post_id string, text string")
+
+
+def dense(model):
+    """X of a model whose terms are all in the head."""
+    rows = model.posts.x.collect()
+    x = np.zeros((len(rows), model.vocabulary.terms.size))
+    for i, row in enumerate(rows):
+        x[i, np.frombuffer(row.terms, np.int64)] = np.frombuffer(row.weights)
+    return x
+
+
+def dense_start(x, k):
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    h = np.zeros((k, x.shape[1]))
+    h[0] = np.sqrt(s[0]) * np.abs(v[0])
+    for j in range(1, k):
+        sides = [(np.maximum(c * u[:, j], 0), np.maximum(c * v[j], 0)) for c in (1, -1)]
+        a, b = max(sides, key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
+        h[j] = np.sqrt(s[j] * np.linalg.norm(a) * np.linalg.norm(b)) * b / np.linalg.norm(b)
+    h[h <= 1e-12] = x.mean()
+    return h
+
+
+def test_start_over_all_terms_is_the_dense_one(spark, corpus):
+    model = topics.fit_topics(corpus, n_topics=3, max_iter=1)
+    x = dense(model)
+    assert x.shape[1] > 2_500
+    h, square = topics._start(model.posts, model.vocabulary.terms, len(x), 3, 7, passes=12)
+    expected = dense_start(x, 3)
+    assert square == pytest.approx((x**2).sum())
+    # where a singular vector is zero but for its last digits, either side may be filled with the mean
+    assert np.mean(np.abs(h.head.T - expected) > 1e-6) < 0.01
+    w = topics.least_squares_weights(x @ expected.T, expected @ expected.T)
+    loss = ((x - w @ expected) ** 2).sum()
+    assert topics.fit_topics(corpus, n_topics=3, max_iter=1, start_passes=12).losses[0] == pytest.approx(loss, rel=1e-6)
+
+
+def test_equal_models_with_any_head(spark, corpus):
+    whole = topics.fit_topics(corpus, n_topics=3, max_iter=6, tolerance=0, piece=128)
+    small = topics.fit_topics(corpus, n_topics=3, max_iter=6, tolerance=0, head_terms=256, piece=128)
+    assert small.vocabulary.tail is not None and whole.vocabulary.tail is None
+    assert small.losses == pytest.approx(whole.losses, rel=1e-9)
+    assert [r.top_words for r in small.describe().collect()] == [r.top_words for r in whole.describe().collect()]
+    topic_of = [{r.post_id: r.topic for r in m.assign().collect()} for m in (whole, small)]
+    assert topic_of[0] == topic_of[1] and len({topic_of[0][str(i)] for i in range(3)}) == 3
+    again = {r.post_id: r.topic for r in small.assign(corpus).collect()}
+    assert again == topic_of[0]
+
+
+def test_the_fit_ends_by_the_gain_of_the_first_pass(spark, corpus):
+    assert len(topics.fit_topics(corpus, n_topics=3, tolerance=1.0).losses) == 3
+    losses = topics.fit_topics(corpus, n_topics=3, tolerance=1e-2).losses
+    gains = -np.diff(losses)
+    assert gains[-1] <= 1e-2 * gains[0] and (gains[:-1] > 1e-2 * gains[0]).all()
+
+
+@pytest.mark.parametrize("tail", [False, True])
+def test_lost_topics_are_revived_and_scaled(spark, tail):
+    from tidemark.operators import term_factor
+
+    h = np.array([[3.0, 0.0, 4.0], [0.0, 0.0, 0.0]]).T
+    if tail:
+        terms = term_factor.Terms(3, 2, 2)
+        rest = spark.createDataFrame([(1, b"", bytearray(h[2:].tobytes()))], "piece long, ids binary, rows binary")
+        factor = term_factor.Factor(terms, h[:2], rest, np.eye(2))
+    else:
+        factor = term_factor.Factor(term_factor.Terms(3), h, None, np.eye(2))
+    got = topics._unit_topics(factor)
+    assert np.allclose(got.sums(lambda r: r.T @ r), [[1, 1.4 * 3**-0.5], [1.4 * 3**-0.5, 1]])
+    assert np.allclose(got.sums(lambda r: r.sum(axis=0)), [1.4, 3**0.5])
 
 
 def test_no_vocabulary(spark):

@@ -4,15 +4,14 @@ The weighted posts X are approximated by W H, with W >= 0 per post and H >= 0 pe
 weights of a post depend on that post alone, so W is never stored: a pass over the posts solves W row by row
 and returns W'W and W'X, which is all that the next H needs. Passes read a table in the shared folder.
 
-Two layouts, chosen by the size of the vocabulary:
-
-* up to ``max_factor_cells`` entries of H, H travels to every task and a pass needs no exchange of posts;
-* beyond that H stays a table by term, and a pass joins posts and terms by shuffle (``topics_by_join``).
+Terms are numbered by falling frequency. Frequent terms, of a bounded number, are looked up and weighed where posts are
+read; the rarer ones of a larger vocabulary meet the posts in a join, which so has no hot key. ``term_factor`` has the
+products with H for both kinds of terms; the model is the same however many terms are in the head.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +23,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import bind, topic_tokens
-from ..storage import as_table
+from ..storage import as_table, placed
+from .term_factor import HEAD_TERMS, PIECE, Factor, Matrix, SparseRows, Terms, lists
 
-MAX_FACTOR_CELLS = 20_000_000
-MAX_WORDS_IN_TASKS = 2_000_000
-PIECE = 32_768
-LEAST_TASKS = 8
-LOSS_TOLERANCE = 1e-4
+LOSS_TOLERANCE = 1e-3
+START_PASSES = 3
 _TINY = 1e-12
 
 
@@ -60,73 +57,92 @@ def vocabulary(
     """
     counts = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(
         F.count("*").alias("documents"))
+    return _kept(counts, documents, min_documents, max_share)
+
+
+def _kept(counts: DataFrame, documents: int, min_documents: int = fixed.MIN_DOCUMENTS, max_share: float = fixed.MAX_DOCUMENT_SHARE) -> DataFrame:
     kept = counts.filter((F.col("documents") >= min_documents) & (F.col("documents") <= max_share * documents))
     return kept.withColumn("idf", F.log((1 + F.lit(documents)) / (1 + F.col("documents"))) + 1)
 
 
-def term_counts(terms: Column) -> Column:
-    """``array<struct<term, n>>`` of one post, in a single walk over its sorted terms."""
-    def runs(ordered: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda at: (at == 1) | (
-            F.get(ordered, at - 1) != F.get(ordered, at - 2)))
-        return bind(starts, lambda first: F.transform(first, lambda at, i: F.struct(
-            F.element_at(ordered, at).alias("term"),
-            (F.coalesce(F.get(first, i + 1), F.size(ordered) + 1) - at).alias("n"))))
+def _entries(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words and pairs of a batch of ``_tokens``; and row, distinct term and number of each entry, by row."""
+    tokens_of = batch.column("_tokens")
+    tokens = tokens_of.flatten().cast(pa.string())
+    row = np.repeat(np.arange(batch.num_rows), np.diff(tokens_of.offsets.to_numpy()))
+    first = np.flatnonzero(row[1:] == row[:-1])
+    pairs = pc.binary_join_element_wise(tokens.take(pa.array(first)), tokens.take(pa.array(first + 1)), " ")
+    coded = pa.concat_arrays([tokens, pairs]).dictionary_encode()
+    names = max(len(coded.dictionary), 1)
+    entries, n = np.unique(np.concatenate([row, row[first]]) * names + coded.indices.to_numpy(), return_counts=True)
+    return coded.dictionary, entries // names, entries % names, n
+
+
+def _words(posts: DataFrame, **limits) -> tuple[DataFrame, int]:
+    """The vocabulary of ``_tokens`` as a table, and the number of posts. A batch sends a term once, with its count."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _, which, _ = _entries(batch)
+            yield pa.record_batch([names, pa.array(np.bincount(which, minlength=len(names)))], names=["term", "documents"])
+
+    documents = posts.count()
+    counts = posts.select("_tokens").mapInArrow(count, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
+    return as_table(_kept(counts, documents, **limits), "vocabulary"), documents
+
 
-    return F.when(F.size(terms) > 0, bind(F.array_sort(terms), runs))
+@dataclass
+class Vocabulary:
+    """Terms with their places by falling frequency: the head as ``term, idf``, the others as a table with ``place``."""
+
+    terms: Terms
+    head: pa.Table
+    tail: DataFrame | None = None
+
+    @classmethod
+    def of(cls, words: DataFrame, head_terms: int = HEAD_TERMS, piece: int = PIECE) -> Vocabulary:
+        size = words.count()
+        terms = Terms(size, head_terms, piece)
+        if not terms.tail:
+            # a table is sorted by bytes, as Spark sorts strings
+            found = words.toArrow().sort_by([("documents", "descending"), ("term", "ascending")])
+            return cls(terms, found.select(["term", "idf"]))
+        numbered = placed(words, "places", F.desc("documents"), F.col("term"))
+        head = numbered.where(F.col("place") < terms.head).select("place", "term", "idf").toArrow().sort_by("place")
+        return cls(terms, head.select(["term", "idf"]), as_table(numbered.where(F.col("place") >= terms.head), "rare"))
 
 
 def tfidf(
     df: DataFrame, text_col: str = "text", id_col: str = "post_id", keep: Sequence[str] = (),
-    max_words_in_tasks: int = MAX_WORDS_IN_TASKS, **limits,
+    head_terms: int = HEAD_TERMS, piece: int = PIECE, **limits,
 ) -> DataFrame:
-    """``id, term, weight`` (and ``keep``) in long form, with unit length per post."""
+    """``id, term, weight`` (and ``keep``) in long form, with unit length per post. Posts that share an id stay apart."""
     keep = [id_col, *keep]
-    posts = as_table(df.select(*keep, vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens")
-    words = as_table(vocabulary(posts.select(words_and_pairs(F.col("_tokens")).alias("terms")), posts.count(), **limits),
-                     "vocabulary")
-    if words.count() <= max_words_in_tasks:
-        rows = _weigh(posts, words.toArrow(), keep, as_text=True)
-        return rows.select(*keep, F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))))
-    from .topics_by_join import weighted_terms
+    posts = _tokens(df, text_col, keep)
+    known = Vocabulary.of(_words(posts, **limits)[0], head_terms, piece)
+    rows = _weigh(posts, known, keep)
+    shared = rows.sparkSession.sparkContext.broadcast(known.head.column("term").combine_chunks().cast(pa.string()))
+    size = known.terms.head
 
-    return weighted_terms(posts, words, keep)
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = SparseRows(batch)
+            kept = [batch.column(name).take(pa.array(x.row)) for name in keep]
+            names = shared.value.take(pa.array(x.term, mask=x.term >= size))
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(x.term), names, pa.array(x.value)], [*keep, "_place", "term", "weight"])
 
+    fields = "".join(f"`{name}` {rows.schema[name].dataType.simpleString()}, " for name in keep)
+    long = rows.mapInArrow(spell, f"{fields}_place long, term string, weight double")
+    if known.tail is None:
+        return long.drop("_place")
+    rare = long.where("term IS NULL").drop("term").join(known.tail.select(F.col("place").alias("_place"), "term"), "_place")
+    return long.where("term IS NOT NULL").drop("_place").unionByName(rare.drop("_place"))
 
-# --- sparse rows inside tasks ---------------------------------------------------------------
 
+# --- weights of posts -----------------------------------------------------------------------
 
-class SparseRows:
-    """Weighted terms of a batch of posts: ``row``, ``term`` and ``value`` of every entry, in order of rows.
 
-    A post's terms (int32) and weights (float64) are stored as bytes, which pass from table to numpy unconverted.
-    """
-
-    def __init__(self, batch: pa.RecordBatch):
-        terms, weights = batch.column("terms"), batch.column("weights")
-        ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset:terms.offset + len(terms) + 1] // 4
-        first, last = int(ends[0]), int(ends[-1])
-        self.rows = batch.num_rows
-        self.lengths = np.diff(ends)
-        self.row = np.repeat(np.arange(self.rows), self.lengths)
-        self.term, self.value = np.zeros(0, np.int32), np.zeros(0)
-        if last > first:
-            start = int(np.frombuffer(weights.buffers()[1], np.int32)[weights.offset]) // 8
-            self.term = np.frombuffer(terms.buffers()[2], np.int32, last - first, first * 4)
-            self.value = np.frombuffer(weights.buffers()[2], np.float64, last - first, start * 8)
-
-    def times(self, right: np.ndarray) -> np.ndarray:
-        """X R for R of terms by columns."""
-        product = np.zeros((self.rows, right.shape[1]))
-        some = self.lengths > 0
-        if some.any():
-            starts = (np.cumsum(self.lengths) - self.lengths)[some]
-            product[some] = np.add.reduceat(right[self.term] * self.value[:, None], starts, axis=0)
-        return product
-
-    def left_times(self, left: np.ndarray, terms: int) -> np.ndarray:
-        """L' X for L of rows by columns: columns by terms."""
-        return np.stack([np.bincount(self.term, self.value * column[self.row], terms) for column in left.T]).astype(float)
+def _tokens(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
+    return as_table(df.select(*[F.col(f"`{c}`") for c in keep], vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens")
 
 
 def as_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -151,92 +167,64 @@ def least_squares_weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 500
     return w
 
 
-def _weigh(posts: DataFrame, words: pa.Table, keep: Sequence[str], as_text: bool = False) -> DataFrame:
-    """``keep, terms, weights``: the vocabulary is looked up batch by batch, without any join.
+def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> DataFrame:
+    """``keep, terms, weights`` of unit length from ``_tokens``, in the bytes that ``SparseRows`` reads.
 
-    Terms are places in ``words``, in the bytes that ``SparseRows`` reads; ``as_text`` gives arrays of the
-    terms themselves and their weights.
+    Terms of the head are looked up in the task; the table of them is made once per task. Other terms are counted in the
+    row and join the rest of the vocabulary, which leaves out what no second post has.
     """
-    known, idf = words.column("term").combine_chunks().cast(pa.string()), words.column("idf").to_numpy()
-    shared = posts.sparkSession.sparkContext.broadcast((known, idf))
+    shared = posts.sparkSession.sparkContext.broadcast((words.head.column("term").to_pylist(), words.head.column("idf").to_numpy()))
+    tail = words.terms.tail
+
+    def encoded(row: np.ndarray, term: np.ndarray, value: np.ndarray, rows: int) -> list[pa.Array]:
+        order = np.lexsort((term, row))
+        ends = np.searchsorted(row, np.arange(rows + 1))
+        return [as_bytes(term[order].astype(np.int64), ends), as_bytes(value[order], ends)]
+
+    def unit(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        return value / np.sqrt(np.bincount(row, value * value, rows))[row]
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf = shared.value
+        places = dict(zip(known, range(len(known))))
         for batch in batches:
-            lists = batch.column("_tokens")
-            tokens = lists.flatten().cast(pa.string())
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            first = np.flatnonzero(row[1:] == row[:-1])
-            pairs = pc.binary_join_element_wise(tokens.take(pa.array(first)), tokens.take(pa.array(first + 1)), " ")
-            row = np.concatenate([row, row[first]])
-            place = pc.index_in(pa.concat_arrays([tokens, pairs]), value_set=known)
-            found = place.is_valid().to_numpy(zero_copy_only=False)
-            entries, n = np.unique(row[found] * len(known) + place.drop_null().to_numpy().astype(np.int64),
-                                   return_counts=True)
-            row, term = entries // len(known), entries % len(known)
-            value = (1 + np.log(n)) * idf[term]
-            value = value / np.sqrt(np.bincount(row, value * value, batch.num_rows))[row]
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            if as_text:
-                offsets = pa.array(ends.astype(np.int32))
-                columns = [pa.ListArray.from_arrays(offsets, known.take(pa.array(term))),
-                           pa.ListArray.from_arrays(offsets, pa.array(value))]
-            else:
-                columns = [as_bytes(term.astype(np.int32), ends), as_bytes(value, ends)]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(name) for name in keep], *columns], [*keep, "terms", "weights"])
-
+            names, row, which, n = _entries(batch)
+            place = np.fromiter((places.get(name, -1) for name in names.to_pylist()), np.int64, len(names))[which]
+            found = place >= 0
+            value = (1 + np.log(n[found])) * idf[place[found]]
+            columns = encoded(row[found], place[found], value if tail else unit(row[found], value, batch.num_rows), batch.num_rows)
+            if tail:
+                ends = pa.array(np.searchsorted(row[~found], np.arange(batch.num_rows + 1)).astype(np.int32))
+                rest = pa.StructArray.from_arrays([names.take(pa.array(which[~found])), pa.array(n[~found])], ["term", "n"])
+                columns.append(pa.ListArray.from_arrays(ends, rest))
+            kept = [batch.column(name) for name in batch.schema.names if name != "_tokens"]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*[c for c in batch.schema.names if c != "_tokens"], *added])
+
+    added = ["terms", "weights"] + (["_rest"] if tail else [])
     fields = "".join(f"`{name}` {posts.schema[name].dataType.simpleString()}, " for name in keep)
-    kinds = "terms array<string>, weights array<double>" if as_text else "terms binary, weights binary"
-    return posts.select(*keep, "_tokens").mapInArrow(lookup, fields + kinds)
-
-
-def _sums(x: DataFrame, multiply: Callable[[SparseRows], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all batches of posts of an array of the given shape.
-
-    Tasks send their part in pieces; each piece is added up in one place, as a stream, so neither a task nor
-    the driver ever holds more than one such array.
-    """
-    size = shape[0] * shape[1]
-
-    def pieces(at: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(at), pa.int32()), pa.array([part.tobytes() for part in at.values()], pa.binary())],
-            ["piece", "sums"])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+    weighted = f"{fields}terms binary, weights binary"
+    if not tail:
+        return posts.select(*[F.col(f"`{c}`") for c in keep], "_tokens").mapInArrow(lookup, weighted)
+    numbered = as_table(posts.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_row"), "_tokens").mapInArrow(
+        lookup, f"{fields}_row long, terms binary, weights binary, _rest array<struct<term:string,n:long>>"), "frequent")
+    rare = numbered.select("_row", F.inline("_rest")).join(words.tail.select("term", "place", "idf"), "term").groupBy("_row").agg(
+        F.collect_list(F.struct("place", ((1 + F.log("n")) * F.col("idf")).alias("value"))).alias("_rare"))
+    both = numbered.drop("_rest").join(rare, "_row", "left")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                total += multiply(SparseRows(batch))
-        flat = total.ravel()
-        for at in range(-(-size // PIECE)):
-            part = flat[at * PIECE:(at + 1) * PIECE]
-            if part.any():
-                yield pieces({at: part})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, blob in zip(batch.column("piece").to_pylist(), batch.column("sums")):
-                part = np.frombuffer(blob.as_buffer())
-                total[at] = total[at] + part if at in total else part.copy()
-        yield pieces(total)
-
-    schema = "piece int, sums binary"
-    # as many tasks as cores: each returns one dense part, however many files the posts have
-    tasks = max(x.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS)
-    table = x.coalesce(tasks).mapInArrow(partial, schema).repartition("piece").mapInArrow(add, schema).toArrow()
-    dense = np.zeros(size)
-    for at, blob in zip(table.column("piece").to_pylist(), table.column("sums")):
-        dense[at * PIECE:(at + 1) * PIECE] = np.frombuffer(blob.as_buffer())
-    return dense.reshape(shape)
-
+            x, more = SparseRows(batch), batch.column("_rare")
+            lengths = pc.fill_null(pc.list_value_length(more), 0).to_numpy(zero_copy_only=False)
+            flat = more.flatten()
+            row = np.concatenate([x.row, np.repeat(np.arange(batch.num_rows), lengths)])
+            term = np.concatenate([x.term, flat.field("place").to_numpy(zero_copy_only=False).astype(np.int64)])
+            value = np.concatenate([x.value, flat.field("value").to_numpy(zero_copy_only=False)])
+            order = np.argsort(row, kind="stable")
+            row, term, value = row[order], term[order], value[order]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(name) for name in keep], *encoded(row, term, unit(row, value, batch.num_rows), batch.num_rows)], [*keep, "terms", "weights"])
 
-def lists(matrix: np.ndarray) -> pa.ListArray:
-    """One list per row."""
-    return pa.ListArray.from_arrays(
-        pa.array((np.arange(len(matrix) + 1) * matrix.shape[1]).astype(np.int32)), pa.array(np.ravel(matrix)))
+    return both.select(*[F.col(f"`{c}`") for c in keep], "terms", "weights", "_rare").mapInArrow(merge, weighted)
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -244,54 +232,51 @@ def lists(matrix: np.ndarray) -> pa.ListArray:
 
 @dataclass
 class TopicModel:
-    """A fitted model. ``vocabulary`` holds ``term, idf``, and ``loadings`` the factor H, topic by term.
-
-    In the layout by joins both are None and ``table`` holds ``term, idf, loadings array<double>``.
-    """
+    """A fitted model: the factor H as terms by topics, and the weighted posts of the fit."""
 
     n_topics: int
-    posts: DataFrame
-    keep: list[str]
+    posts: Matrix
     losses: list[float]
-    vocabulary: pa.Table | None = None
-    loadings: np.ndarray | None = None
-    table: DataFrame | None = None
-
-    @property
-    def in_tasks(self) -> bool:
-        return self.table is None
+    vocabulary: Vocabulary
+    loadings: Factor
 
     @property
     def factors(self) -> DataFrame:
         """``term, idf, loadings array<double>``, one row per term."""
-        if self.table is not None:
-            return self.table
-        table = self.vocabulary.append_column("loadings", lists(self.loadings.T))
-        return self.posts.sparkSession.createDataFrame(table.select(["term", "idf", "loadings"]))
+        near = self.posts.x.sparkSession.createDataFrame(
+            self.vocabulary.head.append_column("loadings", lists(self.loadings.head)).select(["term", "idf", "loadings"]))
+        if self.vocabulary.tail is None:
+            return near
+        far = self.vocabulary.tail.join(self.loadings.long(), "place").select("term", "idf", "loadings")
+        return near.unionByName(far)
 
     def describe(self, top_words: int = 8) -> DataFrame:
-        """``topic, label, top_words``: the words with the highest loadings."""
-        if self.in_tasks:
-            names = self.vocabulary.column("term")
-            best = np.argsort(-self.loadings, axis=1, kind="stable")[:, :top_words]  # terms are in alphabetical order
-            rows = [(topic, names.take(pa.array(at)).to_pylist()) for topic, at in enumerate(best)]
-            words = self.posts.sparkSession.createDataFrame(rows, "topic int, top_words array<string>")
-        else:
-            long = self.table.select("term", F.posexplode("loadings").alias("topic", "loading"))
-            rank = F.row_number().over(W.partitionBy("topic").orderBy(F.desc("loading"), "term"))
-            best = long.withColumn("rank", rank).filter(F.col("rank") <= top_words)
-            ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
-            words = best.groupBy("topic").agg(F.transform(ordered, lambda word: word["term"]).alias("top_words"))
+        """``topic, label, top_words``: the words with the highest loadings, ties in alphabetical order."""
+        names = np.array(self.vocabulary.head.column("term").to_pylist(), dtype=object)
+        rows = []
+        for topic, loading in enumerate(self.loadings.head.T):
+            least = np.partition(loading, -top_words)[-top_words] if len(loading) > top_words else -np.inf
+            best = sorted((-loading[at], names[at]) for at in np.flatnonzero(loading >= least))[:top_words]
+            rows += [(topic, -float(value), word) for value, word in best]
+        best = self.posts.x.sparkSession.createDataFrame(rows, "topic int, loading double, term string")
+        if self.vocabulary.tail is not None:
+            far = self.loadings.long().select("place", F.posexplode("loadings").alias("topic", "loading"))
+            # of each topic, only what reaches the last of its best frequent words
+            least = F.broadcast(best.groupBy("topic").agg(F.min("loading").alias("least")))
+            near = far.join(least, "topic").where(F.col("loading") >= F.col("least")).join(self.vocabulary.tail.select("place", "term"), "place")
+            best = best.unionByName(near.select("topic", "loading", "term"))
+        rank = F.row_number().over(W.partitionBy("topic").orderBy(F.desc("loading"), "term"))
+        ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
+        words = best.withColumn("rank", rank).where(F.col("rank") <= top_words).groupBy("topic").agg(
+            F.transform(ordered, lambda word: word["term"]).alias("top_words"))
         return words.select(
             "topic", F.array_join(F.slice("top_words", 1, 3), " / ").alias("label"), "top_words").orderBy("topic")
 
     def weights(self, df: DataFrame | None = None, text_col: str = "text") -> DataFrame:
         """Topic weights of the fitted posts, or of new ones: ``keep`` (of the fit) or all columns, plus ``weights``."""
-        if self.in_tasks:
-            return self._weights_in_tasks(df, text_col)
-        from .topics_by_join import join_weights
-
-        return join_weights(self, df, text_col)
+        posts = self.posts if df is None else _matrix(_tokens(df, text_col, df.columns), self.vocabulary, df.columns)
+        gram = self.loadings.sums(lambda h: h.T @ h)
+        return posts.rows(self.loadings, lambda cross: least_squares_weights(cross, gram))
 
     def assign(self, df: DataFrame | None = None, text_col: str = "text") -> DataFrame:
         """Adds ``topic``, the index of the largest weight; -1 where no topic has any weight."""
@@ -299,24 +284,12 @@ class TopicModel:
         topic = F.when(best > 0, F.array_position("weights", best).cast("int") - 1).otherwise(F.lit(-1))
         return self.weights(df, text_col).withColumn("topic", topic).drop("weights")
 
-    def _weights_in_tasks(self, df: DataFrame | None, text_col: str) -> DataFrame:
-        h = self.loadings
-        gram = h @ h.T
-        if df is None:
-            x, keep = self.posts, self.keep
-        else:
-            keep = df.columns
-            x = _weigh(df.select("*", vocabulary_tokens(F.col(text_col)).alias("_tokens")), self.vocabulary, keep)
-        shared = x.sparkSession.sparkContext.broadcast(np.ascontiguousarray(h.T))
 
-        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                w = least_squares_weights(SparseRows(batch).times(shared.value), gram)
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(name) for name in keep], lists(w)], [*keep, "weights"])
-
-        fields = ", ".join(f"`{name}` {x.schema[name].dataType.simpleString()}" for name in keep)
-        return x.mapInArrow(solve, f"{fields}{', ' if keep else ''}weights array<double>")
+def _matrix(tokens: DataFrame, words: Vocabulary, keep: Sequence[str]) -> Matrix:
+    if not words.terms.tail:
+        return Matrix.of(as_table(_weigh(tokens, words, keep), "weighted"), keep, words.terms, 0)
+    n = tokens.agg(F.sum(F.size("_tokens"))).first()[0] or 0
+    return Matrix.of(_weigh(tokens, words, keep), keep, words.terms, n)
 
 
 def fit_topics(
@@ -326,97 +299,99 @@ def fit_topics(
     text_col: str = "text",
     keep: Sequence[str] = ("post_id",),
     max_iter: int = 400,
-    max_factor_cells: int = MAX_FACTOR_CELLS,
     tolerance: float = LOSS_TOLERANCE,
+    start_passes: int = START_PASSES,
+    head_terms: int = HEAD_TERMS,
+    piece: int = PIECE,
 ) -> TopicModel:
     """Fits one model over all posts of ``df``; the assignment of the posts carries the columns in ``keep``.
 
-    It ends after ``max_iter`` passes, or when the loss falls by no more than ``tolerance`` of itself.
+    It ends after ``max_iter`` passes, or when a pass gains no more than ``tolerance`` of what the first one gained.
+    ``start_passes`` products find the singular vectors of the start.
     """
     keep = list(keep)
-    posts = as_table(df.select(*keep, vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens")
-    documents = posts.count()
-    words = as_table(vocabulary(posts.select(words_and_pairs(F.col("_tokens")).alias("terms")), documents), "vocabulary")
-    size = words.count()
+    posts = _tokens(df, text_col, keep)
+    words, documents = _words(posts)
+    known = Vocabulary.of(words, head_terms, piece)
+    size = known.terms.size
     if not size:
         raise ValueError("no term is in two posts and in at most half of all posts")
+    x = _matrix(posts, known, keep)
     k = min(n_topics, max(1, size - 1), documents)
-    if size * k > max_factor_cells:
-        from .topics_by_join import fit_by_join
-
-        return fit_by_join(posts, words, k, seed, keep, max_iter, tolerance)
-    table = words.orderBy("term").toArrow()
-    x = as_table(_weigh(posts, table, keep), "weighted")
-    h, losses = _factor(x, documents, size, k, seed, max_iter, tolerance)
-    return TopicModel(k, x, keep, losses, table, h)
-
-
-def _factor(
-    x: DataFrame, documents: int, size: int, k: int, seed: int, max_iter: int, tolerance: float = LOSS_TOLERANCE,
-) -> tuple[np.ndarray, list[float]]:
-    """H by alternating least squares; stops when the loss falls by no more than ``tolerance`` of itself."""
-    context = x.sparkSession.sparkContext
-    h, square = _start(x, documents, size, k, seed)
+    h, square = _start(x, known.terms, documents, k, seed, start_passes)
     losses: list[float] = []
     for _ in range(max_iter):
-        gram, shared = h @ h.T, context.broadcast(np.ascontiguousarray(h.T))
+        gram = h.sums(lambda rows: rows.T @ rows)
 
-        def normal_equations(rows: SparseRows) -> np.ndarray:
-            w = least_squares_weights(rows.times(shared.value), gram)
-            return np.hstack([rows.left_times(w, size), w.T @ w])
+        def normal_equations(z: np.ndarray, rows: SparseRows) -> tuple[np.ndarray, np.ndarray]:
+            w = least_squares_weights(z, gram)
+            return w, w.T @ w
 
-        sums = _sums(x, normal_equations, (k, size + k))
-        shared.unpersist()
-        cross, outer = sums[:, :size], sums[:, size:]
-        losses.append(square - 2 * float((cross * h).sum()) + float((outer * gram).sum()))
-        if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * abs(losses[-2]):
+        cross, outer = x.product(h, normal_equations, h.columns)
+        outer = outer.reshape(h.columns, h.columns)
+        losses.append(square - 2 * float(np.trace(cross.dot(h))) + float((outer * gram).sum()))
+        if len(losses) > 2 and losses[-2] - losses[-1] <= tolerance * (losses[0] - losses[1]):
             break
-        h = least_squares_weights(cross.T, outer).T
-        h[h.sum(axis=1) <= 0] = _TINY  # a topic that lost all its terms may come back
-        h = h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), _TINY)
-    return h, losses
+        h = _unit_topics(cross.map(lambda rows: least_squares_weights(rows, outer)))
+    return TopicModel(h.columns, x, losses, known, h)
+
+
+def _unit_topics(h: Factor) -> Factor:
+    """Topics of unit length; one that lost all its terms gets an even loading and may come back."""
+    total, square = h.sums(lambda rows: np.stack([rows.sum(axis=0), (rows**2).sum(axis=0)]))
+    dead = total <= 0
+    if dead.any():
+        h = h.map(lambda rows: np.where(dead, _TINY, rows))
+        square = np.where(dead, h.terms.size * _TINY**2, square)
+    return h.times(np.diag(1 / np.maximum(np.sqrt(square), _TINY)))
 
 
-def _start(x: DataFrame, documents: int, size: int, k: int, seed: int, passes: int = 3) -> tuple[np.ndarray, float]:
+def _start(x: Matrix, terms: Terms, documents: int, k: int, seed: int, passes: int = START_PASSES) -> tuple[Factor, float]:
     """Non-negative start from the leading singular vectors, zeros filled with the mean weight; and |X|^2.
 
-    The vectors come from a subspace iteration with a seeded random start, two products per pass.
+    The vectors come from a subspace iteration with a seeded random start. The last product also gives the
+    eigenvectors of X'X inside the basis that it started from.
     """
-    context = x.sparkSession.sparkContext
-    width = min(k + 5, size)
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
-    for _ in range(passes):
-        shared = context.broadcast(basis)
-        image = _sums(x, lambda rows: rows.left_times(rows.times(shared.value), size), (width, size))
-        shared.unpersist()
-        basis = np.linalg.qr(image.T)[0]
-    # eigenvectors of X'X inside the basis
-    shared = context.broadcast(basis)
-    small = _sums(x, lambda rows: (lambda z: z.T @ z)(rows.times(shared.value)), (width, width))
+    def multiply(z: np.ndarray, rows: SparseRows) -> tuple[np.ndarray, np.ndarray]:
+        return z, np.array([rows.value.sum(), (rows.value**2).sum()])
+
+    width = min(k + 5, terms.size)
+    basis = _orthonormal(Factor.random(x.x.sparkSession, terms, width, seed))
+    for step in range(passes):
+        image, (total, square) = x.product(basis, multiply, basis.columns)
+        if step < passes - 1:
+            basis = _orthonormal(image)
+    small = basis.dot(image)
     values, inner = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(values)[::-1][:k]
-    right, singular = basis @ inner[:, order], np.sqrt(np.maximum(values[order], 0.0))
-
-    # squared lengths of the positive and the negative part of X v, and the sums of X
-    directions = context.broadcast(right)
-
-    def parts(rows: SparseRows) -> np.ndarray:
-        z = rows.times(directions.value)
-        sums = np.zeros(z.shape[1]), np.zeros(z.shape[1])
-        sums[0][0], sums[1][0] = rows.value.sum(), (rows.value**2).sum()
-        return np.stack([(np.maximum(z, 0) ** 2).sum(axis=0), (np.minimum(z, 0) ** 2).sum(axis=0), *sums])
-
-    positive, negative, total, square = _sums(x, parts, (4, len(order)))
-    h = np.zeros((len(order), size))
-    for topic in range(len(order)):
-        up, down = np.maximum(right[:, topic], 0), np.maximum(-right[:, topic], 0)
-        if topic == 0:
-            part, length = np.abs(right[:, topic]), 1.0
-        else:
-            # the stronger side of the pair of singular vectors
-            side = np.sqrt(positive[topic]) * np.linalg.norm(up), np.sqrt(negative[topic]) * np.linalg.norm(down)
-            part, length = (up, side[0]) if side[0] >= side[1] else (down, side[1])
-            length = length / max(singular[topic], _TINY)
-        h[topic] = np.sqrt(singular[topic] * length) * part / max(np.linalg.norm(part), _TINY)
-    h[h <= _TINY] = total[0] / (documents * size)
-    return h, float(square[0])
+    right, singular = basis.times(inner[:, order]), np.sqrt(np.maximum(values[order], 0.0))
+
+    # squared lengths of the positive and the negative part of X v, and of v
+    def parts(z: np.ndarray, rows: SparseRows) -> tuple[None, np.ndarray]:
+        return None, np.stack([(np.maximum(z, 0) ** 2).sum(axis=0), (np.minimum(z, 0) ** 2).sum(axis=0)])
+
+    positive, negative = x.product(right, parts, 0)[1].reshape(2, -1)
+    above, below = right.sums(lambda v: np.stack([(np.maximum(v, 0) ** 2).sum(axis=0), (np.minimum(v, 0) ** 2).sum(axis=0)]))
+    # the stronger side of each pair of singular vectors; both sides of the first, which has one sign
+    up, down = np.sqrt(positive * above), np.sqrt(negative * below)
+    sign = np.where(up >= down, 1.0, -1.0)
+    length = np.where(up >= down, up, down) / np.maximum(singular, _TINY)
+    norm = np.sqrt(np.where(up >= down, above, below))
+    length[0], norm[0] = 1.0, np.sqrt(above[0] + below[0])
+    scale = np.sqrt(singular * length) / np.maximum(norm, _TINY)
+    mean = total / (documents * terms.size)
+
+    def started(v: np.ndarray) -> np.ndarray:
+        part = np.maximum(v * sign, 0)
+        part[:, 0] = np.abs(v[:, 0])
+        part = part * scale
+        return np.where(part <= _TINY, mean, part)
+
+    return right.map(started), float(square)
+
+
+def _orthonormal(factor: Factor) -> Factor:
+    """The columns as an orthonormal basis; directions without length are left out."""
+    values, vectors = np.linalg.eigh(factor.sums(lambda rows: rows.T @ rows))
+    long = values > values.max() * 1e-12
+    return factor.times(vectors[:, long] / np.sqrt(values[long]))

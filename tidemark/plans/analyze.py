@@ -38,7 +38,6 @@ def analyze(
     seed: int = fixed.SEED,
     n_boot: int = fixed.BOOTSTRAP_DRAWS,
     materialize: bool = True,
-    max_factor_cells: int | None = None,
 ) -> dict[str, DataFrame]:
     """One table per result.
 
@@ -48,8 +47,7 @@ def analyze(
     if materialize:
         scored = as_table(scored, "scored")
     ok = without_errors(scored)
-    limit = {} if max_factor_cells is None else {"max_factor_cells": max_factor_cells}
-    model = fit_topics(ok, n_topics, seed, keep=["period", "moderation", "sentiment"], **limit)
+    model = fit_topics(ok, n_topics, seed, keep=["period", "moderation", "sentiment"])
     # a handful of cells: periods x topics x flag x labels
     cells = settle(model.assign().groupBy(*CELL).agg(F.count("*").alias("n")), "cells")
     cells = cells.withColumn("negative", negative_flag(F.col("sentiment")))

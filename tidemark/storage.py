@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
 
@@ -32,3 +34,19 @@ def as_table(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, buckets: int, key: str, label: str) -> DataFrame:
+    """A table bucketed by ``key`` in the shared folder: grouping it by ``key`` moves nothing."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def placed(df: DataFrame, label: str, *order: Column) -> DataFrame:
+    """``df`` as a table with ``place``, its number in the order. One count per sorted partition goes through one task."""
+    sorted_ = as_table(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq")), label)
+    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    shifts = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return sorted_.join(F.broadcast(shifts), "_part").withColumn("place", F.col("_seq") + F.col("_shift")).drop("_part", "_seq", "_shift")
