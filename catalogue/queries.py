@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fixed
 from tidemark.functions import patterns, privacy, sentiment, text, times
 from tidemark.functions.intervals import wilson
-from tidemark.operators import bootstrap, regression, sampling, scorers, tables, topics
+from tidemark.operators import bootstrap, quantiles, regression, sampling, scorers, tables, topics
 from tidemark.operators.filters import apply_filters
 from tidemark.plans.analyze import analyze, flag_posts, score
 from tidemark.plans.prepare import prepare
@@ -453,9 +453,8 @@ def event_share_intervals(spark, folder):
 
 @query
 def event_value_quantiles(spark, folder):
-    bounds = F.percentile("value", F.array(*map(F.lit, bootstrap.QUANTILES)))
-    return rounded(event_periods(spark, folder).groupBy("period").agg(bounds.alias("q")).select(
-        "period", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
+    found = quantiles.exact_quantiles(event_periods(spark, folder), "value", bootstrap.QUANTILES, by=["period"])
+    return rounded(found.select("period", F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high")))
 
 
 @query

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,9 +108,28 @@ def test_bootstrap_matches_row_resampling_and_partitioning(spark):
     assert [first.ci_low, first.ci_high] == pytest.approx(list(want), abs=0.012)
     again = bootstrap.standardized_difference(df.repartition(13), "negative", "topic", n_boot=1500).first()
     assert first == again
-    # the same distribution when the cells are spread over blocks
+    # the same draws when the cells are spread over blocks; only sums of doubles may end otherwise
     blocks = bootstrap.standardized_difference(df, "negative", "topic", n_boot=1500, cells_per_block=2).first()
-    assert [blocks.ci_low, blocks.ci_high] == pytest.approx(list(want), abs=0.012)
+    assert [blocks.ci_low, blocks.ci_high] == pytest.approx([first.ci_low, first.ci_high], rel=1e-12)
+
+
+def test_draws_of_a_block_do_not_depend_on_the_blocks(spark):
+    """1, 4 and 64 blocks; every replicate draws as many posts of each period as there are."""
+    df = spark.createDataFrame([(p, f"t{i}", 0, 3 + i % 7) for p in ("pre", "post") for i in range(60)], "period string, stratum string, outcome int, n long")
+
+    def counts(drawn, cells, first):
+        at = np.repeat(np.arange(first, first + len(drawn)), len(cells))
+        return pd.DataFrame({"replicate": at, "period": np.tile(cells["period"], len(drawn)), "stratum": np.tile(cells["stratum"], len(drawn)), "n": drawn.ravel()})
+
+    found = [{(r.replicate, r.period, r.stratum): r.n for r in bootstrap._redraw(
+        df, counts, "replicate int, period string, stratum string, n double", 130, 3, per_block).collect()} for per_block in (200, 30, 2)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 130 * 120
+    for period in ("pre", "post"):
+        totals = {sum(n for (r, p, _), n in found[0].items() if r == i and p == period) for i in range(130)}
+        assert totals == {sum(3 + i % 7 for i in range(60))}
+    # mean and variance of a multinomial count
+    cell = np.array([found[0][i, "pre", "t6"] for i in range(130)])
+    assert cell.mean() == pytest.approx(9, abs=1.2) and cell.var() == pytest.approx(9 * (1 - 9 / 357), rel=0.5)
 
 
 def test_intervals_of_each_topic_follow_theory_in_any_number_of_blocks(spark):
@@ -154,14 +174,14 @@ def plain_logit(x, y):
     return b
 
 
-@pytest.mark.parametrize("distinct, one_task", [(True, 10_000), (True, 0), (False, 10_000)])
-def test_logistic_regression(spark, distinct, one_task):
+@pytest.mark.parametrize("distinct, at_once", [(True, 256), (False, 256), (False, 2)])
+def test_logistic_regression(spark, monkeypatch, distinct, at_once):
+    monkeypatch.setattr(regression, "SUMS_AT_ONCE", at_once)
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=2000), rng.integers(0, 2, 2000)
     y = (rng.random(2000) < 1 / (1 + np.exp(-(0.5 + 1.2 * a - 0.8 * b)))).astype(int)
     df = spark.createDataFrame([(float(i), int(j), int(k)) for i, j, k in zip(a, b, y)], "a double, b int, y int")
-    got = {r.term: r for r in regression.logistic_regression(df, "y", ["a", "b"], distinct_rows=distinct,
-                                                               one_task_rows=one_task).collect()}
+    got = {r.term: r for r in regression.logistic_regression(df, "y", ["a", "b"], distinct_rows=distinct).collect()}
     assert [got[t].coef for t in ("intercept", "a", "b")] == pytest.approx(list(plain_logit(np.column_stack([a, b]), y)), abs=1e-6)
     assert got["a"].p_value < 1e-6 and got["a"].or_ci_low < got["a"].odds_ratio < got["a"].or_ci_high
 

@@ -3,9 +3,11 @@
 Both statistics depend only on the counts per (period, stratum, outcome). Resampling the posts of a period
 with replacement is one multinomial draw over its cells, so the posts are read once, for the cell counts.
 
-Cells are drawn block by block: first the block totals (one multinomial over the blocks), then the cells inside
-a block given its total, which is the same distribution. Each replicate has its own generator seeds, hence the
-intervals depend on neither partitioning nor cluster size, and strata without bound spread over tasks.
+Strata fall into 65,536 buckets by hash. The total of a period is split between the halves of the buckets by a binomial
+draw, each half again, down to the buckets, and a bucket's total is one multinomial draw over its cells: together the
+same distribution. Every split has a generator seed of its own, so it comes out alike wherever it is made. A task draws
+one block of buckets: the splits on the way to it, as many as the logarithm of the blocks, and those inside. Hence the
+intervals depend on neither partitioning nor the size of blocks, and strata without bound spread over tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from ..sizes import settle
 
 #: cells that are drawn together, and replicates that share a task
 CELLS_PER_BLOCK, REPLICATES_PER_RUN = 20_000, 100
+#: bits of a stratum's hash that number its bucket
+BUCKET_BITS = 16
 QUANTILES = (0.025, 0.975)
 
 
@@ -44,6 +48,35 @@ def _stratum_counts(cells: DataFrame) -> DataFrame:
     )
 
 
+class _Splits:
+    """Totals of one period and run of replicates, split down a binary tree over buckets."""
+
+    def __init__(self, seed: int, run: int, period: int):
+        self.key = (seed, run, period)
+
+    def generator(self, *place: int) -> np.random.Generator:
+        seed, run, period = self.key
+        return np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(run, period, *place)))
+
+    def down(self, totals: np.ndarray, places: np.ndarray, weights: np.ndarray, bits: int, wanted: int | None = None):
+        """(place, totals) of each of the ascending ``places`` of ``bits`` bits, or of the wanted one alone."""
+        upto = np.concatenate([[0.0], np.cumsum(weights)])
+        todo = [(0, len(places), totals)]
+        while todo:
+            a, b, n = todo.pop()
+            if a == b or wanted is not None and not places[a] <= wanted <= places[b - 1]:
+                continue
+            if b - a == 1:
+                yield int(places[a]), n
+                continue
+            # the first bit in which the places differ; halves without a place are passed over
+            low = int(places[a] ^ places[b - 1]).bit_length() - 1
+            prefix = int(places[b - 1]) >> low
+            middle = int(np.searchsorted(places, prefix << low))
+            left = self.generator(BUCKET_BITS - bits + low, prefix).binomial(n, (upto[middle] - upto[a]) / (upto[b] - upto[a]))
+            todo += [(middle, b, n - left), (a, middle, left)]
+
+
 def _redraw(
     cells: DataFrame, statistic: Callable[[np.ndarray, pd.DataFrame, int], pd.DataFrame], schema: str, n_boot: int, seed: int,
     cells_per_block: int = CELLS_PER_BLOCK,
@@ -51,31 +84,38 @@ def _redraw(
     """``statistic`` of every block and run of replicates.
 
     It gets the drawn counts of a block, replicate by cell, the cells themselves, ordered by stratum, and the number
-    of the first replicate. The totals of the blocks of a replicate come from its spawn key (replicate, 0), the cells
-    of block b from (replicate, 1 + b): every draw has a stream of its own.
+    of the first replicate.
     """
-    blocks = max(1, math.ceil(cells.count() / cells_per_block))
-    placed = cells.withColumn("block", F.pmod(F.xxhash64("stratum"), F.lit(blocks)).cast("int"))
-    totals = {p: np.zeros(blocks) for p in fixed.PERIODS}
-    for row in placed.groupBy("period", "block").agg(F.sum("n").alias("n")).collect():  # two rows per block
-        totals[row["period"]][row["block"]] = row["n"]
+    bits = min(BUCKET_BITS, max(0, math.ceil(math.log2(max(1, cells.count()) / cells_per_block))))
+    inner = BUCKET_BITS - bits
+    placed = cells.withColumn("bucket", F.shiftrightunsigned(F.xxhash64("stratum"), 64 - BUCKET_BITS).cast("int")).withColumn(
+        "block", F.shiftright("bucket", inner))
+    found = placed.groupBy("period", "block").agg(F.sum("n").alias("n")).collect()  # two rows per block, 131,072 at most
+    totals = {}
+    for period in fixed.PERIODS:
+        mine = sorted((row["block"], row["n"]) for row in found if row["period"] == period and row["n"])
+        totals[period] = np.array([b for b, _ in mine], np.int64), np.array([n for _, n in mine], float)
     runs = placed.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(max(n_boot - 1, 0)), F.lit(REPLICATES_PER_RUN))))
 
     def draw(block_cells: pd.DataFrame) -> pd.DataFrame:
-        block_cells = block_cells.sort_values(["stratum", "outcome", "period"], na_position="first", ignore_index=True)
+        block_cells = block_cells.sort_values(["bucket", "stratum", "outcome", "period"], na_position="first", ignore_index=True)
         block, first = int(block_cells["block"].iloc[0]), int(block_cells["first"].iloc[0])
-        replicates = range(first, min(first + REPLICATES_PER_RUN, n_boot))
-        counts = np.zeros((len(replicates), len(block_cells)))
-        places = {p: np.flatnonzero(block_cells["period"] == p) for p in totals}
-        for at, replicate in enumerate(replicates):
-            across = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(replicate, 0)))
-            inside = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(replicate, 1 + block)))
-            for period, of_blocks in totals.items():
-                size = int(of_blocks.sum())
-                drawn = int(across.multinomial(size, of_blocks / size)[block]) if size else 0
-                if len(places[period]):
-                    n = block_cells["n"].to_numpy(dtype=float)[places[period]]
-                    counts[at, places[period]] = inside.multinomial(drawn, n / n.sum())
+        replicates = min(REPLICATES_PER_RUN, n_boot - first)
+        counts = np.zeros((replicates, len(block_cells)))
+        for number, (period, (blocks, sizes)) in enumerate(totals.items()):
+            at = np.flatnonzero((block_cells["period"] == period) & (block_cells["n"] > 0))
+            if not len(at):
+                continue
+            splits = _Splits(seed, first, number)
+            n = block_cells["n"].to_numpy(dtype=float)[at]
+            bucket = block_cells["bucket"].to_numpy(dtype=np.int64)[at]
+            buckets, start = np.unique(bucket, return_index=True)
+            size = np.full(replicates, int(sizes.sum()))
+            (_, size), = splits.down(size, blocks, sizes, bits, block)
+            for place, total in splits.down(size, buckets, np.add.reduceat(n, start), BUCKET_BITS):
+                inside = at[bucket == place]
+                share = block_cells["n"].to_numpy(dtype=float)[inside]
+                counts[:, inside] = splits.generator(BUCKET_BITS, place).multinomial(total, share / share.sum())
         return statistic(counts, block_cells, first)
 
     return runs.groupBy("block", "first").applyInPandas(draw, schema)

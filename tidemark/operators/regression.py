@@ -6,16 +6,17 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..sizes import ONE_TASK_ROWS, settle_counted
 from ..storage import as_table
 
 LEAST_WEIGHT = 1e-9
 STEP_TOLERANCE = 1e-8
+#: sums of tasks that the driver adds at once
+SUMS_AT_ONCE = 256
 
 
 def _equations(x: np.ndarray, n: np.ndarray, hits: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -41,44 +42,41 @@ def _climb(equations: Callable[[np.ndarray], np.ndarray], width: int, max_iter:
     return beta, np.sqrt(np.diag(np.linalg.inv(information + small)))
 
 
-def _matrix(rows: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.column_stack([np.ones(len(rows)), rows[list(features)].to_numpy(dtype=float)])
-    return x, rows["_n"].to_numpy(dtype=float), rows["_hits"].to_numpy(dtype=float)
-
-
-def _fit_over_tasks(design: DataFrame, features: Sequence[str], max_iter: int, ridge: float) -> tuple:
-    """One job per step: tasks return sums of the size of the coefficients, and Spark adds them."""
-    width = len(features) + 1
+def _over_tasks(design: DataFrame, features: Sequence[str]) -> Callable[[np.ndarray], np.ndarray]:
+    """The equations at given coefficients, one job each: a task returns sums of the size of the equations, and where there
+    are many tasks their sums are added in a second round before the driver adds the rest."""
+    many = design.rdd.getNumPartitions() > SUMS_AT_ONCE
 
     def equations(beta: np.ndarray) -> np.ndarray:
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(2 * width * width + width)
-            for rows in batches:
-                total += _equations(*_matrix(rows, features), beta)
-            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = []
+            for batch in batches:
+                column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                x = np.column_stack([np.ones(batch.num_rows), *map(column, features)])
+                found.append(_equations(x, column("_n"), column("_hits"), beta))
+            if found:
+                yield pa.record_batch([pa.array([sum(found).tobytes()], pa.binary())], names=["sums"])
 
-        table = design.mapInPandas(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-        return table.sort_values("at")["v"].to_numpy()
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [np.frombuffer(blob) for batch in batches for blob in batch.column(0).to_pylist()]
+            if found:
+                yield pa.record_batch([pa.array([sum(found).tobytes()], pa.binary())], names=["sums"])
 
-    return _climb(equations, width, max_iter, ridge)
+        parts = design.mapInArrow(sums, "sums binary")
+        if many:
+            parts = parts.repartition(SUMS_AT_ONCE).mapInArrow(add, "sums binary")
+        return sum((np.frombuffer(blob) for blob in parts.toArrow().column("sums").to_pylist()), np.zeros(_length(len(beta))))
 
+    return equations
 
-def _fit_in_one_task(design: DataFrame, features: Sequence[str], max_iter: int, ridge: float) -> tuple:
-    """All steps in one job, for a design of at most ``ONE_TASK_ROWS`` distinct rows."""
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if parts:
-            x, n, hits = _matrix(pd.concat(parts), features)
-            beta, se = _climb(lambda at: _equations(x, n, hits, at), x.shape[1], max_iter, ridge)
-            yield pd.DataFrame({"at": np.arange(len(beta)), "beta": beta, "se": se})
 
-    table = design.coalesce(1).mapInPandas(fit, "at int, beta double, se double").toPandas().sort_values("at")
-    return table["beta"].to_numpy(), table["se"].to_numpy()
+def _length(width: int) -> int:
+    return 2 * width * width + width
 
 
 def logistic_regression(
     df: DataFrame, label: str, features: Sequence[str], n: str | None = None, distinct_rows: bool = True,
-    max_iter: int = 50, ridge: float = 1e-6, one_task_rows: int = ONE_TASK_ROWS,
+    max_iter: int = 50, ridge: float = 1e-6,
 ) -> DataFrame:
     """``term, coef, se, z, p_value, odds_ratio, or_ci_low, or_ci_high``, the intercept first.
 
@@ -89,12 +87,10 @@ def logistic_regression(
     hits = F.col(label).cast("double") * weight
     columns = [F.col(name).cast("double").alias(name) for name in features]
     if distinct_rows:
-        counted = df.groupBy(*columns).agg(F.sum(weight).cast("double").alias("_n"), F.sum(hits).alias("_hits"))
-        design, rows = settle_counted(counted, "design")
+        design = df.groupBy(*columns).agg(F.sum(weight).cast("double").alias("_n"), F.sum(hits).alias("_hits"))
     else:
-        design, rows = as_table(df.select(*columns, weight.cast("double").alias("_n"), hits.alias("_hits")), "design"), None
-    fit = _fit_in_one_task if rows is not None and 0 < rows <= one_task_rows else _fit_over_tasks
-    beta, se = fit(design, features, max_iter, ridge)
+        design = df.select(*columns, weight.cast("double").alias("_n"), hits.alias("_hits"))
+    beta, se = _climb(_over_tasks(as_table(design, "design"), features), len(features) + 1, max_iter, ridge)
     rows = []
     for term, coef, error in zip(["intercept", *features], beta, se):
         z = coef / error
@@ -109,7 +105,8 @@ def logistic_regression(
 def study_regression(df: DataFrame, outcome: str = "negative", topic: str = "topic", n: str | None = None) -> DataFrame:
     """``outcome ~ post * moderation + topic``; the terms of the topics are fitted and not reported.
 
-    The base topic is the first in string order. It moves the intercept alone.
+    The base topic is the first in string order. It moves the intercept alone. Topics are as few as a model has, so
+    their names come to the driver.
     """
     levels = sorted(row[0] for row in df.select(F.col(topic).cast("string")).distinct().collect())
     post = (F.col("period") == "post").cast("int")

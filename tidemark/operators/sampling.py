@@ -1,8 +1,9 @@
 """Exact random samples and the sortedness check.
 
 A post's place in the draw is the MD5 of seed and id, so a sample depends on neither partitioning nor row
-order. Nobody ranks whole periods: a histogram of the first hash digits (65,536 buckets) tells in which bucket
-a sample ends, only that bucket is ranked, and the sample itself is a filter on the hash without any exchange.
+order. The input is read twice: once for a histogram of the first hash digits (65,536 buckets) per group, which also
+has the sizes of all groups, and once for the rows up to the bucket in which a sample ends. These are the sample and
+at most a bucket more; only that last bucket is ranked.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..sizes import settle
+from ..storage import as_table
 
 _DIGITS = 4
 
@@ -26,63 +28,67 @@ def draw_key(seed: int, id_col: str = "post_id"):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
 
 
-def _draw(df: DataFrame, quotas: DataFrame, by: Sequence[str], seed: int, id_col: str) -> DataFrame:
+def _draw(df: DataFrame, histogram: DataFrame, quotas: DataFrame, by: Sequence[str], seed: int, id_col: str) -> DataFrame:
     """Rows of every group up to its quota. ``quotas`` holds the group columns and ``quota``."""
-    keyed = df.withColumn("_hash", draw_key(seed, id_col))
-    slim = keyed.select(*by, "_hash", F.substring("_hash", 1, _DIGITS).alias("_bucket"))
     upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edges = (
-        slim.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    edges = settle(
+        histogram.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
         .join(quotas, list(by))
         .filter(F.col("_before") < F.col("quota"))
-        .groupBy(*by).agg(F.max("_bucket").alias("_bucket"), F.min(F.col("quota") - F.col("_before")).alias("_left"))
-    )
+        .groupBy(*by).agg(F.max("_bucket").alias("_edge"), F.min(F.col("quota") - F.col("_before")).alias("_left")), "edges")
+    reached = as_table(_keyed(df, seed, id_col).join(edges, list(by)).filter(F.col("_bucket") <= F.col("_edge")), "reached")
     # only the bucket in which the sample ends is ranked
     rank = F.row_number().over(W.partitionBy(*by).orderBy("_hash"))
-    last = (
-        slim.join(settle(edges, "edges"), [*by, "_bucket"])
-        .withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left"))
-        .groupBy(*by).agg(F.max("_hash").alias("_last"))
-    )
-    drawn = keyed.join(settle(last, "cutoffs"), list(by)).filter(F.col("_hash") <= F.col("_last"))
-    return drawn.select(*df.columns)
+    last = reached.filter("_bucket = _edge").select(*by, "_hash", "_left").withColumn("_rank", rank).filter("_rank <= _left").groupBy(*by).agg(
+        F.max("_hash").alias("_last"))
+    return reached.join(settle(last, "cutoffs"), list(by)).filter(F.col("_hash") <= F.col("_last")).select(*df.columns)
+
+
+def _keyed(df: DataFrame, seed: int, id_col: str) -> DataFrame:
+    return df.withColumn("_hash", draw_key(seed, id_col)).withColumn("_bucket", F.substring("_hash", 1, _DIGITS))
 
 
-def _quotas(df: DataFrame, group: str, n: int, stratify: str) -> DataFrame:
+def _histogram(df: DataFrame, by: Sequence[str], seed: int, id_col: str) -> DataFrame:
+    return as_table(_keyed(df, seed, id_col).groupBy(*by, "_bucket").agg(F.count("*").alias("_n")), "histogram")
+
+
+def _quotas(histogram: DataFrame, group: str, n: int, stratify: str) -> DataFrame:
     """Rows per (group, stratum) of a proportional sample; halves go to the even number. Null strata have none."""
-    sizes = settle(
-        df.filter(F.col(stratify).isNotNull()).groupBy(group, stratify).agg(F.count("*").alias("_n")), "strata")
-    of_group = settle(sizes.groupBy(group).agg(F.sum("_n").alias("_of")), "groups")
+    sizes = histogram.filter(F.col(stratify).isNotNull()).groupBy(group, stratify).agg(F.sum("_n").alias("_n"))
+    of_group = sizes.groupBy(group).agg(F.sum("_n").alias("_of"))
     share = F.col("_n") / F.col("_of")
     return sizes.join(of_group, group).select(
         group, stratify, F.least(F.col("_n"), F.rint(share * n).cast("bigint")).alias("quota"))
 
 
 def _sample(
-    df: DataFrame, group: str, sizes: dict[str, int], n: int, seed: int, stratify: str | None, id_col: str
+    df: DataFrame, histogram: DataFrame, group: str, sizes: dict[str, int], n: int, seed: int, stratify: str | None, id_col: str
 ) -> DataFrame:
     """``n`` rows of every group, or all rows of a group that has no more."""
     whole = [name for name, size in sizes.items() if size <= n]
     if len(whole) == len(sizes):
         return df
-    cut = df.filter(~F.col(group).isin(whole)) if whole else df
+    cut, counted = (x.filter(~F.col(group).isin(whole)) if whole else x for x in (df, histogram))
     if stratify is None:
         quotas = F.broadcast(cut.sparkSession.createDataFrame(
             [(name, n) for name in sizes if name not in whole], f"{group} string, quota bigint"))
-        drawn = _draw(cut, quotas, [group], seed, id_col)
+        drawn = _draw(cut, counted, quotas, [group], seed, id_col)
     else:
-        quotas = settle(_quotas(cut, group, n, stratify), "quotas")
-        drawn = _draw(cut, quotas, [group, stratify], seed, id_col)
+        drawn = _draw(cut, counted, settle(_quotas(counted, group, n, stratify), "quotas"), [group, stratify], seed, id_col)
     return drawn.unionByName(df.filter(F.col(group).isin(whole))) if whole else drawn
 
 
+def _sizes(histogram: DataFrame, group: str) -> dict[str, int]:
+    return {row[0]: row[1] for row in histogram.groupBy(group).agg(F.sum("_n")).collect()}
+
+
 def sample_posts(
     df: DataFrame, n: int, seed: int = fixed.SEED, stratify: str | None = None, id_col: str = "post_id"
 ) -> DataFrame:
     """``n`` random rows without replacement; with ``stratify`` every stratum keeps its share."""
     marked = df.withColumn("_group", F.lit("all"))
-    return _sample(marked, "_group", {"all": df.count()}, n, seed, stratify, id_col).drop("_group")
+    histogram = _histogram(marked, ["_group", *([stratify] if stratify else [])], seed, id_col)
+    return _sample(marked, histogram, "_group", _sizes(histogram, "_group"), n, seed, stratify, id_col).drop("_group")
 
 
 def balanced_periods(
@@ -93,10 +99,11 @@ def balanced_periods(
     id_col: str = "post_id",
 ) -> DataFrame:
     """The same number of posts from both periods; the smaller period sets the number if it has fewer."""
-    sizes = {row["period"]: row["count"] for row in df.groupBy("period").count().collect()}
+    histogram = _histogram(df, ["period", *([stratify] if stratify else [])], seed, id_col)
+    sizes = _sizes(histogram, "period")
     if set(sizes) != set(fixed.PERIODS):
         raise ValueError(f"both periods are needed, found {', '.join(sorted(map(str, sizes))) or 'none'}")
-    return _sample(df, "period", sizes, min(n_per_period, *sizes.values()), seed, stratify, id_col)
+    return _sample(df, histogram, "period", sizes, min(n_per_period, *sizes.values()), seed, stratify, id_col)
 
 
 def sortedness(df: DataFrame, value: str, order_by: Sequence[str]) -> DataFrame:

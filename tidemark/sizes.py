@@ -8,25 +8,12 @@ from pyspark.sql import functions as F
 from .storage import as_table
 
 BROADCAST_ROWS = 200_000
-ONE_TASK_ROWS = 10_000
 
 
 def settle(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Computes an aggregate once.
-
-    Up to ``max_rows`` rows it comes back as a local table with a broadcast hint; beyond that as a table in the
-    shared folder without a hint, which the planner joins by shuffle.
-    """
-    return settle_counted(df, label, max_rows)[0]
-
-
-def settle_counted(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
-    """``settle`` and the number of rows; None for a table in the shared folder."""
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return as_table(df, label), None
-    local = df.sparkSession.createDataFrame(rows, df.schema)
-    return F.broadcast(local.coalesce(1) if rows.num_rows <= ONE_TASK_ROWS else local), rows.num_rows
+    """Computes an aggregate once, into the shared folder, with a broadcast hint if it has no more than ``max_rows`` rows."""
+    table = as_table(df, label)
+    return F.broadcast(table) if table.count() <= max_rows else table
 
 
 SPREAD_BYTES = 1 << 30
