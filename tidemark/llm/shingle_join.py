@@ -9,11 +9,14 @@ the start, and carry the least id of their texts.
 2. Index: each set posts the head of its order (its prefix) to lists by shingle. Linked sets share a posting at their
    first common shingle. A list is sorted by set size, so the sets that can link with one of its sets are a run;
    positions bound the overlap that is left, and what lies outside run and bound is skipped as a block.
-3. Hubs: the sets of a list first meet only its ``HUBS`` first sets by hash, so a list costs a multiple of its length;
-   the lists of a group of near copies share their hubs, and lists of up to ``HUBS`` + 1 sets are done with that.
-4. Derived answers: sets that a hub already joins need no pairs among themselves. What is left are lists with
-   sets of different components; there the remaining pairs are met in blocks and filtered by parity sketches, whose
-   difference never exceeds the difference of the sets, so nothing is lost.
+3. Hubs: the ``HUBS`` first sets of a list by hash are its hubs; lists of up to ``HUBS`` + 1 sets hold no other pairs. In
+   rounds, each set meets one hub, the one with which it shares most lists, and the components are contracted; the next
+   round offers another hub only where set and hub are still apart. So a round looks at one pair a set, however large
+   its group and however many lists it stands in. What ``ROUNDS`` rounds leave apart is met after them.
+4. Derived answers: a set that is joined to its most similar hub takes over that hub's component, and no other pair of
+   the component is looked at. What is left are lists with sets of different components; there the remaining pairs are
+   met in blocks and filtered by parity sketches, whose difference never exceeds the difference of the sets, so nothing
+   is lost.
 5. Pairs that pass are verified on the whole sets.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with fewer words than ``width``
@@ -46,6 +49,8 @@ MAX_FREQUENT = 1_000_000
 MAX_SENT = 500_000
 #: sets of a list that meet all others of it
 HUBS = 8
+#: rounds in which a set meets one more hub
+ROUNDS = 3
 #: shingles or postings that one bucket holds, and one task before it sends
 PER_BUCKET, PER_SEND = 1_000_000, 3_000_000
 #: postings of a list that meet at once, postings that share a task, and pairs that are looked at in one step
@@ -201,8 +206,8 @@ def bounded_frequent(found: DataFrame, at_most: int) -> tuple[np.ndarray, np.nda
 
 
 def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits: int, frequent) -> DataFrame:
-    """The index: the pairs of every list with its hubs (key, other), and the postings of the lists that hold more sets
-    than those pairs cover (gram, key, n, at, length)."""
+    """The index: the pairs of sets with hubs of their lists (key, other, n: in how many lists), and the postings of the
+    lists that hold more sets than those pairs cover (gram, key, n, at, length)."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, texts = frequent.value
@@ -260,16 +265,15 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits:
         for j in range(HUBS):
             p = np.flatnonzero(np.arange(len(gram)) > start + j)
             q = start[p] + j
-            swap = (n[p] > n[q]) | ((n[p] == n[q]) & (key[p] > key[q]))
-            p, q = np.where(swap, q, p), np.where(swap, p, q)
-            keep = (n[p] * 100 >= n[q] * percent) & (
+            small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+            keep = (small * 100 >= large * percent) & (
                 1 + np.minimum(n[p] - at[p] - 1, n[q] - at[q] - 1) >= least_overlap(n[p], n[q], percent))
-            pairs.append(np.unique(np.stack((key[p[keep]], key[q[keep]]), axis=1), axis=0))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
+            pairs.append(np.stack((key[p[keep]], key[q[keep]]), axis=1))
+        pairs, lists = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
         rest = length > HUBS + 1
         return pd.concat((
             pd.DataFrame({"gram": gram[rest].astype(np.int64), "key": key[rest], "n": n[rest], "at": at[rest], "other": None, "length": length[rest]}),
-            pd.DataFrame({"gram": None, "key": pairs[:, 0], "n": 0, "at": 0, "other": pairs[:, 1], "length": 0}))).astype(
+            pd.DataFrame({"gram": None, "key": pairs[:, 0], "n": lists, "at": 0, "other": pairs[:, 1], "length": 0}))).astype(
             {"gram": "Int64", "other": "Int64"})
 
     sent = docs.select(F.lit(0).cast("long"), "text").mapInArrow(post, "bucket long, gram binary, key binary, n binary, at binary")
@@ -330,6 +334,23 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     return as_table(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long"), f"{label}-links")
 
 
+def hub_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """The links among ``pairs`` (key, other, lists) that join what is apart: (a, b), enough of them for all components."""
+    links = None
+    for _ in range(rounds):
+        chosen = as_table(pairs.groupBy("key").agg(F.max_by("other", "lists").alias("other")), "join-hub-chosen")
+        found = verified(sketched(chosen.toDF("a", "b"), classes, percent), docs, classes, width, percent, "join-hub")
+        links = found if links is None else as_table(links.union(found), "join-hub-links")
+        joined = as_table(components(links, "join-stars"), "join-hub-joined")
+        label = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        apart = pairs.join(chosen, ["key", "other"], "left_anti").join(label("key"), "key", "left").join(label("other"), "other", "left")
+        pairs = as_table(apart.where(F.coalesce("c_key", "key") != F.coalesce("c_other", "other")).select("key", "other", "lists"), "join-hub-apart")
+        if pairs.isEmpty():
+            return links
+    rest = verified(sketched(pairs.select(F.col("key").alias("a"), F.col("other").alias("b")), classes, percent), docs, classes, width, percent, "join-hub")
+    return links.union(rest)
+
+
 def remaining_pairs(index: DataFrame, joined: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in the lists that hold several, past all bounds. Long lists are cut into blocks,
     and each pair of blocks that size allows is met by itself."""
@@ -392,8 +413,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     cells = bounded_frequent(as_table(frequent_shingles(docs, width, bits, bucket_bits, FREQUENT), "join-frequent"), MAX_FREQUENT)
     frequent = spark.sparkContext.broadcast(cells)
     index = as_table(postings(docs, width, percent, bits, bucket_bits, frequent), "join-index")
-    hub_pairs = index.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
-    links = verified(sketched(hub_pairs, classes, percent), docs, classes, width, percent, "join-hub")
+    hub_pairs = as_table(index.where("other IS NOT NULL").groupBy("key", "other").agg(F.sum("n").alias("lists")), "join-hub-pairs")
+    links = hub_links(hub_pairs, docs, classes, width, percent)
     more = remaining_pairs(index.where("other IS NULL"), as_table(components(links, "join-stars"), "join-first"), classes, percent)
     links = links.union(verified(more.join(links, ["a", "b"], "left_anti"), docs, classes, width, percent, "join-rest"))
     joined = as_table(components(links, "join-stars"), "join-components")
