@@ -180,11 +180,27 @@ def test_a_passage_of_all_documents_is_spread_over_the_buckets():
     held = sent.groupby("bucket")["context"].agg(lambda x: sum(map(len, x)) // 8)
     assert held.sum() > 1280 and held.max() <= held.sum() / 6
     settled = pd.concat([steps.settle_contexts(x) for _, x in sent.groupby("bucket")])
-    sent = pd.concat([steps.send_heads(c, of(settled, c)) for c in chunks])
+    opened = pd.concat([steps.open_contexts(c, of(settled, c)) for c in chunks])
+    sent = pd.concat([steps.send_heads(c, of(opened, c)) for c in chunks])
     held = sent.groupby("bucket")["hashes"].agg(lambda x: sum(len(repeats.unpacked_sorted(y)) for y in x))
     assert held.sum() > 1280 and held.max() <= held.sum() / 16
 
 
+def test_only_open_runs_are_hashed():
+    random = np.random.default_rng(3)
+    docs = [(random.integers(0, 256, n).astype(np.uint8), np.array(runs, np.int64).reshape(-1, 2)) for n, runs in (
+        (300, [(0, 20), (60, 61), (200, 251)]), (40, []), (50, [(0, 1)]), (120, [(10, 71)]))]
+    got = repeats._heads_of_runs(docs)
+    for (raw, runs), (start, head, check) in zip(docs, got, strict=True):
+        assert start.tolist() == [i for a, b in runs for i in range(a, b)]
+        if len(start):
+            all_heads, all_checks = repeats.heads(raw)
+            assert (head == all_heads[start]).all() and (check == all_checks[start]).all()
+    at = np.array([5, 30, 33, 140, 280])
+    covered = sorted({s for x in at for s in range(max(x - 30, 0), min(x, 250) + 1)})
+    assert [i for a, b in repeats._starts(300, at) for i in range(a, b)] == covered
+
+
 def test_repeats_of_odd_texts(odd):
     got = repeats.remove_repeats(odd, with_text=True).collect()
     assert len(got) == odd.count()

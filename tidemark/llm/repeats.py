@@ -13,7 +13,8 @@ exchanges of hashes, each sorted and packed, never of texts:
    many there are, with one row per chunk. Contexts are dealt by their own hash, and which anchors have several is
    found from two contexts per anchor and chunk.
 3. Where an anchor has several contexts, the least document of each hashes the strings of ``span`` bytes (the heads)
-   in it. Which heads occur in two documents? Each chunk sends each head once.
+   in it. These stretches are written down once, a few numbers a document, and nothing else is hashed from here on.
+   Which heads occur in two documents? Each chunk sends each head once.
 4. For those, each chunk sends the head and its least document, and the least of all is found: the string is a repeat
    in all later documents. No longest previous factor is computed; it reaches ``span`` exactly there.
 
@@ -47,6 +48,10 @@ SHORT = U(16)
 CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 16_000_000
 #: buckets of heads for each bucket of anchor hashes
 FINER = 4
+#: buckets that a table may have; with more chunks, a file holds several, which are still processed one by one
+MOST_FILES = 100_000
+#: bytes that are hashed in one step
+HASHED_AT_ONCE = 100_000
 
 
 def _run(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -65,12 +70,13 @@ def anchors(raw: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.nda
     up, down = powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * up[:-1], dtype=U)))
-        h = mix((total[gram:] - total[:-gram]) * down[:len(raw) - gram + 1])
+        h = (total[gram:] - total[:-gram]) * down[:len(raw) - gram + 1]
+        # the order of positions needs 32 mixed bits
+        rank = (((h ^ (h >> U(32))) * U(0xBF58476D1CE4E5B9)) >> U(32)).astype(np.uint32)
     width = span - gram + 1
-    least = _run(h, width, np.minimum)
-    edge = np.zeros(width - 1, U)
-    at = np.flatnonzero(_run(np.concatenate((edge, least, edge)), width, np.maximum) == h)
-    # the least of many hashes are small numbers; mixed again, they fill all buckets alike
+    least = _run(rank, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint32)
+    at = np.flatnonzero(_run(np.concatenate((edge, least, edge)), width, np.maximum) == rank)
     with np.errstate(over="ignore"):
         return at, mix(h[at] * U(0x9E3779B97F4A7C15) + U(1))
 
@@ -97,13 +103,32 @@ def heads(raw: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     return mix(out[0] * U(0x9E3779B97F4A7C15) + U(1)), (out[1] >> U(32)).astype(np.uint32)
 
 
-def _starts(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
-    """The starts of the strings of ``span`` bytes that hold one of the anchors."""
-    step = np.zeros(len(raw) + 2, np.int64)
-    last = len(raw) - span
-    np.add.at(step, np.maximum(at - (span - gram), 0), 1)
-    np.add.at(step, np.maximum(np.minimum(at, last), -1) + 1, -1)
-    return np.flatnonzero(np.cumsum(step[:last + 1]) > 0)
+def _starts(length: int, at: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
+    """The starts of the strings of ``span`` bytes that hold one of the ascending anchors, as runs: (first, end) rows."""
+    first, end = np.maximum(at - (span - gram), 0), np.minimum(at, length - span) + 1
+    first, end = first[first < end], end[first < end]
+    if not len(first):
+        return np.empty((0, 2), np.int64)
+    new = np.flatnonzero(np.r_[True, first[1:] > end[:-1]])  # both ascend
+    return np.stack((first[new], end[np.r_[new[1:], len(first)] - 1]), axis=1)
+
+
+def _heads_of_runs(docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, heads, checks) of documents given as (bytes, runs). Only the runs are hashed, all at once."""
+    pieces = [raw[a:b + SPAN - 1] for raw, runs in docs for a, b in runs]
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    n_starts = np.array([sum(b - a for a, b in runs) for _, runs in docs], np.int64)
+    starts = [np.concatenate([np.empty(0, np.int64), *[np.arange(a, b) for a, b in runs]]) for _, runs in docs]
+    if not len(pieces):
+        return [(x, np.empty(0, U), np.empty(0, np.uint32)) for x in starts]
+    head, check = heads(np.concatenate(pieces))
+    # windows that start in the last span - 1 bytes of a piece reach over its end
+    inside = np.ones(int(lengths.sum()), bool)
+    for end in np.cumsum(lengths):
+        inside[end - SPAN + 1:end] = False
+    inside = inside[:len(head)]
+    cuts = np.cumsum(n_starts)[:-1]
+    return list(zip(starts, np.split(head[inside], cuts), np.split(check[inside], cuts), strict=True))
 
 
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -163,25 +188,43 @@ def _late(doc: int, c: np.ndarray, known: np.ndarray, least: np.ndarray) -> np.n
     return (known[place] == c) & (least[place] < doc)
 
 
-def _chunk_heads(texts: pd.DataFrame, answers: pd.DataFrame):
+def _ordered(texts: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a chunk in an order that every pass finds again."""
+    return texts.sort_values(["doc_id", "text"], kind="stable", ignore_index=True)
+
+
+def _counted(parts: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Arrays of (first, end) rows end to end, with their lengths."""
+    return np.array([len(p) for p in parts], np.int64).tobytes(), np.concatenate([np.empty((0, 2), np.int64), *parts]).tobytes()
+
+
+def _uncounted(lengths: bytes, rows: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(rows, np.int64).reshape(-1, 2), np.cumsum(np.frombuffer(lengths, np.int64))[:-1])
+
+
+def _chunk_heads(texts: pd.DataFrame, opened: pd.DataFrame):
     """(doc_id, bytes, late ranges, starts, heads, checks) per document of a chunk: the ranges of contexts that stand in
     a smaller document, and the heads in the other contexts of anchors that have several."""
-    open_, _, known, least, shared = _settled(answers)
-    left = SPAN - GRAM
-    for doc, raw, at, h in _chunk_anchors(texts, shared):
-        start, ranges = np.empty(0, np.int64), np.empty((2, 0), np.int64)
-        if len(at):
-            late = _late(doc, contexts(raw, at), known, least)
-            a, b = np.maximum(at - left, 0), np.minimum(at + SPAN, len(raw))
-            whole = late & (b - a >= SPAN)
-            ranges = np.stack((a[whole], b[whole]))
-            mine = ~late & _within(h, open_)
-            start = _starts(raw, at[mine]) if mine.any() else start
-        if len(start):
-            head, check = heads(raw)
-            yield doc, raw, ranges, start, head[start], check[start]
-        else:
-            yield doc, raw, ranges, start, np.empty(0, U), np.empty(0, np.uint32)
+    texts = _ordered(texts)
+    if len(opened):
+        row = opened.iloc[0]
+        ranges, runs = _uncounted(row["n_ranges"], row["ranges"]), _uncounted(row["n_runs"], row["runs"])
+    else:
+        ranges = runs = [np.empty((0, 2), np.int64)] * len(texts)
+    held, size = [], 0
+
+    def hashed():
+        found = _heads_of_runs([(raw, runs[i]) for i, raw in held])
+        for (i, raw), (start, head, check) in zip(held, found, strict=True):
+            yield texts["doc_id"].iat[i], raw, ranges[i].T, start, head, check
+
+    for i, text in enumerate(texts["text"]):
+        held.append((i, np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)))
+        size += int((runs[i][:, 1] - runs[i][:, 0]).sum()) + 100
+        if size > HASHED_AT_ONCE:
+            yield from hashed()
+            held, size = [], 0
+    yield from hashed()
 
 
 class Steps:
@@ -277,24 +320,45 @@ class Steps:
             [(int(chunk[x]), h[x:y].tobytes(), *((c[x:y].tobytes(), least[x:y].tobytes()) if by_context else (None, None)))
              for x, y in zip(edges, [*edges[1:], len(chunk)])], columns=columns)
 
-    def send_heads(self, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    @staticmethod
+    def open_contexts(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """One row for the chunk: of each document the ranges that stand in a smaller one, and the runs of starts whose
+        heads are still open."""
+        columns = ["chunk", "n_ranges", "ranges", "n_runs", "runs"]
+        if not len(texts) or not len(answers):
+            return pd.DataFrame(columns=columns)
+        open_, _, known, least, shared = _settled(answers)
+        left, ranges, runs = SPAN - GRAM, [], []
+        for doc, raw, at, h in _chunk_anchors(_ordered(texts), shared):
+            if not len(at):
+                ranges.append(np.empty((0, 2), np.int64))
+                runs.append(np.empty((0, 2), np.int64))
+                continue
+            late = _late(doc, contexts(raw, at), known, least)
+            a, b = np.maximum(at - left, 0), np.minimum(at + SPAN, len(raw))
+            whole = late & (b - a >= SPAN)
+            ranges.append(np.stack((a[whole], b[whole]), axis=1))
+            runs.append(_starts(len(raw), at[~late & _within(h, open_)]))
+        return pd.DataFrame([(int(texts["chunk"].iloc[0]), *_counted(ranges), *_counted(runs))], columns=columns)
+
+    def send_heads(self, texts: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
         """Each head of the chunk once, and which occur in two of its documents."""
         columns = ["bucket", "chunk", "hashes", "several"]
-        if not len(texts) or not len(answers):
+        if not len(texts) or not len(opened):
             return pd.DataFrame(columns=columns)
-        found = [np.unique(head >> SHORT) for *_, head, _ in _chunk_heads(texts, answers) if len(head)]
+        found = [np.unique(head >> SHORT) for *_, head, _ in _chunk_heads(texts, opened) if len(head)]
         finer = Steps(FINER * self.n)
         return finer.packed(found, int(texts["chunk"].iloc[0])) if found else pd.DataFrame(columns=columns)
 
     def send_least(self, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """Each shared head of the chunk once, with its least document."""
         columns = ["bucket", "chunk", "head", "check", "least", "more"]
-        told, shared = _parted(answers)
+        opened, shared = _parted(answers)
         if not len(texts) or not len(shared):
             return pd.DataFrame(columns=columns)
         shared, found = shared_of(shared), [(np.empty(0, U), np.empty(0, np.uint32), np.empty(0, np.int64))]
-        for doc, _, _, _, head, check in _chunk_heads(texts, told):
-            keep = _within(head >> SHORT, shared)
+        for doc, _, _, _, head, check in _chunk_heads(texts, opened):
+            keep = _within(head >> SHORT, shared) if len(head) else np.empty(0, bool)
             if keep.any():
                 found.append((head[keep], check[keep], np.full(int(keep.sum()), doc, np.int64)))
         g, k, d = (np.concatenate(x) for x in zip(*found))
@@ -332,12 +396,12 @@ class Steps:
     @staticmethod
     def mark(texts: pd.DataFrame, answers: pd.DataFrame, with_text: bool) -> pd.DataFrame:
         """The removed ranges of each document of the chunk."""
-        told, some = _parted(answers, "head")
+        opened, some = _parted(answers, "head")
         g, k, least = _joined(some, "head", U), _joined(some, "check", np.uint32), _joined(some, "least", np.int64)
         order = np.lexsort((k, g))
         g, k, least = g[order], k[order], least[order]
         out = []
-        for doc, raw, ranges, start, head, check in _chunk_heads(texts, told):
+        for doc, raw, ranges, start, head, check in _chunk_heads(texts, opened):
             step = np.zeros(len(raw) + 1, np.int64)
             np.add.at(step, ranges[0], 1)
             np.add.at(step, ranges[1], -1)
@@ -360,7 +424,7 @@ class Steps:
 
 
 def _parted(answers: pd.DataFrame, later: str = "hashes") -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The answers about contexts, and those that hold the column ``later``."""
+    """The row of open runs, and the answers that hold the column ``later``."""
     if not len(answers):
         return answers, answers
     hit = answers[later].notna()
@@ -371,7 +435,8 @@ def chunked(rows: DataFrame, n_chunks: int, label: str) -> DataFrame:
     """``rows`` as a table bucketed by their ``chunk``, so that grouping by it moves nothing."""
     spark = rows.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    rows.repartition(n_chunks, "chunk").write.bucketBy(n_chunks, "chunk").option(
+    files = min(n_chunks, MOST_FILES)
+    rows.repartition(files, "chunk").write.bucketBy(files, "chunk").option(
         "path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
@@ -381,7 +446,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_column: str = "d
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(1, min(100_000, -(-size // CHUNK_BYTES)))
+    n_chunks = max(1, -(-size // CHUNK_BYTES))
     steps = Steps(max(1, -(-size // BUCKET_BYTES)))
     ordered = rows.where("doc_id IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_chunks)).cast("int"))
     texts = chunked(ordered, n_chunks, "repeats")
@@ -394,13 +459,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_column: str = "d
     sent = answered(shared, lambda t, a: steps.send_contexts(t, a), "bucket long, chunk int, anchor binary, context binary, least binary, more binary")
     settled = as_table(sent.groupBy("bucket").applyInPandas(
         lambda r: steps.settle_contexts(r), "chunk int, anchor binary, context binary, least binary"), "repeats-contexts")
-    sent = answered(settled, lambda t, a: steps.send_heads(t, a), "bucket long, chunk int, hashes binary, several binary")
+    opened = as_table(answered(settled, steps.open_contexts, "chunk int, n_ranges binary, ranges binary, n_runs binary, runs binary"), "repeats-open")
+    sent = answered(opened, lambda t, a: steps.send_heads(t, a), "bucket long, chunk int, hashes binary, several binary")
     known = as_table(sent.groupBy("bucket").applyInPandas(steps.find_shared, "chunk int, hashes binary"), "repeats-heads")
-    asked = settled.unionByName(known, allowMissingColumns=True)
+    asked = opened.unionByName(known, allowMissingColumns=True)
     sent = answered(asked, lambda t, a: steps.send_least(t, a), "bucket long, chunk int, head binary, check binary, least binary, more binary")
     least = as_table(sent.groupBy("bucket").applyInPandas(
         steps.settle_heads, "chunk int, head binary, check binary, least binary"), "repeats-least")
-    answers = settled.unionByName(least, allowMissingColumns=True)
+    answers = opened.unionByName(least, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     marked = answered(answers, lambda t, a: steps.mark(t, a, with_text), schema)
     raw = F.to_binary("text", F.lit("utf-8"))
