@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters say "toxic" or nothing about a text: the entries of fixed lexicons, text patterns, and stems that the labelled
+Voters say "toxic" or nothing about a text: every entry of fixed lexicons, text patterns, and stems that the labelled
 rows bring up (words and word heads that are far more frequent in texts labelled toxic). A generative label model
-takes the true label as hidden, estimates by expectation maximization how often each voter fires under either label,
-and shares the weight of voters that still fire together once the label is known; the given labels are one more voter
-whose accuracy it estimates. A linear classifier is then trained on the posterior labels, over counts of all stems.
+takes the true label as hidden, starts from the number of votes a text has, estimates by expectation maximization how
+often each voter fires under either label, and shares the weight of voters that still fire together once the label is
+known; the given label is one more voter, with rates of its own like all others. A linear classifier is then trained on
+the posterior labels, over counts of all stems. A score needs the classifier alone: no voter runs for it.
 
 Counts for the choice of stems, the label model and the classifier come from a bounded sample of labelled rows
 (``SAMPLE`` per label, chosen by a hash of the id). Every text is then scored whole, in one pass without exchange.
@@ -54,6 +55,7 @@ PATTERNS = (
 )
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _CHECKS = [re.compile(p, re.I).search for _, p in PATTERNS]
+_ENTRY = {word: i for i, word in enumerate(sorted(LEXICON))}
 
 
 def word_counts(text: str) -> Counter:
@@ -114,12 +116,12 @@ def choose_stems(counts: DataFrame, n_toxic: int, n_other: int, at_most: int = S
 
 
 class Reader:
-    """Counts of stems and votes of a text."""
+    """Counts of stems of a text, and the words that its scores take from the lists of voters."""
 
     def __init__(self, stems: dict[str, int], voters: dict[str, int]):
         self.stems, self.voters, self.known = stems, voters, {}
 
-    def of_word(self, word: str) -> tuple[tuple[int, ...], bool]:
+    def of_word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
         hits = self.known.get(word)
         if hits is None:
             if len(self.known) > 300_000:
@@ -130,56 +132,58 @@ class Reader:
                 tuple(self.voters[s] for s in names if s in self.voters), word in LEXICON)
         return hits
 
-    def __call__(self, text: str) -> tuple[dict[int, int], set[int], int, int, int]:
-        """Stem counts, votes, lexicon words, words under a stem vote, words."""
+    def __call__(self, words: Counter) -> tuple[dict[int, int], int, int, int]:
+        """Stem counts, lexicon words, words under a stem that votes, words."""
         counts: dict[int, int] = {}
-        votes: set[int] = set()
         lexicon = voted = 0
-        words = word_counts(text)
         for word, n in words.items():
             stems, voters, listed = self.of_word(word)
             for s in stems:
                 counts[s] = counts.get(s, 0) + n
             if voters:
-                votes.update(voters)
                 voted += n
             lexicon += n * listed
+        return counts, lexicon, voted, words.total()
+
+    def votes(self, text: str, words: Counter) -> list[int]:
+        """The voters that fire: stems, then patterns, then the entries of the lexicon."""
+        found = {v for word in words for v in self.of_word(word)[1]}
         base = len(self.voters)
-        votes.update(base + i for i, check in enumerate(_CHECKS) if check(text))
-        if lexicon:
-            votes.add(base + len(_CHECKS))
-        return counts, votes, lexicon, voted, words.total()
+        found.update(base + i for i, check in enumerate(_CHECKS) if check(text))
+        base += len(_CHECKS)
+        found.update(base + _ENTRY[word] for word in words if word in _ENTRY)
+        return sorted(found)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, prior: float, steps: int = 50) -> np.ndarray:
+def label_model(votes: np.ndarray, steps: int = 100) -> np.ndarray:
     """Posterior probability of "toxic" per text.
 
-    ``votes`` is texts by voters, 0 or 1, ``given`` the label of each text. The firing rates of all voters under
-    either label are estimated together with the accuracy of the given labels. Voters that fire together more than
-    their rates explain share their weight: a voter counts 1 / (1 + sum of its remaining correlations).
+    ``votes`` is texts by voters, 0 or 1, the last one being the given label. The firing rates of all voters under either
+    label and the share of toxic texts are estimated from the votes, starting from the texts for which a word, stem or
+    pattern votes. Voters that fire together more than their rates explain share their weight: a voter counts
+    1 / (1 + sum of its remaining correlations). The given label comes from no word, so it shares none; how much it
+    counts is what its rates say.
     """
     x = votes.astype(np.float32)
-    q = np.where(given == 1, 0.95, 0.05).astype(np.float32)
+    q = np.where(x[:, :-1].any(axis=1), 0.9, 0.1).astype(np.float32)
     share = np.ones(x.shape[1], np.float32)
-    right = 0.95
     for step in range(steps):
+        prior = float(np.clip(q.mean(), 0.01, 0.99))
         on = (q @ x + 0.5) / (q.sum() + 1)
         off = ((1 - q) @ x + 0.5) / ((1 - q).sum() + 1)
-        if step == 5:
+        if step % 10 == 5:
             rest = x - (q[:, None] * on + (1 - q)[:, None] * off).astype(np.float32)
             together = (rest.T @ rest).astype(np.float64)
             scale = np.sqrt(np.diag(together) + 1e-9)
             together = np.clip(together / (scale[:, None] * scale[None, :]), 0, 1)
             np.fill_diagonal(together, 0)
+            together[-1], together[:, -1] = 0, 0
             share = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
         weight = share * (np.log(on / off) - np.log((1 - on) / (1 - off)))
         bias = (share * np.log((1 - on) / (1 - off))).sum() + np.log(prior / (1 - prior))
-        agree = np.where(given == 1, np.log(right / (1 - right)), np.log((1 - right) / right))
-        new = 1 / (1 + np.exp(-np.clip(x @ weight + bias + agree, -30, 30)))
-        right = float(np.clip(np.mean(np.where(given == 1, new, 1 - new)), 0.8, 0.995))
-        if np.abs(new - q).max() < 1e-6:
-            q = new
-            break
+        new = 1 / (1 + np.exp(-np.clip(x @ weight + bias, -30, 30)))
+        if step > 6 and np.abs(new - q).max() < 1e-6:
+            return new
         q = new
     return q
 
@@ -233,12 +237,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(stems, voters)
         for batch in batches:
-            rows = [reader(t.as_py() or "") for t in batch.column(1)]
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            words = [word_counts(t) for t in texts]
+            rows = [reader(w) for w in words]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([list(c.keys()) for c, *_ in rows], pa.list_(pa.int32())),
                 pa.array([list(c.values()) for c, *_ in rows], pa.list_(pa.int32())),
-                pa.array([sorted(v) for _, v, *_ in rows], pa.list_(pa.int32())),
-                pa.array([list(dense(*r)) for _, _, *r in rows], pa.list_(pa.float64()))],
+                pa.array([reader.votes(t, w) for t, w in zip(texts, words)], pa.list_(pa.int32())),
+                pa.array([list(dense(*r)) for _, *r in rows], pa.list_(pa.float64()))],
                 ["toxic", "stems", "counts", "votes", "extra"])
 
     table = labelled.select("toxic", "text").mapInArrow(
@@ -249,11 +255,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[
         lists = table[name].combine_chunks()
         return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
 
-    votes = np.zeros((len(given), len(voters) + len(PATTERNS) + 1), np.uint8)
+    votes = np.zeros((len(given), len(voters) + len(PATTERNS) + len(LEXICON) + 1), np.uint8)
     votes[flat("votes")] = 1
-    total = labels.where("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
+    votes[:, -1] = given
+    posterior = label_model(votes)
+    # rows weigh as their label is frequent among the rows that may be learnt from
+    total = labels.where("toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
     case = np.where(given == 1, total / n_toxic, (1 - total) / n_other)
-    posterior = label_model(votes, given, prior=n_toxic / (n_toxic + n_other))
     at, stem = flat("stems")
     extra = flat("extra")[1].reshape(len(given), -1)
     return stems, voters, *fit_linear(at, stem, flat("counts")[1], extra, posterior, case, len(stems))
@@ -271,7 +279,7 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
         for batch in batches:
             scores, sizes = [], []
             for value in batch.column(2):
-                counts, _, *rest = reader(value.as_py() or "")
+                counts, *rest = reader(word_counts(value.as_py() or ""))
                 z = float(np.dot(base, dense(*rest)))
                 if counts:
                     z += float(np.dot(weights[list(counts)], np.log1p(list(counts.values()))))
