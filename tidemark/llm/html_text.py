@@ -3,6 +3,9 @@
 A page is read once into blocks: runs of text between block-level tags, character references decoded, white space
 made one space. The markup tells three zones apart: inside ``article`` or ``main``; in page furniture (``nav``,
 ``footer``, forms, elements whose class, id or role says advert, notice, comments and the like); and open ground.
+A class counts as a whole (``with-sidebar`` and ``no-comments`` name no furniture), and where it names a part that also
+gives layouts their names, as ``sidebar`` does, an ``article`` or ``main`` inside is still the main text. Hidden elements
+are left out, inline ones too.
 
 The blocks outside ``article`` and ``main`` are the token stream of a page. No suffix is sorted: the windows of
 ``LEAST_RUN`` tokens of all streams of a host are hashed, and a window that two different streams hold is repeated. A
@@ -32,8 +35,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.storage import as_table
+
 from .hashing import U, mix, packed_sorted, unpacked_sorted
-from .repeats import BUCKET_BYTES, CHUNK_BYTES, SHORT, Steps, shared_of
+from .repeats import BUCKET_BYTES, CHUNK_BYTES, Steps, shared_of
 
 #: tokens that a repeated substring has at least, and a shorter block that is repeated as a whole
 LEAST_RUN, LEAST_LINE = 9, 6
@@ -41,6 +46,8 @@ LEAST_RUN, LEAST_LINE = 9, 6
 REPRINT_TOKENS, REPRINT_SHARE = 60, 0.8
 
 MAIN, OPEN, FURNITURE = 0, 1, 2
+#: inside an element whose class could as well describe the layout of the page: furniture, but for an article in it
+WRAPPED = 3
 
 #: fixed values: elements by what they do to the text
 INLINE = frozenset(
@@ -56,6 +63,10 @@ FURNITURE_WORDS = frozenset(
     "navbar navigation navi newsletter notice notification pager pagination popup popover promo promoted promotion "
     "recommended related replies respond search share sharing sidebar signup site-header skip social sponsor sponsored "
     "subscribe subscription tags toolbar topbar tracking widget".split())
+LAYOUT_WORDS = frozenset("banner header masthead menu nav navbar navigation search sidebar topbar toolbar skip social widget".split())
+#: fixed values: first parts of a class that say what a page has or lacks, and parts of classes of whole layouts
+ABOUT = frozenset("with without no not has have is hide hidden show use enable disable".split())
+WHOLE = frozenset("article body col column columns container content grid inner layout main outer page post row shell site story wrap wrapper".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -63,7 +74,8 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
-_MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)")
 
@@ -73,36 +85,56 @@ def host_of(url: str | None) -> str:
     return found[1].lower().removeprefix("www.") if found else ""
 
 
-def _is_furniture(tag: str, attributes: str) -> bool:
+def _hidden(attributes: str) -> bool:
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and not FURNITURE_WORDS.isdisjoint(_WORD.findall(value)):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _UNSEEN.search(value)):
             return True
     return False
 
 
+def _zone_of(attributes: str) -> int:
+    """``FURNITURE``, ``WRAPPED`` or ``OPEN`` by the attributes of a block element."""
+    if _hidden(attributes):
+        return FURNITURE
+    found = OPEN
+    for name, value in _MARK.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role" and value in FURNITURE_ROLES:
+            return FURNITURE
+        if name not in ("class", "id"):
+            continue
+        for token in value.split():
+            parts = _WORD.findall(token)
+            if not parts or parts[0] in ABOUT:
+                continue
+            named = {p for p in (token, parts[0], parts[-1]) if p in FURNITURE_WORDS}
+            if named and not named <= LAYOUT_WORDS and WHOLE.isdisjoint(parts):
+                return FURNITURE
+            if named:
+                found = WRAPPED
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """The blocks of a page in order, with their zones."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
     zone = OPEN
+    mute, depth = "", 0  # the hidden inline element that is open; it ends with its block at the latest
 
     def close() -> None:
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, zone))
+            out.append((text, FURNITURE if zone == WRAPPED else zone))
         held.clear()
 
     at, end = 0, len(page)
     while at < end:
         found = _TOKEN.search(page, at)
         until = found.start() if found else end
-        if until > at:
+        if until > at and not mute:
             held.append(html.unescape(page[at:until]))
         if not found:
             break
@@ -120,10 +152,16 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         if tag in INLINE:
             # inline elements matter only where they are hidden; their text is part of the block
+            if mute == tag:
+                depth += -1 if closing else 1
+                mute = mute if depth else ""
+            elif not mute and not closing and tag not in VOID and found[2] and _hidden(found[2]):
+                mute, depth = tag, 1
             continue
         if tag == "br":
             held.append(" ")
             continue
+        mute, depth = "", 0
         close()
         if tag in VOID:
             continue
@@ -140,12 +178,13 @@ def blocks(page: str) -> list[tuple[str, int]]:
             zone = stack.pop()[1]
         stack.append((tag, zone))
         if zone != FURNITURE:
+            own = _zone_of(found[2]) if found[2] and tag not in ("html", "body") else OPEN
             if tag in FURNITURE_TAGS or (tag == "header" and zone != MAIN):
                 zone = FURNITURE
             elif tag in MAIN_TAGS:
-                zone = MAIN
-            elif tag not in ("html", "body") and found[2] and _is_furniture(tag, found[2]):
-                zone = FURNITURE
+                zone = FURNITURE if own == FURNITURE else MAIN
+            elif own != OPEN:
+                zone = own if zone != WRAPPED or own == FURNITURE else zone
     close()
     return out
 
@@ -223,14 +262,14 @@ def send_heads(steps: Steps, pages: pd.DataFrame, others: pd.DataFrame) -> pd.Da
         values, _, heads, _, _ = streams.of(host, texts, zones)
         if len(heads) and (mark := _mark(values, host)) not in seen:
             seen.add(mark)
-            (asked if mark in silent else found).append(np.unique(heads >> SHORT))
+            (asked if mark in silent else found).append(np.unique(heads))
     columns = ["bucket", "chunk", "hashes", "several", "counted"]
     chunk, none = int(pages["chunk"].iloc[0]) if len(pages) else 0, np.empty(0, U)
     own = np.unique(np.concatenate([none, *found]))
-    out = [steps.packed(found, chunk).assign(counted=True)] if found else []
+    out = [steps.packed(found, chunk, 0).assign(counted=True)] if found else []
     only = np.setdiff1d(np.concatenate([none, *asked]), own)
     if len(only):
-        out.append(steps.packed([only], chunk).assign(counted=False))
+        out.append(steps.packed([only], chunk, 0).assign(counted=False))
     return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
 
@@ -261,8 +300,7 @@ def keep_unique(pages: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         values, places, heads, start, end = streams.of(host, texts, zones)
         covered = np.zeros(len(values) + 1, np.int64)
         if len(heads) and len(repeated):
-            short = heads >> SHORT
-            hit = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, short), len(repeated) - 1)] == short)
+            hit = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, heads), len(repeated) - 1)] == heads)
             np.add.at(covered, start[hit], 1)
             np.add.at(covered, end[hit], -1)
         gone = np.cumsum(covered[:-1]) > 0
@@ -293,9 +331,9 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", mark
     chunk = F.pmod(F.xxhash64("page_id", F.octet_length("html"), "url"), F.lit(n_chunks)).cast("int")
     dealt = rows.withColumn("chunk", chunk).repartition(n_chunks, "chunk")
     # a stream is one row per chunk, however many pages have it; its first chunk speaks for it
-    marks = dealt.groupBy("chunk").applyInPandas(send_streams, "mark long, chunk int")
-    chunks = marks.groupBy("mark").agg(F.sort_array(F.collect_list("chunk")).alias("chunks")).where(F.size("chunks") > 1)
-    others = chunks.select("mark", F.explode(F.slice("chunks", F.lit(2), F.size("chunks"))).alias("chunk"))
+    marks = as_table(dealt.groupBy("chunk").applyInPandas(send_streams, "mark long, chunk int"), "page-streams")
+    speakers = marks.groupBy("mark").agg(F.min("chunk").alias("speaker"), F.count("*").alias("n")).where("n > 1").select("mark", "speaker")
+    others = marks.join(speakers, "mark").where("chunk <> speaker").select("mark", "chunk")
     sent = dealt.groupBy("chunk").cogroup(others.groupBy("chunk")).applyInPandas(
         lambda p, o: send_heads(steps, p, o), "bucket long, chunk int, hashes binary, several binary, counted boolean")
     shared = sent.groupBy("bucket").applyInPandas(find_repeated, "chunk int, hashes binary")

@@ -237,11 +237,11 @@ class Steps:
         """Each anchor hash of the chunk once, and which occur in two of its documents."""
         return self.packed([np.unique(h >> SHORT) for _, _, _, h in _chunk_anchors(texts, None)], int(texts["chunk"].iloc[0]))
 
-    def packed(self, found: list[np.ndarray], chunk: int) -> pd.DataFrame:
-        """One row per bucket from the distinct short hashes of each document."""
+    def packed(self, found: list[np.ndarray], chunk: int, short=SHORT) -> pd.DataFrame:
+        """One row per bucket from the distinct hashes of each document, without their last ``short`` bits."""
         h, times = np.unique(np.concatenate(found), return_counts=True)
         return pd.DataFrame(
-            [(b, chunk, packed_sorted(h[x:y]), np.packbits(times[x:y] > 1).tobytes()) for b, x, y in _buckets(h << SHORT, self.n)],
+            [(b, chunk, packed_sorted(h[x:y]), np.packbits(times[x:y] > 1).tobytes()) for b, x, y in _buckets(h << U(short), self.n)],
             columns=["bucket", "chunk", "hashes", "several"])
 
     @staticmethod
