@@ -267,8 +267,16 @@ UNION ALL SELECT 'rows in', 'all', count(*) FROM graded UNION ALL SELECT 'rows o
 missing AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN 'It is the same text' WHEN doc_id % 11 <> 0 THEN text ELSE '' END AS text,
     CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS author_hash) FROM dated)""" + cascade("missing"))
 ORACLES["topic_prevalence_interval"] = with_posts("SELECT DISTINCT lang AS topic, true AS as_theory FROM dated")
-ORACLES["scorer_error_counts"] = with_posts(
-    "SELECT period, 8 * count(*) AS errors FROM dated WHERE contains(text, 'pathetic') GROUP BY period")
+
+
+def batched(size: int) -> str:
+    """``batched``: posts with the number of their batch, and whether it fails."""
+    return f""",
+numbered AS (SELECT *, (row_number() OVER (ORDER BY post_id, text) - 1) // {size} AS batch FROM dated),
+batched AS (SELECT *, bool_or(contains(text, 'pathetic')) OVER (PARTITION BY batch) AS fails FROM numbered)"""
+
+
+ORACLES["scorer_error_counts"] = with_posts("SELECT period, count(*) AS errors FROM batched WHERE fails GROUP BY period", batched(64))
 ORACLES["balanced_sample"] = with_posts("SELECT post_id, period FROM drawn", "," + drawn("dated", str(PER_PERIOD)))
 ORACLES["stratified_sample"] = with_posts("""
 SELECT post_id, period, lang FROM (
@@ -328,10 +336,10 @@ SELECT CASE WHEN toxic = 0 THEN 'false_positive' ELSE 'false_negative' END AS ki
 FROM labelled WHERE {flagged('text')} <> (toxic = 1) GROUP BY kind""")
 ORACLES["model_scorer_errors"] = with_posts(f"""
 SELECT period, status, sentiment, count(*) AS n, {r6('sum(compound)', 'compound')} FROM (
-  SELECT period, CASE WHEN contains(text, 'pathetic') THEN 'error' ELSE 'ok' END AS status,
-    CASE WHEN contains(text, 'pathetic') THEN NULL WHEN length(text) % 2 = 1 THEN 'positive' ELSE 'negative' END AS sentiment,
-    CASE WHEN contains(text, 'pathetic') THEN NULL WHEN length(text) % 2 = 1 THEN 0.7 - (0.8 - 0.7) ELSE 0.1 - (0.8 - 0.1) END::DOUBLE AS compound
-  FROM dated) GROUP BY period, status, sentiment""")
+  SELECT period, CASE WHEN fails THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN fails THEN NULL WHEN length(text) % 2 = 1 THEN 'positive' ELSE 'negative' END AS sentiment,
+    CASE WHEN fails THEN NULL WHEN length(text) % 2 = 1 THEN 0.7 - (0.8 - 0.7) ELSE 0.1 - (0.8 - 0.1) END::DOUBLE AS compound
+  FROM batched) GROUP BY period, status, sentiment""", batched(16))
 ORACLES["analyzer_scores"] = with_posts(f"""
 SELECT period, {SENTIMENT} AS sentiment, count(*) AS n, {r6('sum(compound)', 'compound')}
 FROM (SELECT period, (length(text) % 21 - 10) / 20.0::DOUBLE AS compound FROM dated) GROUP BY ALL""")

@@ -391,7 +391,7 @@ def wrong_flags(spark, folder):
 
 @query
 def model_scorer_errors(spark, folder):
-    """A stand-in model of one post per batch that fails on every text with a certain word."""
+    """A stand-in model that fails on every batch of sixteen posts in which a text has a certain word."""
     def load():
         def predict(texts):
             if any("pathetic" in item for item in texts):
@@ -401,7 +401,7 @@ def model_scorer_errors(spark, folder):
 
         return predict
 
-    scored = scorers.ModelScorer(load, ["negative", "neutral", "positive"], batch_size=1).score(dated(spark, folder))
+    scored = scorers.ModelScorer(load, ["negative", "neutral", "positive"], batch_size=16).score(dated(spark, folder))
     return rounded(scored.groupBy("period", "status", "sentiment").agg(
         F.count("*").alias("n"), F.sum("compound").alias("compound")))
 
@@ -634,7 +634,8 @@ def topic_prevalence_interval(spark, folder):
 
 @query
 def scorer_error_counts(spark, folder):
-    """A model whose batches of eight fail where they hold a certain word: every failing batch is counted whole."""
+    """A model whose batches of 64 fail where they hold a certain word: every failing batch is counted whole, in however
+    many partitions the posts come."""
     def load():
         def predict(texts):
             if any("pathetic" in item for item in texts):
@@ -643,10 +644,9 @@ def scorer_error_counts(spark, folder):
 
         return predict
 
-    # every text eight times in a row, so a batch holds one text
-    rows = dated(spark, folder).select("period", "post_id", F.explode(F.array_repeat("text", 8)).alias("text"))
-    scored = scorers.ModelScorer(load, ["negative", "neutral", "positive"], batch_size=8).score(rows)
-    return scorers.error_counts(scored)
+    model = scorers.ModelScorer(load, ["negative", "neutral", "positive"], batch_size=64)
+    counts = [scorers.error_counts(model.score(dated(spark, folder).select("period", "post_id", "text").repartition(parts))) for parts in (1, 8, 50)]
+    return counts[0].intersectAll(counts[1]).intersectAll(counts[2])
 
 
 # --- jobs -----------------------------------------------------------------------------------

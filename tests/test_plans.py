@@ -149,6 +149,29 @@ def test_model_scorer_marks_a_failing_batch(spark):
         ModelScorer(toy_model, ["joy"])
 
 
+@pytest.mark.parametrize("rows_at_once", [10_000, 7])
+def test_batches_do_not_depend_on_partitions(spark, rows_at_once):
+    def load():
+        def predict(texts):
+            if any("boom" in text for text in texts):
+                raise RuntimeError("out of memory")
+            return np.tile([0.1, 0.2, 0.7], (len(texts), 1))
+        return predict
+
+    rows = [(f"p{i:04d}", "boom" if i in (70, 400) else "fine") for i in range(500)] + [(None, "boom"), ("p0003", "twice")]
+    df = spark.createDataFrame(rows, "post_id string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+    try:
+        failed = [sorted(str(r.post_id) for r in ModelScorer(load, ["negative", "neutral", "positive"], 64).score(df.repartition(n)).where("status = 'error'").collect())
+                  for n in (1, 8, 200)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert failed[0] == failed[1] == failed[2]
+    # the null id comes first and the repeated one counts: batches of 64 from 0, 64 and 384
+    numbered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert failed[0] == sorted(str(r[0]) for b in range(8) if any(t == "boom" for _, t in numbered[64 * b:64 * b + 64]) for r in numbered[64 * b:64 * b + 64])
+
+
 def test_analyzer_scorer(spark):
     df = spark.createDataFrame([("good",), ("x",), ("bad",)], "text string")
     scorer = AnalyzerScorer(lambda: lambda text: {"good": 0.5, "bad": -0.05}.get(text, 0.0))

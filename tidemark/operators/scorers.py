@@ -11,13 +11,18 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import fixed_values as fixed
 from ..functions.sentiment import label_from_compound, lexicon_compound, normalize_label
+from ..storage import placed
 
 SCORE_FIELDS = "sentiment string, compound double, status string"
+SCORE_NAMES = ("sentiment", "compound", "status")
+_SCORE_SCHEMA = pa.schema([("sentiment", pa.string()), ("compound", pa.float64()), ("status", pa.string())])
 
 
 class Scorer(Protocol):
@@ -76,8 +81,10 @@ class AnalyzerScorer:
 class ModelScorer:
     """Batched model. ``load`` builds, once per task, a function from texts to class probabilities.
 
-    ``labels`` are the model's own class names. Batches of ``batch_size`` posts go to the model; the posts of
-    a batch that fails have status ``error`` and the run goes on.
+    ``labels`` are the model's own class names. Posts are numbered in the order of their ids, and each ``batch_size`` of
+    them are one batch, formed before the model runs: which posts share a batch, and so fail with it, does not depend on
+    the partitioning. The posts of a batch that fails have status ``error`` and the run goes on. A stream, or a frame
+    without ids, is scored in batches of posts as they come.
     """
 
     name = "transformer"
@@ -88,11 +95,11 @@ class ModelScorer:
         self.load, self.batch_size = load, batch_size
         self.labels = [normalize_label(label) for label in labels]
 
-    def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        load, labels, size = self.load, np.array(self.labels, dtype=object), self.batch_size
+    def _classifier(self) -> Callable[[Callable, Sequence[str]], pd.DataFrame]:
+        labels = np.array(self.labels, dtype=object)
         at = {label: index for index, label in enumerate(self.labels)}
 
-        def classify(model, texts: pd.Series) -> pd.DataFrame:
+        def classify(model: Callable[[list[str]], np.ndarray], texts: Sequence[str]) -> pd.DataFrame:
             try:
                 chances = np.asarray(model([str(text) for text in texts]), dtype=float).reshape(len(texts), len(labels))
             except Exception:  # one bad batch must not end the run
@@ -102,6 +109,51 @@ class ModelScorer:
             return pd.DataFrame({"sentiment": labels[chances.argmax(axis=1)],
                                  "compound": side["positive"] - side["negative"], "status": "ok"})
 
+        return classify
+
+    def score(self, df: DataFrame, text_col: str = "text", id_col: str = "post_id") -> DataFrame:
+        if df.isStreaming or id_col not in df.columns:
+            return self._score_as_they_come(df, text_col)
+        load, classify, size = self.load, self._classifier(), self.batch_size
+        numbered = placed(df.drop(*SCORE_NAMES), "scored", F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).withColumn(
+            "_batch", F.floor(F.col("place") / size))
+        dealt = numbered.repartitionByRange("_batch").sortWithinPartitions("place").drop("place")
+        names = [name for name in dealt.columns if name != "_batch"]
+
+        def scored(model: Callable, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            number = rows.column("_batch").to_numpy()
+            edges = [*np.flatnonzero(np.diff(number, prepend=-1)), len(number)]
+            found = [classify(model, rows.column(text_col)[a:b].to_pylist()) for a, b in zip(edges, edges[1:])]
+            score = pa.Table.from_pandas(pd.concat(found), schema=_SCORE_SCHEMA, preserve_index=False)
+            out = rows.select(names)
+            for name in SCORE_NAMES:
+                out = out.append_column(name, score.column(name))
+            yield from out.combine_chunks().to_batches()
+
+        def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, held = load(), None
+            for batch in batches:
+                rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                if not rows.num_rows:
+                    continue
+                # the last batch may go on in the next rows
+                number = rows.column("_batch").to_numpy()
+                whole = int(np.searchsorted(number, number[-1]))
+                held = rows.slice(whole)
+                if whole:
+                    yield from scored(model, rows.slice(0, whole))
+            if held is not None and held.num_rows:
+                yield from scored(model, held)
+
+        fields = StructType([dealt.schema[name] for name in names])
+        for name, kind in zip(SCORE_NAMES, ("string", "double", "string")):
+            fields = fields.add(name, kind)
+        done = dealt.mapInArrow(predict, fields)
+        return done.withColumn("compound", F.when(F.col("status") == "ok", F.col("compound")))
+
+    def _score_as_they_come(self, df: DataFrame, text_col: str) -> DataFrame:
+        load, classify, size = self.load, self._classifier(), self.batch_size
+
         # only the text travels to Python; not deterministic, so that no filter runs the model a second time
         @F.pandas_udf(SCORE_FIELDS)
         def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

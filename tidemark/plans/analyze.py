@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from ..sizes import settle
 from ..storage import as_table
 
 CELL = ("period", "topic", "moderation", "sentiment")
+#: results that need the topic model
+TOPIC_RESULTS = frozenset(("topics", "topic_prevalence", "negative_share_topic_adjusted", "regression_negative"))
 
 
 def score(df: DataFrame, scorer: Scorer, categories: Categories = fixed.PATTERN_CATEGORIES) -> DataFrame:
@@ -38,8 +42,9 @@ def analyze(
     seed: int = fixed.SEED,
     n_boot: int = fixed.BOOTSTRAP_DRAWS,
     materialize: bool = True,
+    only: Collection[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """One table per result.
+    """One table per result; ``only`` names the wanted ones, and without those that need it no topic model is fitted.
 
     The scored posts are written once. After the topics are known everything that is a count comes from one
     table of cells (period, topic, moderation, sentiment).
@@ -47,30 +52,41 @@ def analyze(
     if materialize:
         scored = as_table(scored, "scored")
     ok = without_errors(scored)
-    model = fit_topics(ok, n_topics, seed, keep=["period", "moderation", "sentiment"])
+    wanted = (lambda name: True) if only is None else set(only).__contains__
+    results: dict[str, DataFrame] = {}
+
+    def add(name: str, make: Callable[[], DataFrame]) -> None:
+        if wanted(name):
+            results[name] = make()
+
+    model = None
+    if any(map(wanted, TOPIC_RESULTS)):
+        model = fit_topics(ok, n_topics, seed, keep=["period", "moderation", "sentiment"])
+        counted, cell = model.assign(), CELL
+    else:
+        counted, cell = ok, [name for name in CELL if name != "topic"]
     # a handful of cells: periods x topics x flag x labels
-    cells = settle(model.assign().groupBy(*CELL).agg(F.count("*").alias("n")), "cells")
-    cells = cells.withColumn("negative", negative_flag(F.col("sentiment")))
+    cells = settle(counted.groupBy(*cell).agg(F.count("*").alias("n")), "cells").withColumn("negative", negative_flag(F.col("sentiment")))
     talk = cells.filter("moderation = 1")
-    results = {
-        "scorer": scored.agg(F.first("scorer").alias("scorer")),
-        "posts": cells.groupBy("period").agg(F.sum("n").alias("posts")),
-        "scorer_errors_excluded": error_counts(scored),
-        "sentiment_shares": sentiment_shares(cells, n="n"),
-        "sentiment_chi_square": chi_square(contingency(cells, "period", "sentiment", fixed.SENTIMENTS, n="n")),
-        "confounders_smd": mean_differences(ok, confounders(F.col("text"))),
-        "moderation_share": share_difference(cells, F.col("moderation"), n="n"),
-    }
-    if talk.select("period").distinct().count() == 2:
-        results["moderation_sentiment_chi_square"] = chi_square(
-            contingency(talk, "period", "sentiment", fixed.SENTIMENTS, n="n"))
-        results["moderation_negative_share"] = share_difference(talk, F.col("negative"), n="n")
-    results["topics"] = model.describe()
-    results["topic_prevalence"] = label_topics(topic_prevalence(cells, "topic", n_boot, seed, n="n"), results["topics"])
-    results["negative_share_topic_adjusted"] = standardized_difference(cells, "negative", "topic", n_boot, seed, n="n")
-    results["regression_negative"] = study_regression(cells, n="n")
+    add("scorer", lambda: scored.agg(F.first("scorer").alias("scorer")))
+    add("posts", lambda: cells.groupBy("period").agg(F.sum("n").alias("posts")))
+    add("scorer_errors_excluded", lambda: error_counts(scored))
+    add("sentiment_shares", lambda: sentiment_shares(cells, n="n"))
+    add("sentiment_chi_square", lambda: chi_square(contingency(cells, "period", "sentiment", fixed.SENTIMENTS, n="n")))
+    add("confounders_smd", lambda: mean_differences(ok, confounders(F.col("text"))))
+    add("moderation_share", lambda: share_difference(cells, F.col("moderation"), n="n"))
+    inside = ("moderation_sentiment_chi_square", "moderation_negative_share")
+    if any(map(wanted, inside)) and talk.select("period").distinct().count() == 2:
+        add(inside[0], lambda: chi_square(contingency(talk, "period", "sentiment", fixed.SENTIMENTS, n="n")))
+        add(inside[1], lambda: share_difference(talk, F.col("negative"), n="n"))
+    if model is not None:
+        described = model.describe()
+        add("topics", lambda: described)
+        add("topic_prevalence", lambda: label_topics(topic_prevalence(cells, "topic", n_boot, seed, n="n"), described))
+        add("negative_share_topic_adjusted", lambda: standardized_difference(cells, "negative", "topic", n_boot, seed, n="n"))
+        add("regression_negative", lambda: study_regression(cells, n="n"))
     if "true_moderation" in scored.columns:
-        results["check_against_truth"] = truth_check(ok)
+        add("check_against_truth", lambda: truth_check(ok))
     return results
 
 
