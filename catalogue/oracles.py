@@ -355,6 +355,13 @@ SELECT period, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER
     count(*) FILTER (event_type = 'view') AS view FROM timed GROUP BY period"""
 
 
+def crc32(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''),
+    lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+    ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+
 def chi_of(source: str, row: str, col: str) -> str:
     """``chi``: statistic and its parts, over all combinations of the rows and columns that occur."""
     return f""",
@@ -483,3 +490,25 @@ ORACLES["study_shares"] = with_posts("", _study_rows + shares_of("rows"))
 ORACLES["study_report"] = with_posts(f"""
 SELECT {chi_columns('exp(-chi2 / 2)')}, pre, post, diff, diff_low, diff_high FROM chi CROSS JOIN difference""",
     _study_rows + chi_of("rows", "period", "sentiment") + difference_of("rows", flagged("text")))
+ORACLES["study_post_counts"] = with_posts("SELECT period, count(*) AS posts FROM rows GROUP BY period", _study_rows)
+ORACLES["study_confounders"] = with_posts("\nUNION ALL ".join([
+    mean_difference("rows", "length_words", f"len(regexp_extract_all(text, '{VISIBLE}+'))"),
+    mean_difference("rows", "has_link", "contains(text, 'http')::INTEGER"),
+    mean_difference("rows", "has_mention", "contains(text, '@user')::INTEGER"),
+    mean_difference("rows", "hashtags", "length(text) - length(replace(text, '#', ''))")]), _study_rows)
+_inside = f", inside AS (SELECT * FROM rows WHERE {flagged('text')})"
+ORACLES["study_inside_chi_square"] = with_posts(
+    f"SELECT {chi_columns('exp(-chi2 / 2)')} FROM chi", _study_rows + _inside + chi_of("inside", "period", "sentiment"))
+ORACLES["study_inside_share"] = with_posts(
+    "SELECT pre, post, diff, diff_low, diff_high FROM difference", _study_rows + _inside + difference_of("inside", "sentiment = 'negative'"))
+ORACLES["study_errors"] = with_posts(f"""
+SELECT period, count(*) FILTER (NOT bad) AS posts, count(*) FILTER (bad) AS errors
+FROM (SELECT period, {crc32('post_id')} % 7 = 0 AS bad FROM rows) GROUP BY period""", _study_rows)
+ORACLES["study_truth_check"] = ORACLES["truth_check"]
+ORACLES["study_topics"] = with_posts("""
+SELECT 1.0::DOUBLE AS pre_share, 1.0::DOUBLE AS post_share, 0.0::DOUBLE AS diff, 0::BIGINT AS outside, 0::BIGINT AS unnamed,
+    4::BIGINT AS topics, 32::BIGINT AS words, 'intercept moderation post post_x_moderation' AS terms, diff AS crude_diff
+FROM difference""", _study_rows + difference_of("rows", "sentiment = 'negative'"))
+ORACLES["logit_score_equations"] = with_posts("""
+SELECT count(*) AS posts, sum((quality = 0)::INTEGER)::BIGINT AS poor, 0.0::DOUBLE AS intercept, 0.0::DOUBLE AS size, 0.0::DOUBLE AS post, 0.0::DOUBLE AS toxic
+FROM labelled""")

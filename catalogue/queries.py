@@ -681,21 +681,102 @@ def study_shares(spark, folder):
 
 @query
 def study_report(spark, folder):
-    """The whole analysis; its one-row results side by side."""
+    """One-row results of the analysis side by side."""
     scored, _ = study(spark, folder)
-    results = analyze(scored, n_topics=4, n_boot=100)
+    results = analyze(scored, only=("sentiment_chi_square", "moderation_share"))
     chi = results["sentiment_chi_square"].select("chi2", "dof", "p_value", "cramers_v", F.lit(1).alias("_one"))
     share = results["moderation_share"].select("pre", "post", "diff", "diff_low", "diff_high", F.lit(1).alias("_one"))
     return rounded(chi.join(share, "_one").drop("_one"))
 
 
+def study_result(spark: SparkSession, folder: str, *names: str, n_boot: int = 100) -> list[DataFrame]:
+    scored, _ = study(spark, folder)
+    results = analyze(scored, n_topics=4, n_boot=n_boot, only=names)
+    return [rounded(results[name]) for name in names]
+
+
 @query
-def study_regression(spark, folder):
+def study_post_counts(spark, folder):
+    return study_result(spark, folder, "posts")[0]
+
+
+@query
+def study_confounders(spark, folder):
+    return study_result(spark, folder, "confounders_smd")[0]
+
+
+@query
+def study_inside_chi_square(spark, folder):
+    """The sentiment of posts in which a category matches, by period."""
+    return study_result(spark, folder, "moderation_sentiment_chi_square")[0].select("chi2", "dof", "p_value", "cramers_v")
+
+
+@query
+def study_inside_share(spark, folder):
+    found, = study_result(spark, folder, "moderation_negative_share")
+    return found.select("pre", "post", "diff", "diff_low", "diff_high")
+
+
+@query
+def study_errors(spark, folder):
+    """Scores that fail for one post in seven, as the analysis counts and leaves them out."""
     scored, _ = study(spark, folder)
-    return rounded(analyze(scored, n_topics=4, n_boot=20)["regression_negative"])
+    bad = F.crc32("post_id") % 7 == 0
+    broken = scored.withColumns({"sentiment": F.when(~bad, F.col("sentiment")), "status": F.when(bad, "error").otherwise("ok")})
+    results = analyze(broken, only=("posts", "scorer_errors_excluded"))
+    return results["posts"].join(results["scorer_errors_excluded"], "period")
 
 
 @query
-def study_adjusted_difference(spark, folder):
+def study_truth_check(spark, folder):
+    """The check against known labels as part of the analysis; a post's truth comes with its text."""
+    frame = labelled(spark, folder)
+    scored = score(frame, corpus_scorer(), CATEGORIES).withColumns({
+        "true_moderation": F.col("toxic").cast("string"),
+        "true_sentiment": F.when(F.col("quality") == 0, "negative").otherwise("positive")})
+    return rounded(analyze(scored, only=("check_against_truth",))["check_against_truth"])
+
+
+@query
+def study_topics(spark, folder):
+    """All tables that need the topics: whether shares add up, a difference lies in its bounds, words are as many as asked for."""
     scored, _ = study(spark, folder)
-    return rounded(analyze(scored, n_topics=4, n_boot=200)["negative_share_topic_adjusted"])
+    results = analyze(scored, n_topics=4, n_boot=200, only=("topics", "topic_prevalence", "negative_share_topic_adjusted", "regression_negative"))
+    inside = (F.col("diff_low") <= F.col("diff")) & (F.col("diff") <= F.col("diff_high"))
+    shares = results["topic_prevalence"].agg(
+        r6(F.sum("pre_share")).alias("pre_share"), r6(F.sum("post_share")).alias("post_share"), r6(F.sum("diff")).alias("diff"),
+        F.sum((~inside).cast("bigint")).alias("outside"), F.sum((F.col("label") == "").cast("bigint")).alias("unnamed"))
+    words = results["topics"].agg(F.count("*").alias("topics"), F.sum(F.size("top_words")).cast("bigint").alias("words"))
+    terms = results["regression_negative"].agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("terms"))
+    crude = rounded(results["negative_share_topic_adjusted"]).select("crude_diff")
+    one = F.lit(1).alias("_one")
+    out = shares.select("*", one)
+    for part in (words, terms, crude):
+        out = out.join(part.select("*", one), "_one")
+    return out.drop("_one")
+
+
+@query
+def logit_score_equations(spark, folder):
+    """A regression on a continuous and two other predictors: what is left of its score equations, which end at zero, and
+    the same for the sum of expected outcomes."""
+    frame = labelled(spark, folder).select(
+        (F.col("quality") == 0).cast("int").alias("poor"), F.log(F.length("text") + 1).alias("size"),
+        (F.col("period") == "post").cast("int").alias("post"), F.col("toxic").cast("int").alias("toxic"))
+    names = ["size", "post", "toxic"]
+    beta = {r.term: r.coef for r in regression.logistic_regression(frame, "poor", names, distinct_rows=False).collect()}
+    linear = sum((F.col(name) * beta[name] for name in names), F.lit(beta["intercept"]))
+    left = F.col("poor") - 1 / (1 + F.exp(-linear))
+    return frame.agg(
+        F.count("*").alias("posts"), F.sum("poor").alias("poor"), (F.round(F.sum(left), 3) + 0.0).alias("intercept"),
+        *[(F.round(F.sum(left * F.col(name)), 3) + 0.0).alias(name) for name in names])
+
+
+@query
+def study_regression(spark, folder):
+    return study_result(spark, folder, "regression_negative")[0]
+
+
+@query
+def study_adjusted_difference(spark, folder):
+    return study_result(spark, folder, "negative_share_topic_adjusted", n_boot=200)[0]
