@@ -55,6 +55,27 @@ def test_system_turn_is_carried(spark):
     assert all(w.formatted.count("be brief") == 1 for w in windows)
 
 
+def test_no_window_costs_more_than_the_budget(spark):
+    draw = np.random.default_rng(1)
+    rows = [(c, t, "system" if t == 0 and c % 3 == 0 else "assistant" if t % 2 else "user", "word " * int(draw.choice([1, 5, 30, 90, 900])))
+            for c in range(60) for t in range(40)]
+    rows += [(100, 0, "user", "word " * 905), (100, 1, "assistant", "word " * 905), (101, 0, "user", "word " * 15), (101, 1, "assistant", "word " * 5005),
+             (102, 0, "system", "word " * 600), (102, 1, "user", "hi"), (102, 2, "assistant", "word " * 100)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, window string, before int")
+    windows = chat.format_windows(frame).cache()
+    check(rows, chat.read_back(windows).collect())
+    cost = lambda text: len(text.split()) + 5
+    for w in windows.collect():
+        turns = [t.split("\n", 1)[1] for t in w.formatted.split("<|im_end|>\n")[:-1]]
+        assert w.estimate == sum(map(cost, turns))
+        alone = w.n_turns - w.n_context == 1
+        system = cost(turns[0]) if len(turns) > 1 and w.formatted.startswith("<|im_start|>system") else 0
+        assert w.estimate <= chat.BUDGET or (alone and cost(turns[-1]) + system > chat.BUDGET)
+    per = {c: [(w.n_turns - w.n_context, w.estimate) for w in windows.where(f"conv_id = {c}").orderBy("window").collect()] for c in (100, 101, 102)}
+    assert per[100] == [(1, 910), (1, 910)] and per[101] == [(1, 20), (1, 5010)]
+    assert windows.where("n_context > 1").count() > 20 and windows.where("n_turns - n_context > 3").count() > 20
+
+
 def test_no_turns(spark):
     assert chat.read_back(chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 

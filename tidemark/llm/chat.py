@@ -1,8 +1,10 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-A running sum of turn costs places every turn: a window is the run of turns whose sum begins in the same stride of
-the budget, so windows are aligned to turns and no window depends on the one before. A window repeats the system
-turn of its conversation and the last turns before it that fit into the history budget; repeated turns are context
+A running sum of turn costs places every turn. Each conversation has its share of the budget for own turns: what the
+system turn and the history leave. The sum is cut into strides of that share; the turns that lie inside a stride are one
+window, and a turn that reaches over its end is a window by itself. So windows are aligned to turns, never hold more
+than the budget, and none depends on how the ones before it came out. A window repeats the system turn of its
+conversation and the last turns of the window before it that fit into the history budget; repeated turns are context
 and outside the loss mask, so each assistant text is a target once.
 
 The running sum is taken in two steps, over blocks of turn numbers and within a block, and everything after it is
@@ -14,8 +16,9 @@ Format: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside texts and role
 In roles backslashes and line ends are written ``\\\\`` and ``\\n`` as well.
 
 Defined results: null text and null role are empty; a null ``conv_id`` is a conversation; rows with equal turn
-numbers are ordered by role and text, null turns first; a turn larger than the budget is a window of its own, whole;
-an empty table gives an empty table; other columns of the input are dropped.
+numbers are ordered by role and text, null turns first; a turn larger than its share is a window of its own, whole and
+without history, and costs more than the budget only if that turn and the system turn do; a system turn that takes half
+of the budget leaves no history, one that takes all of it is repeated all the same; an empty table gives an empty table; other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.storage import as_table
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS_PER_BLOCK = 256
 BUDGET, HISTORY = 1024, 256
@@ -60,8 +65,8 @@ def _turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n"))
 
 
-def placed_turns(turns: DataFrame, budget: int = BUDGET, cost: Callable[[Column], Column] = token_estimate) -> DataFrame:
-    """conv_id, turn, role, text (escaped), cost, before (running sum), window."""
+def placed_turns(turns: DataFrame, cost: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """conv_id, turn, role, text (escaped), cost, before (running sum)."""
     clean = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).select(
@@ -79,37 +84,45 @@ def placed_turns(turns: DataFrame, budget: int = BUDGET, cost: Callable[[Column]
         offsets, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")),
     ).select(
         "conv_id", "turn", "block", "place", "role", "text", "cost",
-        (F.col("offset") + F.col("within") - F.col("cost")).alias("before"),
-    ).withColumn("window", F.floor(F.col("before") / budget).cast("long"))
+        (F.col("offset") + F.col("within") - F.col("cost")).alias("before"))
 
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
                    cost: Callable[[Column], Column] = token_estimate) -> DataFrame:
-    """One row per window: conv_id, window, formatted, n_context (turns repeated), n_turns (all turns in it),
-    loss_spans (code point ranges of the target texts in ``formatted``, end exclusive)."""
-    placed = placed_turns(turns, budget, cost)
-    span = W.partitionBy("conv_id", "window")
-    ended = placed.withColumns({
-        "ends": F.max(F.col("before") + F.col("cost")).over(span)})
-    # a window number may be skipped by a long turn: the next one is where the sum ends
-    onward = F.floor(F.col("ends") / budget).cast("long")
-    own = ended.select("conv_id", "window", "before", "role", "text", F.lit(1).alias("kind"))
-    # a sum that ends in the same stride ends the conversation
-    carried = ended.where(((F.col("ends") - F.col("before")) <= history) & (onward > F.col("window"))).select(
-        "conv_id", onward.alias("window"), "before", "role", "text", F.lit(0).alias("kind"))
+    """One row per window: conv_id, window, formatted, n_context (turns repeated), n_turns (all turns in it), estimate
+    (their cost), loss_spans (code point ranges of the target texts in ``formatted``, end exclusive). Windows are
+    numbered in order, with gaps."""
+    placed = as_table(placed_turns(turns, cost), "chat-turns")
     # the system turn: the first turn of a conversation, if it has that role
     first = placed.where("before = 0").where(F.col("role") == "system").select(
-        F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("text").alias("x"))
-    later = ended.where("window > 0").select("conv_id", "window").distinct()
+        F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("text").alias("x"), F.col("cost").alias("system"))
+    system_cost = F.coalesce("system", F.lit(0))
+    kept = F.least(F.lit(history), F.greatest(F.lit(0), F.lit(budget // 2) - system_cost))
+    sized = placed.join(first.select("c", "system"), F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", "before", "role", "text", "cost", kept.alias("kept"),
+        F.when(system_cost < budget, F.lit(budget) - system_cost - kept).otherwise(max(1, budget // 4)).alias("share"))
+    stride, reached = F.floor(F.col("before") / F.col("share")), F.floor((F.col("before") + F.col("cost") - 1) / F.col("share"))
+    windowed = sized.withColumn("window", (2 * stride + F.when(reached > stride, 1).otherwise(0)).cast("long"))
+    span = W.partitionBy("conv_id", "window")
+    ended = as_table(windowed.withColumns(
+        {"starts": F.min("before").over(span), "ends": F.max(F.col("before") + F.col("cost")).over(span)}), "chat-windows")
+    own = ended.select("conv_id", "window", "before", "role", "text", "cost", F.lit(1).alias("kind"))
+    # the turn at the end of a window begins the next one, which takes history if it is not too large itself
+    onward = ended.where((F.col("before") == F.col("starts")) & (F.col("cost") <= F.col("share"))).select(
+        F.col("conv_id").alias("c"), F.col("starts").alias("at"), F.col("window").alias("onward"))
+    carried = ended.where((F.col("ends") - F.col("before")) <= F.col("kept")).join(
+        onward, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("ends") == F.col("at"))).select(
+        "conv_id", F.col("onward").alias("window"), "before", "role", "text", "cost", F.lit(0).alias("kind"))
+    later = ended.where("starts > 0").select("conv_id", "window").distinct()
     system = later.join(first, F.col("conv_id").eqNullSafe(F.col("c"))).select(
-        "conv_id", "window", F.lit(0).cast("long").alias("before"), F.col("r").alias("role"), F.col("x").alias("text"), F.lit(0).alias("kind"))
+        "conv_id", "window", F.lit(0).cast("long").alias("before"), F.col("r").alias("role"), F.col("x").alias("text"), F.col("system").alias("cost"), F.lit(0).alias("kind"))
     # history may hold the system turn too: it is carried once
     rows = own.unionByName(carried.where(~((F.col("before") == 0) & (F.col("role") == "system")))).unionByName(system)
     grouped = rows.groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("before", "kind", "role", "text"))).alias("turns"),
-        F.sum("kind").alias("n_new"), F.count("*").alias("n_turns")).where("n_new > 0")
+        F.sum("kind").alias("n_new"), F.count("*").alias("n_turns"), F.sum("cost").alias("estimate"))
     pieces = F.transform("turns", lambda t: _turn(t["role"], t["text"]))
-    shaped = grouped.select("conv_id", "window", "turns", "n_new", "n_turns", pieces.alias("pieces")).select(
+    shaped = grouped.select("conv_id", "window", "turns", "n_new", "n_turns", "estimate", pieces.alias("pieces")).select(
         "*", F.transform("pieces", F.char_length).alias("sizes"))
     starts = F.transform("sizes", lambda s, i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, b: a + b))
     spans = F.filter(
@@ -121,7 +134,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         lambda s: s.isNotNull())
     return shaped.withColumn("starts", starts).select(
         "conv_id", "window", F.array_join("pieces", "").alias("formatted"),
-        (F.col("n_turns") - F.col("n_new")).alias("n_context"), "n_turns", spans.alias("loss_spans"))
+        (F.col("n_turns") - F.col("n_new")).alias("n_context"), "n_turns", "estimate", spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
