@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, quality, queries
 
@@ -135,3 +136,37 @@ def test_one_source_holds_all(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "s") for i in range(3000)], "doc_id long, text string, source string")
     got = mixing.mixed_sizes(docs).collect()
     assert abs(sum(r.taken for r in got) - 1.5 * sum(r["size"] for r in got)) <= 7
+
+
+CLASHING = ("whole", "below", "hash", "__hash", "__text", "__mine", "N_WORDS", "a.b", "a`b", "Size", "copy", "source_", "_c0", "kind", "row")
+
+
+@pytest.fixture
+def clashing(spark):
+    """Extra columns with names that the operators use themselves, with other case, or hard to quote."""
+    frame = spark.createDataFrame([(i, f"one two three word{i} " * 20, f"s{i % 2}", *range(len(CLASHING))) for i in range(6)])
+    return frame.toDF("doc_id", "text", "source", *CLASHING)
+
+
+def test_clashing_columns_of_the_mix(clashing):
+    got = mixing.mix(clashing)
+    assert got.columns == ["doc_id", "text", "source", *(c for c in CLASHING if c != "Size"), "size", "source_size", "target", "copies", "taken"]
+    rows = got.collect()
+    assert len(rows) == 6 and all(r["a.b"] == CLASHING.index("a.b") and r["__mine"] == CLASHING.index("__mine") and r.size == 80 for r in rows)
+    copies = mixing.repeated(got)
+    assert copies.columns == ["doc_id", "text", "source", *(c for c in CLASHING if c != "Size")] and copies.count() == sum(r.copies for r in rows)
+
+
+def test_clashing_columns_of_the_rules(clashing):
+    got = quality.apply_rules(clashing)
+    others = [c for c in CLASHING if c != "N_WORDS"]
+    assert got.columns[:3 + len(others)] == ["doc_id", "text", "source", *others] and got.columns[-1] == "kept"
+    assert all(r["__mine"] == CLASHING.index("__mine") and r["__text"] == CLASHING.index("__text") and r.n_words == 80 for r in got.collect())
+
+
+def test_clashing_columns_of_the_masking(clashing):
+    from tidemark.llm import private_data
+
+    got = private_data.masked(clashing.withColumn("text", F.concat("text", F.lit("a@b.org"))))
+    assert got.columns == clashing.columns
+    assert all(r.text.endswith("<EMAIL>") and r["a.b"] == CLASHING.index("a.b") and r["row"] == CLASHING.index("row") for r in got.collect())

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import as_table
 
+from .names import Columns
 from .quality import words_of
 
 #: bits of the hash that one histogram resolves, and the number of digits
@@ -31,6 +32,8 @@ DIGITS = 5
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
+#: columns that the mix adds
+NAMES = ("size", "source_size", "target", "copies", "taken")
 
 
 def n_words(text: Column) -> Column:
@@ -129,20 +132,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     Counting words is done once, into a slim table; the texts are read again only for the result.
     """
-    names = ("size", "source_size", "target", "copies", "taken")
-    hash_ = position_hash(F.col(id_column), F.coalesce(F.col(text), F.lit("")), seed=seed)
-    slim = as_table(docs.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), hash_.alias("hash")), "mix-sizes")
+    given = Columns(docs)
+    hash_ = position_hash(given[id_column], F.coalesce(given[text], F.lit("")), seed=seed)
+    counted = given.frame.select(*given.neutral(), given[source].cast("string").alias("source"), n_words(given[text]).alias("size"), hash_.alias("hash"))
+    slim = as_table(counted.select("source", "size", "hash"), "mix-sizes")
     state = thresholds(slim, targets(as_table(weighted_sources(slim, weights), "mix-sources"), share, most))
-    counted = docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in names), n_words(F.col(text)).alias("size"), hash_.alias("__hash"))
-    return _taken(counted, state, source)
+    return _taken(counted, state).select(*given.back(NAMES), *NAMES)
 
 
-def _taken(counted: DataFrame, state: DataFrame, source: str) -> DataFrame:
-    copies = F.col("whole") + F.when(F.col("__hash") < F.col("below"), 1).otherwise(0)
-    joined = counted.join(state.withColumnRenamed("source", "__source"), F.col(source).cast("string").eqNullSafe(F.col("__source")))
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop(
-        "__hash", "__source", "whole", "below")
+def _taken(counted: DataFrame, state: DataFrame) -> DataFrame:
+    copies = F.col("whole") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
+    joined = counted.join(state.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")))
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_sizes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
@@ -152,11 +153,12 @@ def mixed_sizes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     slim = as_table(docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), hash_.alias("hash")), "mix-sizes")
     state = thresholds(slim, targets(as_table(weighted_sources(slim, weights), "mix-sources"), share, most))
-    return _taken(slim.withColumnRenamed("hash", "__hash"), state, "source").select(
+    return _taken(slim, state).select(
         "doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """One row for each copy that the mix takes."""
-    return mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop(
-        "__copy", "size", "source_size", "target", "copies", "taken")
+    given = Columns(mixed.where("copies > 0"))
+    copies = F.explode(F.sequence(F.lit(1), given["copies"].cast("int"))).alias("copy")
+    return given.frame.select(*given.neutral(), copies).select(*given.back(NAMES))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import as_table
 
+from .names import Columns
 from .quality import let
 
 #: fixed values: the base patterns, in the order in which kinds are listed
@@ -185,9 +186,8 @@ def report(found: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets. Of overlapping spans the first
     names the whole stretch."""
-    others = [c for c in docs.columns if c not in (id_column, text)]
-    packed = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.struct(*others).alias("__others")) if others else docs.select(
-        F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("struct<x:int>").alias("__others"))
+    given = Columns(docs)
+    packed = given.frame.select(given[id_column].alias("doc_id"), given[text].alias("text"), F.struct(*(n for n, c in zip(given.neutral(), given.names) if c.lower() != text.lower())).alias("__others"))
     whole = _with_base(packed, "doc_id", "text")
     found = as_table(instances(whole.select("row", F.col("__text").alias("text"), "base")), "private-instances")
     added = as_table(unseen(found, confident_patterns(found)), "private-added")
@@ -209,5 +209,5 @@ def masked(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
         F.array_join(r["parts"], ""), F.substring(F.col("__text"), r["at"] + 1, F.char_length("__text"))))
     result = F.when(F.size(spans) > 0, done).otherwise(F.col("text"))
     replaced = joined.select("doc_id", "__others", result.alias("__new"))
-    shown = {id_column: F.col("doc_id"), text: F.col("__new")}
-    return replaced.select(*(shown[c].alias(c) if c in shown else F.col("__others").getField(c).alias(c) for c in docs.columns))
+    return replaced.select(*(F.col("__new").alias(c) if c.lower() == text.lower() else F.col("__others").getField(n).alias(c)
+                             for n, c in zip(given.neutral(), given.names)))

@@ -17,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import Columns
+
 #: fixed values: white space, symbols, stop words of the four languages
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -106,16 +108,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` and all measures."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars",
              "symbols_per_word", "stop_word_ratio", "dup_line_ratio", "repeat_word_percent")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    staged = docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in names),
-        whole.alias("__text"), words_of(F.col(text)).alias("__words"),
+    given = Columns(docs)
+    whole = F.coalesce(given[text], F.lit(""))
+    staged = given.frame.select(
+        *given.neutral(), whole.alias("__text"), words_of(given[text]).alias("__words"),
         F.filter(F.split(whole, "\n"), lambda line: line.rlike(NOT_SPACE)).alias("__lines"))
-    kept = [c for c in staged.columns if not c.startswith("__")]
     hashed = staged.select("*", window_hashes(F.col("__words")).alias("__windows"))
     ordered = hashed.select("*", F.sort_array("__windows").alias("__ordered"))
     # a generator of one row: filters on the measures stay above it, so no measure is computed twice
-    counted = ordered.select(*(F.col(f"`{c}`") for c in kept), F.inline(F.array(F.struct(
+    counted = ordered.select(*given.neutral(), F.inline(F.array(F.struct(
         F.size("__words").cast("long").alias("n_words"),
         F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -125,7 +126,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("__words", lambda w: F.lower(w).isin(*STOP_WORDS))).alias("__n_stop")))))
     n = F.greatest(F.col("n_words"), F.lit(1))
     return counted.select(
-        *(F.col(f"`{c}`") for c in counted.columns if not c.startswith("__")),
+        *given.back(names), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / n).alias("mean_word_chars"),
         (F.col("n_symbols") / n).alias("symbols_per_word"),
         (F.col("__n_stop") / n).alias("stop_word_ratio"),
