@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Columns:
     """``frame`` holds the columns of ``df`` as _c0, _c1, ...; Spark compares names without case, and so does this."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import as_table
 
-from .names import Columns
+from .names import quoted
 from .quality import let
 
 #: fixed values: the base patterns, in the order in which kinds are listed
@@ -186,8 +186,9 @@ def report(found: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets. Of overlapping spans the first
     names the whole stretch."""
-    given = Columns(docs)
-    packed = given.frame.select(given[id_column].alias("doc_id"), given[text].alias("text"), F.struct(*(n for n, c in zip(given.neutral(), given.names) if c.lower() != text.lower())).alias("__others"))
+    named_as = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c.lower() not in (id_column.lower(), text.lower())}
+    others = F.struct(*(F.col(quoted(c)).alias(n) for c, n in named_as.items())) if named_as else F.lit(None).cast("struct<x:int>")
+    packed = docs.select(F.col(quoted(id_column)).alias("doc_id"), F.col(quoted(text)).alias("text"), others.alias("__others"))
     whole = _with_base(packed, "doc_id", "text")
     found = as_table(instances(whole.select("row", F.col("__text").alias("text"), "base")), "private-instances")
     added = as_table(unseen(found, confident_patterns(found)), "private-added")
@@ -209,5 +210,5 @@ def masked(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
         F.array_join(r["parts"], ""), F.substring(F.col("__text"), r["at"] + 1, F.char_length("__text"))))
     result = F.when(F.size(spans) > 0, done).otherwise(F.col("text"))
     replaced = joined.select("doc_id", "__others", result.alias("__new"))
-    return replaced.select(*(F.col("__new").alias(c) if c.lower() == text.lower() else F.col("__others").getField(n).alias(c)
-                             for n, c in zip(given.neutral(), given.names)))
+    shown = {id_column.lower(): F.col("doc_id"), text.lower(): F.col("__new")}
+    return replaced.select(*(shown[c.lower()].alias(c) if c.lower() in shown else F.col("__others").getField(named_as[c]).alias(c) for c in docs.columns))
