@@ -498,7 +498,7 @@ ORACLES["study_confounders"] = with_posts("\nUNION ALL ".join([
     mean_difference("rows", "hashtags", "length(text) - length(replace(text, '#', ''))")]), _study_rows)
 _inside = f", inside AS (SELECT * FROM rows WHERE {flagged('text')})"
 ORACLES["study_inside_chi_square"] = with_posts(
-    f"SELECT {chi_columns('exp(-chi2 / 2)')} FROM chi", _study_rows + _inside + chi_of("inside", "period", "sentiment"))
+    f"SELECT {chi_columns(None)} FROM chi", _study_rows + _inside + chi_of("inside", "period", "sentiment"))
 ORACLES["study_inside_share"] = with_posts(
     "SELECT pre, post, diff, diff_low, diff_high FROM difference", _study_rows + _inside + difference_of("inside", "sentiment = 'negative'"))
 ORACLES["study_errors"] = with_posts(f"""

@@ -707,8 +707,9 @@ def study_confounders(spark, folder):
 
 @query
 def study_inside_chi_square(spark, folder):
-    """The sentiment of posts in which a category matches, by period."""
-    return study_result(spark, folder, "moderation_sentiment_chi_square")[0].select("chi2", "dof", "p_value", "cramers_v")
+    """The sentiment of posts in which a category matches, by period. The number of labels that occur varies with the
+    tables, and SQL has a tail for two degrees of freedom only: see ``study_report`` for the p-value."""
+    return study_result(spark, folder, "moderation_sentiment_chi_square")[0].select("chi2", "dof", "cramers_v")
 
 
 @query
