@@ -228,6 +228,10 @@ SELECT conv_id || '-' || turn AS uri, {masked('text')} AS text, epoch(TIMESTAMP
 ORACLES["read_own_csv"] = with_posts(f"""
 SELECT 'own:' || doc_id AS post_id, {masked('text')} AS text, epoch(TIMESTAMP '2022-11-05 08:30:00')::BIGINT AS seconds,
     'own' AS source, {hashed('lang')} AS author_hash, (doc_id % 2)::VARCHAR AS true_moderation FROM posts""")
+_broken = "lang || ' \"said\",' || chr(10) || chr(10) || '\"' || text || '\"' || chr(10)"
+ORACLES["read_csv_without_ids"] = with_posts(f"""
+SELECT {masked(_broken)} AS text, count(*) AS posts, count(*) AS ids, epoch(TIMESTAMP '2022-11-05 08:30:00')::BIGINT AS seconds
+FROM posts GROUP BY 1""")
 ORACLES["union_of_sources"] = with_posts(f"""
 SELECT 'own' AS kind, count(*) AS posts, 0::BIGINT AS labels, count(*) AS truths, count(DISTINCT lang) AS authors
 FROM posts WHERE regexp_matches(text, '{VISIBLE}')

@@ -223,6 +223,17 @@ def read_own_csv(spark, folder):
     return read.select("post_id", "text", F.unix_seconds("created_at").alias("seconds"), "source", "author_hash", "true_moderation")
 
 
+@query
+def read_csv_without_ids(spark, folder):
+    """Posts of a CSV whose records hold quoted line breaks, quotes and commas; ids come from file and line."""
+    path = work_path(spark, "lines")
+    broken = F.concat(F.col("lang"), F.lit(' "said",\n\n"'), F.col("text"), F.lit('"\n'))
+    table(spark, folder, "documents").select(broken.alias("text"), F.lit("2022-11-05 08:30:00").alias("created_at")).write.option(
+        "header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_csv_posts(spark, path, SALT, source="lines").groupBy("text").agg(
+        F.count("*").alias("posts"), F.count_distinct("post_id").alias("ids"), F.unix_seconds(F.max("created_at")).alias("seconds"))
+
+
 @query
 def union_of_sources(spark, folder):
     specs = [f"csv={_own_file(spark, folder)}", f"x_parquet={_chunk_file(spark, folder)}",

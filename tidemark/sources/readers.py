@@ -13,7 +13,7 @@ from ..functions.privacy import hash_author
 from ..functions.sentiment import source_label
 from ..functions.text import mask_text
 from ..functions.times import as_utc
-from ..storage import as_table
+from .records import read_csv
 from .schema import SchemaError, validate_posts
 
 LABELLED_SCHEMA = "target string, id string, date string, flag string, user string, text string"
@@ -37,13 +37,13 @@ def to_posts(
 def read_labelled_csv(spark: SparkSession, path: str, salt: str, multi_line: bool = False) -> DataFrame:
     """The labelled corpus: headerless latin-1 CSV with times in one zone, seven hours behind UTC.
 
-    The public file has one record per line. ``multi_line`` reads quoted line breaks too, at the price of
-    one task per file. The file is sorted by label: sample it, never slice it.
+    The public file has one record per line; ``multi_line`` reads quoted line breaks too. The file is sorted by
+    label: sample it, never slice it.
     """
-    raw = (
-        spark.read.schema(LABELLED_SCHEMA).option("encoding", "ISO-8859-1").option("escape", '"')
-        .option("multiLine", multi_line).csv(path)
-    )
+    if multi_line:
+        raw = read_csv(spark, path, LABELLED_SCHEMA, "ISO-8859-1")
+    else:
+        raw = spark.read.schema(LABELLED_SCHEMA).option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
     zoneless = F.regexp_replace("date", " [A-Z]{3} ", " ")
     stamp = F.regexp_extract(zoneless, r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) (\w{3} \d{1,2} [\d:]{5,8} \d{4})$", 1)
     created = F.try_to_timestamp(F.concat(stamp, F.lit(" -0700")), F.lit("MMM d H:m:s yyyy Z"))
@@ -67,25 +67,20 @@ def read_parquet_posts(spark: SparkSession, path: str, salt: str) -> DataFrame:
     return to_posts(raw, f"x_{PurePosixPath(path).stem}", post_id, as_utc(raw, "datetime"), user, salt)
 
 
-def read_csv_posts(
-    spark: SparkSession, path: str, salt: str, source: str | None = None, multi_line: bool = True
-) -> DataFrame:
+def read_csv_posts(spark: SparkSession, path: str, salt: str, source: str | None = None) -> DataFrame:
     """CSV with a header, ``text`` and ``created_at``; optional ``author``, ``post_id`` and ``true_*`` columns.
 
-    All columns are read as strings and ``true_*`` stay strings. Records may hold line breaks in quotes, which
-    costs one task per file; ``multi_line=False`` splits large files whose records hold none.
+    All columns are read as strings and ``true_*`` stay strings. Records may hold line breaks in quotes; large files
+    are split all the same. Without ``post_id`` a post is named by a hash of its file's path and its first line there.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    raw = read_csv(spark, path)
     for name in ("text", "created_at"):
         if name not in raw.columns:
             raise SchemaError(f"{path}: missing column {name}")
-    numbered = "post_id" in raw.columns
-    post_id = F.col("post_id") if numbered else F.monotonically_increasing_id()
+    post_id = F.col("post_id") if "post_id" in raw.columns else F.concat("_file", F.lit("#"), F.col("_line").cast("string"))
     author = F.col("author") if "author" in raw.columns else None
     truth = {name: F.col(name) for name in raw.columns if name.startswith("true_")}
-    posts = to_posts(raw, source or PurePosixPath(path).stem, post_id, as_utc(raw, "created_at"), author, salt, truth)
-    # numbers that a scan gives hold only for that scan, so these posts are written once
-    return posts if numbered else as_table(posts, "numbered-posts")
+    return to_posts(raw, source or PurePosixPath(path).stem, post_id, as_utc(raw, "created_at"), author, salt, truth)
 
 
 READERS = {"sentiment140": read_labelled_csv, "x_parquet": read_parquet_posts, "csv": read_csv_posts}
