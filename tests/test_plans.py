@@ -1,10 +1,12 @@
 import json
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
+from tidemark.operators.filters import apply_filters, text_facts
 from tidemark.operators.scorers import AnalyzerScorer, LexiconScorer, ModelScorer, build_scorer, error_counts, without_errors
 from tidemark.operators.tables import wrong_flags
 from tidemark.plans.analyze import analyze, flag_posts, score
@@ -12,6 +14,7 @@ from tidemark.plans.prepare import prepare
 from tidemark.plans.validate import validate_patterns
 from tidemark.functions.patterns import pattern_flag
 from tidemark.sources import readers, sinks
+from tidemark.sources.schema import SchemaError, validate_posts
 
 #: (period, kind, tone) -> posts. Talk of moderation goes from 20 of 500 to 50 of 500 and is negative in 8, then 35 of
 #: them; trams are negative in half, ferries in a quarter of all posts of either period, and trams double.
@@ -232,3 +235,33 @@ def test_flag_posts(spark):
     row = flag_posts(df).first()
     assert row.flagged and row.categories == ["account_action"] and row.terms == ["account got suspended"]
     assert json.loads(flag_posts(df).toJSON().first())["flagged"] is True
+
+
+def test_prepare_checks_posts_in_the_scan_of_the_rules(spark, tmp_path):
+    schema = "post_id string, text string, created_at timestamp, source string, author_hash string"
+    day = {"pre": datetime(2021, 5, 1), "post": datetime(2023, 5, 1)}
+    rows = [(f"{p}{i}", f"that is the story of {p} and number {i}", day[p], "s", f"a{i}") for p in day for i in range(6)]
+    # a blank post may lack a time and may share an id
+    blank = [("pre0", " ", None, "s", "b"), ("x", None, None, "s", "b")]
+    path = str(tmp_path / "posts")
+    spark.createDataFrame(rows + blank, schema).write.parquet(path)
+    posts = spark.read.parquet(path)
+    sample, manifest = prepare(posts, n_per_period=4, seed=2)
+    checked, from_checked = prepare(validate_posts(posts), n_per_period=4, seed=2, validated=True)
+    assert sorted(sample.collect()) == sorted(checked.collect()) and sample.count() == 8
+    assert manifest.first() == from_checked.first() and manifest.first().filters.rows_in == 12
+    for bad in ([("pre1", "it is the other text", day["pre"], "s", "c")], [("y", "it is a text without a time", None, "s", "c")]):
+        with pytest.raises(SchemaError):
+            prepare(posts.union(spark.createDataFrame(bad, schema)), n_per_period=4)
+    with pytest.raises(SchemaError):
+        prepare(posts.drop("author_hash"))
+
+
+def test_filters_on_facts_need_no_text(spark):
+    texts = ["that is the story of one", "THAT is the story of one!", "", None, "quiero comer ahora mismo algo rico", "it was the end of that"] * 3
+    df = spark.createDataFrame([(f"p{i:02d}", t, f"a{i % 4}", "pre") for i, t in enumerate(texts)], "post_id string, text string, author_hash string, period string")
+    whole = apply_filters(df, max_copies=2, keep=["post_id"])
+    facts = df.withColumns(text_facts(F.col("text"))).drop("text")
+    slim = apply_filters(facts, max_copies=2, keep=["post_id"])
+    for name in ("survivors", "removed", "totals"):
+        assert sorted(getattr(whole, name).collect()) == sorted(getattr(slim, name).collect())

@@ -32,6 +32,13 @@ class FilterResult:
     totals: DataFrame
 
 
+def text_facts(text: Column) -> dict[str, Column]:
+    """What the rules need of a text, by the column names under which ``apply_filters`` finds it."""
+    text = F.coalesce(text, F.lit(""))
+    key = dedupe_key(text)
+    return {"_key": F.unhex(F.sha2(key, 256)), "_blank": key == "", "_english": is_english(text), "_spam": is_spam(text)}
+
+
 def _key_table(
     df: DataFrame, max_copies: int, order_by: Sequence[str], carry: Sequence[str], periods: Sequence[str]
 ) -> DataFrame:
@@ -40,11 +47,9 @@ def _key_table(
     period = F.col("period") if "period" in df.columns else F.lit(_EVERY_PERIOD)
     # a missing author is no author, a missing text a blank one
     author = F.coalesce(F.col("author_hash"), F.lit("")) if "author_hash" in df.columns else F.lit("")
-    key = dedupe_key(F.coalesce(F.col("text"), F.lit("")))
+    facts = {name: F.col(name) for name in ("_key", "_blank")} if "_key" in df.columns else text_facts(F.col("text"))
     rows = df.select(
-        F.unhex(F.sha2(key, 256)).alias("key"), (key == "").alias("blank"), author.alias("author"),
-        period.alias("_period"), post.alias("post"),
-    )
+        facts["_key"].alias("key"), facts["_blank"].alias("blank"), author.alias("author"), period.alias("_period"), post.alias("post"))
     per_author = rows.groupBy("key", "blank", "author").agg(
         *[F.count_if(F.col("_period") == name).alias(f"n_{name}") for name in periods], F.min("post").alias("post")
     )
@@ -97,25 +102,26 @@ def apply_filters(
 
     ``keep`` names the columns of the survivors (all by default). Without ``text`` in it no text is exchanged:
     the tests of the text run in the scan and only their outcome travels. ``materialize`` writes the key table
-    to the shared folder, for callers that use both survivors and report.
+    to the shared folder, for callers that use both survivors and report. A frame with the columns of ``text_facts``
+    needs no text.
     """
     keep = list(keep or df.columns)
+    known = "_key" in df.columns
     periods = list(fixed.PERIODS) if "period" in df.columns else [_EVERY_PERIOD]
     order_by = [name for name in order_by if name in df.columns]
     period = F.col("period") if "period" in df.columns else F.lit(_EVERY_PERIOD)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    english, spam = is_english(text), is_spam(text)
-    late = "text" in keep
-    if not late:
-        df = df.withColumns({"_english": english, "_spam": spam})
+    late = "text" in keep and not known
+    if not late and not known:
+        df = df.withColumns(text_facts(F.col("text")))
+    facts = text_facts(F.col("text")) if late else {name: F.col(name) for name in ("_english", "_spam")}
     carry = keep + ([] if late else ["_english", "_spam"])
     keys = _key_table(df.withColumn("_period", period), max_copies, order_by, [*carry, "_period"], periods)
     keys = keys.select("*", "post.*") if late else keys.select("*", "post._english", "post._spam")
     rule = (
         F.when(F.col("blank"), "empty")
         .when(F.col("post").isNull(), "repeated_author_text")
-        .when(~(english if late else F.col("_english")), "not_english")
-        .when(spam if late else F.col("_spam"), "spam_pattern")
+        .when(~facts["_english"], "not_english")
+        .when(facts["_spam"], "spam_pattern")
     )
     graded = keys.withColumn("rule", rule).select(
         "blank", "post", "rule", *[f"{kind}_{name}" for name in periods for kind in ("bot", "other")]

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import light_clean
+from ..functions.text import is_blank, light_clean
 from ..functions.times import assign_period
-from ..operators.filters import FilterResult, apply_filters
+from ..operators.filters import FilterResult, apply_filters, text_facts
 from ..operators.sampling import balanced_periods, draw_key, sortedness
 from ..sizes import BROADCAST_ROWS
-from ..sources.schema import validate_posts
+from ..sources.schema import check_posts, drop_blank, require_columns
 from ..storage import as_table
 
 
@@ -27,12 +27,18 @@ def prepare(
 ) -> tuple[DataFrame, DataFrame]:
     """The prepared sample and a one-row manifest. ``validated`` says that the reader has checked the posts.
 
-    No text is exchanged before the sample is known: rules and draw work on ids, keys and flags, and the texts
-    of the sampled ids are fetched from the source at the end.
+    The texts are scanned twice: once for keys and flags, from which checks, rules and draw work, and once for the texts
+    of the sampled ids. No text is exchanged before the sample is known.
     """
-    posts = assign_period(posts if validated else validate_posts(posts), cutoff)
+    require_columns(posts)
+    posts = assign_period(posts, cutoff)
     slim = [name for name in posts.columns if name != "text"]
-    result = apply_filters(posts, max_copies=max_copies, keep=slim, materialize=True)
+    facts = posts
+    if not validated:
+        facts = as_table(posts.select(*slim, *[c.alias(n) for n, c in text_facts(F.col("text")).items()], is_blank(F.col("text")).alias("_no_text")), "facts")
+        check_posts(facts, F.col("_no_text"))
+        facts, posts = facts.where(~F.col("_no_text")), drop_blank(posts)
+    result = apply_filters(facts, max_copies=max_copies, keep=slim, materialize=True)
     drawn = as_table(balanced_periods(result.survivors, n_per_period, seed), "drawn")
     ids = drawn.select("post_id")
     if drawn.count() <= BROADCAST_ROWS:

@@ -91,15 +91,17 @@ def union_posts(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
 
 
-def read_sources(spark: SparkSession, specs: list[str], salt: str) -> DataFrame:
-    """Validated union of ``KIND=PATH`` sources."""
+def read_sources(spark: SparkSession, specs: list[str], salt: str, check: bool = True) -> DataFrame:
+    """Validated union of ``KIND=PATH`` sources. Without ``check`` the posts are as they are, for ``prepare``, which
+    checks them in its own scan."""
     frames = []
     for spec in specs:
         kind, _, path = spec.partition("=")
         if kind not in READERS or not path:
             raise ValueError(f"{spec!r} is not KIND=PATH with one of the kinds {', '.join(READERS)}")
         frames.append(READERS[kind](spark, path, salt))
-    return validate_posts(union_posts(frames))
+    posts = union_posts(frames)
+    return validate_posts(posts) if check else posts
 
 
 def read_check_set(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -23,14 +23,16 @@ def drop_blank(df: DataFrame) -> DataFrame:
     return df.filter(~is_blank(F.col("text")))
 
 
-def post_violations(df: DataFrame) -> DataFrame:
+def post_violations(df: DataFrame, blank: Column | None = None) -> DataFrame:
     """One row: posts, blank texts, posts without a valid time, ids used more than once.
 
     The last two look at non-blank posts only. One pass and one exchange, of ids and not of texts; the
-    partial aggregation keeps a very frequent id to one row per task.
+    partial aggregation keeps a very frequent id to one row per task. With ``blank``, a flag of the posts, no text
+    is needed.
     """
-    require_columns(df)
-    blank = is_blank(F.col("text"))
+    if blank is None:
+        require_columns(df)
+        blank = is_blank(F.col("text"))
     per_id = (
         df.select("post_id", "created_at", blank.alias("blank"))
         .groupBy("post_id")
@@ -49,11 +51,16 @@ def post_violations(df: DataFrame) -> DataFrame:
     )
 
 
-def validate_posts(df: DataFrame) -> DataFrame:
-    """Non-blank posts. Raises on a missing column, an invalid time or a repeated id."""
-    found = post_violations(df).first()
+def check_posts(df: DataFrame, blank: Column | None = None) -> None:
+    """Raises on a missing column, an invalid time or a repeated id."""
+    found = post_violations(df, blank).first()
     if found.bad_times:
         raise SchemaError(f"{found.bad_times} posts have no valid time")
     if found.repeated_ids:
         raise SchemaError(f"{found.repeated_ids} post ids occur more than once")
+
+
+def validate_posts(df: DataFrame) -> DataFrame:
+    """Non-blank posts, checked."""
+    check_posts(df)
     return drop_blank(df)
