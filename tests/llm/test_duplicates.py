@@ -253,6 +253,23 @@ def test_cap_filters(spark):
         assert by[i].n_links == 0 and by[i].component_id == i and by[i].kept
 
 
+@pytest.mark.parametrize("hot_classes", [1, 30, 10**6])
+def test_hot_vectors_are_told_the_same(spark, monkeypatch, hot_classes):
+    frame = spark.createDataFrame(cluster_rows(), "vec_id long, embedding array<double>, label int")
+    want = sorted(map(str, cap_filters.near_duplicates(frame).collect()))
+    monkeypatch.setattr(cap_filters, "HOT_CLASSES", hot_classes)
+    assert sorted(map(str, cap_filters.near_duplicates(frame).collect())) == want
+
+
+def test_threshold_of_caps():
+    dims, size, wanted = 16, 64, 20
+    random = np.random.default_rng(3)
+    x = random.standard_normal((300, dims))
+    first, second = cap_filters._scores(x / np.linalg.norm(x, axis=1, keepdims=True), dims, size)
+    lists = [cap_filters.decode(a, b, cap_filters.threshold(dims, size, wanted)) for a, b in zip(first, second)]
+    assert 0.8 * wanted < np.mean([len(n) for n in lists]) < 1.2 * wanted
+
+
 def test_block_meetings_find_the_same(spark, monkeypatch):
     frame = spark.createDataFrame(cluster_rows(), "vec_id long, embedding array<double>, label int")
     want = sorted(map(str, cap_filters.near_duplicates(frame).collect()))

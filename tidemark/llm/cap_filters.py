@@ -22,6 +22,7 @@ of the input are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,11 +37,14 @@ from .components import components
 LEAST_COSINE = 0.98
 #: expected filters per vector
 FILTERS_PER_VECTOR = 40
+#: classes of exact copies that hold more than one row in so many are told to their rows by broadcast: at most this many
+HOT_CLASSES = 500
 #: vectors that meet in one step, and rows in one bucket of filters
 BLOCK, PER_BUCKET = 1024, 40_000
 SEED = 20_240_229
 
 
+@lru_cache(maxsize=4)
 def _codes(dims: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation and the two codes of unit directions, the same wherever they are made."""
     random = np.random.default_rng([SEED, dims, size])
@@ -52,14 +56,18 @@ def _codes(dims: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rotation, *halves
 
 
+@lru_cache(maxsize=64)
 def threshold(dims: int, size: int, wanted: float = FILTERS_PER_VECTOR) -> float:
     """The score that a random vector exceeds in ``wanted`` of size * size filters, from a fixed random sample."""
     random = np.random.default_rng([SEED, dims])
     sample = random.standard_normal((256, dims))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     first, second = _scores(sample, dims, size)
-    scores = np.concatenate([(a[:, None] + b[None, :]).ravel()[:: max(1, size * size // 65_536)] for a, b in zip(first, second)])
-    return float(np.quantile(scores, 1 - min(0.5, wanted / (size * size))))
+    some = np.arange(0, size * size, max(1, size * size // 65_536))
+    scores = np.empty((len(sample), len(some)))
+    for row, a, b in zip(scores, first, second):
+        np.add(a[some // size], b[some % size], out=row)
+    return float(np.quantile(scores, 1 - min(0.5, wanted / (size * size)), overwrite_input=True))
 
 
 def _scores(x: np.ndarray, dims: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +171,19 @@ def linked_pairs(classes: DataFrame, size: int, wanted: float, least: float) ->
     return as_table(whole.groupBy("bucket").applyInPandas(meet, "a long, b long"), "caps-links")
 
 
+def _tell(rows: DataFrame, described: DataFrame) -> DataFrame:
+    """Every row with what its class says. Rows that link with nothing meet nobody, and copies of a hot vector stay
+    where they are."""
+    columns = ["vec_id", "n_links", "component_id"]
+    usable = rows.where("data IS NOT NULL")
+    hot = described.where(F.col("copies") > max(1, usable.count() // HOT_CLASSES)).select("label", "data", F.col("n_links").alias("hot_links"), F.col("component_id").alias("hot_component"))
+    marked = usable.join(F.broadcast(hot), ["label", "data"], "left")
+    alone = rows.where("data IS NULL").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    of_hot = marked.where("hot_links IS NOT NULL").select("vec_id", F.col("hot_links").alias("n_links"), F.col("hot_component").alias("component_id"))
+    others = marked.where("hot_links IS NULL").join(described, ["label", "data"]).select(*columns)
+    return others.unionByName(of_hot).unionByName(alone)
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, wanted: float = FILTERS_PER_VECTOR,
                     id_column: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
@@ -178,9 +199,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, wanted: flo
     beside = both.join(grouped.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
     joined = components(links, "caps-stars").select("node", "component")
     described = grouped.join(beside, "node", "left").join(joined, "node", "left").select(
-        "label", "data", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+        "label", "data", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"))
-    return rows.join(described, ["label", "data"], "left").select(
+    return _tell(rows, as_table(described, "caps-described")).select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
