@@ -161,6 +161,39 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[50] == "id:12:23" and got[51] == got[52] == got[53] == ""
 
 
+def brute_patterns(rows):
+    """Confidence of each pattern after the rounds, from (pattern, instance) -> seed."""
+    edges = {}
+    for r in rows:
+        for pattern in r.patterns:
+            edges[pattern, r.instance] = edges.get((pattern, r.instance), False) or r.seed
+    score = {edge: float(seed) for edge, seed in edges.items()}
+    for _ in range(private_data.ROUNDS):
+        of_pattern = {p: [s for (q, _), s in score.items() if q == p] for p, _ in edges}
+        confidence = {p: sum(s) / (len(s) + 0.5) for p, s in of_pattern.items()}
+        best = {}
+        for p, i in edges:
+            best[i] = max(best.get(i, 0), confidence[p])
+        score = {(p, i): 1.0 if seed else best[i] for (p, i), seed in edges.items()}
+    seeds = {p: sum(seed for (q, _), seed in edges.items() if q == p) for p, _ in edges}
+    return {p: c for p, c in confidence.items() if c >= private_data.CONFIDENCE and seeds[p] >= private_data.SUPPORT}
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_patterns_against_brute_force(spark, monkeypatch, most):
+    rows = [(i, f"{'write to' if i % 3 else 'so ask'} user{i % 9}@site{i % 5}.org, account number {i}55-{i % 7} and write to AB-{i % 4}-{i}1") for i in range(40)]
+    rows += [(100 + i, f"seen on page {i}10 with id=QX{i % 3}7{i}") for i in range(30)]
+    # one instance behind a third of all patterns
+    rows += [(200 + i, f"word{i} hot{i}00@x.org then word{i} same@hot.org") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = private_data._with_base(docs, "doc_id", "text").select("row", F.col("__text").alias("text"), "base")
+    found = private_data.instances(whole)
+    monkeypatch.setattr(private_data, "MAX_SENT", most)
+    got = {r.pattern: r.confidence for r in private_data.confident_patterns(found).collect()}
+    want = brute_patterns(found.collect())
+    assert want and got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
 def test_masking(spark, odd):
     frame = spark.createDataFrame([(1, "x", "to a@b.co, from 1.2.3.4 é+49 30 1234567.", None), (2, "y", None, 7)], "doc_id long, base string, text string, row int")
     got = {r.doc_id: r for r in private_data.masked(frame).collect()}

@@ -43,8 +43,10 @@ INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+
 #: white space at most, and how much text before an instance is context
 CONTEXT_CHARS = 160
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.75, 3
-#: found identifiers that may be sent to all tasks
+#: found identifiers, patterns or instances that may be sent to all tasks
 MAX_SENT = 500_000
+#: tasks that share the edges of one pattern or instance where its facts are too many to be sent
+SALTS = 32
 
 
 def _digits(match: Column) -> Column:
@@ -118,6 +120,17 @@ def instances(docs: DataFrame) -> DataFrame:
     return shaped.select("row", "start", "end", "instance", overlaps.alias("seed"), "shape", patterns.alias("patterns"))
 
 
+def _told(edges: DataFrame, facts: DataFrame, key: str, label: str) -> DataFrame:
+    """``edges`` with what ``facts`` (one row per ``key``) says of theirs. Few facts are broadcast after a count; more of
+    them meet their edges in ``SALTS`` tasks a key, because one pattern or instance may have a third of all edges."""
+    facts = as_table(facts, label)
+    if facts.count() <= MAX_SENT:
+        return edges.join(F.broadcast(facts), key)
+    salted = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = edges.withColumn("__salt", F.pmod(F.xxhash64("pattern", "instance"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [key, "__salt"]).drop("__salt")
+
+
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """pattern, confidence of the patterns that mark identifiers, from the pattern-instance graph of ``found``."""
     graph = as_table(
@@ -128,8 +141,8 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float
     patterns = None
     for step in range(rounds):
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(0.5))).alias("confidence"))
-        best = scored.join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        scored = as_table(graph.join(best, "instance").select(
+        best = _told(scored, patterns, "pattern", f"private-patterns-{step}").groupBy("instance").agg(F.max("confidence").alias("best"))
+        scored = as_table(_told(graph, best, "instance", f"private-best-{step}").select(
             "pattern", "instance", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("score"), "seed"), f"private-scores-{step}")
     return patterns.join(seeds, "pattern").where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "confidence")
 
