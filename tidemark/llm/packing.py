@@ -60,25 +60,10 @@ class Encoder:
         self.pieces = re.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{l}]+| ?[{d}]+| ?[^{s}{l}{d}]+|[{s}]+(?![^{s}])|[{s}]+").findall
         self.other = re.compile("[^\x00-\x1b\x20-ɏ]").search
-        self.known = _Known(self._single(path))
-
-    def _single(self, path: str):
-        """Ids of one piece. The merge order of this kind of vocabulary is its id order, so the faster library can
-        serve; without it the tokenizer does."""
-        try:
-            import tiktoken
-        except ImportError:
-            return lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids
-        import json
-
-        with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in visible}
-        byte_of |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in visible)}
-        ranks = {bytes(byte_of[c] for c in word): rank for word, rank in vocabulary.items() if all(c in byte_of for c in word)}
-        core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks={w: r for w, r in ranks.items() if w != b"<|endoftext|>"}, special_tokens={})
-        return lambda piece: core._encode_single_piece(piece)
+        self.known = _Known(self._single)
+
+    def _single(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def ids(self, text: str) -> bytes:
         if self.other(text):
