@@ -4,7 +4,8 @@ A filter is a direction on the sphere; a vector passes those whose cosine with i
 products: the vector is turned by a fixed random rotation and cut in halves, each half has its own code of random
 directions, and a filter is a pair of them. All passing pairs are listed by decoding: the sorted scores of one half
 are cut off at what the score of the other half leaves to reach. Vectors that meet in a filter are verified by their
-cosine in double precision; a pair is reported in its first common filter only.
+cosine in double precision; a link counts in the first common filter of its vectors only. A meeting gives each vector its
+number of links and one vector that they lead to, never the pairs themselves.
 
 Filters grow with the number of vectors so that the expected number of vectors in one stays the same, and the
 threshold follows from the wanted number of filters per vector. Exact copies are one class from the start. A filter
@@ -134,8 +135,21 @@ def posted(classes: DataFrame, size: int, wanted: float) -> DataFrame:
     return classes.select("node", "label", "dims", "data").mapInPandas(post, "node long, label string, dims int, filter long, filters binary")
 
 
-def linked_pairs(classes: DataFrame, size: int, wanted: float, least: float) -> DataFrame:
-    """Pairs (a, b) of classes of one label with a cosine of ``least`` or more."""
+def _least_reachable(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the least row that can be reached from it."""
+    root = np.arange(len(linked))
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def links_of(classes: DataFrame, size: int, wanted: float, least: float) -> DataFrame:
+    """a, b, n: class ``a`` has links to ``n`` rows of other classes of its label in one meeting, all of a cosine of
+    ``least`` or more, and reaches class ``b`` by them. Each link is counted in one meeting only, and a meeting gives one
+    row per class, however many links its classes have."""
     rows = as_table(posted(classes, size, wanted), "caps-posted")
     sizes = rows.groupBy("label", "dims", "filter").agg(F.count("*").alias("n")).where("n > 1")
     met = rows.join(sizes, ["label", "dims", "filter"])
@@ -147,11 +161,12 @@ def linked_pairs(classes: DataFrame, size: int, wanted: float, least: float) ->
         (F.least("own", "other") != F.greatest("own", "other")).alias("across"))
     dealt = as_table(dealt, "caps-dealt")
     buckets = max(1, -(-dealt.count() // PER_BUCKET))
-    whole = dealt.join(classes.select("node", "data"), "node").withColumn("bucket", F.pmod("meeting", F.lit(buckets)))
+    whole = dealt.join(classes.select("node", "data", "copies"), "node").withColumn("bucket", F.pmod("meeting", F.lit(buckets)))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["meeting", "node"], kind="stable")
-        meeting, node, own, across, filter_, dims = (rows[c].to_numpy() for c in ("meeting", "node", "own", "across", "filter", "dims"))
+        meeting, node, own, across, filter_, dims, copies = (
+            rows[c].to_numpy() for c in ("meeting", "node", "own", "across", "filter", "dims", "copies"))
         data, filters = list(rows["data"]), list(rows["filters"])
         edges = np.flatnonzero(np.r_[True, meeting[1:] != meeting[:-1], True])
         out = []
@@ -162,13 +177,25 @@ def linked_pairs(classes: DataFrame, size: int, wanted: float, least: float) ->
             close = np.triu(x @ x.T >= least, 1)
             if across[a]:
                 close &= own[a:b, None] != own[None, a:b]
-            for i, j in zip(*np.nonzero(close)):
-                common = np.intersect1d(np.frombuffer(filters[a + i], "<i8"), np.frombuffer(filters[a + j], "<i8"), assume_unique=True)
-                if common[0] == filter_[a]:
-                    out.append((node[a + i], node[a + j]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return as_table(whole.groupBy("bucket").applyInPandas(meet, "a long, b long"), "caps-links")
+            close |= close.T
+            some = np.flatnonzero(close.any(axis=1))
+            if not len(some):
+                continue
+            close = close[np.ix_(some, some)]
+            # who shares an earlier filter has met there
+            lists = [np.frombuffer(filters[a + i], "<i8") for i in some]
+            earlier = [x[:np.searchsorted(x, filter_[a])] for x in lists]
+            shared, owner = np.concatenate(earlier), np.repeat(np.arange(len(some)), [len(x) for x in earlier])
+            order = np.argsort(shared, kind="stable")
+            for met in np.split(owner[order], np.flatnonzero(np.diff(shared[order])) + 1):
+                if len(met) > 1:
+                    close[np.ix_(met, met)] = False
+            n, nodes = close @ copies[a + some], node[a + some]
+            reached, linked = nodes[_least_reachable(close)], np.flatnonzero(n)
+            out.append(pd.DataFrame({"a": nodes[linked], "b": reached[linked], "n": n[linked]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
+
+    return as_table(whole.groupBy("bucket").applyInPandas(meet, "a long, b long, n long"), "caps-links")
 
 
 def _tell(rows: DataFrame, described: DataFrame) -> DataFrame:
@@ -194,10 +221,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, wanted: flo
         F.min("vec_id").alias("node"), F.count("*").alias("copies")), "caps-classes")
     n = grouped.count()
     size = 1 << max(4, (max(n, 1).bit_length() + 1) // 2)
-    links = linked_pairs(grouped, size, wanted, least)
-    both = links.union(links.select("b", "a"))
-    beside = both.join(grouped.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    joined = components(links, "caps-stars").select("node", "component")
+    links = links_of(grouped, size, wanted, least)
+    beside = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    joined = components(links.where("a <> b").select("a", "b").distinct(), "caps-stars").select("node", "component")
     described = grouped.join(beside, "node", "left").join(joined, "node", "left").select(
         "label", "data", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"))
