@@ -186,3 +186,18 @@ def test_least_squares_weights_are_optimal():
     w = topics.least_squares_weights(x @ h.T, h @ h.T)
     gradient = w @ (h @ h.T) - x @ h.T
     assert (w >= 0).all() and np.abs(gradient[w > 1e-9]).max() < 1e-6 and gradient[w <= 1e-9].min() > -1e-6
+
+
+def test_passes_beyond_the_head_store_no_factor(spark, corpus):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    model = topics.fit_topics(corpus, n_topics=3, max_iter=4, tolerance=0, head_terms=256, piece=128)
+    new = sorted(name.split("-")[1] for name in set(os.listdir(folder)) - before if name.startswith("tidemark-"))
+    # H is written once, at the end; a pass leaves the product of the posts alone
+    assert len(model.losses) == 4 and new.count("factor") == 1 and not {"sums", "needs"} & set(new)
+    posts = corpus.count()
+    products = [name for name in set(os.listdir(folder)) - before if name.startswith("tidemark-product-")]
+    rows = spark.read.parquet(*[f"{folder}/{name}" for name in products]).where("chunk >= 0").agg(F.max(F.length("rows"))).first()[0]
+    assert products and rows <= posts * 8 * 8

@@ -1,12 +1,9 @@
-"""Products of posts by terms with factors of terms by columns, for vocabularies of any size.
+"""Factors of terms by columns, and products with posts by terms for vocabularies that fit the head.
 
 Terms are numbered by falling frequency. The rows of the first ``HEAD_TERMS`` terms of a factor, the head, are an array
-that travels to every task: a bounded size that covers most entries. The rows of all rarer terms, the tail, are a table
-of pieces in the shared folder. Posts are dealt into chunks once, and in each pass a chunk is sent the tail rows of the
-terms that it holds, no others. With no tail there are no chunks and nothing is sent.
-
-What comes back, X'L, is sparse as well: a task adds up the terms that it saw, sends them by piece, and pieces are added
-up where they are kept. So no task and no pass holds an array of the whole vocabulary beyond the head.
+that travels to every task, a bounded size. What comes back, X'L, is sparse: a task adds up the terms that it saw and sends
+them by piece. Where the vocabulary is larger, ``term_blocks`` has the products, and the rows of all rarer terms, the tail,
+are a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -16,15 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import as_table, bucketed
+from ..storage import as_table
 
 HEAD_TERMS = 1 << 19
 PIECE = 1 << 13
-#: tokens in a chunk of posts
-CHUNK_TOKENS = 1_000_000
 
 _PIECES = "piece long, ids binary, rows binary"
 _PIECE_SCHEMA = pa.schema([("piece", pa.int64()), ("ids", pa.binary()), ("rows", pa.binary())])
@@ -78,53 +73,30 @@ class SparseRows:
             self.term = np.frombuffer(terms.buffers()[2], np.int64, last - first, first * 8)
             self.value = np.frombuffer(weights.buffers()[2], np.float64, last - first, start * 8)
 
-    def times(self, right: LocalRows) -> np.ndarray:
+    def times(self, right: np.ndarray) -> np.ndarray:
         """X R for R of terms by columns."""
-        product = np.zeros((self.rows, right.columns))
+        product = np.zeros((self.rows, right.shape[1]))
         some = self.lengths > 0
         if some.any():
             starts = (np.cumsum(self.lengths) - self.lengths)[some]
-            product[some] = np.add.reduceat(right.of(self.term) * self.value[:, None], starts, axis=0)
+            product[some] = np.add.reduceat(right[self.term] * self.value[:, None], starts, axis=0)
         return product
 
 
-class LocalRows:
-    """The rows of a factor that a task holds: the head, and the tail rows of ``ids``, ascending."""
-
-    def __init__(self, head: np.ndarray, ids: np.ndarray | None = None, rows: np.ndarray | None = None):
-        self.head, self.ids, self.rows, self.columns = head, ids, rows, head.shape[1]
-
-    def of(self, term: np.ndarray) -> np.ndarray:
-        if self.ids is None:
-            return self.head[term]
-        rare = term >= len(self.head)
-        out = self.head[np.where(rare, 0, term)]
-        out[rare] = self.rows[np.searchsorted(self.ids, term[rare])]
-        return out
-
-
 class Sums:
     """X'L of the posts seen so far, and the sum of the extra arrays."""
 
-    def __init__(self, right: LocalRows, columns: int):
-        self.right, self.columns = right, columns
-        self.head = np.zeros((columns, len(right.head)))
-        self.tail = None if right.ids is None else np.zeros((columns, len(right.ids)))
+    def __init__(self, terms: int, columns: int):
+        self.columns = columns
+        self.head = np.zeros((columns, terms))
         self.extra: np.ndarray | float = 0.0
 
     def add(self, rows: SparseRows, left: np.ndarray | None, extra: np.ndarray) -> None:
         self.extra = self.extra + extra
         if left is None or not len(rows.term):
             return
-        rare = rows.term >= self.head.shape[1] if self.tail is not None else None
         for column, values in enumerate(left.T):
-            entry = rows.value * values[rows.row]
-            if rare is None:
-                self.head[column] += np.bincount(rows.term, entry, self.head.shape[1])
-            else:
-                self.head[column] += np.bincount(rows.term[~rare], entry[~rare], self.head.shape[1])
-                at = np.searchsorted(self.right.ids, rows.term[rare])
-                self.tail[column] += np.bincount(at, entry[rare], len(self.right.ids))
+            self.head[column] += np.bincount(rows.term, rows.value * values[rows.row], self.head.shape[1])
 
     def batches(self, terms: Terms) -> Iterator[pa.RecordBatch]:
         yield _pieces([(_EXTRA, b"", np.ravel(self.extra).astype(float).tobytes())])
@@ -132,8 +104,6 @@ class Sums:
             return
         seen = np.flatnonzero(self.head.any(axis=0))
         yield from terms.split(seen, self.head.T[seen])
-        if self.tail is not None:
-            yield from terms.split(self.right.ids, self.tail.T)
 
 
 def _pieces(rows: Sequence[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -160,37 +130,41 @@ def _added(columns: int, terms: Terms):
     return add
 
 
+def normal_rows(seed: int, places: np.ndarray, columns: int) -> np.ndarray:
+    """Normal numbers for the rows of a factor, each made from seed, place and column alone."""
+    def even(stream: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = (places.astype(np.uint64)[:, None] * np.uint64(columns) + np.arange(columns, dtype=np.uint64)) * np.uint64(2) + np.uint64(stream)
+            x = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed % (1 << 64)) * np.uint64(0xD1B54A32D192ED03)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float)
+
+    return np.sqrt(-2 * np.log((even(0) + 0.5) / 2**53)) * np.cos(2 * np.pi / 2**53 * even(1))
+
+
 @dataclass
 class Factor:
-    """Terms by columns. ``tail`` holds (piece, rows), its rows are meant times ``matrix``."""
+    """Terms by columns. ``tail`` holds (piece, rows), its rows are meant times ``matrix``. A piece holds neighbours, or with a
+    ``stride`` every term of the tail whose place has this remainder."""
 
     terms: Terms
     head: np.ndarray
     tail: DataFrame | None
     matrix: np.ndarray
+    stride: int = 0
 
     @classmethod
-    def random(cls, spark: SparkSession, terms: Terms, columns: int, seed: int) -> Factor:
-        """Normal numbers, seeded by piece."""
-        def rows(piece: int) -> np.ndarray:
-            return np.random.default_rng([seed, piece]).normal(size=(terms.rows(piece), columns))
-
-        pieces, held = -(-terms.size // terms.piece), -(-terms.head // terms.piece)
-        tail = None
-        if terms.tail:
-            def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for piece in batch.column(0).to_pylist():
-                        yield _pieces([(piece, b"", rows(piece).tobytes())])
-            tail = as_table(spark.range(held, pieces).mapInArrow(draw, _PIECES), "factor")
-        return cls(terms, np.concatenate([rows(p) for p in range(held)]), tail, np.eye(columns))
+    def random(cls, terms: Terms, columns: int, seed: int) -> Factor:
+        """Normal numbers, for a vocabulary that fits the head."""
+        return cls(terms, normal_rows(seed, np.arange(terms.size), columns), None, np.eye(columns))
 
     @property
     def columns(self) -> int:
         return self.head.shape[1]
 
     def times(self, matrix: np.ndarray) -> Factor:
-        return Factor(self.terms, self.head @ matrix, self.tail, self.matrix @ matrix)
+        return Factor(self.terms, self.head @ matrix, self.tail, self.matrix @ matrix, self.stride)
 
     def _tail_rows(self) -> Callable[[bytes], np.ndarray]:
         matrix = self.matrix
@@ -224,7 +198,7 @@ class Factor:
                 for piece, rows in zip(batch.column("piece").to_pylist(), batch.column("rows").to_pylist()):
                     yield _pieces([(piece, b"", np.ascontiguousarray(function(rows_of(rows)), float).tobytes())])
 
-        return Factor(self.terms, head, as_table(self.tail.mapInArrow(change, _PIECES), "factor"), np.eye(head.shape[1]))
+        return Factor(self.terms, head, as_table(self.tail.mapInArrow(change, _PIECES), "factor"), np.eye(head.shape[1]), self.stride)
 
     def dot(self, other: Factor) -> np.ndarray:
         """F' G over all terms."""
@@ -246,13 +220,14 @@ class Factor:
 
     def long(self) -> DataFrame:
         """(place, loadings) of the tail terms."""
-        rows_of, size = self._tail_rows(), self.terms.piece
+        rows_of, size, stride, head = self._tail_rows(), self.terms.piece, self.stride, self.terms.head
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece, blob in zip(batch.column("piece").to_pylist(), batch.column("rows").to_pylist()):
                     found = rows_of(blob)
-                    yield pa.record_batch([pa.array(np.arange(len(found)) + piece * size), lists(found)], names=["place", "loadings"])
+                    first = head + (piece - head) % stride if stride else piece * size
+                    yield pa.record_batch([pa.array(np.arange(len(found)) * (stride or 1) + first), lists(found)], names=["place", "loadings"])
 
         return self.tail.mapInArrow(rows, "place long, loadings array<double>")
 
@@ -265,94 +240,46 @@ def lists(matrix: np.ndarray) -> pa.ListArray:
 
 @dataclass
 class Matrix:
-    """Posts by terms: ``x`` holds (keep, terms, weights). With a tail it is bucketed by ``_chunk``, and ``needs`` lists the
-    tail terms of each chunk as (chunk, piece, ids)."""
+    """Posts by terms of the head: ``x`` holds (keep, terms, weights)."""
 
     x: DataFrame
     keep: list[str]
-    needs: DataFrame | None = None
-
-    @classmethod
-    def of(cls, x: DataFrame, keep: Sequence[str], terms: Terms, tokens: int) -> Matrix:
-        if not terms.tail:
-            return cls(x, list(keep))
-        chunks = max(1, -(-tokens // CHUNK_TOKENS))
-        dealt = bucketed(x.withColumn("_chunk", F.pmod(F.xxhash64("terms", "weights", *[F.col(f"`{c}`") for c in keep]), F.lit(chunks)).cast("int")),
-                         chunks, "_chunk", "matrix")
-
-        def listed(chunk, table):
-            seen = np.unique(np.concatenate([SparseRows(b).term for b in table.combine_chunks().to_batches()] or [np.zeros(0, np.int64)]))
-            rare = seen[seen >= terms.head]
-            found = list(terms.split(rare, np.zeros((len(rare), 0))))
-            out = pa.Table.from_batches(found, _PIECE_SCHEMA).select(["piece", "ids"])
-            return out.add_column(0, "chunk", pa.array([chunk[0].as_py()] * out.num_rows, pa.int32()))
-
-        needs = dealt.select("_chunk", "terms", "weights").groupBy("_chunk").applyInArrow(listed, "chunk int, piece long, ids binary")
-        return cls(dealt, list(keep), as_table(needs, "needs"))
-
-    def _run(self, factor: Factor, kernel: Callable, schema: str, columns: Sequence[str]) -> DataFrame:
-        """``kernel(batches, right)`` over the posts of a task, or of a chunk with the tail rows that it needs."""
-        x = self.x.select(*[F.col(f"`{c}`") for c in columns], *(["_chunk"] if self.needs is not None else []))
-        terms, shared = factor.terms, x.sparkSession.sparkContext.broadcast(np.ascontiguousarray(factor.head))
-        if self.needs is None:
-            return x.mapInArrow(lambda batches: kernel(batches, LocalRows(shared.value)), schema)
-        rows_of = factor._tail_rows()
-        names = [f.split()[0] for f in schema.split(", ")]
-
-        def pull(needs, tail):
-            rows = rows_of(tail.column("rows")[0].as_py()) if needs.num_rows else None
-            sent = [np.ascontiguousarray(rows[np.frombuffer(ids, np.int32)]).tobytes() for ids in needs.column("ids").to_pylist()]
-            return needs.append_column("rows", pa.array(sent, pa.binary()))
-
-        pulled = self.needs.groupBy("piece").cogroup(factor.tail.select("piece", "rows").groupBy("piece")).applyInArrow(
-            pull, "chunk int, piece long, ids binary, rows binary")
-
-        def chunk(posts, got):
-            got = got.sort_by("piece")
-            ids = [np.frombuffer(i, np.int32) + p * terms.piece for p, i in zip(got.column("piece").to_pylist(), got.column("ids").to_pylist())]
-            rows = np.frombuffer(b"".join(got.column("rows").to_pylist())).reshape(-1, shared.value.shape[1])
-            right = LocalRows(shared.value, np.concatenate([np.zeros(0, np.int64), *ids]), rows)
-            found = list(kernel(iter(posts.drop_columns("_chunk").combine_chunks().to_batches()), right))
-            return pa.Table.from_batches(found) if found else pa.table({n: pa.array([]) for n in names})
-
-        return x.groupBy("_chunk").cogroup(pulled.groupBy("chunk")).applyInArrow(chunk, schema)
 
     def rows(self, factor: Factor, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
         """``keep`` and ``weights``, the ``function`` of X F by row."""
-        keep = self.keep
+        keep, shared = self.keep, self._shared(factor)
 
-        def solve(batches: Iterator[pa.RecordBatch], right: LocalRows) -> Iterator[pa.RecordBatch]:
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(name) for name in keep], lists(function(SparseRows(batch).times(right)))], [*keep, "weights"])
+                    [*[batch.column(name) for name in keep], lists(function(SparseRows(batch).times(shared.value)))], [*keep, "weights"])
 
         fields = "".join(f"`{name}` {self.x.schema[name].dataType.simpleString()}, " for name in keep)
-        return self._run(factor, solve, f"{fields}weights array<double>", [*keep, "terms", "weights"])
+        return self.x.select(*[F.col(f"`{c}`") for c in keep], "terms", "weights").mapInArrow(solve, f"{fields}weights array<double>")
+
+    def _shared(self, factor: Factor):
+        return self.x.sparkSession.sparkContext.broadcast(np.ascontiguousarray(factor.head))
 
     def product(self, factor: Factor, left: Callable[[np.ndarray, SparseRows], tuple[np.ndarray | None, np.ndarray]],
                 columns: int) -> tuple[Factor, np.ndarray]:
         """X'L as a factor of ``columns`` columns, and the sum of the extras, where ``left`` gives L and extras from X F."""
-        terms = factor.terms
+        terms, shared = factor.terms, self._shared(factor)
 
-        def passed(batches: Iterator[pa.RecordBatch], right: LocalRows) -> Iterator[pa.RecordBatch]:
-            total = Sums(right, columns)
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = Sums(terms.size, columns)
             for batch in batches:
                 if batch.num_rows:
                     rows = SparseRows(batch)
-                    total.add(rows, *left(rows.times(right), rows))
+                    total.add(rows, *left(rows.times(shared.value), rows))
             yield from total.batches(terms)
 
-        sent = self._run(factor, passed, _PIECES, ["terms", "weights"])
+        sent = self.x.select("terms", "weights").mapInArrow(passed, _PIECES)
         added = sent.repartition("piece").sortWithinPartitions("piece").mapInArrow(_added(columns, terms), _PIECES)
-        if self.needs is not None:
-            added = as_table(added, "sums")
-        first = terms.head // terms.piece if terms.tail else None
-        near = added.where(F.col("piece") < first) if first else added
         head, extra = np.zeros((len(factor.head), columns)), np.zeros(0)
-        table = near.select("piece", "rows").toArrow()
+        table = added.select("piece", "rows").toArrow()
         for piece, rows in zip(table.column("piece").to_pylist(), table.column("rows").to_pylist()):
             if piece == _EXTRA:
                 extra = np.frombuffer(rows)
             else:
                 head[piece * terms.piece:(piece + 1) * terms.piece] = np.frombuffer(rows).reshape(-1, columns)
-        return Factor(terms, head, added.where(F.col("piece") >= first) if first else None, np.eye(columns)), extra
+        return Factor(terms, head, None, np.eye(columns)), extra

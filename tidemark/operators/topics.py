@@ -5,13 +5,14 @@ weights of a post depend on that post alone, so W is never stored: a pass over t
 and returns W'W and W'X, which is all that the next H needs. Passes read a table in the shared folder.
 
 Terms are numbered by falling frequency. Frequent terms, of a bounded number, are looked up and weighed where posts are
-read; the rarer ones of a larger vocabulary meet the posts in a join, which so has no hot key. ``term_factor`` has the
-products with H for both kinds of terms; the model is the same however many terms are in the head.
+read; the rarer ones of a larger vocabulary meet the posts in a join, which so has no hot key. A factor of the head travels
+to the tasks (``term_factor``); with more terms, the tasks keep groups of terms and W travels, never H (``term_blocks``).
+The model is the same however many terms are in the head.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.text import bind, topic_tokens
 from ..storage import as_table, placed
-from .term_factor import HEAD_TERMS, PIECE, Factor, Matrix, SparseRows, Terms, lists
+from .term_blocks import Derived, TermBlocks
+from .term_factor import HEAD_TERMS, PIECE, Factor, Matrix, SparseRows, Terms, lists, normal_rows
 
 LOSS_TOLERANCE = 1e-3
 START_PASSES = 3
@@ -119,7 +121,7 @@ def tfidf(
     keep = [id_col, *keep]
     posts = _tokens(df, text_col, keep)
     known = Vocabulary.of(_words(posts, **limits)[0], head_terms, piece)
-    rows = _weigh(posts, known, keep)
+    rows, _ = _weigh(posts, known, keep)
     shared = rows.sparkSession.sparkContext.broadcast(known.head.column("term").combine_chunks().cast(pa.string()))
     size = known.terms.head
 
@@ -142,7 +144,7 @@ def tfidf(
 
 
 def _tokens(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
-    return as_table(df.select(*[F.col(f"`{c}`") for c in keep], vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens")
+    return as_table(df.select(*[F.col(f"`{c}`") for c in keep], vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens", compression="zstd")
 
 
 def as_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -151,6 +153,14 @@ def as_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the byte strings of ``as_bytes`` and all their values."""
+    size = np.dtype(kind).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // size
+    some = int(ends[-1] - ends[0])
+    return np.diff(ends), np.frombuffer(column.buffers()[2], kind, some, int(ends[0]) * size) if some else np.zeros(0, kind)
+
+
 def least_squares_weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 500, tolerance: float = 1e-9) -> np.ndarray:
     """Non-negative W of min |X - W H| from X H' and H H', by cyclic coordinate descent over all rows at once."""
     w = np.zeros_like(cross)
@@ -167,8 +177,9 @@ def least_squares_weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 500
     return w
 
 
-def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> DataFrame:
-    """``keep, terms, weights`` of unit length from ``_tokens``, in the bytes that ``SparseRows`` reads.
+def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """``keep, terms, weights`` of unit length from ``_tokens``, in the bytes that ``SparseRows`` reads. With terms beyond the
+    head, rows have a number, ``_row``, and a table of ``keep, _row`` comes with them.
 
     Terms of the head are looked up in the task; the table of them is made once per task. Other terms are counted in the
     row and join the rest of the vocabulary, which leaves out what no second post has.
@@ -176,10 +187,10 @@ def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> DataFram
     shared = posts.sparkSession.sparkContext.broadcast((words.head.column("term").to_pylist(), words.head.column("idf").to_numpy()))
     tail = words.terms.tail
 
-    def encoded(row: np.ndarray, term: np.ndarray, value: np.ndarray, rows: int) -> list[pa.Array]:
+    def encoded(row: np.ndarray, term: np.ndarray, value: np.ndarray, rows: int, kinds: tuple = (np.int64, np.float64)) -> list[pa.Array]:
         order = np.lexsort((term, row))
         ends = np.searchsorted(row, np.arange(rows + 1))
-        return [as_bytes(term[order].astype(np.int64), ends), as_bytes(value[order], ends)]
+        return [as_bytes(v[order].astype(kind), ends) for v, kind in zip((term, value), kinds)]
 
     def unit(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
         return value / np.sqrt(np.bincount(row, value * value, rows))[row]
@@ -191,9 +202,11 @@ def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> DataFram
             names, row, which, n = _entries(batch)
             place = np.fromiter((places.get(name, -1) for name in names.to_pylist()), np.int64, len(names))[which]
             found = place >= 0
-            value = (1 + np.log(n[found])) * idf[place[found]]
-            columns = encoded(row[found], place[found], value if tail else unit(row[found], value, batch.num_rows), batch.num_rows)
-            if tail:
+            if not tail:
+                value = (1 + np.log(n[found])) * idf[place[found]]
+                columns = encoded(row[found], place[found], unit(row[found], value, batch.num_rows), batch.num_rows)
+            else:  # the table holds places and counts, four bytes each
+                columns = encoded(row[found], place[found], n[found], batch.num_rows, (np.int32, np.int32))
                 ends = pa.array(np.searchsorted(row[~found], np.arange(batch.num_rows + 1)).astype(np.int32))
                 rest = pa.StructArray.from_arrays([names.take(pa.array(which[~found])), pa.array(n[~found])], ["term", "n"])
                 columns.append(pa.ListArray.from_arrays(ends, rest))
@@ -204,27 +217,32 @@ def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> DataFram
     fields = "".join(f"`{name}` {posts.schema[name].dataType.simpleString()}, " for name in keep)
     weighted = f"{fields}terms binary, weights binary"
     if not tail:
-        return posts.select(*[F.col(f"`{c}`") for c in keep], "_tokens").mapInArrow(lookup, weighted)
+        return posts.select(*[F.col(f"`{c}`") for c in keep], "_tokens").mapInArrow(lookup, weighted), None
     numbered = as_table(posts.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_row"), "_tokens").mapInArrow(
-        lookup, f"{fields}_row long, terms binary, weights binary, _rest array<struct<term:string,n:long>>"), "frequent")
+        lookup, f"{fields}_row long, terms binary, weights binary, _rest array<struct<term:string,n:long>>"), "frequent", compression="zstd")
     rare = numbered.select("_row", F.inline("_rest")).join(words.tail.select("term", "place", "idf"), "term").groupBy("_row").agg(
         F.collect_list(F.struct("place", ((1 + F.log("n")) * F.col("idf")).alias("value"))).alias("_rare"))
     both = numbered.drop("_rest").join(rare, "_row", "left")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value[1]
         for batch in batches:
-            x, more = SparseRows(batch), batch.column("_rare")
+            more = batch.column("_rare")
             lengths = pc.fill_null(pc.list_value_length(more), 0).to_numpy(zero_copy_only=False)
             flat = more.flatten()
-            row = np.concatenate([x.row, np.repeat(np.arange(batch.num_rows), lengths)])
-            term = np.concatenate([x.term, flat.field("place").to_numpy(zero_copy_only=False).astype(np.int64)])
-            value = np.concatenate([x.value, flat.field("value").to_numpy(zero_copy_only=False)])
+            held, near = unpacked(batch.column("terms"), np.int32)
+            near_value = (1 + np.log(unpacked(batch.column("weights"), np.int32)[1])) * idf[near]
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), held), np.repeat(np.arange(batch.num_rows), lengths)])
+            term = np.concatenate([near.astype(np.int64), flat.field("place").to_numpy(zero_copy_only=False).astype(np.int64)])
+            value = np.concatenate([near_value, flat.field("value").to_numpy(zero_copy_only=False)])
             order = np.argsort(row, kind="stable")
             row, term, value = row[order], term[order], value[order]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(name) for name in keep], *encoded(row, term, unit(row, value, batch.num_rows), batch.num_rows)], [*keep, "terms", "weights"])
+                [*[batch.column(name) for name in [*keep, "_row"]], *encoded(row, term, unit(row, value, batch.num_rows), batch.num_rows)], [*keep, "_row", "terms", "weights"])
 
-    return both.select(*[F.col(f"`{c}`") for c in keep], "terms", "weights", "_rare").mapInArrow(merge, weighted)
+    kept = [F.col(f"`{c}`") for c in keep]
+    merged = both.select(*kept, "_row", "terms", "weights", "_rare").mapInArrow(merge, f"{fields}_row long, terms binary, weights binary")
+    return merged, numbered.select(*kept, "_row")
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -235,7 +253,7 @@ class TopicModel:
     """A fitted model: the factor H as terms by topics, and the weighted posts of the fit."""
 
     n_topics: int
-    posts: Matrix
+    posts: Matrix | TermBlocks
     losses: list[float]
     vocabulary: Vocabulary
     loadings: Factor
@@ -274,7 +292,8 @@ class TopicModel:
 
     def weights(self, df: DataFrame | None = None, text_col: str = "text") -> DataFrame:
         """Topic weights of the fitted posts, or of new ones: ``keep`` (of the fit) or all columns, plus ``weights``."""
-        posts = self.posts if df is None else _matrix(_tokens(df, text_col, df.columns), self.vocabulary, df.columns)
+        groups = getattr(self.posts, "groups", None)
+        posts = self.posts if df is None else _matrix(_tokens(df, text_col, df.columns), self.vocabulary, df.columns, groups)
         gram = self.loadings.sums(lambda h: h.T @ h)
         return posts.rows(self.loadings, lambda cross: least_squares_weights(cross, gram))
 
@@ -285,11 +304,13 @@ class TopicModel:
         return self.weights(df, text_col).withColumn("topic", topic).drop("weights")
 
 
-def _matrix(tokens: DataFrame, words: Vocabulary, keep: Sequence[str]) -> Matrix:
-    if not words.terms.tail:
-        return Matrix.of(as_table(_weigh(tokens, words, keep), "weighted"), keep, words.terms, 0)
-    n = tokens.agg(F.sum(F.size("_tokens"))).first()[0] or 0
-    return Matrix.of(_weigh(tokens, words, keep), keep, words.terms, n)
+def _matrix(tokens: DataFrame, words: Vocabulary, keep: Sequence[str], groups: int | None = None) -> Matrix | TermBlocks:
+    weighed, ids = _weigh(tokens, words, keep)
+    if ids is None:
+        return Matrix(as_table(weighed, "weighted"), list(keep))
+    # an upper bound of the entries: words and pairs
+    entries = 2 * (tokens.agg(F.sum(F.size("_tokens"))).first()[0] or 0)
+    return TermBlocks(weighed, ids, keep, words.terms, groups, entries)
 
 
 def fit_topics(
@@ -318,6 +339,9 @@ def fit_topics(
         raise ValueError("no term is in two posts and in at most half of all posts")
     x = _matrix(posts, known, keep)
     k = min(n_topics, max(1, size - 1), documents)
+    if isinstance(x, TermBlocks):
+        losses, h = _fit_blocks(x, documents, k, seed, max_iter, tolerance, start_passes)
+        return TopicModel(h.columns, x, losses, known, h)
     h, square = _start(x, known.terms, documents, k, seed, start_passes)
     losses: list[float] = []
     for _ in range(max_iter):
@@ -356,7 +380,7 @@ def _start(x: Matrix, terms: Terms, documents: int, k: int, seed: int, passes: i
         return z, np.array([rows.value.sum(), (rows.value**2).sum()])
 
     width = min(k + 5, terms.size)
-    basis = _orthonormal(Factor.random(x.x.sparkSession, terms, width, seed))
+    basis = _orthonormal(Factor.random(terms, width, seed))
     for step in range(passes):
         image, (total, square) = x.product(basis, multiply, basis.columns)
         if step < passes - 1:
@@ -367,11 +391,18 @@ def _start(x: Matrix, terms: Terms, documents: int, k: int, seed: int, passes: i
     right, singular = basis.times(inner[:, order]), np.sqrt(np.maximum(values[order], 0.0))
 
     # squared lengths of the positive and the negative part of X v, and of v
-    def parts(z: np.ndarray, rows: SparseRows) -> tuple[None, np.ndarray]:
-        return None, np.stack([(np.maximum(z, 0) ** 2).sum(axis=0), (np.minimum(z, 0) ** 2).sum(axis=0)])
+    positive, negative = x.product(right, lambda z, rows: (None, _sides(z)), 0)[1].reshape(2, -1)
+    started = _started(singular, positive, negative, *right.sums(_sides), total / (documents * terms.size))
+    return right.map(started), float(square)
+
+
+def _sides(rows: np.ndarray) -> np.ndarray:
+    """Squared lengths of the positive and of the negative part of each column."""
+    return np.stack([(np.maximum(rows, 0) ** 2).sum(axis=0), (np.minimum(rows, 0) ** 2).sum(axis=0)])
 
-    positive, negative = x.product(right, parts, 0)[1].reshape(2, -1)
-    above, below = right.sums(lambda v: np.stack([(np.maximum(v, 0) ** 2).sum(axis=0), (np.minimum(v, 0) ** 2).sum(axis=0)]))
+
+def _started(singular: np.ndarray, positive: np.ndarray, negative: np.ndarray, above: np.ndarray, below: np.ndarray, mean: float) -> Callable:
+    """What makes the start of rows of singular vectors."""
     # the stronger side of each pair of singular vectors; both sides of the first, which has one sign
     up, down = np.sqrt(positive * above), np.sqrt(negative * below)
     sign = np.where(up >= down, 1.0, -1.0)
@@ -379,7 +410,6 @@ def _start(x: Matrix, terms: Terms, documents: int, k: int, seed: int, passes: i
     norm = np.sqrt(np.where(up >= down, above, below))
     length[0], norm[0] = 1.0, np.sqrt(above[0] + below[0])
     scale = np.sqrt(singular * length) / np.maximum(norm, _TINY)
-    mean = total / (documents * terms.size)
 
     def started(v: np.ndarray) -> np.ndarray:
         part = np.maximum(v * sign, 0)
@@ -387,11 +417,77 @@ def _start(x: Matrix, terms: Terms, documents: int, k: int, seed: int, passes: i
         part = part * scale
         return np.where(part <= _TINY, mean, part)
 
-    return right.map(started), float(square)
+    return started
 
 
 def _orthonormal(factor: Factor) -> Factor:
     """The columns as an orthonormal basis; directions without length are left out."""
-    values, vectors = np.linalg.eigh(factor.sums(lambda rows: rows.T @ rows))
+    return factor.times(_whitening(factor.sums(lambda rows: rows.T @ rows)))
+
+
+def _whitening(gram: np.ndarray) -> np.ndarray:
+    values, vectors = np.linalg.eigh(gram)
     long = values > values.max() * 1e-12
-    return factor.times(vectors[:, long] / np.sqrt(values[long]))
+    return vectors[:, long] / np.sqrt(values[long])
+
+
+def _fit_blocks(x: TermBlocks, documents: int, k: int, seed: int, max_iter: int, tolerance: float, passes: int) -> tuple[list[float], Factor]:
+    """The same fit for vocabularies beyond the head. A pass over the groups of terms makes H from W, uses it and returns
+    X H' and H H'; the loss and the next W need no more than those."""
+    def gram_of(rows: np.ndarray) -> np.ndarray:
+        return rows.T @ rows
+
+    size = x.terms.size
+    width = min(k + 5, size)
+    basis = Derived(None, lambda places, _: normal_rows(seed, places, width))
+    z, gram = x.project(basis, width, gram_of)
+    m = _whitening(gram.reshape(width, width))
+    for _ in range(passes - 1):
+        left, _ = x.left(z, len(m), lambda y: (y @ m, np.zeros(1)))
+        basis = Derived(left, lambda places, sums: sums)
+        width = left.shape[1]
+        z, gram = x.project(basis, width, gram_of)
+        m = _whitening(gram.reshape(width, width))
+    _, small = x.left(z, width, lambda y: (None, gram_of(y @ m)))
+    values, inner = np.linalg.eigh(small.reshape(m.shape[1], -1))
+    order = np.argsort(values)[::-1][:k]
+    right, singular = m @ inner[:, order], np.sqrt(np.maximum(values[order], 0.0))
+    _, parts = x.left(z, width, lambda y: (None, _sides(y @ right)))
+    _, sides = x.project(basis, width, lambda rows: _sides(rows @ right), product=False)
+    total, square = x.totals()
+    started = _started(singular, *parts.reshape(2, -1), *sides.reshape(2, -1), total / (documents * size))
+    vectors = basis.change
+    h, k = Derived(basis.left, lambda places, sums: started(vectors(places, sums) @ right)), len(singular)
+    z, gram = x.project(h, k, gram_of)
+    gram, scale = gram.reshape(k, k), np.eye(k)
+    losses: list[float] = []
+    for _ in range(max_iter):
+        def solve(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            cross = y @ scale
+            w = least_squares_weights(cross, gram)
+            return w, np.append(w.T @ w, (w * cross).sum())
+
+        w, sums = x.left(z, k, solve)
+        outer = sums[:-1].reshape(k, k)
+        losses.append(square - 2 * float(sums[-1]) + float((outer * gram).sum()))
+        if len(losses) > 2 and losses[-2] - losses[-1] <= tolerance * (losses[0] - losses[1]):
+            break
+        h, z, (total_of, square_of, gram) = _next_rows(x, w, outer, np.zeros(k, bool))
+        if (total_of <= 0).any():  # one that lost all its terms gets an even loading and may come back
+            h, z, (total_of, square_of, gram) = _next_rows(x, w, outer, total_of <= 0)
+        scale = np.diag(1 / np.maximum(np.sqrt(square_of), _TINY))
+        gram = scale @ gram @ scale
+    return losses, x.factor(h, scale, z)
+
+
+def _next_rows(x: TermBlocks, w: np.ndarray, outer: np.ndarray, dead: np.ndarray) -> tuple[Derived, DataFrame, tuple]:
+    """H for the weights ``w``, X H', and the sums, squared lengths and products of its topics."""
+    k = len(outer)
+
+    def change(places: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return np.where(dead, _TINY, least_squares_weights(sums, outer))
+
+    h = Derived(w, change)
+    z, sums = x.project(h, k, lambda rows: np.concatenate([[rows.sum(axis=0)], [(rows**2).sum(axis=0)], rows.T @ rows]))
+    sums = sums.reshape(k + 2, k)
+    return h, z, (sums[0], sums[1], sums[2:])

@@ -29,10 +29,10 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
 
 
-def as_table(df: DataFrame, label: str) -> DataFrame:
+def as_table(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes the frame once and reads it back: lineage ends here and lost executors cost nothing."""
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
