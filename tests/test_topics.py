@@ -29,6 +29,20 @@ def test_entries_of_a_batch():
     assert got == {(0, "a"): 2, (0, "b"): 3, (0, "c"): 1, (0, "b a"): 2, (0, "a b"): 1, (0, "b c"): 1, (0, "c b"): 1, (2, "c"): 1}
 
 
+def test_batches_are_cut_by_their_words():
+    batch = pa.record_batch([pa.array([["a", "b"], [], ["b", "c", "b"], ["d"] * 9, ["a"], ["a", "c"]])], names=["_tokens"]).slice(1)
+    parts = list(topics._sliced(iter([batch, batch.slice(0, 0)]), "_tokens", 4))
+    assert [p.column(0).to_pylist() for p in parts] == [[[], ["b", "c", "b"], ["d"] * 9], [["a"], ["a", "c"]]]
+    counted = {}
+    for part in parts:
+        names, _, which, _ = topics._entries(part)
+        for at in which:
+            counted[names[int(at)].as_py()] = counted.get(names[int(at)].as_py(), 0) + 1
+    assert counted == {"b": 1, "c": 2, "b c": 1, "c b": 1, "d": 1, "d d": 1, "a": 2, "a c": 1}
+    packed = pa.record_batch([topics.as_bytes(np.arange(10), np.array([0, 4, 4, 9, 10]))], names=["terms"])
+    assert [p.num_rows for p in topics._sliced(iter([packed]), "terms", 4, 8)] == [1, 2, 1]
+
+
 def plain_tfidf(texts):
     from collections import Counter
 

@@ -30,6 +30,8 @@ from .term_factor import HEAD_TERMS, PIECE, Factor, Matrix, SparseRows, Terms, l
 
 LOSS_TOLERANCE = 1e-3
 START_PASSES = 3
+#: words, or entries, that a task works on at once, and terms that it counts before it sends them
+AT_ONCE, COUNTED = 200_000, 500_000
 _TINY = 1e-12
 
 
@@ -80,12 +82,39 @@ def _entries(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, n
     return coded.dictionary, entries // names, entries % names, n
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = AT_ONCE, unit: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches whose lists or byte strings in ``column`` have no more than ``most`` values, of ``unit`` bytes, but for the last
+    row: batches are cut by rows, and rows of texts may be of any length."""
+    for batch in batches:
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        ends = np.cumsum(pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // unit
+        part = np.r_[0, ends[:-1] // most] if len(ends) else ends
+        edges = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(edges, [*edges[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def _words(posts: DataFrame, **limits) -> tuple[DataFrame, int]:
-    """The vocabulary of ``_tokens`` as a table, and the number of posts. A batch sends a term once, with its count."""
+    """The vocabulary of ``_tokens`` as a table, and the number of posts. A task adds up its terms before it sends them."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, size = [], 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("term", use_threads=False).aggregate([("documents", "sum")]).rename_columns(["term", "documents"])
+
+        for batch in _sliced(batches, "_tokens"):
             names, _, which, _ = _entries(batch)
-            yield pa.record_batch([names, pa.array(np.bincount(which, minlength=len(names)))], names=["term", "documents"])
+            held.append(pa.table([names, pa.array(np.bincount(which, minlength=len(names)))], names=["term", "documents"]))
+            size += len(names)
+            if size >= 2 * COUNTED:
+                held = [added()]
+                size = held[0].num_rows
+                if size >= COUNTED:
+                    yield from held.pop().to_batches()
+                    size = 0
+        if held:
+            yield from added().to_batches()
 
     documents = posts.count()
     counts = posts.select("_tokens").mapInArrow(count, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
@@ -126,7 +155,7 @@ def tfidf(
     size = known.terms.head
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, "terms", unit=8):
             x = SparseRows(batch)
             kept = [batch.column(name).take(pa.array(x.row)) for name in keep]
             names = shared.value.take(pa.array(x.term, mask=x.term >= size))
@@ -198,7 +227,7 @@ def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> tuple[Da
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf = shared.value
         places = dict(zip(known, range(len(known))))
-        for batch in batches:
+        for batch in _sliced(batches, "_tokens"):
             names, row, which, n = _entries(batch)
             place = np.fromiter((places.get(name, -1) for name in names.to_pylist()), np.int64, len(names))[which]
             found = place >= 0
@@ -226,7 +255,7 @@ def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> tuple[Da
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value[1]
-        for batch in batches:
+        for batch in _sliced(_sliced(batches, "terms", unit=4), "_rare"):
             more = batch.column("_rare")
             lengths = pc.fill_null(pc.list_value_length(more), 0).to_numpy(zero_copy_only=False)
             flat = more.flatten()
