@@ -32,6 +32,7 @@ SALT = "public-test-salt"
 EVENTS_CUTOFF = date(2024, 1, 16)
 COPIES = 2
 PER_PERIOD = 300
+PER_PARTITION = 50_000  # posts that a query asks one task to read
 ALL_POSTS = 10**9  # studies use every post that the rules keep, as many in both periods
 VALENCE = {
     "that": 1.1, "with": -1.3, "this": 0.7, "are": -0.9, "was": -0.4, "der": 0.5, "la": -0.6, "best": 3.2,
@@ -80,6 +81,11 @@ def study_posts(spark: SparkSession, folder: str) -> DataFrame:
     return posts(spark, folder).select(*fixed.POST_COLUMNS)
 
 
+def in_partitions(df: DataFrame, parts: int) -> DataFrame:
+    """The rows in ``parts`` partitions, or so many times more that ``parts`` of them hold ``PER_PARTITION`` rows each."""
+    return df.repartition(parts * max(1, -(-df.count() // PER_PARTITION)))
+
+
 def r6(column: Column) -> Column:
     return F.round(column, 6) + F.lit(0.0)
 
@@ -656,7 +662,8 @@ def scorer_error_counts(spark, folder):
         return predict
 
     model = scorers.ModelScorer(load, ["negative", "neutral", "positive"], batch_size=64)
-    counts = [scorers.error_counts(model.score(dated(spark, folder).select("period", "post_id", "text").repartition(parts))) for parts in (1, 8, 50)]
+    frame = dated(spark, folder).select("period", "post_id", "text")
+    counts = [scorers.error_counts(model.score(in_partitions(frame, parts))) for parts in (1, 8, 50)]
     return counts[0].intersectAll(counts[1]).intersectAll(counts[2])
 
 

@@ -4,8 +4,10 @@ import math
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from catalogue import queries
 
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -63,3 +65,10 @@ def test_plans_hold_no_cross_join_window_or_python(spark, name):
     plan = entry.queries()[name](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "NestedLoopJoin", "Window", "EvalPython", "InPandas", "InArrow"):
         assert node not in plan
+
+
+def test_partitions_of_a_query_stay_small(spark):
+    few, many = (queries.in_partitions(spark.range(n), 1) for n in (1_000, 3 * queries.PER_PARTITION - 1))
+    sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sizes(few) == [1_000]
+    assert len(sizes(many)) == 3 and max(sizes(many)) <= queries.PER_PARTITION + 8
