@@ -36,14 +36,6 @@ def as_table(df: DataFrame, label: str, compression: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, buckets: int, key: str, label: str) -> DataFrame:
-    """A table bucketed by ``key`` in the shared folder: grouping it by ``key`` moves nothing."""
-    spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 def placed(df: DataFrame, label: str, *order: Column) -> DataFrame:
     """``df`` as a table with ``place``, its number in the order. One count per sorted partition goes through one task."""
     sorted_ = as_table(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq")), label)
