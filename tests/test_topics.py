@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -215,3 +217,18 @@ def test_passes_beyond_the_head_store_no_factor(spark, corpus):
     products = [name for name in set(os.listdir(folder)) - before if name.startswith("tidemark-product-")]
     rows = spark.read.parquet(*[f"{folder}/{name}" for name in products]).where("chunk >= 0").agg(F.max(F.length("rows"))).first()[0]
     assert products and rows <= posts * 8 * 8
+
+
+def test_terms_are_dealt_as_packed_keys_and_rare_words_get_their_numbers_in_a_join(spark, corpus):
+    """Before, every term was sent as a string with its post, several times."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    sizes = {"head_terms": 256, "piece": 128}
+    model = topics.fit_topics(corpus, n_topics=3, max_iter=4, tolerance=0, **sizes)
+    made = [d for d in folder.iterdir() if d not in before and "-words-" not in d.name and "-word-codes-" not in d.name]
+    assert not [d.name for d in made if "string" in str(spark.read.parquet(str(d)).drop("post_id").schema).lower()]
+    few = topics.fit_topics(corpus, n_topics=3, max_iter=4, tolerance=0, head_words=100, **sizes)
+    assert model.posts.words.tail is None and few.posts.words.tail.count() > 500 and few.posts.words.head.num_rows <= 100
+    assert few.losses == pytest.approx(model.losses, rel=1e-9)
+    expected = {r.post_id: r.topic for r in model.assign().collect()}
+    assert {r.post_id: r.topic for r in few.assign(corpus).collect()} == expected

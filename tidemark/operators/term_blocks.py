@@ -2,8 +2,10 @@
 
 A vocabulary grows nearly as fast as its posts, and most of its terms stand in a few posts. So a factor of terms by columns
 is far larger than the weights of the posts, and a pass never stores or sends one. Entries are dealt into groups of terms
-once, one row a group. A task makes the rows of a group from the posts' weights, uses them and forgets them: what goes to
-the tasks are the weights (8 bytes a post and column), what comes back is one product a task, added up by chunks of posts.
+once, by ranges of keys, one row a group: a group has all entries of its terms, so it counts their posts itself, and drops
+the terms that are too rare or too common. A task makes the rows of a group from the posts' weights, uses them and forgets
+them: what goes to the tasks are the weights (8 bytes a post and column), what comes back is one product a task, added up
+by chunks of posts. Posts get unit length in the products: entries are stored as counts.
 """
 
 from __future__ import annotations
@@ -13,18 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import as_table
-from .term_factor import Factor, SparseRows, Terms, lists
+from .term_factor import Factor, Terms, lists
+from .term_keys import DEALT_FIELDS, CodedPosts, Words, as_bytes, entries_of, from_steps, steps
 
-#: entries of a group of terms, and entries that a task deals at once
-GROUP_ENTRIES, DEALT_ENTRIES = 500_000, 2_000_000
+#: entries of a group of terms
+GROUP_ENTRIES = 500_000
 #: posts of a chunk of a product
 CHUNK = 1 << 14
 _STATS = -1
-_LOCAL = (1 << 33) - 1
 
 Change = Callable[[np.ndarray, np.ndarray | None], np.ndarray]
 
@@ -43,90 +46,155 @@ def _table(names: str, *columns: Sequence) -> pa.RecordBatch:
 
 
 class TermBlocks:
-    """Posts by terms as (group, term, post, value); the place of a term is group + term * groups. ``x`` has the rows of the
-    posts, ``ids`` the columns to keep and the number of each post."""
-
-    def __init__(self, x: DataFrame, ids: DataFrame, keep: Sequence[str], terms: Terms, groups: int | None = None, entries: int = 0):
-        self.x, self.keep, self.terms = x, list(keep), terms
-        spark = x.sparkSession
-        self.tasks = spark.sparkContext.defaultParallelism
-        self.groups = groups or min(terms.size, max(2 * self.tasks, -(-entries // GROUP_ENTRIES)))
-        # a post's id holds its partition and its number there; one row a partition is collected
-        parts = ids.groupBy(F.shiftright("_row", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
-        starts, self.posts = {}, 0
-        for part, n in parts:
-            starts[part], self.posts = self.posts, self.posts + n
-        start = F.create_map(*[F.lit(v) for pair in starts.items() for v in pair]) if starts else F.lit(None)
-        self.ids = ids.withColumn("_post", (start[F.shiftright("_row", 33)] if starts else F.lit(0)) + F.col("_row").bitwiseAND(F.lit(_LOCAL)))
+    """Posts by terms as (group, keys, documents, term, post, n): ``term`` is the place of an entry's term in ``keys``. Terms are
+    numbered by falling frequency, then by key."""
+
+    def __init__(self, coded: CodedPosts, words: Words, min_documents: int, max_share: float, head_terms: int, piece: int):
+        self.coded, self.words, self.posts = coded, words, coded.posts
+        self.spark = coded.codes.sparkSession
+        self.tasks = self.spark.sparkContext.defaultParallelism
+        self.borders = coded.borders(max(2 * self.tasks, -(-2 * coded.words // GROUP_ENTRIES)))
         self.known: tuple[Factor, DataFrame] | None = None
-        groups = self.groups
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
-            for batch in batches:
-                rows, number = SparseRows(batch), batch.column("_row").to_numpy()
-                post = np.array([starts[int(p)] for p in number >> 33], np.int64) + (number & _LOCAL)
-                held.append((rows.term, post[rows.row].astype(np.int32), rows.value))
-                if sum(len(h[0]) for h in held) >= DEALT_ENTRIES:
-                    yield send(held)
-                    held = []
-            if held:
-                yield send(held)
-
-        def send(held: list[tuple]) -> pa.RecordBatch:
-            term, post, value = (np.concatenate(x) for x in zip(*held))
-            group = term % groups
-            order = np.argsort(group, kind="stable")
-            group, term, post, value = group[order], (term[order] // groups).astype(np.int32), post[order], value[order]
-            edges = np.flatnonzero(np.diff(group, prepend=-1))
-            spans = list(zip(edges, [*edges[1:], len(group)]))
-            return _table("group term post value", [int(group[a]) for a, _ in spans], *[
-                [v[a:b].tobytes() for a, b in spans] for v in (term, post, value)])
+        most = max_share * self.posts
 
         def gather(key, table):
-            term, post, value = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (
-                ("term", np.int32), ("post", np.int32), ("value", float)))
+            keys, post, n = entries_of(table)
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            documents = np.diff(first, append=len(keys))
+            good = (documents >= min_documents) & (documents <= most)
+            on = np.repeat(good, documents)
+            term = (np.cumsum(good) - 1).repeat(documents)[on].astype(np.int32)
+            post, n = post[on], n[on]
             order = np.argsort(post, kind="stable")  # neighbours are alike, which packs better
-            return pa.Table.from_batches([_table("group term post value", [key[0].as_py()], *[[v[order].tobytes()] for v in (term, post, value)])])
+            blobs = steps(keys[first][good]), documents[good].astype(np.int32).tobytes(), *[v[order].tobytes() for v in (term, post, n)]
+            return pa.Table.from_batches([_table("group keys documents term post n", [key[0].as_py()], *[[b] for b in blobs])])
+
+        fields = "group long, keys binary, documents binary, term binary, post binary, n binary"
+        self.table = as_table(coded.dealt(self.borders).groupBy("group").applyInArrow(gather, fields), "blocks", compression="zstd")
+        self._number(head_terms, piece)
+
+    def _number(self, head_terms: int, piece: int) -> None:
+        """Where the terms of each group with so many posts begin among all; a group's own are in order of keys."""
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for group, blob in zip(batch.column("group").to_pylist(), batch.column("documents").to_pylist()):
+                    documents, n = np.unique(np.frombuffer(blob, np.int32), return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(n), group)), pa.array(documents.astype(np.int64)), pa.array(n)], names=["group", "documents", "n"])
+
+        found = self.table.select("group", "documents").mapInArrow(count, "group long, documents long, n long").toArrow()
+        group, documents, n = (found.column(c).to_numpy() for c in ("group", "documents", "n"))
+        order = np.lexsort((group, -documents))
+        start = np.zeros(len(n), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        self.terms = Terms(int(n.sum()), head_terms, piece)
+        order = np.lexsort((documents, group))
+        edges = np.flatnonzero(np.diff(group[order], prepend=-1))
+        self.starts = self.spark.sparkContext.broadcast({
+            int(group[at[0]]): (documents[at], start[at]) for at in np.split(order, edges[1:]) if len(at)})
+
+    def places(self) -> Callable[[int, bytes], np.ndarray]:
+        """The places of a group's terms from their numbers of posts."""
+        starts = self.starts
+
+        def of(group: int, blob: bytes) -> np.ndarray:
+            documents = np.frombuffer(blob, np.int32)
+            if not len(documents):
+                return np.zeros(0, np.int64)
+            order = np.argsort(documents, kind="stable")
+            several, first = np.unique(documents[order], return_index=True)
+            rank = np.empty(len(documents), np.int64)
+            rank[order] = np.arange(len(documents)) - np.repeat(first, np.diff(first, append=len(documents)))
+            values, start = starts.value[group]
+            return start[np.searchsorted(values, documents)] + rank
+
+        return of
+
+    def vocabulary(self) -> DataFrame:
+        """``place, key, idf`` of all terms."""
+        places, idf = self.places(), self.idf()
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for group, keys, documents in zip(*[c.to_pylist() for c in batch.columns]):
+                    yield pa.record_batch([pa.array(places(group, documents)), pa.array(from_steps(keys)), pa.array(idf(documents))], names=["place", "key", "idf"])
 
-        fields = "group long, term binary, post binary, value binary"
-        self.table = as_table(x.select("_row", "terms", "weights").mapInArrow(deal, fields).groupBy("group").applyInArrow(gather, fields), "blocks", compression="zstd")
+        return self.table.select("group", "keys", "documents").mapInArrow(rows, "place long, key long, idf double")
 
-    def totals(self) -> tuple[float, float]:
-        """The sum of all entries and of their squares."""
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @property
+    def x(self) -> DataFrame:
+        """``keep, terms, weights`` of unit length, in the bytes that ``SparseRows`` reads; passes do not need it."""
+        places, idf, unit = self.places(), self.idf(), self.shared_unit
+
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group, documents, (term, post, value) in _groups(batches, idf):
+                yield pa.record_batch([pa.array(post.astype(np.int64)), pa.array(places(group, documents)[term]), pa.array(value * unit.value[post])], names=["_post", "place", "value"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for blob in batch.column("value").to_pylist():
-                    value = np.frombuffer(blob)
-                    yield pa.record_batch([pa.array([value.sum()]), pa.array([(value**2).sum()])], names=["total", "square"])
+                lengths = pc.fill_null(pc.list_value_length(batch.column("found")), 0).to_numpy(zero_copy_only=False)
+                flat, ends = batch.column("found").flatten(), np.r_[0, np.cumsum(lengths)]
+                blobs = [as_bytes(flat.field(c).to_numpy(zero_copy_only=False).astype(kind), ends) for c, kind in (("place", np.int64), ("value", float))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *blobs], [*keep, "terms", "weights"])
+
+        keep = self.coded.keep
+        of_post = self.table.mapInArrow(entries, "_post long, place long, value double").groupBy("_post").agg(
+            F.array_sort(F.collect_list(F.struct("place", "value"))).alias("found"))
+        fields = "".join(f"`{name}` {self.coded.ids.schema[name].dataType.simpleString()}, " for name in keep)
+        rows = self.coded.ids.join(of_post, "_post", "left").select(*[F.col(f"`{c}`") for c in keep], "found")
+        return rows.mapInArrow(pack, f"{fields}terms binary, weights binary")
+
+    def idf(self) -> Callable[[bytes], np.ndarray]:
+        posts = self.posts
+        return lambda documents: np.log((1 + posts) / (1 + np.frombuffer(documents, np.int32))) + 1
+
+    def measure(self) -> tuple[float, float]:
+        """Measures the posts; the sum of all entries of unit length, and of their squares."""
+        posts, idf = self.posts, self.idf()
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = _Product(2, posts, lambda _: np.zeros(1))
+            for _, _, entries in _groups(batches, idf):
+                total.squares(entries)
+            yield from total.batches()
+
+        table = self._added(self.table.coalesce(self.tasks).mapInArrow(task, "chunk long, rows binary")).toArrow().sort_by("chunk")
+        sums = np.concatenate([np.zeros((0, 2)), *[np.frombuffer(x).reshape(-1, 2) for c, x in zip(*[table.column(c).to_pylist() for c in ("chunk", "rows")]) if c >= 0]])
+        self.unit = _unit(sums[:, 1])
+        self.shared_unit = self.spark.sparkContext.broadcast(self.unit)
+        return float((sums[:, 0] * self.unit).sum()), float((self.unit > 0).sum())
 
-        found = self.table.select("value").mapInArrow(add, "total double, square double").agg(F.sum("total"), F.sum("square")).first()
-        return found[0] or 0.0, found[1] or 0.0
+    @staticmethod
+    def _added(sent: DataFrame) -> DataFrame:
+        return sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunks_added, "chunk long, rows binary")
+
+    def _left(self, left: np.ndarray | None):
+        """L for unit rows of X, by columns, for all tasks."""
+        return None if left is None else self.spark.sparkContext.broadcast(np.ascontiguousarray((left * self.unit[:, None]).T))
 
     def project(self, factor: Derived, columns: int, stats: Callable[[np.ndarray], np.ndarray], product: bool = True) -> tuple[DataFrame | None, np.ndarray]:
         """X F as (chunk, rows), and the sum of ``stats`` over parts of the rows of F."""
-        size, groups, posts, change = self.terms.size, self.groups, self.posts, factor.change
+        posts, change, places, idf, left = self.posts, factor.change, self.places(), self.idf(), self._left(factor.left)
         held = columns if product else 0
-        left = None if factor.left is None else self.x.sparkSession.sparkContext.broadcast(np.ascontiguousarray(factor.left.T))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = _Product(held, posts, stats)
-            for group, entries in _groups(batches):
-                places = np.arange(group, size, groups)
-                total.add(change(places, _sums(left and left.value, entries, len(places))), entries)
+            for group, documents, entries in _groups(batches, idf):
+                total.add(change(places(group, documents), _sums(left and left.value, entries, len(documents) // 4)), entries)
             yield from total.batches()
 
         sent = self.table.coalesce(self.tasks).mapInArrow(task, "chunk long, rows binary")
-        added = as_table(sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunks_added, "chunk long, rows binary"), "product")
+        added = as_table(self._added(sent), "product")
         found = added.where(F.col("chunk") == _STATS).toArrow().column("rows").to_pylist()
         return (added.where(F.col("chunk") >= 0) if product else None), np.frombuffer(found[0])
 
     def left(self, product: DataFrame, columns: int, function: Callable[[np.ndarray], tuple[np.ndarray | None, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """L and the sum of the extras, where ``function`` gives L and extras from rows of a product."""
+        unit = self.shared_unit
+
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist()):
-                    found, extra = function(np.frombuffer(rows).reshape(-1, columns))
+                    found, extra = function(_unit_rows(unit.value, chunk, np.frombuffer(rows).reshape(-1, columns)))
                     yield _table("chunk rows extra", [chunk], [b"" if found is None else np.ascontiguousarray(found).tobytes()],
                                  [np.ravel(extra).astype(float).tobytes()])
 
@@ -137,64 +205,90 @@ class TermBlocks:
 
     def factor(self, derived: Derived, matrix: np.ndarray, product: DataFrame) -> Factor:
         """The rows of ``derived`` times ``matrix`` as a factor: the head as an array, the others as a table by groups."""
-        size, groups, head, change = self.terms.size, self.groups, self.terms.head, derived.change
-        left = None if derived.left is None else self.x.sparkSession.sparkContext.broadcast(np.ascontiguousarray(derived.left.T))
+        head, change, places, idf, left = self.terms.head, derived.change, self.places(), self.idf(), self._left(derived.left)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group, entries in _groups(batches):
-                places = np.arange(group, size, groups)
-                rows = np.ascontiguousarray(change(places, _sums(left and left.value, entries, len(places))), float)
-                near = int(np.searchsorted(places, head))
-                yield _table("piece ids rows", [group], [rows[:near].tobytes()], [rows[near:].tobytes()])
+            for group, documents, entries in _groups(batches, idf):
+                at = places(group, documents)
+                rows = np.ascontiguousarray(change(at, _sums(left and left.value, entries, len(at))), float)
+                near = at < head
+                yield _table("piece near_ids near ids rows", [group], *[[v.tobytes()] for v in (at[near], rows[near], at[~near], rows[~near])])
 
-        made = as_table(self.table.mapInArrow(make, "piece long, ids binary, rows binary"), "factor")
+        made = as_table(self.table.mapInArrow(make, "piece long, near_ids binary, near binary, ids binary, rows binary"), "factor")
         near = np.zeros((head, len(matrix)))
-        found = made.select("piece", "ids").toArrow()
-        for group, rows in zip(found.column("piece").to_pylist(), found.column("ids").to_pylist()):
-            near[group::groups] = np.frombuffer(rows).reshape(-1, len(matrix))
-        result = Factor(self.terms, near @ matrix, made.select("piece", F.lit(b"").alias("ids"), "rows"), matrix, groups)
+        found = made.select("near_ids", "near").toArrow()
+        for ids, rows in zip(found.column("near_ids").to_pylist(), found.column("near").to_pylist()):
+            near[np.frombuffer(ids, np.int64)] = np.frombuffer(rows).reshape(-1, len(matrix))
+        result = Factor(self.terms, near @ matrix, made, matrix)
         self.known = result, product
         return result
 
-    def rows(self, factor: Factor, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        """``keep`` and ``weights``, the ``function`` of X F by row. The product with the factor of the fit is known."""
-        matrix, width = factor.matrix, len(factor.matrix)
-        product = self.known[1] if self.known and self.known[0] is factor else self._times(factor)
+    def rows(self, factor: Factor, function: Callable[[np.ndarray], np.ndarray], new: CodedPosts | None = None) -> DataFrame:
+        """``keep`` and ``weights``, the ``function`` of X F by row, for the posts of the fit or for ``new`` ones."""
+        matrix, width, unit = factor.matrix, len(factor.matrix), self.shared_unit
+        posts, fresh = new or self.coded, new is not None
+        product = self._times(factor, new) if fresh else self.known[1]
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for chunk, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist()):
-                    found = function(np.frombuffer(rows).reshape(-1, width) @ matrix)
+                for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist()):
+                    rows = np.frombuffer(blob).reshape(-1, width + fresh)
+                    rows = rows[:, :width] * _unit(rows[:, width])[:, None] if fresh else _unit_rows(unit.value, chunk, rows)
+                    found = function(rows @ matrix)
                     yield pa.record_batch([pa.array(np.arange(len(found)) + chunk * CHUNK), lists(found)], names=["_post", "weights"])
 
         solved = product.mapInArrow(solve, "_post long, weights array<double>")
-        return self.ids.join(solved, "_post").select(*[F.col(f"`{c}`") for c in self.keep], "weights")
+        return posts.ids.join(solved, "_post").select(*[F.col(f"`{c}`") for c in posts.keep], "weights")
 
-    def _times(self, factor: Factor) -> DataFrame:
-        """X F without its matrix, as (chunk, rows): the groups of these posts meet the rows of the factor."""
-        size, groups, posts, width = self.terms.size, self.groups, self.posts, len(factor.matrix)
-        near = self.x.sparkSession.sparkContext.broadcast(factor.head @ np.linalg.pinv(factor.matrix))
+    def _times(self, factor: Factor, new: CodedPosts) -> DataFrame:
+        """X F without its matrix, and the squared lengths of X's rows, for new posts as (chunk, rows): the groups of their
+        terms meet the terms of the fit and the rows of the factor."""
+        width, posts, head, places, idf = len(factor.matrix), new.posts, self.terms.head, self.places(), self.idf()
+
+        def gather(key, table):
+            found, post, n = entries_of(table)
+            return pa.Table.from_batches([_table("group key post n", [key[0].as_py()], [steps(found)], [post.tobytes()], [n.tobytes()])])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = _Product(width, posts, lambda rows: np.zeros(1))
+            total = _Product(width + 1, posts, lambda rows: np.zeros(1))
             for batch in batches:
-                for group, term, post, value, rows in zip(*[c.to_pylist() for c in batch.columns]):
-                    whole = np.concatenate([near.value[group::groups], np.frombuffer(rows or b"").reshape(-1, width)])
-                    total.add(whole, (np.frombuffer(term, np.int32), np.frombuffer(post, np.int32), np.frombuffer(value)))
+                for at in range(batch.num_rows):
+                    group, key, post, n, keys, documents, near, rows = (c[at].as_py() for c in batch.columns)
+                    keys, key = from_steps(keys), from_steps(key)
+                    if not len(keys):
+                        continue
+                    whole, some = np.empty((len(keys), width)), places(group, documents) < head
+                    whole[some], whole[~some] = (np.frombuffer(x).reshape(-1, width) for x in (near, rows))
+                    term = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    on = np.flatnonzero(keys[term] == key)
+                    term, post, n = term[on], np.frombuffer(post, np.int32)[on], np.frombuffer(n, np.int32)[on]
+                    order = np.argsort(post, kind="stable")
+                    term, post, n = term[order], post[order], n[order]
+                    total.add(whole, (term, post, (1 + np.log(n)) * idf(documents)[term]), square=True)
             yield from total.batches()
 
-        both = self.table.join(factor.tail.select(F.col("piece").alias("group"), "rows"), "group", "left")
-        sent = both.select("group", "term", "post", "value", "rows").coalesce(self.tasks).mapInArrow(task, "chunk long, rows binary")
-        added = sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunks_added, "chunk long, rows binary")
-        return as_table(added, "product").where(F.col("chunk") >= 0)
+        terms = self.table.select("group", "keys", "documents").join(
+            factor.tail.select(F.col("piece").alias("group"), "near", "rows"), "group")
+        entries = new.dealt(self.borders).groupBy("group").applyInArrow(gather, DEALT_FIELDS)
+        both = entries.join(terms, "group").select("group", "key", "post", "n", "keys", "documents", "near", "rows")
+        return as_table(self._added(both.coalesce(self.tasks).mapInArrow(task, "chunk long, rows binary")), "product").where(F.col("chunk") >= 0)
+
 
+def _unit(squares: np.ndarray) -> np.ndarray:
+    return np.where(squares > 0, 1 / np.sqrt(np.where(squares > 0, squares, 1)), 0)
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """Each group with its terms, posts and values."""
+
+def _unit_rows(unit: np.ndarray, chunk: int, rows: np.ndarray) -> np.ndarray:
+    return rows * unit[chunk * CHUNK:chunk * CHUNK + len(rows), None]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], idf: Callable[[bytes], np.ndarray]) -> Iterator[tuple[int, bytes, tuple[np.ndarray, ...]]]:
+    """Each group with its numbers of posts and its terms, posts and values."""
     for batch in batches:
         for at, group in enumerate(batch.column("group").to_pylist()):
-            term, post, value = (batch.column(c)[at].as_buffer() for c in ("term", "post", "value"))
-            yield group, (np.frombuffer(term, np.int32), np.frombuffer(post, np.int32), np.frombuffer(value))
+            term, post, n = (np.frombuffer(batch.column(c)[at].as_buffer(), np.int32) for c in ("term", "post", "n"))
+            documents = batch.column("documents")[at].as_py()
+            yield group, documents, (term, post, (1 + np.log(n)) * idf(documents)[term])
 
 
 def _sums(left: np.ndarray | None, entries: tuple[np.ndarray, ...], terms: int) -> np.ndarray | None:
@@ -209,14 +303,23 @@ class _Product:
     def __init__(self, columns: int, posts: int, stats: Callable[[np.ndarray], np.ndarray]):
         self.z, self.posts, self.stats, self.total = np.zeros((columns, posts)), posts, stats, 0.0
 
-    def add(self, rows: np.ndarray, entries: tuple[np.ndarray, ...]) -> None:
+    def add(self, rows: np.ndarray, entries: tuple[np.ndarray, ...], square: bool = False) -> None:
+        """``square``: the last column holds the squared lengths."""
         term, post, value = entries
         self.total = self.total + np.ravel(self.stats(rows))
         if len(self.z) and len(post):  # entries are in order of posts
             first = np.flatnonzero(np.diff(post, prepend=-1))
-            at = post[first]
-            for column in range(len(self.z)):
-                self.z[column][at] += np.add.reduceat(value * np.ascontiguousarray(rows[:, column])[term], first)
+            for column in range(len(self.z) - square):
+                self._put(column, post[first], np.add.reduceat(value * np.ascontiguousarray(rows[:, column])[term], first))
+            if square:
+                self._put(-1, post[first], np.add.reduceat(value**2, first))
+
+    def squares(self, entries: tuple[np.ndarray, ...]) -> None:
+        """The sums of values and of their squares."""
+        self.add(np.ones((int(entries[0].max(initial=0)) + 1, 1)), entries, square=True)
+
+    def _put(self, column: int, posts: np.ndarray, sums: np.ndarray) -> None:
+        self.z[column][posts] += sums
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         if np.ndim(self.total):

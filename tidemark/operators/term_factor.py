@@ -145,14 +145,13 @@ def normal_rows(seed: int, places: np.ndarray, columns: int) -> np.ndarray:
 
 @dataclass
 class Factor:
-    """Terms by columns. ``tail`` holds (piece, rows), its rows are meant times ``matrix``. A piece holds neighbours, or with a
-    ``stride`` every term of the tail whose place has this remainder."""
+    """Terms by columns. ``tail`` holds (piece, ids, rows): the places of the piece's terms beyond the head, and their rows, which
+    are meant times ``matrix``."""
 
     terms: Terms
     head: np.ndarray
     tail: DataFrame | None
     matrix: np.ndarray
-    stride: int = 0
 
     @classmethod
     def random(cls, terms: Terms, columns: int, seed: int) -> Factor:
@@ -164,7 +163,7 @@ class Factor:
         return self.head.shape[1]
 
     def times(self, matrix: np.ndarray) -> Factor:
-        return Factor(self.terms, self.head @ matrix, self.tail, self.matrix @ matrix, self.stride)
+        return Factor(self.terms, self.head @ matrix, self.tail, self.matrix @ matrix)
 
     def _tail_rows(self) -> Callable[[bytes], np.ndarray]:
         matrix = self.matrix
@@ -195,10 +194,11 @@ class Factor:
 
         def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece, rows in zip(batch.column("piece").to_pylist(), batch.column("rows").to_pylist()):
-                    yield _pieces([(piece, b"", np.ascontiguousarray(function(rows_of(rows)), float).tobytes())])
+                for piece, ids, rows in zip(*[c.to_pylist() for c in batch.columns]):
+                    yield _pieces([(piece, ids, np.ascontiguousarray(function(rows_of(rows)), float).tobytes())])
 
-        return Factor(self.terms, head, as_table(self.tail.mapInArrow(change, _PIECES), "factor"), np.eye(head.shape[1]), self.stride)
+        changed = self.tail.select("piece", "ids", "rows").mapInArrow(change, _PIECES)
+        return Factor(self.terms, head, as_table(changed, "factor"), np.eye(head.shape[1]))
 
     def dot(self, other: Factor) -> np.ndarray:
         """F' G over all terms."""
@@ -220,16 +220,14 @@ class Factor:
 
     def long(self) -> DataFrame:
         """(place, loadings) of the tail terms."""
-        rows_of, size, stride, head = self._tail_rows(), self.terms.piece, self.stride, self.terms.head
+        rows_of = self._tail_rows()
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece, blob in zip(batch.column("piece").to_pylist(), batch.column("rows").to_pylist()):
-                    found = rows_of(blob)
-                    first = head + (piece - head) % stride if stride else piece * size
-                    yield pa.record_batch([pa.array(np.arange(len(found)) * (stride or 1) + first), lists(found)], names=["place", "loadings"])
+                for ids, blob in zip(batch.column("ids").to_pylist(), batch.column("rows").to_pylist()):
+                    yield pa.record_batch([pa.array(np.frombuffer(ids, np.int64)), lists(rows_of(blob))], names=["place", "loadings"])
 
-        return self.tail.mapInArrow(rows, "place long, loadings array<double>")
+        return self.tail.select("ids", "rows").mapInArrow(rows, "place long, loadings array<double>")
 
 
 def lists(matrix: np.ndarray) -> pa.ListArray:

@@ -4,16 +4,18 @@ The weighted posts X are approximated by W H, with W >= 0 per post and H >= 0 pe
 weights of a post depend on that post alone, so W is never stored: a pass over the posts solves W row by row
 and returns W'W and W'X, which is all that the next H needs. Passes read a table in the shared folder.
 
-Terms are numbered by falling frequency. Frequent terms, of a bounded number, are looked up and weighed where posts are
-read; the rarer ones of a larger vocabulary meet the posts in a join, which so has no hot key. A factor of the head travels
-to the tasks (``term_factor``); with more terms, the tasks keep groups of terms and W travels, never H (``term_blocks``).
-The model is the same however many terms are in the head.
+Terms are numbered by falling frequency. The model counts them as keys of one or two numbered words (``term_keys``), in
+groups of terms. A vocabulary that fits the head, of a bounded size, is looked up and weighed where posts are read, and its
+factor travels to the tasks (``term_factor``); with more terms, the tasks keep the groups and W travels, never H
+(``term_blocks``). The model is the same however many terms are in the head. In ``tfidf``, terms beyond the head meet the
+posts in a join, which so has no hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,18 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import bind, topic_tokens
+from ..sizes import settle
 from ..storage import as_table, placed
 from .term_blocks import Derived, TermBlocks
 from .term_factor import HEAD_TERMS, PIECE, Factor, Matrix, SparseRows, Terms, lists, normal_rows
+from .term_keys import HEAD_WORDS, WORD_BYTES, CodedPosts, Words, as_bytes, coded, split_words, unpacked
 
 LOSS_TOLERANCE = 1e-3
 START_PASSES = 3
 #: words, or entries, that a task works on at once, and terms that it counts before it sends them
 AT_ONCE, COUNTED = 200_000, 500_000
+#: rows of weights that are solved at once
+SOLVED = 8_192
 _TINY = 1e-12
 
 
@@ -121,6 +127,33 @@ def _words(posts: DataFrame, **limits) -> tuple[DataFrame, int]:
     return as_table(_kept(counts, documents, **limits), "vocabulary"), documents
 
 
+def _word_counts(posts: DataFrame, min_documents: int) -> DataFrame:
+    """``term, documents`` of the single words of ``_words`` that a vocabulary with pairs may need."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("term", use_threads=False).aggregate([("documents", "sum")]).rename_columns(["term", "documents"])
+
+        for batch in _sliced(batches, "_words", unit=WORD_BYTES):
+            ends, found = split_words(batch.column("_words"))
+            names = max(len(found.dictionary), 1)
+            which = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(ends)) * names + found.indices.to_numpy()) % names
+            held.append(pa.table([found.dictionary, pa.array(np.bincount(which, minlength=len(found.dictionary)))], names=["term", "documents"]))
+            size += len(found.dictionary)
+            if size >= 2 * COUNTED:
+                held = [added()]
+                size = held[0].num_rows
+                if size >= COUNTED:
+                    yield from held.pop().to_batches()
+                    size = 0
+        if held:
+            yield from added().to_batches()
+
+    counts = posts.select("_words").mapInArrow(count, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
+    return counts.where((F.col("documents") >= min_documents) & (F.col("term") != ""))
+
+
 @dataclass
 class Vocabulary:
     """Terms with their places by falling frequency: the head as ``term, idf``, the others as a table with ``place``."""
@@ -142,6 +175,24 @@ class Vocabulary:
         return cls(terms, head.select(["term", "idf"]), as_table(numbered.where(F.col("place") >= terms.head), "rare"))
 
 
+class KeyedVocabulary:
+    """The vocabulary of a model beyond the head, which is spelled when asked for."""
+
+    def __init__(self, blocks: TermBlocks):
+        self.blocks, self.terms = blocks, blocks.terms
+
+    @cached_property
+    def head(self) -> pa.Table:
+        return self._spelled(F.col("place") < self.terms.head).toArrow().sort_by("place").select(["term", "idf"])
+
+    @property
+    def tail(self) -> DataFrame:
+        return self._spelled(F.col("place") >= self.terms.head)
+
+    def _spelled(self, which: Column) -> DataFrame:
+        return self.blocks.words.spelled(self.blocks.vocabulary().where(which))
+
+
 def tfidf(
     df: DataFrame, text_col: str = "text", id_col: str = "post_id", keep: Sequence[str] = (),
     head_terms: int = HEAD_TERMS, piece: int = PIECE, **limits,
@@ -176,34 +227,34 @@ def _tokens(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
     return as_table(df.select(*[F.col(f"`{c}`") for c in keep], vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens", compression="zstd")
 
 
-def as_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """One byte string per row; ``ends`` are the offsets of the rows in ``values``."""
-    offsets = (ends * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+def _joined(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """The words of each text in one string: lists of strings pass to Python one by one."""
+    words = F.coalesce(F.array_join(vocabulary_tokens(F.col(text_col)), " "), F.lit(""))
+    return as_table(df.select(*[F.col(f"`{c}`") for c in keep], words.alias("_words")), "words", compression="zstd")
 
 
-def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The lengths of the byte strings of ``as_bytes`` and all their values."""
-    size = np.dtype(kind).itemsize
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // size
-    some = int(ends[-1] - ends[0])
-    return np.diff(ends), np.frombuffer(column.buffers()[2], kind, some, int(ends[0]) * size) if some else np.zeros(0, kind)
+def _coded(posts: DataFrame, words: Words, keep: Sequence[str]) -> CodedPosts:
+    return CodedPosts(coded(posts, words, keep, lambda batches: _sliced(batches, "_words", unit=WORD_BYTES)), keep)
 
 
 def least_squares_weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 500, tolerance: float = 1e-9) -> np.ndarray:
     """Non-negative W of min |X - W H| from X H' and H H', by cyclic coordinate descent over all rows at once."""
-    w = np.zeros_like(cross)
     scale = max(float(np.abs(cross).max(initial=0.0)), _TINY) / max(float(gram.diagonal().max()), _TINY)
-    for _ in range(sweeps):
-        change = 0.0
-        for k in range(len(gram)):
-            if gram[k, k] > _TINY:
-                new = np.maximum(0.0, w[:, k] + (cross[:, k] - w @ gram[:, k]) / gram[k, k])
-                change = max(change, float(np.abs(new - w[:, k]).max(initial=0.0)))
-                w[:, k] = new
-        if change <= tolerance * scale:
-            break
-    return w
+    found = np.zeros(cross.shape)
+    for a in range(0, len(cross), SOLVED):  # as many rows as stay in a core's cache, by columns
+        part = np.ascontiguousarray(cross[a:a + SOLVED].T)
+        w = np.zeros_like(part)
+        for _ in range(sweeps):
+            change = 0.0
+            for k in range(len(gram)):
+                if gram[k, k] > _TINY:
+                    new = np.maximum(0.0, w[k] + (part[k] - gram[:, k] @ w) / gram[k, k])
+                    change = max(change, float(np.abs(new - w[k]).max(initial=0.0)))
+                    w[k] = new
+            if change <= tolerance * scale:
+                break
+        found[a:a + SOLVED] = w.T
+    return found
 
 
 def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -284,34 +335,37 @@ class TopicModel:
     n_topics: int
     posts: Matrix | TermBlocks
     losses: list[float]
-    vocabulary: Vocabulary
+    vocabulary: Vocabulary | KeyedVocabulary
     loadings: Factor
 
     @property
     def factors(self) -> DataFrame:
         """``term, idf, loadings array<double>``, one row per term."""
-        near = self.posts.x.sparkSession.createDataFrame(
-            self.vocabulary.head.append_column("loadings", lists(self.loadings.head)).select(["term", "idf", "loadings"]))
-        if self.vocabulary.tail is None:
-            return near
-        far = self.vocabulary.tail.join(self.loadings.long(), "place").select("term", "idf", "loadings")
-        return near.unionByName(far)
+        if isinstance(self.posts, Matrix):
+            return self.posts.x.sparkSession.createDataFrame(
+                self.vocabulary.head.append_column("loadings", lists(self.loadings.head)).select(["term", "idf", "loadings"]))
+        near = self.posts.spark.createDataFrame(pa.table([pa.array(np.arange(len(self.loadings.head))), lists(self.loadings.head)], names=["place", "loadings"]))
+        known = self.posts.vocabulary().join(near.unionByName(self.loadings.long()), "place")
+        return self.posts.words.spelled(known).select("term", "idf", "loadings")
 
     def describe(self, top_words: int = 8) -> DataFrame:
         """``topic, label, top_words``: the words with the highest loadings, ties in alphabetical order."""
-        names = np.array(self.vocabulary.head.column("term").to_pylist(), dtype=object)
         rows = []
         for topic, loading in enumerate(self.loadings.head.T):
             least = np.partition(loading, -top_words)[-top_words] if len(loading) > top_words else -np.inf
-            best = sorted((-loading[at], names[at]) for at in np.flatnonzero(loading >= least))[:top_words]
-            rows += [(topic, -float(value), word) for value, word in best]
-        best = self.posts.x.sparkSession.createDataFrame(rows, "topic int, loading double, term string")
-        if self.vocabulary.tail is not None:
+            rows += [(topic, int(at), float(loading[at])) for at in np.flatnonzero(loading >= least)]
+        spark = self.posts.x.sparkSession if isinstance(self.posts, Matrix) else self.posts.spark
+        best = spark.createDataFrame(rows, "topic int, place long, loading double")
+        if isinstance(self.posts, Matrix):
+            names = self.vocabulary.head.column("term").to_pylist()
+            best = spark.createDataFrame([(topic, value, names[at]) for topic, at, value in rows], "topic int, loading double, term string")
+        else:
             far = self.loadings.long().select("place", F.posexplode("loadings").alias("topic", "loading"))
             # of each topic, only what reaches the last of its best frequent words
             least = F.broadcast(best.groupBy("topic").agg(F.min("loading").alias("least")))
-            near = far.join(least, "topic").where(F.col("loading") >= F.col("least")).join(self.vocabulary.tail.select("place", "term"), "place")
-            best = best.unionByName(near.select("topic", "loading", "term"))
+            near = far.join(least, "topic").where(F.col("loading") >= F.col("least")).select("topic", "place", "loading")
+            best = settle(best.unionByName(near), "best").join(self.posts.vocabulary().drop("idf"), "place")
+            best = self.posts.words.spelled(settle(best, "best-keys"))
         rank = F.row_number().over(W.partitionBy("topic").orderBy(F.desc("loading"), "term"))
         ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
         words = best.withColumn("rank", rank).where(F.col("rank") <= top_words).groupBy("topic").agg(
@@ -321,10 +375,14 @@ class TopicModel:
 
     def weights(self, df: DataFrame | None = None, text_col: str = "text") -> DataFrame:
         """Topic weights of the fitted posts, or of new ones: ``keep`` (of the fit) or all columns, plus ``weights``."""
-        groups = getattr(self.posts, "groups", None)
-        posts = self.posts if df is None else _matrix(_tokens(df, text_col, df.columns), self.vocabulary, df.columns, groups)
         gram = self.loadings.sums(lambda h: h.T @ h)
-        return posts.rows(self.loadings, lambda cross: least_squares_weights(cross, gram))
+        solve = lambda cross: least_squares_weights(cross, gram)
+        if df is None:
+            return self.posts.rows(self.loadings, solve)
+        posts = _joined(df, text_col, df.columns)
+        if isinstance(self.posts, TermBlocks):
+            return self.posts.rows(self.loadings, solve, _coded(posts, self.posts.words, df.columns))
+        return _matrix(posts, self.vocabulary, df.columns).rows(self.loadings, solve)
 
     def assign(self, df: DataFrame | None = None, text_col: str = "text") -> DataFrame:
         """Adds ``topic``, the index of the largest weight; -1 where no topic has any weight."""
@@ -333,13 +391,9 @@ class TopicModel:
         return self.weights(df, text_col).withColumn("topic", topic).drop("weights")
 
 
-def _matrix(tokens: DataFrame, words: Vocabulary, keep: Sequence[str], groups: int | None = None) -> Matrix | TermBlocks:
-    weighed, ids = _weigh(tokens, words, keep)
-    if ids is None:
-        return Matrix(as_table(weighed, "weighted"), list(keep))
-    # an upper bound of the entries: words and pairs
-    entries = 2 * (tokens.agg(F.sum(F.size("_tokens"))).first()[0] or 0)
-    return TermBlocks(weighed, ids, keep, words.terms, groups, entries)
+def _matrix(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> Matrix:
+    tokens = posts.select(*[F.col(f"`{c}`") for c in keep], F.filter(F.split("_words", " "), lambda word: word != "").alias("_tokens"))
+    return Matrix(as_table(_weigh(tokens, words, keep)[0], "weighted"), list(keep))
 
 
 def fit_topics(
@@ -353,6 +407,7 @@ def fit_topics(
     start_passes: int = START_PASSES,
     head_terms: int = HEAD_TERMS,
     piece: int = PIECE,
+    head_words: int = HEAD_WORDS,
 ) -> TopicModel:
     """Fits one model over all posts of ``df``; the assignment of the posts carries the columns in ``keep``.
 
@@ -360,17 +415,18 @@ def fit_topics(
     ``start_passes`` products find the singular vectors of the start.
     """
     keep = list(keep)
-    posts = _tokens(df, text_col, keep)
-    words, documents = _words(posts)
-    known = Vocabulary.of(words, head_terms, piece)
-    size = known.terms.size
+    posts = _joined(df, text_col, keep)
+    words = Words.of(_word_counts(posts, fixed.MIN_DOCUMENTS), head_words)
+    blocks = TermBlocks(_coded(posts, words, keep), words, fixed.MIN_DOCUMENTS, fixed.MAX_DOCUMENT_SHARE, head_terms, piece)
+    size, documents = blocks.terms.size, blocks.posts
     if not size:
         raise ValueError("no term is in two posts and in at most half of all posts")
-    x = _matrix(posts, known, keep)
     k = min(n_topics, max(1, size - 1), documents)
-    if isinstance(x, TermBlocks):
-        losses, h = _fit_blocks(x, documents, k, seed, max_iter, tolerance, start_passes)
-        return TopicModel(h.columns, x, losses, known, h)
+    if blocks.terms.tail:
+        losses, h = _fit_blocks(blocks, documents, k, seed, max_iter, tolerance, start_passes)
+        return TopicModel(h.columns, blocks, losses, KeyedVocabulary(blocks), h)
+    known = Vocabulary(blocks.terms, words.spelled(blocks.vocabulary()).toArrow().sort_by("place").select(["term", "idf"]))
+    x = _matrix(posts, known, keep)
     h, square = _start(x, known.terms, documents, k, seed, start_passes)
     losses: list[float] = []
     for _ in range(max_iter):
@@ -467,6 +523,7 @@ def _fit_blocks(x: TermBlocks, documents: int, k: int, seed: int, max_iter: int,
         return rows.T @ rows
 
     size = x.terms.size
+    total, square = x.measure()
     width = min(k + 5, size)
     basis = Derived(None, lambda places, _: normal_rows(seed, places, width))
     z, gram = x.project(basis, width, gram_of)
@@ -483,7 +540,6 @@ def _fit_blocks(x: TermBlocks, documents: int, k: int, seed: int, max_iter: int,
     right, singular = m @ inner[:, order], np.sqrt(np.maximum(values[order], 0.0))
     _, parts = x.left(z, width, lambda y: (None, _sides(y @ right)))
     _, sides = x.project(basis, width, lambda rows: _sides(rows @ right), product=False)
-    total, square = x.totals()
     started = _started(singular, *parts.reshape(2, -1), *sides.reshape(2, -1), total / (documents * size))
     vectors = basis.change
     h, k = Derived(basis.left, lambda places, sums: started(vectors(places, sums) @ right)), len(singular)
