@@ -99,6 +99,17 @@ def test_equal_streams_are_one_page_and_phrases_stay(spark):
     assert all(got[100 + i] == prose(i) for i in range(12))
 
 
+def test_pages_are_dealt_once_for_all_passes(spark, small):
+    """Before, the hashes of streams were a job of their own, which dealt the pages once more."""
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    found = html_text.extract(pages)
+    assert found.count() == pages.count() and set(os.listdir(folder)) == before
+
+
 def test_hosts():
     assert [html_text.host_of(u) for u in ("https://u:p@WWW.A.org:80/x", "a.org", None, "http://b.a.org?x")] == ["a.org", "", "", "b.a.org"]
 

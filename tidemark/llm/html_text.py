@@ -33,10 +33,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.storage import as_table
-
 from .hashing import U, mix, packed_sorted, unpacked_sorted
 from .repeats import BUCKET_BYTES, CHUNK_BYTES, Steps, shared_of
 
@@ -331,9 +330,8 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", mark
     chunk = F.pmod(F.xxhash64("page_id", F.octet_length("html"), "url"), F.lit(n_chunks)).cast("int")
     dealt = rows.withColumn("chunk", chunk).repartition(n_chunks, "chunk")
     # a stream is one row per chunk, however many pages have it; its first chunk speaks for it
-    marks = as_table(dealt.groupBy("chunk").applyInPandas(send_streams, "mark long, chunk int"), "page-streams")
-    speakers = marks.groupBy("mark").agg(F.min("chunk").alias("speaker"), F.count("*").alias("n")).where("n > 1").select("mark", "speaker")
-    others = marks.join(speakers, "mark").where("chunk <> speaker").select("mark", "chunk")
+    marks = dealt.groupBy("chunk").applyInPandas(send_streams, "mark long, chunk int")
+    others = marks.withColumn("speaker", F.min("chunk").over(W.partitionBy("mark"))).where("chunk <> speaker").select("mark", "chunk")
     sent = dealt.groupBy("chunk").cogroup(others.groupBy("chunk")).applyInPandas(
         lambda p, o: send_heads(steps, p, o), "bucket long, chunk int, hashes binary, several binary, counted boolean")
     shared = sent.groupBy("bucket").applyInPandas(find_repeated, "chunk int, hashes binary")
