@@ -80,6 +80,35 @@ def test_join_of_near_copies_in_small_pieces(spark, monkeypatch):
     assert got == plain_join(rows)
 
 
+def test_join_after_few_hubs(spark, monkeypatch):
+    rows = copies()
+    for name, value in (("HUBS", 1), ("ROUNDS", 1), ("BLOCK", 32), ("BLOCK_SHINGLES", 2_000), ("PER_CHECK", 2_000), ("POSTINGS_PER_SEND", 300),
+                        ("REMEMBERED", 5), ("PAIRS_PER_STEP", 200)):
+        monkeypatch.setattr(shingle_join, name, value)
+    monkeypatch.setattr(shingle_join.hub_links, "__defaults__", (1,))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(docs).collect()}
+    assert got == plain_join(rows)
+
+
+def test_sets_just_apart_make_no_rows_of_pairs(spark, monkeypatch):
+    """31 texts, any two of which have a similarity of 0.83: the sketches of most pairs pass, no pair links."""
+    base = " ".join(f"w{i}" for i in range(203))
+    rows = [(k, base + "".join(f" own{k}x{i}" for i in range(20))) for k in range(31)]
+    made, write = [], shingle_join.as_table
+
+    def counted(df, label, *rest):
+        table = write(df, label, *rest)
+        if label.endswith(("-pairs", "-links")) and label != "join-hub-pairs":
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(shingle_join, "as_table", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_join(rows) == {k: (220, k) for k in range(31)}
+    assert sum(made) <= shingle_join.ROUNDS * len(rows)
+
+
 def test_pipeline_stage_joins_five_words_at_four_fifths(spark):
     words = [f"w{i}" for i in range(200)]
     block = words[:90] + [f"n{i}" for i in range(18)] + words[108:]

@@ -12,12 +12,14 @@ the start, and carry the least id of their texts.
 3. Hubs: the ``HUBS`` first sets of a list by hash are its hubs; lists of up to ``HUBS`` + 1 sets hold no other pairs. In
    rounds, each set meets one hub, the one with which it shares most lists, and the components are contracted; the next
    round offers another hub only where set and hub are still apart. So a round looks at one pair a set, however large
-   its group and however many lists it stands in. What ``ROUNDS`` rounds leave apart is met after them.
+   its group and however many lists it stands in. What ``ROUNDS`` rounds leave apart is met after them: pairs of lists
+   without other pairs by themselves, all others with step 4.
 4. Derived answers: a set that is joined to its most similar hub takes over that hub's component, and no other pair of
    the component is looked at. What is left are lists with sets of different components; there the remaining pairs are
    met in blocks and filtered by parity sketches, whose difference never exceeds the difference of the sets, so nothing
-   is lost.
-5. Pairs that pass are verified on the whole sets.
+   is lost. A block names the sets that pass, never the pairs.
+5. What passes is verified on the whole sets. Sets of a block meet again for that, lists of the same sets in one task, and
+   only links between components that are still apart leave it: fewer than it has sets.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with fewer words than ``width``
 the whole sequence is one shingle; texts with a null id are rows like others and never give a component its id (a
@@ -51,10 +53,12 @@ MAX_SENT = 500_000
 HUBS = 8
 #: rounds in which a set meets one more hub
 ROUNDS = 3
-#: shingles or postings that one bucket holds, and one task before it sends
-PER_BUCKET, PER_SEND = 1_000_000, 3_000_000
+#: shingles or postings that one bucket holds, shingles that one task holds before it sends, and postings (24 bytes)
+PER_BUCKET, PER_SEND, POSTINGS_PER_SEND = 1_000_000, 3_000_000, 1_000_000
 #: postings of a list that meet at once, postings that share a task, and pairs that are looked at in one step
 BLOCK, PER_MEETING, PAIRS_PER_STEP = 1024, 200_000, 2_000_000
+#: shingles of the sets that meet at once, of the whole sets that share a task, and pairs that a task need not verify again
+BLOCK_SHINGLES, PER_CHECK, REMEMBERED = 2_000_000, 4_000_000, 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -206,8 +210,8 @@ def bounded_frequent(found: DataFrame, at_most: int) -> tuple[np.ndarray, np.nda
 
 
 def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits: int, frequent) -> DataFrame:
-    """The index: the pairs of sets with hubs of their lists (key, other, n: in how many lists), and the postings of the
-    lists that hold more sets than those pairs cover (gram, key, n, at, length)."""
+    """The index: the pairs of sets with hubs of their lists (key, other, n: in how many lists, at: 1 if one of them has no
+    other pairs), and the postings of the lists that hold more sets than those pairs cover (gram, key, n, at, length)."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, texts = frequent.value
@@ -216,6 +220,7 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits:
 
         def send() -> pa.RecordBatch:
             gram, key, n, at = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             order = np.argsort(gram, kind="stable")
             gram, key, n, at = gram[order], key[order], n[order], at[order]
             rows = [(bucket, packed_sorted(gram[a:b]), key[a:b].tobytes(), n[a:b].tobytes(), at[a:b].tobytes())
@@ -237,9 +242,9 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits:
                 order = np.lexsort((grams, often))[:head]
                 held.append((grams[order] >> U(16), np.full(head, key, np.int64), np.full(head, n, np.int32), np.arange(head, dtype=np.int32)))
                 size += head
-                if size >= PER_SEND:
+                if size >= POSTINGS_PER_SEND:
                     yield send()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield send()
 
@@ -261,7 +266,7 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits:
         first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, np.int64)
         length = np.diff(np.r_[first, len(gram)])
         start, length = np.repeat(first, length), np.repeat(length, length)
-        pairs = [np.empty((0, 2), np.int64)]
+        pairs, short = [np.empty((0, 2), np.int64)], [np.empty(0, bool)]
         for j in range(HUBS):
             p = np.flatnonzero(np.arange(len(gram)) > start + j)
             q = start[p] + j
@@ -269,11 +274,13 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, bucket_bits:
             keep = (small * 100 >= large * percent) & (
                 1 + np.minimum(n[p] - at[p] - 1, n[q] - at[q] - 1) >= least_overlap(n[p], n[q], percent))
             pairs.append(np.stack((key[p[keep]], key[q[keep]]), axis=1))
-        pairs, lists = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+            short.append(length[p[keep]] <= HUBS + 1)
+        pairs, which, lists = np.unique(np.concatenate(pairs), axis=0, return_inverse=True, return_counts=True)
+        short = np.bincount(which.ravel(), weights=np.concatenate(short), minlength=len(pairs)) > 0
         rest = length > HUBS + 1
         return pd.concat((
             pd.DataFrame({"gram": gram[rest].astype(np.int64), "key": key[rest], "n": n[rest], "at": at[rest], "other": None, "length": length[rest]}),
-            pd.DataFrame({"gram": None, "key": pairs[:, 0], "n": lists, "at": 0, "other": pairs[:, 1], "length": 0}))).astype(
+            pd.DataFrame({"gram": None, "key": pairs[:, 0], "n": lists, "at": short.astype(np.int64), "other": pairs[:, 1], "length": 0}))).astype(
             {"gram": "Int64", "other": "Int64"})
 
     sent = docs.select(F.lit(0).cast("long"), "text").mapInArrow(post, "bucket long, gram binary, key binary, n binary, at binary")
@@ -309,33 +316,39 @@ def sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(near, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    pairs = as_table(pairs, f"{label}-pairs")
-    wanted = as_table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select(
-        F.col("row").alias("doc_row"), "key"), f"{label}-wanted")
+def whole_sets(keys: DataFrame, docs: DataFrame, classes: DataFrame, width: int, label: str) -> DataFrame:
+    """key, data: the sets of the distinct ``keys``."""
+    wanted = as_table(keys.join(classes, "key").select(F.col("row").alias("doc_row"), "key"), f"{label}-wanted")
     few = wanted.count() <= MAX_SENT
     chosen = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("doc_row")), "left_semi")
-    sets = as_table(text_sets(chosen, width, with_set=True).dropDuplicates(["key"]).join(
+    return as_table(text_sets(chosen, width, with_set=True).dropDuplicates(["key"]).join(
         F.broadcast(wanted.select("key")) if few else wanted.select("key"), "key", "left_semi").select("key", "data"), f"{label}-sets")
 
+
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two whole sets link."""
+    both = np.concatenate((np.frombuffer(x, U), np.frombuffer(y, U)))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    pairs = as_table(pairs, f"{label}-pairs")
+    sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes, width, label)
+
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            keep = []
-            for x, y in zip(rows["da"], rows["db"]):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield rows.loc[keep, ["a", "b"]]
+            yield rows.loc[[linked(x, y, percent) for x, y in zip(rows["da"], rows["db"])], ["a", "b"]]
 
     side = lambda x: sets.select(F.col("key").alias(x), F.col("data").alias(f"d{x}"))
     return as_table(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long"), f"{label}-links")
 
 
 def hub_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
-    """The links among ``pairs`` (key, other, lists) that join what is apart: (a, b), enough of them for all components."""
+    """The links among ``pairs`` (key, other, lists, short) that join what is apart: (a, b), enough of them for the components
+    of the short lists. Pairs of longer lists alone that are apart after the rounds meet in ``remaining_links``."""
     links = None
     for _ in range(rounds):
         chosen = as_table(pairs.groupBy("key").agg(F.max_by("other", "lists").alias("other")), "join-hub-chosen")
@@ -344,60 +357,104 @@ def hub_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
         joined = as_table(components(links, "join-stars"), "join-hub-joined")
         label = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
         apart = pairs.join(chosen, ["key", "other"], "left_anti").join(label("key"), "key", "left").join(label("other"), "other", "left")
-        pairs = as_table(apart.where(F.coalesce("c_key", "key") != F.coalesce("c_other", "other")).select("key", "other", "lists"), "join-hub-apart")
+        pairs = as_table(apart.where(F.coalesce("c_key", "key") != F.coalesce("c_other", "other")).select("key", "other", "lists", "short"), "join-hub-apart")
         if pairs.isEmpty():
             return links
-    rest = verified(sketched(pairs.select(F.col("key").alias("a"), F.col("other").alias("b")), classes, percent), docs, classes, width, percent, "join-hub")
+    rest = verified(sketched(pairs.where("short").select(F.col("key").alias("a"), F.col("other").alias("b")), classes, percent), docs, classes, width, percent, "join-hub")
     return links.union(rest)
 
 
-def remaining_pairs(index: DataFrame, joined: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the lists that hold several, past all bounds. Long lists are cut into blocks,
-    and each pair of blocks that size allows is met by itself."""
+def met(rows: pd.DataFrame, sketches: dict[int, bytes], percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows a and b of the pairs of different components that meet, past all bounds and sketches, a pair once a step; and
+    their rows p and q in every list."""
+    key, n, at, meeting, across, own, component = (
+        rows[c].to_numpy() for c in ("key", "n", "at", "meeting", "across", "own", "component"))
+    # (meeting, size) in one ascending number: the sets that a set can link with are the run behind it
+    order = np.cumsum(np.r_[False, meeting[1:] != meeting[:-1]]) * (int(n.max(initial=0)) * 100 // percent + 2)
+    end = np.searchsorted(order + n, order + np.minimum(n * 100 // percent, n.max(initial=0)), side="right")
+    behind = end - np.arange(len(n)) - 1
+    upto = np.cumsum(behind)
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS_PER_STEP, side="right")))
+        run = behind[start:stop]
+        p = np.repeat(np.arange(start, stop), run)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(run) - run, run)
+        keep = (component[p] != component[q]) & (1 + np.minimum(n[p] - at[p] - 1, n[q] - at[q] - 1) >= least_overlap(n[p], n[q], percent))
+        keep &= ~(across[p] & across[q] & (own[p] == own[q]))
+        p, q = p[keep], q[keep]
+        pairs, first, which = np.unique(np.stack((key[p], key[q]), axis=1), axis=0, return_index=True, return_inverse=True)
+        a, b = p[first], q[first]
+        near = near_sketches([sketches[k] for k in key[a]], [sketches[k] for k in key[b]], n[a], n[b], percent)
+        yield a[near], b[near], p[near[which.ravel()]], q[near[which.ravel()]]
+        start = stop
+
+
+def remaining_links(index: DataFrame, joined: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (a, b) between different components in the lists that hold several, enough of them for all components.
+    Long lists are cut into blocks, and each pair of blocks that size allows is met by itself."""
     labelled = index.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
-    several = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rows = as_table(labelled.join(several.select("gram"), "gram", "left_semi").select("gram", "length", "key", "n", "at", "component"), "join-open")
+    several = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("shingles")).where("lo < hi")
+    rows = as_table(labelled.join(several.select("gram", "shingles"), "gram").select(
+        "gram", "length", "shingles", "key", "n", "at", "component"), "join-open")
     # rows of a long list go into blocks by hash; blocks i <= j meet by themselves. Many meetings share a task.
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("length") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    buckets = max(1, -(-rows.count() // PER_MEETING))
     dealt = rows.withColumns({"own": own, "blocks": blocks}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "own", "key", "n", "at", "component", F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
         (F.col("own") != F.col("other")).alias("across"))
-    dealt = dealt.withColumn("bucket", F.pmod("meeting", F.lit(buckets)))
-    used = dealt.select(F.col("bucket").alias("part"), F.col("key").alias("set")).distinct().join(
-        sketches.select(F.col("key").alias("set"), F.col("data").alias("sketch")), "set").select("part", "set", "sketch")
+    buckets = max(1, -(-rows.count() // PER_MEETING))
+    first = dealt.withColumn("bucket", F.pmod("meeting", F.lit(buckets)))
+    used = first.select(F.col("bucket").alias("part"), F.col("key").alias("set")).distinct().join(
+        classes.select(F.col("key").alias("set"), F.col("data").alias("sketch")), "set").select("part", "set", "sketch")
 
-    def meet(rows: pd.DataFrame, sketches: pd.DataFrame) -> pd.DataFrame:
-        data = dict(zip(sketches["set"], sketches["sketch"]))
+    def passing(rows: pd.DataFrame, sketches: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["meeting", "n", "key"], kind="stable")
-        meeting, across, own, key, n, at, component = (
-            rows[c].to_numpy() for c in ("meeting", "across", "own", "key", "n", "at", "component"))
-        # (meeting, size) in one ascending number: the sets that a set can link with are the run behind it
-        order = np.cumsum(np.r_[False, meeting[1:] != meeting[:-1]]) * (int(n.max(initial=0)) * 100 // percent + 2)
-        end = np.searchsorted(order + n, order + np.minimum(n * 100 // percent, n.max(initial=0)), side="right")
-        behind = end - np.arange(len(n)) - 1
-        upto = np.cumsum(behind)
+        marked = np.zeros(len(rows), bool)
+        for _, _, p, q in met(rows, dict(zip(sketches["set"], sketches["sketch"])), percent):
+            marked[p] = marked[q] = True
+        return rows.loc[marked, ["own", "key", "n", "at", "component", "meeting", "across"]]
+
+    near = as_table(first.groupBy("bucket").cogroup(used.groupBy("part")).applyInPandas(
+        passing, "own int, key long, n long, at long, component long, meeting long, across boolean"), "join-near")
+    # lists of the same sets have the same least set by hash: they share a task, which verifies a pair once
+    again = as_table(near.join(near.groupBy("meeting").agg(F.min(F.xxhash64("key")).alias("unit")), "meeting"), "join-again")
+    sets_of_unit = again.select("unit", "key", "n").distinct()
+    buckets = max(1, -(-(sets_of_unit.agg(F.sum("n")).first()[0] or 0) // PER_CHECK))
+    bucket = F.pmod("unit", F.lit(buckets))
+    sets = whole_sets(again.select("key").distinct(), docs, classes, width, "join-rest")
+    used = sets_of_unit.select(bucket.alias("part"), F.col("key").alias("set")).distinct().join(
+        classes.select(F.col("key").alias("set"), F.col("data").alias("sketch")), "set").join(
+        sets.select(F.col("key").alias("set"), "data"), "set").select("part", "set", "sketch", "data")
+
+    def check(rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["meeting", "n", "key"], kind="stable")
+        key, component = rows["key"].to_numpy(), rows["component"].to_numpy()
+        whole = dict(zip(sets["set"], sets["data"]))
+        above: dict[int, int] = {}
+        apart: set[tuple[int, int]] = set()
         found = []
-        start = 0
-        while start < len(n):
-            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS_PER_STEP, side="right")))
-            run = behind[start:stop]
-            p = np.repeat(np.arange(start, stop), run)
-            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(run) - run, run)
-            keep = (component[p] != component[q]) & (1 + np.minimum(n[p] - at[p] - 1, n[q] - at[q] - 1) >= least_overlap(n[p], n[q], percent))
-            keep &= ~(across[p] & across[q] & (own[p] == own[q]))
-            p, q = p[keep], q[keep]
-            pairs, first = np.unique(np.stack((key[p], key[q]), axis=1), axis=0, return_index=True)
-            p, q = p[first], q[first]
-            near = near_sketches([data[k] for k in key[p]], [data[k] for k in key[q]], n[p], n[q], percent)
-            found.append(pairs[near])
-            start = stop
-        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return dealt.groupBy("bucket").cogroup(used.groupBy("part")).applyInPandas(meet, "a long, b long").distinct()
+
+        def root(c: int) -> int:
+            while c in above:
+                above[c] = c = above.get(above[c], above[c])
+            return c
+
+        for p, q, _, _ in met(rows, dict(zip(sets["set"], sets["sketch"])), percent):
+            for a, b, x, y in zip(key[p].tolist(), key[q].tolist(), component[p].tolist(), component[q].tolist()):
+                x, y = root(x), root(y)
+                if x == y or (a, b) in apart:
+                    continue
+                if linked(whole[a], whole[b], percent):
+                    above[x] = y
+                    found.append((a, b))
+                elif len(apart) < REMEMBERED:
+                    apart.add((a, b))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return as_table(again.withColumn("bucket", bucket).groupBy("bucket").cogroup(used.groupBy("part")).applyInPandas(
+        check, "a long, b long"), "join-rest-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -413,10 +470,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     cells = bounded_frequent(as_table(frequent_shingles(docs, width, bits, bucket_bits, FREQUENT), "join-frequent"), MAX_FREQUENT)
     frequent = spark.sparkContext.broadcast(cells)
     index = as_table(postings(docs, width, percent, bits, bucket_bits, frequent), "join-index")
-    hub_pairs = as_table(index.where("other IS NOT NULL").groupBy("key", "other").agg(F.sum("n").alias("lists")), "join-hub-pairs")
+    hub_pairs = as_table(index.where("other IS NOT NULL").groupBy("key", "other").agg(
+        F.sum("n").alias("lists"), (F.max("at") > 0).alias("short")), "join-hub-pairs")
     links = hub_links(hub_pairs, docs, classes, width, percent)
-    more = remaining_pairs(index.where("other IS NULL"), as_table(components(links, "join-stars"), "join-first"), classes, percent)
-    links = links.union(verified(more.join(links, ["a", "b"], "left_anti"), docs, classes, width, percent, "join-rest"))
+    first = as_table(components(links, "join-stars"), "join-first")
+    links = links.union(remaining_links(index.where("other IS NULL"), first, docs, classes, width, percent))
     joined = as_table(components(links, "join-stars"), "join-components")
     members = classes.select("key", "row").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
