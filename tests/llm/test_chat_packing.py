@@ -165,3 +165,27 @@ def test_lower_bound_holds():
 
 def test_no_documents(none):
     assert packing.pack(packing.pieces(none, queries.tokenizer_path())).count() == 0
+
+
+def test_new_pieces_are_merged_once(monkeypatch):
+    """A new piece asks only for its merges, and forgetting rare pieces keeps those met since the last time."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    encoder = packing.Encoder(queries.tokenizer_path())
+    texts = ["often " + " ".join(f"new{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(20)]
+    texts += ["it's \t two\n\n lines\x85é\xa0ß\xad 12½ ~\x7f\x01<|endoftext|>", "".join(map(chr, [*range(9, 14), *range(32, 0x250)]))]
+    want = [encoder.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    whole, merged, merge = encoder.tokenizer, [], encoder.merge
+
+    class NoTokenizer:
+        def encode(self, text, **options):
+            assert encoder.other(text), "a piece went to the whole tokenizer"
+            return whole.encode(text, **options)
+
+    def counted(piece):
+        merged.append(piece)
+        return merge(piece)
+
+    encoder.tokenizer, encoder.merge = NoTokenizer(), counted
+    assert not any(map(encoder.other, texts))
+    assert [np.frombuffer(encoder.ids(text), "<u4").tolist() for text in texts] == want
+    assert merged.count("often") == 1 and len(encoder.known) < 200

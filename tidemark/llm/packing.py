@@ -32,10 +32,14 @@ END_ID = 2
 #: pieces per packing partition: some MB of slim rows in one task
 PIECES_PER_PARTITION = 100_000
 ROUNDS = 3
-#: words that a worker remembers
-CACHED_WORDS = 500_000
+#: words that a worker gathers before it forgets those that it has not met since the last time
+CACHED_WORDS = 300_000
 
 _encoders: dict[str, Encoder] = {}
+#: fixed value: byte-level vocabularies write visible characters of Latin-1 as they are and all other bytes from U+0100 on
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {byte: 256 + i for i, byte in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+_SPACE = chr(_ALPHABET[32])
 
 
 class Encoder:
@@ -43,7 +47,9 @@ class Encoder:
 
     A text splits into pieces before any merge, and a piece always has the same ids, so the ids of frequent pieces
     are remembered. The split is written out for the characters below U+0250, where all versions of Unicode agree;
-    a text with any other character goes to the tokenizer whole.
+    a text with any other character goes to the tokenizer whole. A new piece goes to the tokenizer's merge model alone,
+    its bytes written in the model's alphabet; with a normalizer or added words that are no control strings, which may
+    stand inside a piece, it goes to the whole tokenizer.
     """
 
     #: fixed values: the pattern of the vocabulary, its classes written out
@@ -60,27 +66,37 @@ class Encoder:
         self.pieces = re.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{l}]+| ?[{d}]+| ?[^{s}{l}{d}]+|[{s}]+(?![^{s}])|[{s}]+").findall
         self.other = re.compile("[^\x00-\x1b\x20-ɏ]").search
-        self.known = _Known(self._single)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        plain = self.tokenizer.normalizer is None and all(token.special for token in added)
+        self.merge = self.tokenizer.model.tokenize  # asking for the model copies it
+        self.known = _Known(self._merged if plain else self._single, {})
 
     def _single(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
+    def _merged(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isprintable():
+            written = piece.replace(" ", _SPACE)
+        else:
+            written = piece.encode().decode("latin-1").translate(_ALPHABET)
+        return [token.id for token in self.merge(written)]
+
     def ids(self, text: str) -> bytes:
         if self.other(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+            self.known = _Known(self.known.ids_of_piece, dict(self.known))
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 
 class _Known(dict):
-    """Ids of the pieces seen so far."""
+    """Ids of the pieces seen so far; ``older`` has those seen before."""
 
-    def __init__(self, ids_of_piece):
-        self.ids_of_piece = ids_of_piece
+    def __init__(self, ids_of_piece, older: dict[str, bytes]):
+        self.ids_of_piece, self.older = ids_of_piece, older
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = array("I", self.ids_of_piece(piece)).tobytes()
+        ids = self[piece] = self.older.get(piece) or array("I", self.ids_of_piece(piece)).tobytes()
         return ids
 
 
