@@ -17,6 +17,8 @@ from tidemark.storage import shared_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: words of a shingle and least similarity of near duplicates
 WIDTH, PERCENT = 5, 80
+#: words that a worker of the packing stage gathers: its ids travel with the pieces and need the memory
+REMEMBERED = 100_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids, sequence and place; ``copy`` tells the rows of one document apart."""
-    return packing.pack(packing.pieces(docs, queries.tokenizer_path(), with_ids=True, with_copy=True))
+    return packing.pack(packing.pieces(docs, queries.tokenizer_path(), with_ids=True, with_copy=True, remembered=REMEMBERED))
 
 
 STAGES = [

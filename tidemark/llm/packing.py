@@ -35,7 +35,7 @@ ROUNDS = 3
 #: words that a worker gathers before it forgets those that it has not met since the last time
 CACHED_WORDS = 300_000
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 #: fixed value: byte-level vocabularies write visible characters of Latin-1 as they are and all other bytes from U+0100 on
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {byte: 256 + i for i, byte in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
@@ -57,9 +57,10 @@ class Encoder:
     LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
     DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered or CACHED_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         s, l, d = self.SPACES, self.LETTERS, self.DIGITS
@@ -84,7 +85,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if self.other(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.remembered:
             self.known = _Known(self.known.ids_of_piece, dict(self.known))
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
@@ -100,21 +101,22 @@ class _Known(dict):
         return ids
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text",
-           with_ids: bool = False, with_copy: bool = False) -> DataFrame:
+           with_ids: bool = False, with_copy: bool = False, remembered: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids and ``copy``, a number that
-    the pieces of one row of ``docs`` share and no other row has."""
+    the pieces of one row of ``docs`` share and no other row has. ``remembered`` words, or ``CACHED_WORDS``, are gathered by a
+    worker: fewer need less memory and more time, and give the same ids."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (
         ", ids binary" if with_ids else "") + (", copy long" if with_copy else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer, remembered).ids
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

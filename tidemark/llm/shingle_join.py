@@ -54,11 +54,11 @@ HUBS = 8
 #: rounds in which a set meets one more hub
 ROUNDS = 3
 #: shingles or postings that one bucket holds, shingles that one task holds before it sends, and postings (24 bytes)
-PER_BUCKET, PER_SEND, POSTINGS_PER_SEND = 1_000_000, 3_000_000, 1_000_000
+PER_BUCKET, PER_SEND, POSTINGS_PER_SEND = 500_000, 1_000_000, 500_000
 #: postings of a list that meet at once, postings that share a task, and pairs that are looked at in one step
-BLOCK, PER_MEETING, PAIRS_PER_STEP = 1024, 200_000, 2_000_000
+BLOCK, PER_MEETING, PAIRS_PER_STEP = 1024, 200_000, 500_000
 #: shingles of the sets that meet at once, of the whole sets that share a task, and pairs that a task need not verify again
-BLOCK_SHINGLES, PER_CHECK, REMEMBERED = 2_000_000, 4_000_000, 500_000
+BLOCK_SHINGLES, PER_CHECK, REMEMBERED = 2_000_000, 1_000_000, 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -158,7 +158,9 @@ def frequent_shingles(docs: DataFrame, width: int, bits: int, bucket_bits: int,
         held, size = [], 0
 
         def send() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
+            held.clear()
+            values, counts = np.unique(values, return_counts=True)
             rows = []
             for bucket, a, b in _by_bucket(values, bits, bucket_bits):
                 more = np.flatnonzero(counts[a:b] > 1)
@@ -173,7 +175,7 @@ def frequent_shingles(docs: DataFrame, width: int, bits: int, bucket_bits: int,
                 size += len(grams)
                 if size >= PER_SEND:
                     yield send()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield send()
 
