@@ -85,6 +85,25 @@ def test_tfidf_agrees_with_restatement(spark, sizes):
         assert {names[t]: pytest.approx(w) for t, w in zip(terms, weights)} == want[int(row.post_id)]
 
 
+@pytest.mark.parametrize("head_terms", [10_000, 5])
+def test_terms_reach_the_posts_as_numbers(spark, head_terms):
+    """Before, posts were tables of lists of words, and all but the most frequent terms met the posts as strings in a join."""
+    rng = np.random.default_rng(2)
+    words = np.array([a + b + c for a in "abcdefgh" for b in "klmpqr" for c in "xyz"])
+    texts = [" ".join(words[np.minimum(rng.geometric(0.05, rng.integers(0, 40)) - 1, len(words) - 1)]) for _ in range(200)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "post_id string, text string").repartition(5)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    long = topics.tfidf(df, head_terms=head_terms)
+    got = {(r.post_id, r.term): r.weight for r in long.collect()}
+    made = [d for d in folder.iterdir() if d not in before]
+    lists = [d.name for d in made if "array<string>" in str(spark.read.parquet(str(d)).dtypes) or "term:string" in str(spark.read.parquet(str(d)).dtypes)]
+    assert made and not lists
+    want = {(str(i), t): v for i, row in enumerate(plain_tfidf(texts)) for t, v in row.items()}
+    assert len(want) > 3_000 and got == {k: pytest.approx(v) for k, v in want.items()}
+    assert long.count() == len(want)
+
+
 @pytest.mark.parametrize("sizes", [{}, SMALL], ids=["head", "tail"])
 def test_posts_that_share_an_id_keep_their_own_weights(spark, sizes):
     texts = ["blue red", "blue green", "red pink", "green pink", "grey", "black"]

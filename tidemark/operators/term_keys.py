@@ -21,6 +21,8 @@ from ..storage import as_table, placed
 HEAD_WORDS = 1 << 20
 #: words or keys that a task works on at once
 DEALT = 1_000_000
+#: words of a chunk of posts, but for its last post
+CHUNK_WORDS = 1 << 18
 #: keys of a sample for each border between groups of keys; it decides on the sizes of the groups alone
 SAMPLED = 256
 SECOND = 31
@@ -98,27 +100,31 @@ class Words:
 
 
 def coded(posts: DataFrame, words: Words, keep: Sequence[str], sliced: Callable[[Iterator], Iterator]) -> DataFrame:
-    """``keep, _row, codes`` as a table: the number of each word of ``_words``, -1 for words without one."""
+    """``keep, _row, _chunk, codes`` as a table: the number of each word of ``_words``, -1 for words without one. Posts of a
+    chunk have ``CHUNK_WORDS`` words, but for the last."""
     shared = posts.sparkSession.sparkContext.broadcast((words.head.column("term").to_pylist(), words.head.column("code").to_pylist()))
     keep = list(keep)
     tail = words.tail is not None
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(zip(*shared.value))
+        known, before = dict(zip(*shared.value)), 0
         for batch in sliced(batches):
             ends, found = split_words(batch.column("_words"))
+            first = batch.column("_row").to_numpy() >> 33 << 33
+            chunk = first + (before + ends[:-1].astype(np.int64)) // CHUNK_WORDS
+            before += int(ends[-1])
             code_of = np.fromiter((known.get(w, -1) for w in found.dictionary.to_pylist()), np.int32, len(found.dictionary))
             codes = code_of[found.indices.to_numpy()]
-            columns = [*[batch.column(c) for c in [*keep, "_row"]], as_bytes(codes, ends)]
+            columns = [*[batch.column(c) for c in [*keep, "_row"]], pa.array(chunk), as_bytes(codes, ends)]
             if tail:
                 left = np.flatnonzero(codes < 0)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(ends))[left]
                 rest = pa.StructArray.from_arrays(
                     [pa.array((left - ends[row]).astype(np.int32)), found.dictionary.take(found.indices.take(pa.array(left)))], ["at", "word"])
                 columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)), rest))
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "_row", "codes", "_rest"][:len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "_row", "_chunk", "codes", "_rest"][:len(columns)])
 
-    fields = "".join(f"`{name}` {posts.schema[name].dataType.simpleString()}, " for name in keep) + "_row long, codes binary"
+    fields = "".join(f"`{name}` {posts.schema[name].dataType.simpleString()}, " for name in keep) + "_row long, _chunk long, codes binary"
     kept = [F.col(f"`{c}`") for c in keep]
     numbered = posts.select(*kept, F.monotonically_increasing_id().alias("_row"), "_words")
     if not tail:
@@ -135,13 +141,13 @@ def coded(posts: DataFrame, words: Words, keep: Sequence[str], sliced: Callable[
             flat = more.flatten()
             at = np.repeat(ends[:-1], several) + flat.field("at").to_numpy(zero_copy_only=False)
             codes[at.astype(np.int64)] = flat.field("code").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keep, "_row"]], as_bytes(codes, ends)], [*keep, "_row", "codes"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keep, "_row", "_chunk"]], as_bytes(codes, ends)], [*keep, "_row", "_chunk", "codes"])
 
-    both = table.drop("_rest").join(rest, "_row", "left").select(*kept, "_row", "codes", "_found")
+    both = table.drop("_rest").join(rest, "_row", "left").select(*kept, "_row", "_chunk", "codes", "_found")
     return as_table(both.mapInArrow(fill, fields), "codes", compression="zstd")
 
 
-def _keys(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def post_terms(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and key of every word and every two neighbours that have codes."""
     code = code.astype(np.int64)
     one = np.flatnonzero(code >= 0)
@@ -171,7 +177,7 @@ class CodedPosts:
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lengths, codes = unpacked(batch.column("codes"), np.int32)
-                yield pa.record_batch([pa.array(_keys(np.repeat(np.arange(len(lengths)), lengths), codes)[1][::step])], names=["key"])
+                yield pa.record_batch([pa.array(post_terms(np.repeat(np.arange(len(lengths)), lengths), codes)[1][::step])], names=["key"])
 
         keys = np.sort(self.codes.select("codes").mapInArrow(sample, "key long").toArrow().column("key").to_numpy())
         return np.unique(keys[np.arange(1, groups) * len(keys) // groups]) if len(keys) else keys
@@ -196,7 +202,7 @@ class CodedPosts:
                 yield send(held)
 
         def send(held: list[tuple]) -> pa.RecordBatch:
-            post, key = _keys(*(np.concatenate(x) for x in zip(*held)))
+            post, key = post_terms(*(np.concatenate(x) for x in zip(*held)))
             order = np.lexsort((post, key))
             post, key = post[order].astype(np.int32), key[order]
             first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(post, prepend=-1) != 0))

@@ -7,8 +7,8 @@ and returns W'W and W'X, which is all that the next H needs. Passes read a table
 Terms are numbered by falling frequency. The model counts them as keys of one or two numbered words (``term_keys``), in
 groups of terms. A vocabulary that fits the head, of a bounded size, is looked up and weighed where posts are read, and its
 factor travels to the tasks (``term_factor``); with more terms, the tasks keep the groups and W travels, never H
-(``term_blocks``). The model is the same however many terms are in the head. In ``tfidf``, terms beyond the head meet the
-posts in a join, which so has no hot key.
+(``term_blocks``). The model is the same however many terms are in the head. ``tfidf`` weighs posts in chunks, which learn
+from groups of terms how many posts have each (``term_weights``).
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from ..sizes import settle
 from ..storage import as_table, placed
 from .term_blocks import Derived, TermBlocks
 from .term_factor import HEAD_TERMS, PIECE, Factor, Matrix, SparseRows, Terms, lists, normal_rows
-from .term_keys import HEAD_WORDS, WORD_BYTES, CodedPosts, Words, as_bytes, coded, split_words, unpacked
+from .term_keys import HEAD_WORDS, WORD_BYTES, CodedPosts, Words, as_bytes, coded, split_words
+from .term_weights import weights
 
 LOSS_TOLERANCE = 1e-3
 START_PASSES = 3
@@ -101,32 +102,6 @@ def _sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = AT_ONCE,
             yield batch.slice(a, b - a)
 
 
-def _words(posts: DataFrame, **limits) -> tuple[DataFrame, int]:
-    """The vocabulary of ``_tokens`` as a table, and the number of posts. A task adds up its terms before it sends them."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def added() -> pa.Table:
-            return pa.concat_tables(held).group_by("term", use_threads=False).aggregate([("documents", "sum")]).rename_columns(["term", "documents"])
-
-        for batch in _sliced(batches, "_tokens"):
-            names, _, which, _ = _entries(batch)
-            held.append(pa.table([names, pa.array(np.bincount(which, minlength=len(names)))], names=["term", "documents"]))
-            size += len(names)
-            if size >= 2 * COUNTED:
-                held = [added()]
-                size = held[0].num_rows
-                if size >= COUNTED:
-                    yield from held.pop().to_batches()
-                    size = 0
-        if held:
-            yield from added().to_batches()
-
-    documents = posts.count()
-    counts = posts.select("_tokens").mapInArrow(count, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
-    return as_table(_kept(counts, documents, **limits), "vocabulary"), documents
-
-
 def _word_counts(posts: DataFrame, min_documents: int) -> DataFrame:
     """``term, documents`` of the single words of ``_words`` that a vocabulary with pairs may need."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,18 +137,6 @@ class Vocabulary:
     head: pa.Table
     tail: DataFrame | None = None
 
-    @classmethod
-    def of(cls, words: DataFrame, head_terms: int = HEAD_TERMS, piece: int = PIECE) -> Vocabulary:
-        size = words.count()
-        terms = Terms(size, head_terms, piece)
-        if not terms.tail:
-            # a table is sorted by bytes, as Spark sorts strings
-            found = words.toArrow().sort_by([("documents", "descending"), ("term", "ascending")])
-            return cls(terms, found.select(["term", "idf"]))
-        numbered = placed(words, "places", F.desc("documents"), F.col("term"))
-        head = numbered.where(F.col("place") < terms.head).select("place", "term", "idf").toArrow().sort_by("place")
-        return cls(terms, head.select(["term", "idf"]), as_table(numbered.where(F.col("place") >= terms.head), "rare"))
-
 
 class KeyedVocabulary:
     """The vocabulary of a model beyond the head, which is spelled when asked for."""
@@ -194,39 +157,23 @@ class KeyedVocabulary:
 
 
 def tfidf(
-    df: DataFrame, text_col: str = "text", id_col: str = "post_id", keep: Sequence[str] = (),
-    head_terms: int = HEAD_TERMS, piece: int = PIECE, **limits,
+    df: DataFrame, text_col: str = "text", id_col: str = "post_id", keep: Sequence[str] = (), head_terms: int = HEAD_TERMS,
+    piece: int = PIECE, min_documents: int = fixed.MIN_DOCUMENTS, max_share: float = fixed.MAX_DOCUMENT_SHARE,
 ) -> DataFrame:
-    """``id, term, weight`` (and ``keep``) in long form, with unit length per post. Posts that share an id stay apart."""
+    """``id, term, weight`` (and ``keep``) in long form, with unit length per post. Posts that share an id stay apart.
+
+    Up to ``head_terms`` frequent words are looked up where posts are read, others in a join; ``piece`` has no effect here.
+    """
     keep = [id_col, *keep]
-    posts = _tokens(df, text_col, keep)
-    known = Vocabulary.of(_words(posts, **limits)[0], head_terms, piece)
-    rows, _ = _weigh(posts, known, keep)
-    shared = rows.sparkSession.sparkContext.broadcast(known.head.column("term").combine_chunks().cast(pa.string()))
-    size = known.terms.head
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches, "terms", unit=8):
-            x = SparseRows(batch)
-            kept = [batch.column(name).take(pa.array(x.row)) for name in keep]
-            names = shared.value.take(pa.array(x.term, mask=x.term >= size))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(x.term), names, pa.array(x.value)], [*keep, "_place", "term", "weight"])
-
-    fields = "".join(f"`{name}` {rows.schema[name].dataType.simpleString()}, " for name in keep)
-    long = rows.mapInArrow(spell, f"{fields}_place long, term string, weight double")
-    if known.tail is None:
-        return long.drop("_place")
-    rare = long.where("term IS NULL").drop("term").join(known.tail.select(F.col("place").alias("_place"), "term"), "_place")
-    return long.where("term IS NOT NULL").drop("_place").unionByName(rare.drop("_place"))
+    posts = _joined(df, text_col, keep)
+    words = Words.of(_word_counts(posts, min_documents), head_terms)
+    kept = [*keep, "_spelled"]
+    return weights(_coded(posts.withColumn("_spelled", F.col("_words")), words, kept), keep, "_spelled", min_documents, max_share)
 
 
 # --- weights of posts -----------------------------------------------------------------------
 
 
-def _tokens(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
-    return as_table(df.select(*[F.col(f"`{c}`") for c in keep], vocabulary_tokens(F.col(text_col)).alias("_tokens")), "tokens", compression="zstd")
-
-
 def _joined(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
     """The words of each text in one string: lists of strings pass to Python one by one."""
     words = F.coalesce(F.array_join(vocabulary_tokens(F.col(text_col)), " "), F.lit(""))
@@ -257,23 +204,12 @@ def least_squares_weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 500
     return found
 
 
-def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """``keep, terms, weights`` of unit length from ``_tokens``, in the bytes that ``SparseRows`` reads. With terms beyond the
-    head, rows have a number, ``_row``, and a table of ``keep, _row`` comes with them.
+def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> DataFrame:
+    """``keep, terms, weights`` of unit length from ``_tokens``, in the bytes that ``SparseRows`` reads.
 
-    Terms of the head are looked up in the task; the table of them is made once per task. Other terms are counted in the
-    row and join the rest of the vocabulary, which leaves out what no second post has.
+    Terms are looked up in the task; the table of them is made once per task.
     """
     shared = posts.sparkSession.sparkContext.broadcast((words.head.column("term").to_pylist(), words.head.column("idf").to_numpy()))
-    tail = words.terms.tail
-
-    def encoded(row: np.ndarray, term: np.ndarray, value: np.ndarray, rows: int, kinds: tuple = (np.int64, np.float64)) -> list[pa.Array]:
-        order = np.lexsort((term, row))
-        ends = np.searchsorted(row, np.arange(rows + 1))
-        return [as_bytes(v[order].astype(kind), ends) for v, kind in zip((term, value), kinds)]
-
-    def unit(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
-        return value / np.sqrt(np.bincount(row, value * value, rows))[row]
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf = shared.value
@@ -282,47 +218,17 @@ def _weigh(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> tuple[Da
             names, row, which, n = _entries(batch)
             place = np.fromiter((places.get(name, -1) for name in names.to_pylist()), np.int64, len(names))[which]
             found = place >= 0
-            if not tail:
-                value = (1 + np.log(n[found])) * idf[place[found]]
-                columns = encoded(row[found], place[found], unit(row[found], value, batch.num_rows), batch.num_rows)
-            else:  # the table holds places and counts, four bytes each
-                columns = encoded(row[found], place[found], n[found], batch.num_rows, (np.int32, np.int32))
-                ends = pa.array(np.searchsorted(row[~found], np.arange(batch.num_rows + 1)).astype(np.int32))
-                rest = pa.StructArray.from_arrays([names.take(pa.array(which[~found])), pa.array(n[~found])], ["term", "n"])
-                columns.append(pa.ListArray.from_arrays(ends, rest))
-            kept = [batch.column(name) for name in batch.schema.names if name != "_tokens"]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], [*[c for c in batch.schema.names if c != "_tokens"], *added])
-
-    added = ["terms", "weights"] + (["_rest"] if tail else [])
-    fields = "".join(f"`{name}` {posts.schema[name].dataType.simpleString()}, " for name in keep)
-    weighted = f"{fields}terms binary, weights binary"
-    if not tail:
-        return posts.select(*[F.col(f"`{c}`") for c in keep], "_tokens").mapInArrow(lookup, weighted), None
-    numbered = as_table(posts.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_row"), "_tokens").mapInArrow(
-        lookup, f"{fields}_row long, terms binary, weights binary, _rest array<struct<term:string,n:long>>"), "frequent", compression="zstd")
-    rare = numbered.select("_row", F.inline("_rest")).join(words.tail.select("term", "place", "idf"), "term").groupBy("_row").agg(
-        F.collect_list(F.struct("place", ((1 + F.log("n")) * F.col("idf")).alias("value"))).alias("_rare"))
-    both = numbered.drop("_rest").join(rare, "_row", "left")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value[1]
-        for batch in _sliced(_sliced(batches, "terms", unit=4), "_rare"):
-            more = batch.column("_rare")
-            lengths = pc.fill_null(pc.list_value_length(more), 0).to_numpy(zero_copy_only=False)
-            flat = more.flatten()
-            held, near = unpacked(batch.column("terms"), np.int32)
-            near_value = (1 + np.log(unpacked(batch.column("weights"), np.int32)[1])) * idf[near]
-            row = np.concatenate([np.repeat(np.arange(batch.num_rows), held), np.repeat(np.arange(batch.num_rows), lengths)])
-            term = np.concatenate([near.astype(np.int64), flat.field("place").to_numpy(zero_copy_only=False).astype(np.int64)])
-            value = np.concatenate([near_value, flat.field("value").to_numpy(zero_copy_only=False)])
-            order = np.argsort(row, kind="stable")
-            row, term, value = row[order], term[order], value[order]
+            row, place = row[found], place[found]
+            value = (1 + np.log(n[found])) * idf[place]
+            value = value / np.sqrt(np.bincount(row, value * value, batch.num_rows))[row]
+            order = np.lexsort((place, row))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            kept = [name for name in batch.schema.names if name != "_tokens"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(name) for name in [*keep, "_row"]], *encoded(row, term, unit(row, value, batch.num_rows), batch.num_rows)], [*keep, "_row", "terms", "weights"])
+                [*[batch.column(name) for name in kept], as_bytes(place[order], ends), as_bytes(value[order], ends)], [*kept, "terms", "weights"])
 
-    kept = [F.col(f"`{c}`") for c in keep]
-    merged = both.select(*kept, "_row", "terms", "weights", "_rare").mapInArrow(merge, f"{fields}_row long, terms binary, weights binary")
-    return merged, numbered.select(*kept, "_row")
+    fields = "".join(f"`{name}` {posts.schema[name].dataType.simpleString()}, " for name in keep)
+    return posts.select(*[F.col(f"`{c}`") for c in keep], "_tokens").mapInArrow(lookup, f"{fields}terms binary, weights binary")
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -393,7 +299,7 @@ class TopicModel:
 
 def _matrix(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> Matrix:
     tokens = posts.select(*[F.col(f"`{c}`") for c in keep], F.filter(F.split("_words", " "), lambda word: word != "").alias("_tokens"))
-    return Matrix(as_table(_weigh(tokens, words, keep)[0], "weighted"), list(keep))
+    return Matrix(as_table(_weigh(tokens, words, keep), "weighted"), list(keep))
 
 
 def fit_topics(
