@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
 from tidemark.operators.filters import apply_filters, text_facts
+from tidemark.operators import scorers
 from tidemark.operators.scorers import AnalyzerScorer, LexiconScorer, ModelScorer, build_scorer, error_counts, without_errors
 from tidemark.operators.tables import wrong_flags
 from tidemark.plans.analyze import analyze, flag_posts, score
@@ -175,6 +176,35 @@ def test_batches_do_not_depend_on_partitions(spark, rows_at_once):
     assert failed[0] == sorted(str(r[0]) for b in range(8) if any(t == "boom" for _, t in numbered[64 * b:64 * b + 64]) for r in numbered[64 * b:64 * b + 64])
 
 
+@pytest.mark.parametrize("shared", [0, 40, 1_500])
+def test_texts_move_once_in_whole_batches(spark, monkeypatch, shared):
+    """Before, a sorted table of all posts with their texts was written and dealt out again by batches."""
+    from pathlib import Path
+
+    def load():
+        def predict(texts):
+            if any("boom" in text for text in texts):
+                raise RuntimeError("out of memory")
+            return np.tile([0.1, 0.2, 0.7], (len(texts), 1))
+        return predict
+
+    monkeypatch.setattr(scorers, "RANGE_POSTS", 128, raising=False)
+    rows = [(None if i < 3 else "q" if 700 <= i < 700 + shared else f"p{i:04d}", f"boom {i}" if i % 211 == 5 else f"fine {i * 7919 % 2_500}") for i in range(2_500)]
+    df = spark.createDataFrame(rows, "post_id string, text string")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    scored = ModelScorer(load, ["negative", "neutral", "positive"], 16).score(df.repartition(3))
+    made = [spark.read.parquet(str(d)).columns for d in folder.iterdir() if d not in before]
+    got = sorted((tuple(r) for r in scored.where("status = 'error'").select("post_id", "text").collect()), key=str)
+    # only where many posts share an id, texts are sorted before they are dealt
+    assert any("text" in columns for columns in made) == (shared > 1_000)
+    numbered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    batches = [numbered[a:a + 16] for a in range(0, len(numbered), 16)]
+    assert got == sorted((r for b in batches if any("boom" in t for _, t in b) for r in b), key=str)
+    sizes = [r["count"] for r in scored.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_500 and len(sizes) > 10 and max(sizes) <= 512
+
+
 def test_analyzer_scorer(spark):
     df = spark.createDataFrame([("good",), ("x",), ("bad",)], "text string")
     scorer = AnalyzerScorer(lambda: lambda text: {"good": 0.5, "bad": -0.05}.get(text, 0.0))

@@ -6,6 +6,7 @@ statistic, never turned into a label.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -22,6 +23,8 @@ from ..storage import placed
 
 SCORE_FIELDS = "sentiment string, compound double, status string"
 SCORE_NAMES = ("sentiment", "compound", "status")
+#: posts of a range, but for those that share a key; batches after its end where the next range may begin
+RANGE_POSTS, BORDER_BATCHES = 20_000, 64
 _SCORE_SCHEMA = pa.schema([("sentiment", pa.string()), ("compound", pa.float64()), ("status", pa.string())])
 
 
@@ -78,6 +81,62 @@ class AnalyzerScorer:
         return _labelled(df.withColumn("compound", compound.asNondeterministic()(F.col(text_col))))
 
 
+def _borders(posts: DataFrame, keys: list[str], size: int) -> tuple[list[tuple], int]:
+    """Keys of posts that begin a batch and differ from the post before, about a range apart; and the posts of the longest range."""
+    columns = [F.col(f"`{key}`") for key in keys]
+    numbered = placed(posts.select(*columns), "order", *columns)
+    total = numbered.count()
+    tasks = 2 * posts.sparkSession.sparkContext.defaultParallelism
+    per = max(1, -(-min(RANGE_POSTS, -(-total // tasks)) // size))  # batches of a range
+    key = F.struct(*columns)
+    begins = numbered.where(F.col("place") % size == 0).select(F.floor(F.col("place") / size).alias("b"), key.alias("at"), F.lit(None).alias("before"))
+    ends = numbered.where(F.col("place") % size == size - 1).select(F.floor(F.col("place") / size + 1).alias("b"), F.lit(None).alias("at"), key.alias("before"))
+    near = (F.col("b") >= per) & (F.col("b") % per < BORDER_BATCHES)
+    both = begins.where(near).unionByName(ends.where(near)).groupBy("b").agg(
+        F.first("at", ignorenulls=True).alias("at"), F.first("before", ignorenulls=True).alias("before"))
+    apart = both.where(F.col("at").isNotNull() & ~F.col("at").eqNullSafe(F.col("before")))
+    found = apart.groupBy(F.floor(F.col("b") / per).alias("range")).agg(F.min("b").alias("b"), F.min_by("at", "b").alias("at")).toArrow().sort_by("b")
+    starts = found.column("b").to_numpy() * size
+    return [_sortable(at.values()) for at in found.column("at").to_pylist()], int(np.diff(starts, prepend=0, append=total).max())
+
+
+def _sortable(values) -> tuple:
+    """A key in the order of Spark, which has nulls first."""
+    return tuple((value is not None, value) for value in values)
+
+
+def _in_ranges(posts: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """The posts in ranges of (id, text), each with whole batches, in the column ``_range`` and in order within.
+
+    Ids alone are sorted to find where ranges begin, so texts move once; only where many posts share an id are texts sorted too.
+    """
+    keys = [id_col]
+    borders, longest = _borders(posts, keys, size)
+    if longest > 4 * max(RANGE_POSTS, size):
+        keys = [id_col, text_col]
+        borders, _ = _borders(posts, keys, size)
+
+    @F.arrow_udf("int")
+    def range_of(*columns: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(borders, _sortable(values)) for values in zip(*[c.to_pylist() for c in columns])], pa.int32())
+
+    dealt = posts.withColumn("_range", range_of(*[F.col(f"`{key}`") for key in keys])).repartitionById(len(borders) + 1, F.col("_range"))
+    return dealt.sortWithinPartitions("_range", F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Sorted ranges with ``_batch`` for ``_range``; every ``size`` posts of a range are a batch."""
+    now, seen = -1, 0
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        of = rows.column("_range").to_numpy().astype(np.int64)
+        at = np.arange(len(of))
+        place = at - np.maximum.accumulate(np.where(np.diff(of, prepend=now) != 0, at, -seen))
+        now, seen = int(of[-1]), int(place[-1]) + 1
+        yield rows.drop_columns(["_range"]).append_column("_batch", pa.array((of << 40) + place // size))
+
+
 class ModelScorer:
     """Batched model. ``load`` builds, once per task, a function from texts to class probabilities.
 
@@ -115,10 +174,9 @@ class ModelScorer:
         if df.isStreaming or id_col not in df.columns:
             return self._score_as_they_come(df, text_col)
         load, classify, size = self.load, self._classifier(), self.batch_size
-        numbered = placed(df.drop(*SCORE_NAMES), "scored", F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).withColumn(
-            "_batch", F.floor(F.col("place") / size))
-        dealt = numbered.repartitionByRange("_batch").sortWithinPartitions("place").drop("place")
-        names = [name for name in dealt.columns if name != "_batch"]
+        posts = df.drop(*SCORE_NAMES)
+        names = posts.columns
+        dealt = _in_ranges(posts, id_col, text_col, size)
 
         def scored(model: Callable, rows: pa.Table) -> Iterator[pa.RecordBatch]:
             number = rows.column("_batch").to_numpy()
@@ -132,10 +190,8 @@ class ModelScorer:
 
         def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, held = load(), None
-            for batch in batches:
+            for batch in _numbered(batches, size):
                 rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                if not rows.num_rows:
-                    continue
                 # the last batch may go on in the next rows
                 number = rows.column("_batch").to_numpy()
                 whole = int(np.searchsorted(number, number[-1]))
