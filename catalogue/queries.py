@@ -580,7 +580,7 @@ def topic_assignment(spark, folder):
 def topic_assignment_again(spark, folder):
     """Per language, the posts that get the topic of the fit when they come again as new posts."""
     model = language_model(spark, folder)
-    again = model.assign(dated(spark, folder).select("post_id", "text")).select("post_id", F.col("topic").alias("fresh"))
+    again = model.assign(dated(spark, folder).select("post_id", "text"), keep=["post_id"]).select("post_id", F.col("topic").alias("fresh"))
     return model.assign().join(again, "post_id").where(F.col("topic") == F.col("fresh")).groupBy("lang").agg(F.count("*").alias("posts"))
 
 

@@ -251,3 +251,88 @@ def test_terms_are_dealt_as_packed_keys_and_rare_words_get_their_numbers_in_a_jo
     assert few.losses == pytest.approx(model.losses, rel=1e-9)
     expected = {r.post_id: r.topic for r in model.assign().collect()}
     assert {r.post_id: r.topic for r in few.assign(corpus).collect()} == expected
+
+
+TAIL = {"head_terms": 256, "piece": 128}
+
+
+def test_new_posts_are_written_and_dealt_once(spark, corpus):
+    """Before, all columns of new posts were written with their words and again with their codes, and entries were dealt twice."""
+    model = topics.fit_topics(corpus, n_topics=3, max_iter=3, tolerance=0, **TAIL)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    again = model.assign(corpus, keep=["post_id"])
+    made = {d.name.split("-")[1]: spark.read.parquet(str(d)).columns for d in folder.iterdir() if d not in before}
+    assert made == {"codes": ["post_id", "_row", "_chunk", "codes"], "product": ["chunk", "rows"]}
+    expected = {r.post_id: r.topic for r in model.assign().collect()}
+    assert again.columns == ["post_id", "topic"] and {r.post_id: r.topic for r in again.collect()} == expected
+    whole = model.assign(corpus)
+    assert whole.columns == ["post_id", "text", "topic"] and {r.post_id: r.topic for r in whole.collect()} == expected
+    meeting = model.posts.meeting(model.loadings, model.posts.coded)
+    assert meeting._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_entries_travel_packed_and_come_back(spark, corpus):
+    from tidemark.operators import term_keys
+
+    rng = np.random.default_rng(3)
+    for some in (1, 7, 20_000):
+        key = (rng.zipf(1.3, some).clip(max=1 << 20).astype(np.int64) << 31) + rng.integers(0, 3, some)
+        key, post = np.unique(np.stack([key, rng.integers(3_000_000, 3_002_000, some)]), axis=1)
+        n = np.minimum(rng.zipf(3, len(key)), 99).astype(np.int32)
+        size, data = term_keys.packed(key, post.astype(np.int32), n)
+        for got, want in zip(term_keys.unpacked_entries(size, data), (key, post, n)):
+            assert np.array_equal(got, want)
+    assert len(data) < 0.3 * 16 * len(key)
+    parts = [term_keys.packed(k, p, n) for k, p, n in ((np.array([3, 3, 9]), np.array([4, 8, 1], np.int32), np.array([1, 2, 1], np.int32)),
+                                                        (np.array([1, 9]), np.array([6, 0], np.int32), np.array([5, 7], np.int32)))]
+    key, post, n = term_keys.entries_of(*zip(*parts))
+    assert (key.tolist(), post.tolist(), n.tolist()) == ([1, 3, 3, 9, 9], [6, 4, 8, 0, 1], [5, 1, 2, 7, 1])
+
+
+def test_frequent_words_are_looked_up_in_an_array(spark):
+    """Before, tasks had a dictionary of a million words at most, and posts with others were all moved by a join."""
+    from tidemark.operators import term_keys
+
+    names = sorted(["ab", "abc", "abd", "a" * 16, "a" * 17, "a" * 18, "zz", "\u00e9"], key=str.encode)
+    known = term_keys.known_words(pa.table([pa.array(names[::-1]), pa.array(range(len(names) - 1, -1, -1))], names=["term", "code"]))
+    assert len(known[0]) == 6 and sorted(known[2]) == ["a" * 17, "a" * 18]
+    assert term_keys.codes_of(pa.array(names), known).tolist() == list(range(len(names)))
+    assert term_keys.codes_of(pa.array(["", "a", "aba", "a" * 19, "zzz", "zz"]).slice(1), known).tolist() == [-1, -1, -1, -1, names.index("zz")]
+    none = term_keys.known_words(pa.table([pa.array([], pa.string()), pa.array([], pa.int64())], names=["term", "code"]))
+    assert term_keys.codes_of(pa.array(["ab", "a" * 20]), none).tolist() == [-1, -1] and not len(term_keys.codes_of(pa.array([], pa.string()), known))
+    assert term_keys.HEAD_WORDS * (term_keys.WIDTH + 4) < 200e6
+
+
+def test_too_many_long_words_meet_their_codes_in_a_join(spark, monkeypatch):
+    from tidemark.operators import term_keys
+
+    monkeypatch.setattr(term_keys, "LONG_WORDS", 2)
+    long = [c * 20 for c in "abcdef"]
+    counts = spark.createDataFrame([(w, 9 - i) for i, w in enumerate(long)] + [("short", 2), ("brief", 5)], "term string, documents long")
+    words = term_keys.Words.of(counts)
+    assert sorted(words.head.column("term").to_pylist()) == [*long[:1], long[1], "brief", "short"]
+    assert sorted(r.term for r in words.tail.collect()) == long[2:]
+    texts = [f"{a} brief {b} short" for a in long for b in long] * 2
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "post_id string, text string")
+    got = {(r.post_id, r.term): r.weight for r in topics.tfidf(df).collect()}
+    want = {(str(i), t): v for i, row in enumerate(plain_tfidf(texts)) for t, v in row.items()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_shuffles_of_a_fit_go_with_their_jobs(spark, corpus):
+    """Before, they stayed until the driver's memory was collected, and the passes of a fit filled the disks."""
+    import time
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = env.blockManager().diskBlockManager().localDirsString()
+    found = lambda: {f.name for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = found(), spark.conf.get(name)
+    model = topics.fit_topics(corpus, n_topics=3, max_iter=3, tolerance=0, **TAIL)
+    model.assign(corpus)
+    for _ in range(50):
+        if not found() - before:
+            break
+        time.sleep(0.2)
+    assert not found() - before and spark.conf.get(name) == setting

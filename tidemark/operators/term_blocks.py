@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ..storage import as_table
 from .term_factor import Factor, Terms, lists
-from .term_keys import DEALT_FIELDS, CodedPosts, Words, as_bytes, entries_of, from_steps, steps
+from .term_keys import CodedPosts, Words, as_bytes, entries_of, from_steps, steps
 
-#: entries of a group of terms
-GROUP_ENTRIES = 500_000
+#: entries of a group of terms: a task of posts sends a row to each group, and rows of few entries pack badly
+GROUP_ENTRIES = 2_000_000
 #: posts of a chunk of a product
 CHUNK = 1 << 14
 _STATS = -1
@@ -53,12 +53,12 @@ class TermBlocks:
         self.coded, self.words, self.posts = coded, words, coded.posts
         self.spark = coded.codes.sparkSession
         self.tasks = self.spark.sparkContext.defaultParallelism
-        self.borders = coded.borders(max(2 * self.tasks, -(-2 * coded.words // GROUP_ENTRIES)))
+        self.borders = coded.borders(max(4 * self.tasks, -(-2 * coded.words // GROUP_ENTRIES)))
         self.known: tuple[Factor, DataFrame] | None = None
         most = max_share * self.posts
 
         def gather(key, table):
-            keys, post, n = entries_of(table)
+            keys, post, n = entries_of(table.column("size").to_pylist(), table.column("entries").to_pylist())
             first = np.flatnonzero(np.diff(keys, prepend=-1))
             documents = np.diff(first, append=len(keys))
             good = (documents >= min_documents) & (documents <= most)
@@ -184,6 +184,8 @@ class TermBlocks:
 
         sent = self.table.coalesce(self.tasks).mapInArrow(task, "chunk long, rows binary")
         added = as_table(self._added(sent), "product")
+        if left:
+            left.destroy()
         found = added.where(F.col("chunk") == _STATS).toArrow().column("rows").to_pylist()
         return (added.where(F.col("chunk") >= 0) if product else None), np.frombuffer(found[0])
 
@@ -215,6 +217,8 @@ class TermBlocks:
                 yield _table("piece near_ids near ids rows", [group], *[[v.tobytes()] for v in (at[near], rows[near], at[~near], rows[~near])])
 
         made = as_table(self.table.mapInArrow(make, "piece long, near_ids binary, near binary, ids binary, rows binary"), "factor")
+        if left:
+            left.destroy()
         near = np.zeros((head, len(matrix)))
         found = made.select("near_ids", "near").toArrow()
         for ids, rows in zip(found.column("near_ids").to_pylist(), found.column("near").to_pylist()):
@@ -241,37 +245,53 @@ class TermBlocks:
         return posts.ids.join(solved, "_post").select(*[F.col(f"`{c}`") for c in posts.keep], "weights")
 
     def _times(self, factor: Factor, new: CodedPosts) -> DataFrame:
-        """X F without its matrix, and the squared lengths of X's rows, for new posts as (chunk, rows): the groups of their
-        terms meet the terms of the fit and the rows of the factor."""
+        """X F without its matrix, and the squared lengths of X's rows, for new posts as (chunk, rows)."""
         width, posts, head, places, idf = len(factor.matrix), new.posts, self.terms.head, self.places(), self.idf()
 
-        def gather(key, table):
-            found, post, n = entries_of(table)
-            return pa.Table.from_batches([_table("group key post n", [key[0].as_py()], [steps(found)], [post.tobytes()], [n.tobytes()])])
-
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = _Product(width + 1, posts, lambda rows: np.zeros(1))
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    group, key, post, n, keys, documents, near, rows = (c[at].as_py() for c in batch.columns)
-                    keys, key = from_steps(keys), from_steps(key)
-                    if not len(keys):
-                        continue
-                    whole, some = np.empty((len(keys), width)), places(group, documents) < head
-                    whole[some], whole[~some] = (np.frombuffer(x).reshape(-1, width) for x in (near, rows))
-                    term = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    on = np.flatnonzero(keys[term] == key)
-                    term, post, n = term[on], np.frombuffer(post, np.int32)[on], np.frombuffer(n, np.int32)[on]
-                    order = np.argsort(post, kind="stable")
-                    term, post, n = term[order], post[order], n[order]
-                    total.add(whole, (term, post, (1 + np.log(n)) * idf(documents)[term]), square=True)
+            for group, (keys, documents, near, rows), entries in _meetings(batches):
+                keys = from_steps(keys)
+                if not len(keys):
+                    continue
+                whole, some = np.empty((len(keys), width)), places(group, documents) < head
+                whole[some], whole[~some] = (np.frombuffer(x).reshape(-1, width) for x in (near, rows))
+                key, post, n = entries_of(*zip(*entries))
+                term = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                on = np.flatnonzero(keys[term] == key)
+                on = on[np.argsort(post[on], kind="stable")]
+                term, post, n = term[on], post[on], n[on]
+                total.add(whole, (term, post, (1 + np.log(n)) * idf(documents)[term]), square=True)
             yield from total.batches()
 
-        terms = self.table.select("group", "keys", "documents").join(
-            factor.tail.select(F.col("piece").alias("group"), "near", "rows"), "group")
-        entries = new.dealt(self.borders).groupBy("group").applyInArrow(gather, DEALT_FIELDS)
-        both = entries.join(terms, "group").select("group", "key", "post", "n", "keys", "documents", "near", "rows")
-        return as_table(self._added(both.coalesce(self.tasks).mapInArrow(task, "chunk long, rows binary")), "product").where(F.col("chunk") >= 0)
+        sent = self.meeting(factor, new).coalesce(self.tasks).mapInArrow(task, "chunk long, rows binary")
+        return as_table(self._added(sent), "product").where(F.col("chunk") >= 0)
+
+    def meeting(self, factor: Factor, new: CodedPosts) -> DataFrame:
+        """The groups of new posts' terms with the terms of the fit and the rows of the factor, one group after the other. All
+        is dealt once, as it is: a join would send the entries again, unpacked."""
+        none = F.lit(None).cast("binary")
+        terms = self.table.select("group", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("size"), F.col("keys").alias("one"), F.col("documents").alias("two"))
+        rows = factor.tail.select(F.col("piece").alias("group"), F.lit(1), F.lit(0).cast("long"), "near", "rows")
+        entries = new.dealt(self.borders).select("group", F.lit(2), "size", "entries", none)
+        return terms.union(rows).union(entries).repartition("group").sortWithinPartitions("group", "kind")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, list]]:
+    """Group, (keys, documents, near, rows) and packed entries of each group of ``meeting`` that has entries."""
+    now, known, entries = None, (), []
+    for batch in batches:
+        for group, kind, size, one, two in zip(*[batch.column(c).to_pylist() for c in ("group", "kind", "size", "one", "two")]):
+            if group != now:
+                if len(known) == 4 and entries:
+                    yield now, known, entries
+                now, known, entries = group, (), []
+            if kind < 2:
+                known += one, two
+            else:
+                entries.append((size, one))
+    if len(known) == 4 and entries:
+        yield now, known, entries
 
 
 def _unit(squares: np.ndarray) -> np.ndarray:

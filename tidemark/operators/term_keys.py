@@ -2,7 +2,7 @@
 
 Words of several posts are numbered in alphabetical order; a pair with a rarer word is as rare and is in no vocabulary. So
 the keys of terms are whole numbers in the order of the terms' spelling, and no term travels as a string. Frequent words,
-of a bounded number, are looked up where posts are read; others meet their numbers in a join.
+of a bounded number, are looked up where posts are read; others meet their numbers in a join, which moves all posts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..storage import as_table, placed
 
-HEAD_WORDS = 1 << 20
+#: frequent words, of ``WIDTH`` bytes at most but for ``LONG_WORDS`` of them: 20 bytes a word in a task
+HEAD_WORDS, LONG_WORDS, WIDTH = 1 << 23, 1 << 17, 16
 #: words or keys that a task works on at once
 DEALT = 1_000_000
 #: words of a chunk of posts, but for its last post
@@ -30,7 +31,7 @@ SECOND = 31
 WORD_BYTES = 8
 _LOCAL = (1 << 33) - 1
 
-DEALT_FIELDS = "group long, key binary, post binary, n binary"
+DEALT_FIELDS = "group long, size long, entries binary"
 
 
 def as_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -65,12 +66,73 @@ def from_steps(data: bytes) -> np.ndarray:
     return np.cumsum(from_bytes(data, np.int64))
 
 
+def packed(key: np.ndarray, post: np.ndarray, n: np.ndarray) -> tuple[int, bytes]:
+    """Entries in order of key and post in few bytes: each key once, with the number of its posts and their distances."""
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    apart = np.diff(post, prepend=0)
+    apart[first] = post[first]
+    least = int(post.min(initial=np.iinfo(np.int32).max))
+    apart[first] -= least
+    several = np.diff(first, append=len(key)).astype(np.int32)
+    data = np.array([len(key), len(first), least]).tobytes() + steps(key[first]) + b"".join(by_bytes(v.astype(np.int32)) for v in (several, apart, n))
+    return len(data), pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def unpacked_entries(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, post and number of the entries of ``packed``."""
+    raw = pa.Codec("zstd").decompress(data, size, asbytes=True)
+    some, keys, least = (int(v) for v in np.frombuffer(raw, np.int64, 3))
+    cut = np.cumsum([24, 8 * keys, 4 * keys, 4 * some, 4 * some])
+    several, apart, n = (from_bytes(raw[a:b], np.int32) for a, b in zip(cut[1:], cut[2:]))
+    first, sums = np.cumsum(several) - several, np.cumsum(apart, dtype=np.int64)
+    post = sums - np.repeat(sums[first] - apart[first], several) + least
+    return np.repeat(from_steps(raw[24:cut[1]]), several), post.astype(np.int32), n
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """The words of texts that are joined by spaces, and where each text's begin. An empty text has one empty word."""
     words = pc.split_pattern(texts, " ")
     return words.offsets.to_numpy(), words.values.cast(pa.string()).dictionary_encode()
 
 
+def _wide(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The first bytes of each word as an array of fixed width, and the number of its bytes."""
+    if not len(words):
+        return np.zeros(0, f"S{WIDTH}"), np.zeros(0, np.int32)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    length, wide = np.diff(ends), np.zeros((len(words), WIDTH), np.uint8)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    for at in range(WIDTH):
+        on = np.flatnonzero(length > at)
+        wide[on, at] = data[ends[:-1][on] + at]
+    return wide.view(f"S{WIDTH}").ravel(), length
+
+
+def known_words(words: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """What ``codes_of`` looks words up in: short words as an array in order of codes, which is their order of bytes, and their
+    codes; a dictionary has the others."""
+    words = words.sort_by("code")
+    names, codes = words.column("term").cast(pa.string()).combine_chunks(), words.column("code").to_numpy().astype(np.int32)
+    wide, length = _wide(names)
+    short = length <= WIDTH
+    return wide[short], codes[short], dict(zip(names.filter(pa.array(~short)).to_pylist(), codes[~short].tolist()))
+
+
+def codes_of(words: pa.Array, known: tuple[np.ndarray, np.ndarray, dict[str, int]]) -> np.ndarray:
+    """The code of each word, -1 for words without one."""
+    names, codes, others = known
+    wide, length = _wide(words)
+    found = np.full(len(words), -1, np.int32)
+    if len(names):
+        short = np.flatnonzero(length <= WIDTH)
+        short = short[np.argsort(wide[short])]  # neighbours meet neighbours
+        at = np.minimum(np.searchsorted(names, wide[short]), len(names) - 1)
+        found[short] = np.where(names[at] == wide[short], codes[at], -1)
+    long = np.flatnonzero(length > WIDTH)
+    found[long] = [others.get(word, -1) for word in words.take(pa.array(long)).to_pylist()]
+    return found
+
+
 @dataclass
 class Words:
     """``term, documents, code``: all words as a table, and the codes of the frequent ones; ``tail``: whether there are others."""
@@ -82,12 +144,17 @@ class Words:
     @classmethod
     def of(cls, counts: DataFrame, head_words: int = HEAD_WORDS) -> Words:
         numbered = as_table(placed(counts, "words", F.col("term")).withColumnRenamed("place", "code"), "word-codes")
-        sizes = numbered.groupBy("documents").count().toArrow().sort_by([("documents", "descending")])
-        fits = np.cumsum(sizes.column("count").to_numpy()) <= head_words
-        if fits.all():
+        long = F.octet_length("term") > WIDTH
+        sizes = numbered.groupBy("documents").agg(F.count("*").alias("all"), F.count_if(long).alias("long")).toArrow().sort_by([("documents", "descending")])
+        fits, fit_long = (np.cumsum(sizes.column(name).to_numpy()) <= most for name, most in (("all", head_words), ("long", LONG_WORDS)))
+        if fits.all() and fit_long.all():
             return cls(numbered, numbered.select("term", "code").toArrow())
-        some = int(fits.sum())
-        frequent = F.col("documents") >= (sizes.column("documents")[some - 1].as_py() if some else sizes.column("documents")[0].as_py() + 1)
+
+        def least(fits: np.ndarray) -> int:
+            some = int(fits.sum())
+            return sizes.column("documents")[some - 1].as_py() if some else sizes.column("documents")[0].as_py() + 1
+
+        frequent = (F.col("documents") >= least(fits)) & (~long | (F.col("documents") >= least(fit_long)))
         return cls(numbered, numbered.where(frequent).select("term", "code").toArrow(), numbered.where(~frequent))
 
     def spelled(self, keys: DataFrame) -> DataFrame:
@@ -102,19 +169,18 @@ class Words:
 def coded(posts: DataFrame, words: Words, keep: Sequence[str], sliced: Callable[[Iterator], Iterator]) -> DataFrame:
     """``keep, _row, _chunk, codes`` as a table: the number of each word of ``_words``, -1 for words without one. Posts of a
     chunk have ``CHUNK_WORDS`` words, but for the last."""
-    shared = posts.sparkSession.sparkContext.broadcast((words.head.column("term").to_pylist(), words.head.column("code").to_pylist()))
+    shared = posts.sparkSession.sparkContext.broadcast(known_words(words.head))
     keep = list(keep)
     tail = words.tail is not None
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, before = dict(zip(*shared.value)), 0
+        known, before = shared.value, 0
         for batch in sliced(batches):
             ends, found = split_words(batch.column("_words"))
             first = batch.column("_row").to_numpy() >> 33 << 33
             chunk = first + (before + ends[:-1].astype(np.int64)) // CHUNK_WORDS
             before += int(ends[-1])
-            code_of = np.fromiter((known.get(w, -1) for w in found.dictionary.to_pylist()), np.int32, len(found.dictionary))
-            codes = code_of[found.indices.to_numpy()]
+            codes = codes_of(found.dictionary, known)[found.indices.to_numpy()]
             columns = [*[batch.column(c) for c in [*keep, "_row"]], pa.array(chunk), as_bytes(codes, ends)]
             if tail:
                 left = np.flatnonzero(codes < 0)
@@ -128,8 +194,11 @@ def coded(posts: DataFrame, words: Words, keep: Sequence[str], sliced: Callable[
     kept = [F.col(f"`{c}`") for c in keep]
     numbered = posts.select(*kept, F.monotonically_increasing_id().alias("_row"), "_words")
     if not tail:
-        return as_table(numbered.mapInArrow(lookup, fields), "codes", compression="zstd")
+        table = as_table(numbered.mapInArrow(lookup, fields), "codes", compression="zstd")
+        shared.destroy()
+        return table
     table = as_table(numbered.mapInArrow(lookup, f"{fields}, _rest array<struct<at:int,word:string>>"), "frequent-codes", compression="zstd")
+    shared.destroy()
     rest = table.select("_row", F.inline("_rest")).join(words.tail.select(F.col("term").alias("word"), "code"), "word").groupBy("_row").agg(
         F.collect_list(F.struct("at", F.col("code").cast("int").alias("code"))).alias("_found"))
 
@@ -183,7 +252,7 @@ class CodedPosts:
         return np.unique(keys[np.arange(1, groups) * len(keys) // groups]) if len(keys) else keys
 
     def dealt(self, borders: np.ndarray) -> DataFrame:
-        """How often each post has each of its terms, by groups of keys: ascending keys, posts and numbers, packed."""
+        """How often each post has each of its terms, by groups of keys, packed."""
         shared = self.codes.sparkSession.sparkContext.broadcast((borders, self.starts))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,16 +278,15 @@ class CodedPosts:
             n = np.diff(first, append=len(key)).astype(np.int32)
             post, key = post[first], key[first]
             cut = np.r_[0, np.searchsorted(key, shared.value[0]), len(key)]
-            rows = [(g, steps(key[a:b]), by_bytes(post[a:b]), by_bytes(n[a:b])) for g, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            kinds = [pa.int64()] + [pa.binary()] * 3
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "key", "post", "n"])
+            rows = [(g, *packed(key[a:b], post[a:b], n[a:b])) for g, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            kinds = [pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "size", "entries"])
 
         return self.codes.select("_row", "codes").mapInArrow(deal, DEALT_FIELDS)
 
 
-def entries_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def entries_of(sizes: Sequence[int], blobs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, post and number of the entries of a group, by key and post."""
-    key = np.concatenate([from_steps(x) for x in table.column("key").to_pylist()])
-    post, n = (np.concatenate([from_bytes(x, np.int32) for x in table.column(c).to_pylist()]) for c in ("post", "n"))
+    key, post, n = (np.concatenate(v) for v in zip(*map(unpacked_entries, sizes, blobs)))
     order = np.lexsort((post, key))
     return key[order], post[order], n[order]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.text import bind, topic_tokens
 from ..sizes import settle
-from ..storage import as_table
+from ..storage import as_table, shuffles_dropped
 from .term_blocks import Derived, TermBlocks
 from .term_factor import HEAD_TERMS, PIECE, Factor, Matrix, SparseRows, Terms, lists, normal_rows
 from .term_keys import HEAD_WORDS, WORD_BYTES, CodedPosts, Words, as_bytes, coded, split_words
@@ -165,7 +165,7 @@ def tfidf(
     Up to ``head_terms`` frequent words are looked up where posts are read, others in a join; ``piece`` has no effect here.
     """
     keep = [id_col, *keep]
-    posts = _joined(df, text_col, keep)
+    posts = _stored(_joined(df, text_col, keep))
     words = Words.of(_word_counts(posts, min_documents), head_terms)
     kept = [*keep, "_spelled"]
     return weights(_coded(posts.withColumn("_spelled", F.col("_words")), words, kept), keep, "_spelled", min_documents, max_share)
@@ -177,7 +177,12 @@ def tfidf(
 def _joined(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
     """The words of each text in one string: lists of strings pass to Python one by one."""
     words = F.coalesce(F.array_join(vocabulary_tokens(F.col(text_col)), " "), F.lit(""))
-    return as_table(df.select(*[F.col(f"`{c}`") for c in keep], words.alias("_words")), "words", compression="zstd")
+    return df.select(*[F.col(f"`{c}`") for c in keep], words.alias("_words"))
+
+
+def _stored(posts: DataFrame) -> DataFrame:
+    """Posts whose words are counted before they are coded. New posts are only coded, once, and need no table of words."""
+    return as_table(posts, "words", compression="zstd")
 
 
 def _coded(posts: DataFrame, words: Words, keep: Sequence[str]) -> CodedPosts:
@@ -279,22 +284,27 @@ class TopicModel:
         return words.select(
             "topic", F.array_join(F.slice("top_words", 1, 3), " / ").alias("label"), "top_words").orderBy("topic")
 
-    def weights(self, df: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-        """Topic weights of the fitted posts, or of new ones: ``keep`` (of the fit) or all columns, plus ``weights``."""
+    def weights(self, df: DataFrame | None = None, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+        """Topic weights of the fitted posts, or of new ones: ``keep`` of the fit, or of ``df`` (all columns if None), plus ``weights``.
+
+        The kept columns of new posts are written with their words, so a text that is not wanted should not be kept.
+        """
         gram = self.loadings.sums(lambda h: h.T @ h)
         solve = lambda cross: least_squares_weights(cross, gram)
         if df is None:
             return self.posts.rows(self.loadings, solve)
-        posts = _joined(df, text_col, df.columns)
+        keep = df.columns if keep is None else list(keep)
+        posts = _joined(df, text_col, keep)
         if isinstance(self.posts, TermBlocks):
-            return self.posts.rows(self.loadings, solve, _coded(posts, self.posts.words, df.columns))
-        return _matrix(posts, self.vocabulary, df.columns).rows(self.loadings, solve)
+            with shuffles_dropped(df.sparkSession):
+                return self.posts.rows(self.loadings, solve, _coded(posts, self.posts.words, keep))
+        return _matrix(posts, self.vocabulary, keep).rows(self.loadings, solve)
 
-    def assign(self, df: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+    def assign(self, df: DataFrame | None = None, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
         """Adds ``topic``, the index of the largest weight; -1 where no topic has any weight."""
         best = F.array_max("weights")
         topic = F.when(best > 0, F.array_position("weights", best).cast("int") - 1).otherwise(F.lit(-1))
-        return self.weights(df, text_col).withColumn("topic", topic).drop("weights")
+        return self.weights(df, text_col, keep).withColumn("topic", topic).drop("weights")
 
 
 def _matrix(posts: DataFrame, words: Vocabulary, keep: Sequence[str]) -> Matrix:
@@ -320,8 +330,15 @@ def fit_topics(
     It ends after ``max_iter`` passes, or when a pass gains no more than ``tolerance`` of what the first one gained.
     ``start_passes`` products find the singular vectors of the start.
     """
-    keep = list(keep)
-    posts = _joined(df, text_col, keep)
+    with shuffles_dropped(df.sparkSession):
+        return _fitted(df, n_topics, seed, text_col, list(keep), max_iter, tolerance, start_passes, head_terms, piece, head_words)
+
+
+def _fitted(
+    df: DataFrame, n_topics: int, seed: int, text_col: str, keep: list[str], max_iter: int, tolerance: float, start_passes: int,
+    head_terms: int, piece: int, head_words: int,
+) -> TopicModel:
+    posts = _stored(_joined(df, text_col, keep))
     words = Words.of(_word_counts(posts, fixed.MIN_DOCUMENTS), head_words)
     blocks = TermBlocks(_coded(posts, words, keep), words, fixed.MIN_DOCUMENTS, fixed.MAX_DOCUMENT_SHARE, head_terms, piece)
     size, documents = blocks.terms.size, blocks.posts
