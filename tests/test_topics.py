@@ -280,14 +280,17 @@ def test_entries_travel_packed_and_come_back(spark, corpus):
         key = (rng.zipf(1.3, some).clip(max=1 << 20).astype(np.int64) << 31) + rng.integers(0, 3, some)
         key, post = np.unique(np.stack([key, rng.integers(3_000_000, 3_002_000, some)]), axis=1)
         n = np.minimum(rng.zipf(3, len(key)), 99).astype(np.int32)
-        size, data = term_keys.packed(key, post.astype(np.int32), n)
-        for got, want in zip(term_keys.unpacked_entries(size, data), (key, post, n)):
+        data = term_keys.packed(key, post.astype(np.int32), n)
+        for got, want in zip(term_keys.unpacked_entries(data), (key, post, n)):
             assert np.array_equal(got, want)
     assert len(data) < 0.3 * 16 * len(key)
     parts = [term_keys.packed(k, p, n) for k, p, n in ((np.array([3, 3, 9]), np.array([4, 8, 1], np.int32), np.array([1, 2, 1], np.int32)),
                                                         (np.array([1, 9]), np.array([6, 0], np.int32), np.array([5, 7], np.int32)))]
-    key, post, n = term_keys.entries_of(*zip(*parts))
-    assert (key.tolist(), post.tolist(), n.tolist()) == ([1, 3, 3, 9, 9], [6, 4, 8, 0, 1], [5, 1, 2, 7, 1])
+    key, post, n = term_keys.entries_of(parts, 5)
+    assert (key.tolist(), post.tolist(), n.tolist()) == ([3, 3, 9, 1, 9], [4, 8, 1, 6, 0], [1, 2, 1, 5, 7])
+    # posts of a key need not ascend
+    back = term_keys.unpacked_entries(term_keys.packed(np.array([5, 5, 5, 6]), np.array([7, 2, 9, 3], np.int32), np.ones(4, np.int32)))
+    assert back[1].tolist() == [7, 2, 9, 3]
 
 
 def test_frequent_words_are_looked_up_in_an_array(spark):

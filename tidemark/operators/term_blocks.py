@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ..storage import as_table
 from .term_factor import Factor, Terms, lists
-from .term_keys import CodedPosts, Words, as_bytes, entries_of, from_steps, steps
+from .term_keys import CodedPosts, Words, as_bytes, by_bytes, entries_of, from_bytes, from_steps, steps, unzipped, zipped
 
 #: entries of a group of terms: a task of posts sends a row to each group, and rows of few entries pack badly
-GROUP_ENTRIES = 2_000_000
+GROUP_ENTRIES = 1_000_000
 #: posts of a chunk of a product
 CHUNK = 1 << 14
 _STATS = -1
@@ -46,8 +46,8 @@ def _table(names: str, *columns: Sequence) -> pa.RecordBatch:
 
 
 class TermBlocks:
-    """Posts by terms as (group, keys, documents, term, post, n): ``term`` is the place of an entry's term in ``keys``. Terms are
-    numbered by falling frequency, then by key."""
+    """Posts by terms as (group, keys, documents, entries): entries are packed and have the place of their term in ``keys``, the post
+    and how often it has the term. Terms are numbered by falling frequency, then by key."""
 
     def __init__(self, coded: CodedPosts, words: Words, min_documents: int, max_share: float, head_terms: int, piece: int):
         self.coded, self.words, self.posts = coded, words, coded.posts
@@ -58,18 +58,22 @@ class TermBlocks:
         most = max_share * self.posts
 
         def gather(key, table):
-            keys, post, n = entries_of(table.column("size").to_pylist(), table.column("entries").to_pylist())
+            keys, post, n = entries_of(table.column("entries").to_pylist(), pc.sum(table.column("some")).as_py())
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
             first = np.flatnonzero(np.diff(keys, prepend=-1))
             documents = np.diff(first, append=len(keys))
             good = (documents >= min_documents) & (documents <= most)
-            on = np.repeat(good, documents)
-            term = (np.cumsum(good) - 1).repeat(documents)[on].astype(np.int32)
-            post, n = post[on], n[on]
+            blobs = [steps(keys[first][good]), documents[good].astype(np.int32).tobytes()]
+            del keys, first
+            order = order[np.repeat(good, documents)]
+            term = np.repeat(np.arange(good.sum(), dtype=np.int32), documents[good])
+            post, n = post[order], n[order]
             order = np.argsort(post, kind="stable")  # neighbours are alike, which packs better
-            blobs = steps(keys[first][good]), documents[good].astype(np.int32).tobytes(), *[v[order].tobytes() for v in (term, post, n)]
-            return pa.Table.from_batches([_table("group keys documents term post n", [key[0].as_py()], *[[b] for b in blobs])])
+            blobs.append(zipped(*[by_bytes(v) for v in (term[order], np.diff(post[order], prepend=np.int32(0)), n[order])]))
+            return pa.Table.from_batches([_table("group keys documents entries", [key[0].as_py()], *[[b] for b in blobs])])
 
-        fields = "group long, keys binary, documents binary, term binary, post binary, n binary"
+        fields = "group long, keys binary, documents binary, entries binary"
         self.table = as_table(coded.dealt(self.borders).groupBy("group").applyInArrow(gather, fields), "blocks", compression="zstd")
         self._number(head_terms, piece)
 
@@ -256,12 +260,13 @@ class TermBlocks:
                     continue
                 whole, some = np.empty((len(keys), width)), places(group, documents) < head
                 whole[some], whole[~some] = (np.frombuffer(x).reshape(-1, width) for x in (near, rows))
-                key, post, n = entries_of(*zip(*entries))
+                counts, blobs = zip(*entries)
+                key, post, n = entries_of(blobs, sum(counts))
                 term = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 on = np.flatnonzero(keys[term] == key)
                 on = on[np.argsort(post[on], kind="stable")]
                 term, post, n = term[on], post[on], n[on]
-                total.add(whole, (term, post, (1 + np.log(n)) * idf(documents)[term]), square=True)
+                total.add(whole, (term, post, _values(n, idf(documents), term)), square=True)
             yield from total.batches()
 
         sent = self.meeting(factor, new).coalesce(self.tasks).mapInArrow(task, "chunk long, rows binary")
@@ -271,9 +276,10 @@ class TermBlocks:
         """The groups of new posts' terms with the terms of the fit and the rows of the factor, one group after the other. All
         is dealt once, as it is: a join would send the entries again, unpacked."""
         none = F.lit(None).cast("binary")
-        terms = self.table.select("group", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("size"), F.col("keys").alias("one"), F.col("documents").alias("two"))
-        rows = factor.tail.select(F.col("piece").alias("group"), F.lit(1), F.lit(0).cast("long"), "near", "rows")
-        entries = new.dealt(self.borders).select("group", F.lit(2), "size", "entries", none)
+        zero = F.lit(0).cast("long")
+        terms = self.table.select("group", F.lit(0).alias("kind"), zero.alias("some"), F.col("keys").alias("one"), F.col("documents").alias("two"))
+        rows = factor.tail.select(F.col("piece").alias("group"), F.lit(1), zero, "near", "rows")
+        entries = new.dealt(self.borders).select("group", F.lit(2), "some", "entries", none)
         return terms.union(rows).union(entries).repartition("group").sortWithinPartitions("group", "kind")
 
 
@@ -281,7 +287,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, l
     """Group, (keys, documents, near, rows) and packed entries of each group of ``meeting`` that has entries."""
     now, known, entries = None, (), []
     for batch in batches:
-        for group, kind, size, one, two in zip(*[batch.column(c).to_pylist() for c in ("group", "kind", "size", "one", "two")]):
+        for group, kind, some, one, two in zip(*[batch.column(c).to_pylist() for c in ("group", "kind", "some", "one", "two")]):
             if group != now:
                 if len(known) == 4 and entries:
                     yield now, known, entries
@@ -289,7 +295,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, l
             if kind < 2:
                 known += one, two
             else:
-                entries.append((size, one))
+                entries.append((some, one))
     if len(known) == 4 and entries:
         yield now, known, entries
 
@@ -306,15 +312,32 @@ def _groups(batches: Iterator[pa.RecordBatch], idf: Callable[[bytes], np.ndarray
     """Each group with its numbers of posts and its terms, posts and values."""
     for batch in batches:
         for at, group in enumerate(batch.column("group").to_pylist()):
-            term, post, n = (np.frombuffer(batch.column(c)[at].as_buffer(), np.int32) for c in ("term", "post", "n"))
+            raw = unzipped(batch.column("entries")[at].as_py())
+            term, post, n = (from_bytes(raw[a:a + len(raw) // 3], np.int32) for a in (0, len(raw) // 3, 2 * (len(raw) // 3)))
+            post = np.cumsum(post, dtype=np.int32)
+            del raw
             documents = batch.column("documents")[at].as_py()
-            yield group, documents, (term, post, (1 + np.log(n)) * idf(documents)[term])
+            yield group, documents, (term, post, _values(n, idf(documents), term))
+
+
+def _values(n: np.ndarray, idf: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Entries before their posts get unit length, in one array."""
+    value = np.log(n)
+    value += 1
+    value *= idf[term]
+    return value
+
+
+def _times_at(value: np.ndarray, column: np.ndarray, at: np.ndarray) -> np.ndarray:
+    found = column[at]
+    found *= value
+    return found
 
 
 def _sums(left: np.ndarray | None, entries: tuple[np.ndarray, ...], terms: int) -> np.ndarray | None:
     """X'L of a group, for L by columns."""
     term, post, value = entries
-    return None if left is None else np.stack([np.bincount(term, value * column[post], terms) for column in left], axis=1)
+    return None if left is None else np.stack([np.bincount(term, _times_at(value, column, post), terms) for column in left], axis=1)
 
 
 class _Product:
@@ -330,7 +353,7 @@ class _Product:
         if len(self.z) and len(post):  # entries are in order of posts
             first = np.flatnonzero(np.diff(post, prepend=-1))
             for column in range(len(self.z) - square):
-                self._put(column, post[first], np.add.reduceat(value * np.ascontiguousarray(rows[:, column])[term], first))
+                self._put(column, post[first], np.add.reduceat(_times_at(value, np.ascontiguousarray(rows[:, column]), term), first))
             if square:
                 self._put(-1, post[first], np.add.reduceat(value**2, first))
 

@@ -31,7 +31,7 @@ SECOND = 31
 WORD_BYTES = 8
 _LOCAL = (1 << 33) - 1
 
-DEALT_FIELDS = "group long, size long, entries binary"
+DEALT_FIELDS = "group long, some long, entries binary"
 
 
 def as_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -66,21 +66,29 @@ def from_steps(data: bytes) -> np.ndarray:
     return np.cumsum(from_bytes(data, np.int64))
 
 
-def packed(key: np.ndarray, post: np.ndarray, n: np.ndarray) -> tuple[int, bytes]:
-    """Entries in order of key and post in few bytes: each key once, with the number of its posts and their distances."""
+def zipped(*parts: bytes) -> bytes:
+    data = b"".join(parts)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def unzipped(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def packed(key: np.ndarray, post: np.ndarray, n: np.ndarray) -> bytes:
+    """Entries in order of keys in few bytes: each key once, with the number of its posts and their distances."""
     first = np.flatnonzero(np.diff(key, prepend=-1))
     apart = np.diff(post, prepend=0)
     apart[first] = post[first]
     least = int(post.min(initial=np.iinfo(np.int32).max))
     apart[first] -= least
-    several = np.diff(first, append=len(key)).astype(np.int32)
-    data = np.array([len(key), len(first), least]).tobytes() + steps(key[first]) + b"".join(by_bytes(v.astype(np.int32)) for v in (several, apart, n))
-    return len(data), pa.Codec("zstd").compress(data, asbytes=True)
+    several = np.diff(first, append=len(key))
+    return zipped(np.array([len(key), len(first), least]).tobytes(), steps(key[first]), *[by_bytes(v.astype(np.int32)) for v in (several, apart, n)])
 
 
-def unpacked_entries(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, post and number of the entries of ``packed``."""
-    raw = pa.Codec("zstd").decompress(data, size, asbytes=True)
+    raw = unzipped(data)
     some, keys, least = (int(v) for v in np.frombuffer(raw, np.int64, 3))
     cut = np.cumsum([24, 8 * keys, 4 * keys, 4 * some, 4 * some])
     several, apart, n = (from_bytes(raw[a:b], np.int32) for a, b in zip(cut[1:], cut[2:]))
@@ -272,21 +280,24 @@ class CodedPosts:
 
         def send(held: list[tuple]) -> pa.RecordBatch:
             post, key = post_terms(*(np.concatenate(x) for x in zip(*held)))
-            order = np.lexsort((post, key))
+            order = np.argsort(key, kind="stable")  # words of a post stand together, so its equal keys do, too
             post, key = post[order].astype(np.int32), key[order]
             first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(post, prepend=-1) != 0))
             n = np.diff(first, append=len(key)).astype(np.int32)
             post, key = post[first], key[first]
             cut = np.r_[0, np.searchsorted(key, shared.value[0]), len(key)]
-            rows = [(g, *packed(key[a:b], post[a:b], n[a:b])) for g, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            rows = [(g, b - a, packed(key[a:b], post[a:b], n[a:b])) for g, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             kinds = [pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "size", "entries"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "some", "entries"])
 
         return self.codes.select("_row", "codes").mapInArrow(deal, DEALT_FIELDS)
 
 
-def entries_of(sizes: Sequence[int], blobs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, post and number of the entries of a group, by key and post."""
-    key, post, n = (np.concatenate(v) for v in zip(*map(unpacked_entries, sizes, blobs)))
-    order = np.lexsort((post, key))
-    return key[order], post[order], n[order]
+def entries_of(blobs: Sequence[bytes], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, post and number of the ``count`` entries of a group. All entries of a post come from one blob, in order of keys."""
+    found, at = (np.empty(count, np.int64), np.empty(count, np.int32), np.empty(count, np.int32)), 0
+    for part in map(unpacked_entries, blobs):
+        for whole, some in zip(found, part):
+            whole[at:at + len(some)] = some
+        at += len(part[0])
+    return found
